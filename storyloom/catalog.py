@@ -34,7 +34,7 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def q_weekly_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    a = adapters.articles(spark, sf_dir)
+    a = adapters.articles(spark, sf_dir, with_embedding=False)
     r = weekly.weekly_narratives(a, threshold=GATE_THRESHOLD)
     return finish(r.select("week", "label", "n_rows", "n_sources", "n_days", "coherence",
                            "diversity", "reject_reason", "accepted", "near_dup_rate",

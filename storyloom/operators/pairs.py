@@ -24,18 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.vectors import pack
+
 DEFAULT_BLOCK = 2000
 
 
 def _packed(vectors: DataFrame) -> DataFrame:
     """Long form → one row per id with sorted index/value arrays (≤ dim entries each)."""
-    return (vectors.groupBy("id")
-            .agg(F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("e"))
-            .select("id", F.col("e.slot").alias("idx"), F.col("e.value").alias("val")))
+    return pack(vectors).select("id", F.col("vec.slot").alias("idx"), F.col("vec.value").alias("val"))
 
 
-def _replicated(members: DataFrame, vectors: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+def _replicated(members: DataFrame, vectors: DataFrame, keys: Sequence[str], block: int,
+                sizes: DataFrame | None = None) -> DataFrame:
+    if sizes is None:
+        sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block))).cast("int")
     rows = (members.select(*keys, "id").join(sizes, list(keys))
             .withColumn("_nb", nb)
@@ -80,12 +82,14 @@ def _pad(a: np.ndarray, b: np.ndarray):
 
 
 def near_dup_counts(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
-                    threshold: float = 0.95, block: int = DEFAULT_BLOCK) -> DataFrame:
+                    threshold: float = 0.95, block: int = DEFAULT_BLOCK,
+                    sizes: DataFrame | None = None) -> DataFrame:
     """Pairs with cosine strictly above ``threshold`` per cluster: (keys…, n_dup, n_pairs).
 
     ``vectors`` must be unit-norm long form, so the dot product is the cosine.
+    ``sizes`` (keys…, _n) may be passed when the caller already has row counts.
     """
-    rep = _replicated(members, vectors, keys, block)
+    rep = _replicated(members, vectors, keys, block, sizes)
     schema = T.StructType(
         [rep.schema[k] for k in keys]
         + [T.StructField("n_dup", T.LongType()), T.StructField("n_pairs", T.LongType())])
@@ -112,10 +116,11 @@ def near_dup_counts(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
 
 
 def near_dup_rate(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
-                  threshold: float = 0.95, block: int = DEFAULT_BLOCK) -> DataFrame:
+                  threshold: float = 0.95, block: int = DEFAULT_BLOCK,
+                  sizes: DataFrame | None = None) -> DataFrame:
     """Share of unordered pairs above the threshold; 0 below two rows."""
-    n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    c = near_dup_counts(members, vectors, keys, threshold, block)
+    n = sizes if sizes is not None else members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    c = near_dup_counts(members, vectors, keys, threshold, block, n)
     total = (F.col("_n") * (F.col("_n") - 1) / 2)
     rate = F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(
         F.coalesce(F.col("n_dup"), F.lit(0)).cast("double") / total)

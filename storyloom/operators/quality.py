@@ -46,18 +46,28 @@ def cluster_sums(members: DataFrame, vectors: DataFrame, keys: Sequence[str]) ->
             .agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")))
 
 
+def coherence_expr(n, s2, q, singleton_value: float = 1.0):
+    """Closed-form mean pairwise cosine from n, ‖Σu‖² and Σ‖u‖²."""
+    return F.when(n < 2, F.lit(float(singleton_value))).otherwise(
+        (F.coalesce(s2, F.lit(0.0)) - F.coalesce(q, F.lit(0.0))) / (n * (n - 1)).cast("double"))
+
+
+def square_sums(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
+                sums: DataFrame | None = None) -> DataFrame:
+    """(keys…, s2 = ‖Σu‖², q = Σ‖u‖²) per cluster."""
+    sums = sums if sums is not None else cluster_sums(members, vectors, keys)
+    return sums.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.sum("q").alias("q"))
+
+
 def coherence(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
               singleton_value: float = 1.0, sums: DataFrame | None = None) -> DataFrame:
     """D3: mean pairwise cosine per cluster by the closed form; n < 2 → singleton_value.
 
     Zero vectors count as rows (their cosine with anything is 0), as in the reference.
     """
-    sums = sums if sums is not None else cluster_sums(members, vectors, keys)
-    tot = sums.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.sum("q").alias("q"))
+    tot = square_sums(members, vectors, keys, sums)
     n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    c = F.when(F.col("n") < 2, F.lit(float(singleton_value))).otherwise(
-        (F.coalesce(F.col("s2"), F.lit(0.0)) - F.coalesce(F.col("q"), F.lit(0.0)))
-        / (F.col("n") * (F.col("n") - 1)).cast("double"))
+    c = coherence_expr(F.col("n"), F.col("s2"), F.col("q"), singleton_value)
     return n.join(tot, list(keys), "left").select(*keys, c.alias("coherence"))
 
 

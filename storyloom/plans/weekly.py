@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.dates import week_back, week_back_start
 from ..functions.vectors import hash_embed
 from ..operators.pairs import near_dup_rate
-from ..operators.quality import cluster_profile, coherence, quality_gate, source_diversity
+from ..operators.quality import (cluster_profile, coherence_expr, quality_gate, source_diversity,
+                                 square_sums)
+from ..session import materialize
 from ..sources.adapters import NOW, now_col
 
 KEYS = ["week", "label"]
@@ -44,12 +46,15 @@ def score_clusters(members: DataFrame, vectors: DataFrame, keys=KEYS, min_rows:
     """D1–D4 + B14 + A8 significance per cluster."""
     keys = list(keys)
     prof = cluster_profile(members, keys)
-    coh = coherence(members, vectors, keys, singleton_value)
-    div = source_diversity(members, keys)
-    gated = quality_gate(prof.join(coh, keys).join(div, keys), min_rows, min_sources, min_days,
-                         threshold)
-    accepted = gated.where(F.col("accepted")).select(*keys)
-    nd = near_dup_rate(members.join(accepted, keys, "left_semi"), vectors, keys, dup_threshold, block)
+    stats = (prof.join(source_diversity(members, keys), keys)
+             .join(square_sums(members, vectors, keys), keys, "left")
+             .withColumn("coherence", coherence_expr(F.col("n_rows"), F.col("s2"), F.col("q"),
+                                                     singleton_value))
+             .drop("s2", "q"))
+    gated = quality_gate(stats, min_rows, min_sources, min_days, threshold)
+    accepted = gated.where(F.col("accepted")).select(*keys, F.col("n_rows").alias("_n"))
+    nd = near_dup_rate(members.join(accepted.select(*keys), keys, "left_semi"), vectors, keys,
+                       dup_threshold, block, sizes=accepted)
     return (gated.join(nd, keys, "left")
             .withColumn("significance",
                         F.when(F.col("accepted"), F.col("coherence") * F.col("diversity"))))
@@ -60,7 +65,9 @@ def weekly_narratives(articles: DataFrame, now: str = NOW, weeks: int = 5, label
                       threshold: float = 0.5, dup_threshold: float = 0.95,
                       min_week_rows: int = 8, block: int = 2000) -> DataFrame:
     members = week_members(articles, now, weeks, label_col, min_week_rows)
-    vectors = hash_embed(members.select("id", "content"), "id", "content")
+    # Hashing is the costly step and several branches read it: write it once.
+    vectors = materialize(hash_embed(members.select("id", "content"), "id", "content"),
+                          "weekly-vectors")
     scored = score_clusters(members, vectors, KEYS, min_rows, min_sources, min_days, threshold,
                             dup_threshold, 1.0, block)
     return scored.withColumn("week_start", week_back_start(F.col("week"), now_col(now)))

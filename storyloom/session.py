@@ -32,6 +32,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
+    if master and master.startswith("local"):
+        # Local mode: the driver JVM is the only executor; size it at start.
+        builder = builder.config("spark.driver.memory", os.environ.get("STORYLOOM_DRIVER_MEM", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
@@ -72,3 +75,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as a parquet table in the shared checkpoint folder and read it back.
+
+    Used where several branches of a plan read one costly intermediate (hashed
+    vectors): it is computed once, survives executor loss (the files are on the
+    shared folder, not on an executor) and cuts the lineage.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -24,16 +24,24 @@ def now_col(now: str = NOW) -> Column:
     return F.to_timestamp(F.lit(now))
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """article ← documents ⟕ embeddings (vector, label may be null)."""
+def articles(spark: SparkSession, sf_dir: str, with_embedding: bool = True) -> DataFrame:
+    """article ← documents ⟕ embeddings (vector, label may be null).
+
+    ``with_embedding=False`` skips the join for plans that only use text.
+    """
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    e = read_table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), "embedding", "label")
+    if with_embedding:
+        e = read_table(spark, sf_dir, "embeddings").select(
+            F.col("vec_id").alias("doc_id"), "embedding", "label")
+        d = d.join(e, "doc_id", "left")
+    else:
+        d = (d.withColumn("embedding", F.lit(None).cast("array<float>"))
+             .withColumn("label", F.lit(None).cast("int")))
     published = F.expr(
         f"timestamp'{EPOCH}' + make_interval(0,0,0,0,0,"
         f"cast(doc_id*{MINUTE_STRIDE} % {MINUTES_SPAN} as int))")
     created = published + F.expr("INTERVAL 1 HOUR")
-    return d.join(e, "doc_id", "left").select(
+    return d.select(
         F.col("doc_id").alias("id"),
         F.substring(F.split(F.col("text"), "\n").getItem(0), 1, 500).alias("title"),
         F.col("text").alias("content"),
