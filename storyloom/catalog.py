@@ -41,7 +41,221 @@ def q_weekly_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
                            "significance", "week_start"))
 
 
+
+
+# ---------------------------------------------------------------------------
+# Selection, week grids, week statistics
+# ---------------------------------------------------------------------------
+
+from .functions import dates as _dates  # noqa: E402
+from .functions import vectors as _vec  # noqa: E402
+from .operators import kmeans as _km  # noqa: E402
+from .operators import pairs as _pairs  # noqa: E402
+from .operators import quality as _q  # noqa: E402
+from .operators import select as _sel  # noqa: E402
+from .plans import historical as _hist  # noqa: E402
+from .sources.tables import read_table  # noqa: E402
+
+# Fixed values of the showcase queries (thresholds chosen away from the data).
+SLICE_START = "2024-01-22 00:00:00"
+SLICE_END = "2024-01-29 00:00:00"
+LOOKBACK_DAYS = 7
+FILTER_SOURCE = "src3"
+SEARCH_QUERY = "le, de"
+HIST_MONTHS = 2
+HIST_K = 6
+COSINE_PAIR_THRESHOLD = 0.3
+LLOYD_ITERATIONS = 2
+
+
+def _arts(spark, sf_dir, with_embedding=True):
+    configure(spark)
+    return adapters.articles(spark, sf_dir, with_embedding)
+
+
+def q_week_slice(spark, sf_dir):
+    a = _arts(spark, sf_dir)
+    r = _sel.time_slice(a, F.to_timestamp(F.lit(SLICE_START)), F.to_timestamp(F.lit(SLICE_END)))
+    return r.select("id", "published_date", "source", "label")
+
+
+def q_recent_articles(spark, sf_dir):
+    a = _arts(spark, sf_dir)
+    r = _sel.lookback(a, adapters.now_col(), LOOKBACK_DAYS, need_vector="embedding")
+    return r.select("id", "published_date", "source")
+
+
+def q_weeks_backward(spark, sf_dir):
+    a = _arts(spark, sf_dir)
+    nowc = adapters.now_col()
+    wk = a.withColumn("week", _dates.week_back(F.col("published_date"), nowc)).where(F.col("week") >= 0)
+    g = wk.groupBy("week").agg(F.count(F.lit(1)).alias("n_articles"),
+                               F.count("embedding").alias("n_with_vector"))
+    return g.select("week", _dates.week_back_start(F.col("week"), nowc).alias("week_start"),
+                    _dates.week_back_end(F.col("week"), nowc).alias("week_end"),
+                    "n_articles", "n_with_vector")
+
+
+def q_week_stats(spark, sf_dir):
+    return finish(_hist.week_stats(spark, _arts(spark, sf_dir), months=HIST_MONTHS))
+
+
+def q_weeks_forward(spark, sf_dir):
+    s = _hist.week_stats(spark, _arts(spark, sf_dir), months=HIST_MONTHS)
+    return s.select("week_idx", "week_start", "week_end", "total_articles")
+
+
+def q_week_plan(spark, sf_dir):
+    s = _hist.week_stats(spark, _arts(spark, sf_dir), months=HIST_MONTHS)
+    return _hist.plan_preview(_hist.week_plan(s, HIST_K))
+
+
+def q_cost_estimate(spark, sf_dir):
+    s = _hist.week_stats(spark, _arts(spark, sf_dir), months=HIST_MONTHS)
+    return finish(_hist.cost_estimate(_hist.week_plan(s, HIST_K), HIST_K))
+
+
+def q_embed_coverage(spark, sf_dir):
+    return finish(_q.embed_coverage(_arts(spark, sf_dir)))
+
+
+def q_embed_backlog(spark, sf_dir):
+    return _sel.backlog(_arts(spark, sf_dir)).select("id", "published_date", "title")
+
+
+def q_embed_input(spark, sf_dir):
+    a = _arts(spark, sf_dir, with_embedding=False)
+    t = _sel.embed_input(F.col("title"), F.col("content"))
+    return a.select("id", F.length(t).alias("n_chars"), F.md5(t).alias("input_md5"),
+                    (F.length(F.concat(F.col("title"), F.lit("\n\n"), F.col("content")))
+                     > _sel.EMBED_MAX_CHARS).alias("truncated"))
+
+
+def q_articles_filter(spark, sf_dir):
+    a = _arts(spark, sf_dir, with_embedding=False)
+    r = _sel.equality_filter(a, {"source": FILTER_SOURCE}, ["source", "published_date"])
+    return r.select("id", "title", "url", "published_date", "source")
+
+
+def q_articles_search(spark, sf_dir):
+    a = _arts(spark, sf_dir, with_embedding=False)
+    return _sel.text_search(a, SEARCH_QUERY, ["title", "content"]).select("id", "title", "source")
+
+
+# ---------------------------------------------------------------------------
+# Cluster aggregates over the label-clustered weeks
+# ---------------------------------------------------------------------------
+
+def _weekly_members(spark, sf_dir):
+    a = _arts(spark, sf_dir, with_embedding=False)
+    m = weekly.week_members(a)
+    return m
+
+
+def q_cluster_profile(spark, sf_dir):
+    m = _weekly_members(spark, sf_dir)
+    return _q.cluster_profile(m, weekly.KEYS)
+
+
+def q_source_diversity(spark, sf_dir):
+    return finish(_q.source_diversity(_weekly_members(spark, sf_dir), weekly.KEYS))
+
+
+def _member_vectors(m):
+    from .session import materialize
+    return materialize(_vec.hash_embed(m.select("id", "content"), "id", "content"), "vectors")
+
+
+def q_near_dup_rate(spark, sf_dir):
+    m = _weekly_members(spark, sf_dir)
+    return finish(_pairs.near_dup_rate(m, _member_vectors(m), weekly.KEYS))
+
+
+def q_near_dup_pairs(spark, sf_dir):
+    m = _weekly_members(spark, sf_dir)
+    return finish(_pairs.similar_pairs(m, _member_vectors(m), weekly.KEYS, 0.95))
+
+
+def q_medoids(spark, sf_dir):
+    m = _weekly_members(spark, sf_dir)
+    return finish(_q.medoids(m, _member_vectors(m), weekly.KEYS, 3).drop("score"))
+
+
+# ---------------------------------------------------------------------------
+# Vector arithmetic on the stored embeddings
+# ---------------------------------------------------------------------------
+
+def _emb(spark, sf_dir):
+    configure(spark)
+    return read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def q_coherence(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    v = _vec.dense_to_sparse(e, "id", "embedding")
+    c = _q.coherence(e.select("label", "id"), v, ["label"])
+    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return finish(c.join(n, "label"))
+
+
+def q_centroids(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    return finish(_q.centroids(e.select("label", "id"), _vec.raw_dense_to_long(e, "id", "embedding"),
+                               ["label"]))
+
+
+def q_cosine_pairs(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    v = _vec.dense_to_sparse(e, "id", "embedding")
+    return finish(_pairs.similar_pairs(e.select("label", "id"), v, ["label"], COSINE_PAIR_THRESHOLD))
+
+
+def q_kmeans_assign(spark, sf_dir):
+    e = _emb(spark, sf_dir).withColumn("run", F.lit(0)).withColumnRenamed("embedding", "vec")
+    cents = _km.mean_vectors(e.select("run", F.col("label").alias("cluster"), "vec"), ["run", "cluster"])
+    a = _km.assign(e, cents, ["run"])
+    return finish(a.select(F.col("id").alias("vec_id"), "label", "cluster", "sqdist"))
+
+
+def q_kmeans_lloyd(spark, sf_dir):
+    a = _arts(spark, sf_dir)
+    nowc = adapters.now_col()
+    pts = (a.where(F.col("embedding").isNotNull())
+           .withColumn("week", _dates.week_back(F.col("published_date"), nowc))
+           .where((F.col("week") >= 0) & (F.col("week") < 5))
+           .select("week", "id", "label", F.col("embedding").alias("vec")))
+    init = _km.mean_vectors(pts.select("week", F.col("label").alias("cluster"), "vec"),
+                            ["week", "cluster"])
+    assigned, _ = _km.lloyd(pts.select("week", "id", "vec"), init, ["week"], LLOYD_ITERATIONS)
+    return assigned.select("week", "id", "cluster")
+
+
+def q_silhouette_exact(spark, sf_dir):
+    e = _emb(spark, sf_dir).withColumn("run", F.lit(0))
+    s = _pairs.silhouette(e.select("run", "id", "label"), _vec.raw_dense_to_long(e, "id", "embedding"),
+                          ["run"], "label")
+    return finish(s.drop("run"))
+
+
+def _register_a(d):
+    d.update({
+        "week_slice": q_week_slice, "recent_articles": q_recent_articles,
+        "weeks_backward": q_weeks_backward, "week_stats": q_week_stats,
+        "weeks_forward": q_weeks_forward, "week_plan": q_week_plan,
+        "cost_estimate": q_cost_estimate, "embed_coverage": q_embed_coverage,
+        "embed_backlog": q_embed_backlog, "embed_input": q_embed_input,
+        "articles_filter": q_articles_filter, "articles_search": q_articles_search,
+        "cluster_profile": q_cluster_profile, "source_diversity": q_source_diversity,
+        "near_dup_rate": q_near_dup_rate, "near_dup_pairs": q_near_dup_pairs,
+        "medoids": q_medoids, "coherence": q_coherence, "centroids": q_centroids,
+        "cosine_pairs": q_cosine_pairs, "kmeans_assign": q_kmeans_assign,
+        "kmeans_lloyd": q_kmeans_lloyd, "silhouette_exact": q_silhouette_exact,
+    })
+    return d
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "weekly_narratives": q_weekly_narratives,
-    }
+    d = {"weekly_narratives": q_weekly_narratives}
+    _register_a(d)
+    return d

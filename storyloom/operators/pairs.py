@@ -241,5 +241,6 @@ def silhouette(members: DataFrame, raw_vectors: DataFrame, run_keys: Sequence[st
     s = a.join(b, [*keys, "id"], "left").select(
         *keys, "id",
         F.when((F.col("own_n") <= 1) | F.col("b").isNull(), F.lit(0.0))
+        .when(F.greatest("a", "b") == 0, F.lit(0.0))
         .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
     return s.groupBy(*keys).agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n_rows"))

@@ -107,7 +107,10 @@ def medoids(members: DataFrame, vectors: DataFrame, keys: Sequence[str], k: int
     sc = medoid_scores(members, vectors, keys, sums)
     m = members.join(sc, [*keys, "id"])
     w_all = Window.partitionBy(*keys)
-    by_score = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("id")))
+    # Rank on the score rounded to 1e-9 so exact copies tie deterministically
+    # (summation order moves the last bits) and fall back to id order.
+    by_score = F.row_number().over(
+        Window.partitionBy(*keys).orderBy(F.round(F.col("score"), 9).desc(), F.col("id")))
     by_input = F.row_number().over(Window.partitionBy(*keys).orderBy(*input_order))
     ranked = (m.withColumn("n_in", F.count(F.lit(1)).over(w_all))
               .withColumn("medoid_rank", F.when(F.col("n_in") <= k, by_input).otherwise(by_score)))

@@ -121,7 +121,173 @@ SELECT g.week, g.label, g.n_rows, g.n_sources, g.n_days,
 FROM gated g LEFT JOIN nd n ON g.week = n.week AND g.label = n.label"""
 
 
+
+
+FWD_START = f"({NOW} - INTERVAL 60 DAY)"
+
+WEEK_STATS = f"""grid AS (
+  SELECT CAST(i AS INTEGER) AS week_idx,
+         {FWD_START} + to_days(CAST(7 * i AS INTEGER)) AS week_start,
+         least({FWD_START} + to_days(CAST(7 * (i + 1) AS INTEGER)), {NOW}) AS week_end
+  FROM range(9) t(i)),
+fidx AS (
+  SELECT CASE WHEN published_date >= {FWD_START} AND published_date < {NOW}
+              THEN CAST(floor((epoch_us(published_date) - epoch_us({FWD_START})) / (7 * 86400 * 1e6)) AS INTEGER) END AS week_idx,
+         embedding, source
+  FROM art),
+fagg AS (
+  SELECT week_idx, count(*) AS total_articles, count(embedding) AS with_vector,
+         count(DISTINCT source) AS unique_sources
+  FROM fidx WHERE week_idx IS NOT NULL GROUP BY week_idx),
+wstats AS (
+  SELECT g.week_idx, g.week_start, g.week_end,
+         coalesce(f.total_articles, 0) AS total_articles, coalesce(f.with_vector, 0) AS with_vector,
+         coalesce(f.unique_sources, 0) AS unique_sources,
+         CASE WHEN coalesce(f.total_articles, 0) > 0 THEN f.with_vector / f.total_articles ELSE 0.0 END AS coverage
+  FROM grid g LEFT JOIN fagg f ON g.week_idx = f.week_idx),
+wplan AS (SELECT * FROM wstats WHERE with_vector >= 6)"""
+
+EMB = """emb AS (SELECT vec_id AS id, embedding, label FROM embeddings)"""
+
+
+def _a_queries() -> dict[str, str]:
+    q = {}
+    q["week_slice"] = with_(ART) + """
+SELECT id, published_date, source, label FROM art
+WHERE published_date >= timestamp '2024-01-22 00:00:00' AND published_date < timestamp '2024-01-29 00:00:00'
+  AND embedding IS NOT NULL"""
+    q["recent_articles"] = with_(ART) + f"""
+SELECT id, published_date, source FROM art
+WHERE published_date >= {NOW} - INTERVAL 7 DAY AND embedding IS NOT NULL"""
+    q["weeks_backward"] = with_(ART, ART_WEEK) + f"""
+SELECT week, {NOW} - to_days(CAST(7 * (week + 1) AS INTEGER)) AS week_start,
+       {NOW} - to_days(CAST(7 * week AS INTEGER)) AS week_end,
+       count(*) AS n_articles, count(embedding) AS n_with_vector
+FROM artw WHERE week >= 0 GROUP BY week"""
+    q["week_stats"] = with_(ART, WEEK_STATS) + """
+SELECT week_idx, week_start, week_end, total_articles, with_vector, unique_sources, round(coverage, 6) AS coverage
+FROM wstats"""
+    q["weeks_forward"] = with_(ART, WEEK_STATS) + """
+SELECT week_idx, week_start, week_end, total_articles FROM wstats"""
+    q["week_plan"] = with_(ART, WEEK_STATS) + """
+SELECT plan_rank, week_start, week_end, with_vector, unique_sources, more_weeks FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY week_idx) AS INTEGER) AS plan_rank,
+         greatest(count(*) OVER () - 5, 0) AS more_weeks
+  FROM wplan) WHERE plan_rank <= 5"""
+    q["cost_estimate"] = with_(ART, WEEK_STATS) + """
+SELECT count(*) AS weeks, count(*) * 6 AS estimated_clusters, count(*) * 6 AS cluster_naming_calls,
+       count(*) AS weekly_brief_calls, round(count(*) * 6 * 0.0001, 6) AS cluster_naming_cost,
+       round(count(*) * 0.001, 6) AS weekly_brief_cost,
+       round(count(*) * 6 * 0.0001 + count(*) * 0.001, 6) AS estimated_cost_usd
+FROM wplan"""
+    q["embed_coverage"] = with_(ART) + """
+SELECT count(embedding) AS with_vector, count(*) AS total,
+       round(CASE WHEN count(*) > 0 THEN count(embedding) / count(*) END, 6) AS coverage FROM art"""
+    q["embed_backlog"] = with_(ART) + """
+SELECT id, published_date, title FROM art WHERE embedding IS NULL"""
+    q["embed_input"] = with_(ART) + """,
+ein AS (SELECT id, title || chr(10) || chr(10) || content AS t FROM art)
+SELECT id,
+       length(CASE WHEN length(t) > 8000 THEN substring(t, 1, 7000) || '...' ELSE t END) AS n_chars,
+       md5(CASE WHEN length(t) > 8000 THEN substring(t, 1, 7000) || '...' ELSE t END) AS input_md5,
+       length(t) > 8000 AS truncated
+FROM ein"""
+    q["articles_filter"] = with_(ART) + """
+SELECT id, title, url, published_date, source FROM art WHERE source = 'src3'"""
+    q["articles_search"] = with_(ART) + """
+SELECT id, title, source FROM art
+WHERE (coalesce(contains(lower(title), 'le'), false) OR coalesce(contains(lower(content), 'le'), false))
+  AND (coalesce(contains(lower(title), 'de'), false) OR coalesce(contains(lower(content), 'de'), false))"""
+    base = [ART, ART_WEEK, MEMBERS]
+    q["cluster_profile"] = with_(*base) + """
+SELECT week, label, count(*) AS n_rows, count(DISTINCT source) AS n_sources,
+       count(DISTINCT CAST(published_date AS DATE)) AS n_days
+FROM mem GROUP BY week, label"""
+    q["source_diversity"] = with_(*WEEKLY_BASE) + """
+SELECT week, label, round(diversity, 6) AS diversity FROM div"""
+    q["near_dup_rate"] = with_(*WEEKLY_BASE, PAIRS, NEAR_DUP) + """
+SELECT week, label, round(near_dup_rate, 6) AS near_dup_rate FROM nd"""
+    q["near_dup_pairs"] = with_(*WEEKLY_BASE, PAIRS) + """
+SELECT week, label, id_a, id_b, round(cosine, 6) AS cosine FROM pairs WHERE cosine > 0.95"""
+    q["medoids"] = with_(*WEEKLY_BASE) + """,
+dots AS (
+  SELECT m.week, m.label, m.id, sum(v.value * c.s) AS score
+  FROM mem m JOIN vec v ON m.id = v.id JOIN csum c ON c.week = m.week AND c.label = m.label AND c.slot = v.slot
+  GROUP BY m.week, m.label, m.id),
+sc AS (
+  SELECT m.week, m.label, m.id, m.published_date, coalesce(d.score, 0) AS score,
+         count(*) OVER (PARTITION BY m.week, m.label) AS n_in
+  FROM mem m LEFT JOIN dots d ON d.week = m.week AND d.label = m.label AND d.id = m.id),
+rk AS (
+  SELECT week, label, id,
+         CAST(CASE WHEN n_in <= 3 THEN row_number() OVER (PARTITION BY week, label ORDER BY published_date DESC, id)
+              ELSE row_number() OVER (PARTITION BY week, label ORDER BY round(score, 9) DESC, id) END AS INTEGER) AS medoid_rank
+  FROM sc)
+SELECT week, label, id, medoid_rank FROM rk WHERE medoid_rank <= 3"""
+    q["coherence"] = with_(EMB, dense_unit("embeddings", "vec_id", "ev")) + """,
+cs AS (SELECT e.label, v.slot, sum(v.value) AS s, sum(v.value * v.value) AS q FROM emb e JOIN ev v ON e.id = v.id GROUP BY e.label, v.slot),
+ct AS (SELECT label, sum(s * s) AS s2, sum(q) AS q FROM cs GROUP BY label),
+cn AS (SELECT label, count(*) AS n_rows FROM emb GROUP BY label)
+SELECT n.label, n.n_rows,
+       round(CASE WHEN n.n_rows < 2 THEN 1.0 ELSE (coalesce(t.s2, 0) - coalesce(t.q, 0)) / (n.n_rows * (n.n_rows - 1)) END, 6) AS coherence
+FROM cn n LEFT JOIN ct t ON n.label = t.label"""
+    q["centroids"] = with_(EMB) + """,
+x AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS slot, CAST(unnest(embedding) AS DOUBLE) AS v FROM emb WHERE embedding IS NOT NULL),
+n AS (SELECT label, count(*) AS n FROM emb GROUP BY label)
+SELECT x.label, CAST(x.slot AS INTEGER) AS slot, round(sum(x.v) / n.n, 6) AS value
+FROM x JOIN n ON x.label = n.label GROUP BY x.label, x.slot, n.n"""
+    q["cosine_pairs"] = with_(EMB, dense_unit("embeddings", "vec_id", "ev")) + """,
+lv AS (SELECT e.label, v.id, v.slot, v.value FROM emb e JOIN ev v ON e.id = v.id),
+pr AS (
+  SELECT a.label, a.id AS id_a, b.id AS id_b, sum(a.value * b.value) AS cosine
+  FROM lv a JOIN lv b ON a.label = b.label AND a.slot = b.slot AND a.id < b.id
+  GROUP BY a.label, a.id, b.id)
+SELECT label, id_a, id_b, round(cosine, 6) AS cosine FROM pr WHERE cosine > 0.3"""
+    q["kmeans_assign"] = with_(EMB) + """,
+x AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM emb),
+c AS (SELECT label AS cluster, list(v ORDER BY i) AS cv FROM (SELECT label, i, avg(v) AS v FROM x GROUP BY label, i) GROUP BY label),
+d AS (
+  SELECT e.id, e.label, c.cluster,
+         list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), c.cv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS sqdist
+  FROM emb e CROSS JOIN c)
+SELECT id AS vec_id, label, arg_min(cluster, (sqdist, cluster)) AS cluster, round(min(sqdist), 6) AS sqdist
+FROM d GROUP BY id, label"""
+    q["kmeans_lloyd"] = with_(ART, ART_WEEK) + """,
+pts AS (SELECT week, id, label, CAST(embedding AS DOUBLE[]) AS vec FROM artw WHERE embedding IS NOT NULL AND week >= 0 AND week < 5),
+px AS (SELECT week, id, label, generate_subscripts(vec, 1) AS i, unnest(vec) AS v FROM pts),
+c0 AS (SELECT week, label AS cluster, list(v ORDER BY i) AS cv FROM (SELECT week, label, i, avg(v) AS v FROM px GROUP BY week, label, i) GROUP BY week, label),
+a1 AS (
+  SELECT p.week, p.id, arg_min(c.cluster, (list_sum(list_transform(list_zip(p.vec, c.cv), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), c.cluster)) AS cluster
+  FROM pts p JOIN c0 c ON p.week = c.week GROUP BY p.week, p.id),
+m1 AS (SELECT a.week, a.cluster, list(v ORDER BY i) AS cv FROM (
+         SELECT a.week, a.cluster, x.i, avg(x.v) AS v FROM a1 a JOIN px x ON a.week = x.week AND a.id = x.id GROUP BY a.week, a.cluster, x.i) a
+       GROUP BY a.week, a.cluster),
+c1 AS (SELECT c.week, c.cluster, coalesce(m.cv, c.cv) AS cv FROM c0 c LEFT JOIN m1 m ON c.week = m.week AND c.cluster = m.cluster),
+a2 AS (
+  SELECT p.week, p.id, arg_min(c.cluster, (list_sum(list_transform(list_zip(p.vec, c.cv), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), c.cluster)) AS cluster
+  FROM pts p JOIN c1 c ON p.week = c.week GROUP BY p.week, p.id),
+m2 AS (SELECT a.week, a.cluster, list(v ORDER BY i) AS cv FROM (
+         SELECT a.week, a.cluster, x.i, avg(x.v) AS v FROM a2 a JOIN px x ON a.week = x.week AND a.id = x.id GROUP BY a.week, a.cluster, x.i) a
+       GROUP BY a.week, a.cluster),
+c2 AS (SELECT c.week, c.cluster, coalesce(m.cv, c.cv) AS cv FROM c1 c LEFT JOIN m2 m ON c.week = m.week AND c.cluster = m.cluster)
+SELECT p.week, p.id, arg_min(c.cluster, (list_sum(list_transform(list_zip(p.vec, c.cv), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), c.cluster)) AS cluster
+FROM pts p JOIN c2 c ON p.week = c.week GROUP BY p.week, p.id"""
+    q["silhouette_exact"] = with_(EMB) + """,
+e2 AS (SELECT id, label, CAST(embedding AS DOUBLE[]) AS v FROM emb WHERE embedding IS NOT NULL),
+d AS (SELECT a.id, a.label AS own, b.label AS other, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS dist
+      FROM e2 a JOIN e2 b ON a.id <> b.id),
+per AS (SELECT id, own, other, sum(dist) AS s, count(*) AS c FROM d GROUP BY id, own, other),
+cn AS (SELECT label, count(*) AS n FROM e2 GROUP BY label),
+aa AS (SELECT e.id, e.label, cn.n AS own_n, p.s / p.c AS a FROM e2 e JOIN cn ON cn.label = e.label LEFT JOIN per p ON p.id = e.id AND p.other = e.label),
+bb AS (SELECT id, min(s / c) AS b FROM per WHERE other <> own GROUP BY id),
+sv AS (SELECT CASE WHEN aa.own_n <= 1 OR bb.b IS NULL THEN 0.0
+                   WHEN greatest(aa.a, bb.b) = 0 THEN 0.0
+                   ELSE (bb.b - aa.a) / greatest(aa.a, bb.b) END AS s FROM aa LEFT JOIN bb ON aa.id = bb.id)
+SELECT round(avg(s), 6) AS silhouette, count(*) AS n_rows FROM sv"""
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
-        "weekly_narratives": weekly_narratives_sql(),
-    }
+    d = {"weekly_narratives": weekly_narratives_sql()}
+    d.update(_a_queries())
+    return d
