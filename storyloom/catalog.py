@@ -255,7 +255,140 @@ def _register_a(d):
     return d
 
 
+
+
+# ---------------------------------------------------------------------------
+# Text (G1–G17): per-document groups in the showcase queries, per-cluster in plans
+# ---------------------------------------------------------------------------
+
+from .functions import text as _tx  # noqa: E402
+from .operators import summarize as _sum  # noqa: E402
+
+MAX_SENTENCES = 6
+MAX_TERMS = 12
+TOP_WORDS = 10
+
+
+def _doc_texts(spark, sf_dir):
+    """(gid, doc_order, text, lang) with text = 'title. content' per document."""
+    a = _arts(spark, sf_dir, with_embedding=False)
+    return a.select(F.col("id").alias("gid"), F.lit(0).alias("doc_order"),
+                    F.concat(F.col("title"), F.lit(". "), F.col("content")).alias("text"), "lang")
+
+
+def _doc_sentences(spark, sf_dir):
+    return _sum.sentence_table(_doc_texts(spark, sf_dir), ["gid"])
+
+
+def q_sentences(spark, sf_dir):
+    return _doc_sentences(spark, sf_dir).withColumnRenamed("gid", "id")
+
+
+def q_tokens(spark, sf_dir):
+    t = _doc_texts(spark, sf_dir)
+    toks = _tx.tokens(F.col("text"))
+    return t.select(F.col("gid").alias("id"), F.size(toks).alias("n_tokens"),
+                    F.size(F.array_distinct(toks)).alias("n_distinct"))
+
+
+def q_sentence_tfidf(spark, sf_dir):
+    w = _sum.sentence_tfidf(_doc_sentences(spark, sf_dir), ["gid"])
+    return finish(w.groupBy(F.col("gid").alias("id"), "sent_pos").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("weight").alias("weight_sum"),
+        F.max("weight").alias("weight_max")))
+
+
+def q_rank_sentences(spark, sf_dir):
+    r = _sum.rank_sentences(_doc_sentences(spark, sf_dir), ["gid"], MAX_SENTENCES)
+    return finish(r.withColumnRenamed("gid", "id"))
+
+
+def q_textrank(spark, sf_dir):
+    r = _sum.textrank(_doc_sentences(spark, sf_dir), ["gid"], MAX_SENTENCES)
+    return finish(r.withColumnRenamed("gid", "id"))
+
+
+def q_key_terms(spark, sf_dir):
+    r = _sum.key_terms(_doc_texts(spark, sf_dir), ["gid"], MAX_TERMS)
+    return r.withColumnRenamed("gid", "id")
+
+
+def q_term_freq_en(spark, sf_dir):
+    t = _doc_texts(spark, sf_dir)
+    return _sum.word_freq(t, ["gid"], _tx.latin_words(F.col("text")), TOP_WORDS).withColumnRenamed("gid", "id")
+
+
+def q_keywords_uk(spark, sf_dir):
+    t = _doc_texts(spark, sf_dir)
+    return _sum.word_freq(t, ["gid"], _tx.cyrillic_words(F.col("text")), TOP_WORDS).withColumnRenamed("gid", "id")
+
+
+def q_language_stats(spark, sf_dir):
+    t = _doc_texts(spark, sf_dir)
+    return t.select(F.col("gid").alias("id"),
+                    F.size(_tx.word_runs(F.col("text"))).alias("token_count"),
+                    F.size(_tx.sentences(F.col("text"), 10)).alias("sentence_count"),
+                    _tx.has_ukrainian(F.col("text")).alias("is_ukrainian"))
+
+
+def q_entities_en(spark, sf_dir):
+    t = _doc_texts(spark, sf_dir)
+    m = t.select(F.col("gid").alias("id"), _tx.entities(F.col("text"), "en").alias("ents"))
+    return m.select("id", F.explode("ents").alias("entity_type", "values")).select(
+        "id", "entity_type", F.size("values").alias("n_values"),
+        F.array_join("values", "|").alias("entity_values"))
+
+
+def _cluster_medoid_texts(spark, sf_dir):
+    m = _weekly_members(spark, sf_dir)
+    v = _member_vectors(m)
+    med = _q.medoids(m, v, weekly.KEYS, 3)
+    texts = med.join(m, [*weekly.KEYS, "id"]).select(
+        *weekly.KEYS, "id", F.col("medoid_rank").alias("doc_order"), "source", "title", "url",
+        "published_date", F.concat(F.col("title"), F.lit(". "), F.col("content")).alias("text"))
+    return m, texts
+
+
+def q_content_hash(spark, sf_dir):
+    """G16 with the TF-IDF sentence ranker (the reference's path without the graph library)."""
+    from .plans import compress
+    m, texts = _cluster_medoid_texts(spark, sf_dir)
+    c = compress.compress_clusters(m, texts, weekly.KEYS, ranker="tfidf")
+    return finish(c.select(*weekly.KEYS, "content_hash", "total_articles", "compression_ratio",
+                           F.size("key_sentences").alias("n_sentences"),
+                           F.size("key_terms").alias("n_terms")))
+
+
+def q_compress_cluster(spark, sf_dir):
+    from .plans import compress
+    m, texts = _cluster_medoid_texts(spark, sf_dir)
+    c = compress.compress_clusters(m, texts, weekly.KEYS, ranker="textrank")
+    return finish(c.select(*weekly.KEYS, "content_hash", "total_articles", "compression_ratio",
+                           F.array_join("key_terms", "|").alias("key_terms")))
+
+
+def q_prompt_content(spark, sf_dir):
+    from .plans import compress
+    m, texts = _cluster_medoid_texts(spark, sf_dir)
+    c = compress.compress_clusters(m, texts, weekly.KEYS, ranker="tfidf")
+    p = compress.prompt_content(c)
+    return c.select(*weekly.KEYS, p.alias("prompt"), F.length(p).alias("prompt_chars"))
+
+
+def _register_text(d):
+    d.update({
+        "sentences": q_sentences, "tokens": q_tokens, "sentence_tfidf": q_sentence_tfidf,
+        "rank_sentences": q_rank_sentences, "textrank": q_textrank, "key_terms": q_key_terms,
+        "term_freq_en": q_term_freq_en, "keywords_uk": q_keywords_uk,
+        "language_stats": q_language_stats, "entities_en": q_entities_en,
+        "content_hash": q_content_hash, "compress_cluster": q_compress_cluster,
+        "prompt_content": q_prompt_content,
+    })
+    return d
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     d = {"weekly_narratives": q_weekly_narratives}
     _register_a(d)
+    _register_text(d)
     return d

@@ -287,7 +287,134 @@ SELECT round(avg(s), 6) AS silhouette, count(*) AS n_rows FROM sv"""
     return q
 
 
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join("'" + w + "'" for w in sorted(set(words))) + "]"
+
+
+def _stops():
+    from .functions.text import STOP_EN, STOP_UK, STOP_UK_SHORT
+    return _sql_list(STOP_UK), _sql_list(STOP_EN), _sql_list(STOP_UK_SHORT)
+
+
+DOC_TEXT = """dtx AS (SELECT id AS gid, 0 AS ord, title || '. ' || content AS text FROM art)"""
+
+
+def sentences_cte(src: str, out: str = "sents", min_len: int = 20) -> str:
+    return f"""{out}_raw AS (
+  SELECT gid, ord, unnest(parts) AS s, generate_subscripts(parts, 1) AS p
+  FROM (SELECT gid, ord, regexp_split_to_array(coalesce(text, ''), '[.!?]+') AS parts FROM {src})),
+{out} AS (
+  SELECT gid, CAST(row_number() OVER (PARTITION BY gid ORDER BY ord, p) - 1 AS INTEGER) AS sent_pos, sentence
+  FROM (SELECT gid, ord, p, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS sentence FROM {out}_raw)
+  WHERE length(sentence) > {min_len})"""
+
+
+def tfidf_cte(sents: str = "sents") -> str:
+    stop_uk, _, _ = _stops()
+    return f"""t_tok AS (
+  SELECT gid, sent_pos, unnest(list_filter(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                           lambda t: NOT list_contains({stop_uk}, t))) AS term FROM {sents}),
+t_tf AS (SELECT gid, sent_pos, term, count(*) AS tf FROM t_tok GROUP BY gid, sent_pos, term),
+t_n AS (SELECT gid, count(*) AS n FROM {sents} GROUP BY gid),
+t_df AS (SELECT gid, term, count(*) AS df FROM t_tf GROUP BY gid, term),
+t_w AS (
+  SELECT f.gid, f.sent_pos, f.term,
+         f.tf * (ln(CAST(1 + n.n AS DOUBLE) / CAST(1 + d.df AS DOUBLE)) + 1) AS w
+  FROM t_tf f JOIN t_df d ON f.gid = d.gid AND f.term = d.term JOIN t_n n ON f.gid = n.gid),
+tfidf AS (SELECT gid, sent_pos, term, w / sqrt(sum(w * w) OVER (PARTITION BY gid, sent_pos)) AS weight FROM t_w)"""
+
+
+def rank_cte(sents: str = "sents", k: int = 6) -> str:
+    return f"""r_sc AS (SELECT gid, sent_pos, sum(weight) AS score FROM tfidf GROUP BY gid, sent_pos),
+r_all AS (
+  SELECT s.gid, s.sent_pos, s.sentence, coalesce(r.score, 0) AS score,
+         count(*) OVER (PARTITION BY s.gid) AS n_s, max(coalesce(r.score, 0)) OVER (PARTITION BY s.gid) AS any_s
+  FROM {sents} s LEFT JOIN r_sc r ON s.gid = r.gid AND s.sent_pos = r.sent_pos),
+r_rk AS (
+  SELECT gid, sent_pos, sentence, score,
+         CAST(CASE WHEN n_s <= {k} OR any_s <= 0 THEN row_number() OVER (PARTITION BY gid ORDER BY sent_pos)
+              ELSE row_number() OVER (PARTITION BY gid ORDER BY round(score, 9) DESC, sent_pos DESC) END AS INTEGER) AS rank
+  FROM r_all),
+ranked AS (SELECT * FROM r_rk WHERE rank <= {k})"""
+
+
+def key_terms_cte(src: str, k: int = 12) -> str:
+    stop_uk, _, _ = _stops()
+    return f"""kt_j AS (SELECT gid, string_agg(text, ' ' ORDER BY ord) AS joined FROM {src} GROUP BY gid),
+kt_t AS (SELECT gid, list_filter(regexp_extract_all(lower(joined), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                lambda t: NOT list_contains({stop_uk}, t)) AS toks FROM kt_j),
+kt_g AS (SELECT gid, unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))) AS term FROM kt_t),
+kt_c AS (SELECT gid, term, count(*) AS cnt FROM kt_g GROUP BY gid, term),
+kterms AS (
+  SELECT * FROM (SELECT gid, term, cnt, CAST(row_number() OVER (PARTITION BY gid ORDER BY cnt DESC, term) AS INTEGER) AS rank FROM kt_c)
+  WHERE rank <= {k})"""
+
+
+def _text_queries() -> dict[str, str]:
+    stop_uk, stop_en, stop_uk_short = _stops()
+    q = {}
+    q["sentences"] = with_(ART, DOC_TEXT, sentences_cte("dtx")) + """
+SELECT gid AS id, sent_pos, sentence FROM sents"""
+    q["tokens"] = with_(ART, DOC_TEXT) + f""",
+tk AS (SELECT gid, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: NOT list_contains({stop_uk}, t)) AS toks FROM dtx)
+SELECT gid AS id, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_distinct FROM tk"""
+    q["sentence_tfidf"] = with_(ART, DOC_TEXT, sentences_cte("dtx"), tfidf_cte()) + """
+SELECT gid AS id, sent_pos, count(*) AS n_terms, round(sum(weight), 6) AS weight_sum, round(max(weight), 6) AS weight_max
+FROM tfidf GROUP BY gid, sent_pos"""
+    q["rank_sentences"] = with_(ART, DOC_TEXT, sentences_cte("dtx"), tfidf_cte(), rank_cte()) + """
+SELECT gid AS id, sent_pos, sentence, round(score, 6) AS score, rank FROM ranked"""
+    q["key_terms"] = with_(ART, DOC_TEXT, key_terms_cte("dtx")) + """
+SELECT gid AS id, term, cnt, rank FROM kterms"""
+    q["term_freq_en"] = with_(ART, DOC_TEXT) + f""",
+w AS (SELECT gid, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM dtx),
+c AS (SELECT gid, word, count(*) AS cnt FROM w WHERE regexp_full_match(word, '[a-z]{{3,}}') AND NOT list_contains({stop_en}, word) GROUP BY gid, word)
+SELECT * FROM (SELECT gid AS id, word, cnt, CAST(row_number() OVER (PARTITION BY gid ORDER BY cnt DESC, word) AS INTEGER) AS rank FROM c) WHERE rank <= 10"""
+    q["keywords_uk"] = with_(ART, DOC_TEXT) + f""",
+w AS (SELECT gid, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM dtx),
+c AS (SELECT gid, word, count(*) AS cnt FROM w WHERE regexp_full_match(word, '[а-яіїєґ]{{3,}}') AND NOT list_contains({stop_uk_short}, word) GROUP BY gid, word)
+SELECT * FROM (SELECT gid AS id, word, cnt, CAST(row_number() OVER (PARTITION BY gid ORDER BY cnt DESC, word) AS INTEGER) AS rank FROM c) WHERE rank <= 10"""
+    q["language_stats"] = with_(ART, DOC_TEXT) + """
+SELECT gid AS id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token_count,
+       len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10)) AS sentence_count,
+       coalesce(regexp_matches(lower(text), '[іїєґ]'), false) AS is_ukrainian
+FROM dtx"""
+    med = with_(*WEEKLY_BASE) + """,
+dots AS (
+  SELECT m.week, m.label, m.id, sum(v.value * c.s) AS score
+  FROM mem m JOIN vec v ON m.id = v.id JOIN csum c ON c.week = m.week AND c.label = m.label AND c.slot = v.slot
+  GROUP BY m.week, m.label, m.id),
+sc AS (
+  SELECT m.week, m.label, m.id, m.published_date, coalesce(d.score, 0) AS score,
+         count(*) OVER (PARTITION BY m.week, m.label) AS n_in
+  FROM mem m LEFT JOIN dots d ON d.week = m.week AND d.label = m.label AND d.id = m.id),
+rk AS (
+  SELECT week, label, id,
+         CASE WHEN n_in <= 3 THEN row_number() OVER (PARTITION BY week, label ORDER BY published_date DESC, id)
+              ELSE row_number() OVER (PARTITION BY week, label ORDER BY round(score, 9) DESC, id) END AS medoid_rank
+  FROM sc),
+gkey AS (SELECT DISTINCT week, label, week * 100 + dense_rank() OVER (ORDER BY label) AS gid FROM mem),
+ctx AS (
+  SELECT g.gid, r.medoid_rank AS ord, m.title || '. ' || m.content AS text
+  FROM rk r JOIN mem m ON r.week = m.week AND r.label = m.label AND r.id = m.id
+  JOIN gkey g ON g.week = r.week AND g.label = r.label WHERE r.medoid_rank <= 3),
+"""
+    q["content_hash"] = med + ",\n".join([sentences_cte("ctx"), tfidf_cte(), rank_cte(), key_terms_cte("ctx")]) + """,
+ksj AS (SELECT gid, string_agg(sentence, '' ORDER BY rank) AS s_cat, string_agg(sentence, ' ' ORDER BY rank) AS s_sp, count(*) AS n_s FROM ranked GROUP BY gid),
+ktj AS (SELECT gid, string_agg(term, '' ORDER BY rank) AS t_cat, count(*) AS n_t FROM kterms GROUP BY gid),
+comb AS (SELECT gid, string_agg(text, ' ' ORDER BY ord) AS combined FROM ctx GROUP BY gid),
+tot AS (SELECT week, label, count(*) AS total_articles FROM mem GROUP BY week, label)
+SELECT g.week, g.label, md5(coalesce(ks.s_cat, '') || coalesce(kt.t_cat, '')) AS content_hash, t.total_articles,
+       round(length(coalesce(ks.s_sp, '')) / length(c.combined), 6) AS compression_ratio,
+       CAST(coalesce(ks.n_s, 0) AS INTEGER) AS n_sentences, CAST(coalesce(kt.n_t, 0) AS INTEGER) AS n_terms
+FROM gkey g JOIN comb c ON c.gid = g.gid JOIN tot t ON t.week = g.week AND t.label = g.label
+LEFT JOIN ksj ks ON ks.gid = g.gid LEFT JOIN ktj kt ON kt.gid = g.gid"""
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     d = {"weekly_narratives": weekly_narratives_sql()}
     d.update(_a_queries())
+    d.update(_text_queries())
     return d
