@@ -387,8 +387,75 @@ def _register_text(d):
     return d
 
 
+
+
+# ---------------------------------------------------------------------------
+# Ingest and statements
+# ---------------------------------------------------------------------------
+
+from .operators import statements as _st  # noqa: E402
+from .sources import feed as _feed  # noqa: E402
+
+
+def q_feed_normalise(spark, sf_dir):
+    configure(spark)
+    n = _feed.normalise(_feed.feed_from_pages(spark, sf_dir))
+    return n.select("seq", "url", "title", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"),
+                    "source", "published_date")
+
+
+def q_ingest_dedup(spark, sf_dir):
+    configure(spark)
+    items = _feed.normalise(_feed.feed_from_pages(spark, sf_dir))
+    existing = adapters.articles(spark, sf_dir, with_embedding=False)
+    return _feed.insert_if_absent(items, existing).select("seq", "url", "title", "source", "published_date")
+
+
+def q_statements_parse(spark, sf_dir):
+    configure(spark)
+    s = _st.parse_statements(_st.answers_from_conversations(spark, sf_dir), ("conv_id", "article_id"))
+    return finish(s)
+
+
+def q_statements_denorm(spark, sf_dir):
+    configure(spark)
+    s = _st.statements_table(spark, sf_dir)
+    j = _st.with_article(s, adapters.articles(spark, sf_dir, with_embedding=False))
+    return finish(j.select(F.col("id").alias("statement_id"), "article_id", "actor", "confidence",
+                           "article_title", "article_source"))
+
+
+def q_articles_unextracted(spark, sf_dir):
+    configure(spark)
+    a = adapters.articles(spark, sf_dir, with_embedding=False)
+    return _st.unextracted(a, _st.statements_table(spark, sf_dir)).select("id", "published_date")
+
+
+def q_name_validate(spark, sf_dir):
+    """B16 over candidate answers derived from titles (quoted, padded, plain)."""
+    a = _arts(spark, sf_dir, with_embedding=False)
+    v = F.col("id") % 3
+    raw = (F.when(v == 0, F.concat(F.lit('"'), F.col("title"), F.lit('"')))
+           .when(v == 1, F.concat(F.lit("  "), F.substring("title", 1, 40), F.lit(" \n")))
+           .otherwise(F.col("title")))
+    fallback = F.concat(F.lit("News Cluster "), F.col("id").cast("string"))
+    cleaned = _sel.clean_name(raw)
+    return a.select("id", _sel.name_or_fallback(raw, fallback).alias("name"),
+                    _sel.valid_name(cleaned).alias("accepted"))
+
+
+def _register_ingest(d):
+    d.update({
+        "feed_normalise": q_feed_normalise, "ingest_dedup": q_ingest_dedup,
+        "statements_parse": q_statements_parse, "statements_denorm": q_statements_denorm,
+        "articles_unextracted": q_articles_unextracted, "name_validate": q_name_validate,
+    })
+    return d
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     d = {"weekly_narratives": q_weekly_narratives}
     _register_a(d)
     _register_text(d)
+    _register_ingest(d)
     return d

@@ -413,8 +413,13 @@ LEFT JOIN ksj ks ON ks.gid = g.gid LEFT JOIN ktj kt ON kt.gid = g.gid"""
     return q
 
 
+
+
 def oracle_sql() -> dict[str, str]:
+    from .oracles_ingest import ingest_queries
+
     d = {"weekly_narratives": weekly_narratives_sql()}
     d.update(_a_queries())
     d.update(_text_queries())
+    d.update(ingest_queries())
     return d
