@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .plans import weekly
 from .session import configure
@@ -453,9 +454,213 @@ def _register_ingest(d):
     return d
 
 
+
+
+# ---------------------------------------------------------------------------
+# Store tables from the weekly run, listings, report, shifts, cache (A5–A9, B4–B6, B17,
+# C2, C5–C7, C10, D9–D11, E5–E7, L4)
+# ---------------------------------------------------------------------------
+
+from .plans import store as _store  # noqa: E402
+
+PAGE_NO = 2
+PAGE_SIZE = 5
+REPORT_DAYS = 7
+SHIFT_DAYS = 7
+SHIFT_MIN_ARTICLES = 5
+# Fixture rule (FIXTURES.md §3): some narratives inactive, some without support.
+INACTIVE_MOD = 5
+NO_SUPPORT_MOD = 7
+
+
+def _weekly_tables(spark, sf_dir):
+    """Narrative / cluster / membership / event tables written by the label-clustered run."""
+    from .plans import compress
+    a = _arts(spark, sf_dir, with_embedding=False)
+    m = weekly.week_members(a)
+    v = _member_vectors(m)
+    keys = weekly.KEYS
+    scored = weekly.score_clusters(m, v, keys, threshold=GATE_THRESHOLD)
+    nowc = adapters.now_col()
+    acc = (scored.where(F.col("accepted"))
+           .withColumn("week_start", _dates.week_back_start(F.col("week"), nowc)))
+    med = _q.medoids(m.join(acc.select(*keys), keys, "left_semi"), v, keys, 3)
+    texts = med.join(m, [*keys, "id"]).select(
+        *keys, "id", F.col("medoid_rank").alias("doc_order"), "source", "title", "url", "published_date",
+        F.concat(F.col("title"), F.lit(". "), F.col("content")).alias("text"))
+    comp = compress.compress_clusters(m.join(acc.select(*keys), keys, "left_semi"), texts, keys, ranker="tfidf")
+    acc = acc.join(comp.select(*keys, "compression_ratio"), keys, "left")
+    name = F.concat(F.lit("News Cluster "), F.col("label"))
+    desc = F.format_string("Weekly narrative with %d articles from %d sources. Compression: %.1f%%",
+                           F.col("n_rows"), F.col("n_sources"), F.col("compression_ratio") * 100)
+    narr = _store.narrative_upsert(None, _store.narrative_rows(
+        acc, name, desc, F.col("week"), F.col("week_start")))
+    narr = (narr.withColumn("is_active", F.pmod(F.col("id"), F.lit(INACTIVE_MOD)) != 0)
+            .withColumn("support_count", F.when(F.pmod(F.col("id"), F.lit(NO_SUPPORT_MOD)) == 0, F.lit(0))
+                        .otherwise(F.col("support_count"))))
+    clusters = acc.select(
+        _store.key_id(name, F.col("week")).alias("id"), _store.key_id(name).alias("narrative_id"),
+        F.to_date("week_start").alias("cluster_date"), F.col("week_start").alias("created_at"),
+        *keys)
+    cluster_article = m.join(clusters.select(*keys, F.col("id").alias("cluster_id")), keys).select(
+        "cluster_id", F.col("id").alias("article_id"))
+    events = acc.select(
+        _store.key_id(F.lit("emergence"), name, F.col("week")).alias("id"),
+        _store.key_id(name).alias("narrative_id"), F.lit("emergence").alias("event_type"),
+        F.format_string("Weekly narrative: %d articles, coherence %.3f", F.col("n_rows"), F.col("coherence"))
+        .alias("description"),
+        F.col("week_start").alias("event_date"), F.col("significance").alias("significance_score"))
+    event_article = events.select(F.col("id").alias("event_id"), F.lit(None).cast("bigint").alias("article_id")) \
+        .where(F.lit(False))
+    return {"scored": scored, "members": m, "accepted": acc, "narratives": narr, "clusters": clusters,
+            "cluster_article": cluster_article, "events": events, "event_article": event_article}
+
+
+def q_narrative_upsert(spark, sf_dir):
+    return finish(_weekly_tables(spark, sf_dir)["narratives"])
+
+
+def q_cluster_membership(spark, sf_dir):
+    t = _weekly_tables(spark, sf_dir)
+    return t["clusters"].select(F.col("id").alias("cluster_id"), "narrative_id", "cluster_date").join(
+        t["cluster_article"], "cluster_id")
+
+
+def q_timeline_emit(spark, sf_dir):
+    return finish(_weekly_tables(spark, sf_dir)["events"])
+
+
+def q_narratives_active(spark, sf_dir):
+    n = _store.narratives_active(_weekly_tables(spark, sf_dir)["narratives"])
+    return finish(n.select("id", "name", "support_count", "created_at", "coherence_score"))
+
+
+def q_timeline_list(spark, sf_dir):
+    t = _weekly_tables(spark, sf_dir)
+    return finish(_store.timeline(t["events"], t["narratives"], t["event_article"]))
+
+
+def q_timeline_page(spark, sf_dir):
+    t = _weekly_tables(spark, sf_dir)
+    tl = _sel.equality_filter(_store.timeline(t["events"], t["narratives"], t["event_article"]),
+                              {"event_type": "emergence"}, ["event_type", "narrative_id"])
+    order = [F.col("significance_score").desc(), F.col("event_date").desc(), F.col("event_id")]
+    return finish(_store.page(tl, order, PAGE_NO, PAGE_SIZE))
+
+
+def q_clusters_list(spark, sf_dir):
+    t = _weekly_tables(spark, sf_dir)
+    ca = t["cluster_article"].groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n_articles"),
+        F.sum(F.conv(F.substring(F.md5(F.col("article_id").cast("string")), 1, 8), 16, 10)
+              .cast("bigint")).alias("article_checksum"))
+    c = t["clusters"].join(t["narratives"].select(F.col("id").alias("narrative_id"),
+                                                  F.col("name").alias("narrative_name")), "narrative_id")
+    return c.join(ca, c["id"] == ca["cluster_id"], "left").select(
+        "cluster_id", "narrative_name", "cluster_date", "n_articles", "article_checksum")
+
+
+def q_weeks_unprocessed(spark, sf_dir):
+    t = _weekly_tables(spark, sf_dir)
+    grid = _hist.week_grid(spark, months=HIST_MONTHS)
+    done = _hist.processed_weeks(grid, t["events"])
+    return grid.join(done.select("week_idx"), "week_idx", "left_anti")
+
+
+def q_weekly_report(spark, sf_dir):
+    """L4 + D11 + E5: counts of the last 7 days, latest 10 events, first 5 active narratives."""
+    t = _weekly_tables(spark, sf_dir)
+    nowc = adapters.now_col()
+    since = nowc - F.make_dt_interval(days=F.lit(REPORT_DAYS))
+    a = _arts(spark, sf_dir, with_embedding=False)
+    n_art = a.where(F.col("published_date") >= since).select(F.count(F.lit(1))).scalar()
+    ev = t["events"].where(F.col("event_date") >= since)
+    n_ev = ev.select(F.count(F.lit(1))).scalar()
+    top_ev = (t["events"].orderBy(F.col("event_date").desc(), F.col("id")).limit(10)
+              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
+                  (-F.unix_micros("event_date")).alias("k"), F.col("id"), F.col("description")))),
+                  lambda x: x["description"]), " | ").alias("latest_events")))
+    top_n = (t["narratives"].where(F.col("is_active"))
+             .orderBy(F.col("support_count").desc(), F.col("created_at").desc(), F.col("id")).limit(5)
+             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
+                 (-F.col("support_count")).alias("k1"), (-F.unix_micros("created_at")).alias("k2"),
+                 F.col("id"), F.col("name")))), lambda x: x["name"]), " | ").alias("top_narratives")))
+    # Single-row aggregates combined as scalar subqueries (no join).
+    return top_ev.select(n_art.alias("recent_articles"), n_ev.alias("recent_events"),
+                         ((n_art > 0) | (n_ev > 0)).alias("has_activity"), "latest_events",
+                         top_n.scalar().alias("top_narratives"))
+
+
+def q_run_summary(spark, sf_dir):
+    """D10 for the weekly run: weeks processed/skipped, narratives, model calls, estimated cost."""
+    t = _weekly_tables(spark, sf_dir)
+    s = t["scored"]
+    per_week = s.groupBy("week").agg(F.count_if(F.col("accepted")).alias("acc"))
+    return finish(per_week.agg(
+        F.count(F.lit(1)).alias("weeks_processed"),
+        (F.lit(5) - F.count(F.lit(1))).alias("weeks_skipped"),
+        F.sum("acc").alias("narratives_created"),
+        F.sum("acc").alias("naming_calls"),
+        F.count_if(F.col("acc") > 0).alias("brief_calls")).select(
+        "*", (F.col("naming_calls") * _hist.NAMING_COST_PER_CLUSTER
+              + F.col("brief_calls") * _hist.BRIEF_COST_PER_WEEK).alias("estimated_cost_usd")))
+
+
+def q_cluster_description(spark, sf_dir):
+    """Weekly description and sample-title description per accepted cluster."""
+    t = _weekly_tables(spark, sf_dir)
+    keys = weekly.KEYS
+    w = Window.partitionBy(*keys).orderBy(F.col("published_date").desc(), F.col("id"))
+    samples = (t["members"].join(t["accepted"].select(*keys), keys, "left_semi")
+               .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3)
+               .groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+                   F.struct("_r", "title"))), lambda x: x["title"]), ", ").alias("_samples")))
+    acc = t["accepted"].join(samples, keys)
+    return acc.select(
+        *keys,
+        F.format_string("Weekly narrative with %d articles from %d sources. Compression: %.1f%%",
+                        F.col("n_rows"), F.col("n_sources"), F.col("compression_ratio") * 100)
+        .alias("description_weekly"),
+        F.format_string("Cluster containing %d articles. Sample: %s", F.col("n_rows"), F.col("_samples"))
+        .alias("description_sample"))
+
+
+def q_shift_events(spark, sf_dir):
+    """A6 + A9 (+ B2, B17): last-7-day clusters by label; new clusters of > 5 articles emit an event."""
+    t = _weekly_tables(spark, sf_dir)
+    a = _arts(spark, sf_dir)
+    nowc = adapters.now_col()
+    recent = _sel.lookback(a, nowc, SHIFT_DAYS, need_vector="embedding")
+    stamp = F.date_format(nowc, "yyyyMMdd")
+    g = recent.groupBy("label").agg(F.count(F.lit(1)).alias("n_articles"))
+    name = F.concat(F.lit("Narrative Cluster "), stamp, F.lit(" - "), F.col("label").cast("string"))
+    cand = g.select("label", "n_articles", name.alias("name"),
+                    _store.key_id(name).alias("narrative_id"), F.to_date(nowc).alias("cluster_date"))
+    existing = t["clusters"].select("narrative_id", "cluster_date")
+    created = _store.insert_if_absent(existing, cand, ["narrative_id", "cluster_date"])
+    ev = created.where(F.col("n_articles") > SHIFT_MIN_ARTICLES)
+    return finish(ev.select(
+        "name", "n_articles", (F.col("n_articles") / 10.0).alias("significance_score"),
+        F.format_string("New narrative cluster emerged with %d articles", F.col("n_articles")).alias("description"),
+        nowc.alias("event_date")))
+
+
+def _register_store(d):
+    d.update({
+        "narrative_upsert": q_narrative_upsert, "cluster_membership": q_cluster_membership,
+        "timeline_emit": q_timeline_emit, "narratives_active": q_narratives_active,
+        "timeline_list": q_timeline_list, "timeline_page": q_timeline_page,
+        "clusters_list": q_clusters_list, "weeks_unprocessed": q_weeks_unprocessed,
+        "weekly_report": q_weekly_report, "run_summary": q_run_summary,
+        "cluster_description": q_cluster_description, "shift_events": q_shift_events,
+    })
+    return d
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     d = {"weekly_narratives": q_weekly_narratives}
     _register_a(d)
     _register_text(d)
     _register_ingest(d)
+    _register_store(d)
     return d

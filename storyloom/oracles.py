@@ -352,6 +352,36 @@ kterms AS (
   WHERE rank <= {k})"""
 
 
+MEDOID_TEXT = """,
+dots AS (
+  SELECT m.week, m.label, m.id, sum(v.value * c.s) AS score
+  FROM mem m JOIN vec v ON m.id = v.id JOIN csum c ON c.week = m.week AND c.label = m.label AND c.slot = v.slot
+  GROUP BY m.week, m.label, m.id),
+sc AS (
+  SELECT m.week, m.label, m.id, m.published_date, coalesce(d.score, 0) AS score,
+         count(*) OVER (PARTITION BY m.week, m.label) AS n_in
+  FROM mem m LEFT JOIN dots d ON d.week = m.week AND d.label = m.label AND d.id = m.id),
+rk AS (
+  SELECT week, label, id,
+         CASE WHEN n_in <= 3 THEN row_number() OVER (PARTITION BY week, label ORDER BY published_date DESC, id)
+              ELSE row_number() OVER (PARTITION BY week, label ORDER BY round(score, 9) DESC, id) END AS medoid_rank
+  FROM sc),
+gkey AS (SELECT DISTINCT week, label, week * 100 + dense_rank() OVER (ORDER BY label) AS gid FROM mem),
+ctx AS (
+  SELECT g.gid, r.medoid_rank AS ord, m.title || '. ' || m.content AS text
+  FROM rk r JOIN mem m ON r.week = m.week AND r.label = m.label AND r.id = m.id
+  JOIN gkey g ON g.week = r.week AND g.label = r.label WHERE r.medoid_rank <= 3)"""
+
+
+def compress_ctes() -> str:
+    """CTEs after WEEKLY_BASE: medoids → texts → sentences → TF-IDF ranking → key terms → joins."""
+    return MEDOID_TEXT + ",\n" + ",\n".join([sentences_cte("ctx"), tfidf_cte(), rank_cte(), key_terms_cte("ctx")]) + """,
+ksj AS (SELECT gid, string_agg(sentence, '' ORDER BY rank) AS s_cat, string_agg(sentence, ' ' ORDER BY rank) AS s_sp, count(*) AS n_s FROM ranked GROUP BY gid),
+ktj AS (SELECT gid, string_agg(term, '' ORDER BY rank) AS t_cat, count(*) AS n_t FROM kterms GROUP BY gid),
+comb AS (SELECT gid, string_agg(text, ' ' ORDER BY ord) AS combined FROM ctx GROUP BY gid),
+tot AS (SELECT week, label, count(*) AS total_articles FROM mem GROUP BY week, label)"""
+
+
 def _text_queries() -> dict[str, str]:
     stop_uk, stop_en, stop_uk_short = _stops()
     q = {}
@@ -380,31 +410,7 @@ SELECT gid AS id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token_cou
        len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10)) AS sentence_count,
        coalesce(regexp_matches(lower(text), '[іїєґ]'), false) AS is_ukrainian
 FROM dtx"""
-    med = with_(*WEEKLY_BASE) + """,
-dots AS (
-  SELECT m.week, m.label, m.id, sum(v.value * c.s) AS score
-  FROM mem m JOIN vec v ON m.id = v.id JOIN csum c ON c.week = m.week AND c.label = m.label AND c.slot = v.slot
-  GROUP BY m.week, m.label, m.id),
-sc AS (
-  SELECT m.week, m.label, m.id, m.published_date, coalesce(d.score, 0) AS score,
-         count(*) OVER (PARTITION BY m.week, m.label) AS n_in
-  FROM mem m LEFT JOIN dots d ON d.week = m.week AND d.label = m.label AND d.id = m.id),
-rk AS (
-  SELECT week, label, id,
-         CASE WHEN n_in <= 3 THEN row_number() OVER (PARTITION BY week, label ORDER BY published_date DESC, id)
-              ELSE row_number() OVER (PARTITION BY week, label ORDER BY round(score, 9) DESC, id) END AS medoid_rank
-  FROM sc),
-gkey AS (SELECT DISTINCT week, label, week * 100 + dense_rank() OVER (ORDER BY label) AS gid FROM mem),
-ctx AS (
-  SELECT g.gid, r.medoid_rank AS ord, m.title || '. ' || m.content AS text
-  FROM rk r JOIN mem m ON r.week = m.week AND r.label = m.label AND r.id = m.id
-  JOIN gkey g ON g.week = r.week AND g.label = r.label WHERE r.medoid_rank <= 3),
-"""
-    q["content_hash"] = med + ",\n".join([sentences_cte("ctx"), tfidf_cte(), rank_cte(), key_terms_cte("ctx")]) + """,
-ksj AS (SELECT gid, string_agg(sentence, '' ORDER BY rank) AS s_cat, string_agg(sentence, ' ' ORDER BY rank) AS s_sp, count(*) AS n_s FROM ranked GROUP BY gid),
-ktj AS (SELECT gid, string_agg(term, '' ORDER BY rank) AS t_cat, count(*) AS n_t FROM kterms GROUP BY gid),
-comb AS (SELECT gid, string_agg(text, ' ' ORDER BY ord) AS combined FROM ctx GROUP BY gid),
-tot AS (SELECT week, label, count(*) AS total_articles FROM mem GROUP BY week, label)
+    q["content_hash"] = with_(*WEEKLY_BASE) + compress_ctes() + """
 SELECT g.week, g.label, md5(coalesce(ks.s_cat, '') || coalesce(kt.t_cat, '')) AS content_hash, t.total_articles,
        round(length(coalesce(ks.s_sp, '')) / length(c.combined), 6) AS compression_ratio,
        CAST(coalesce(ks.n_s, 0) AS INTEGER) AS n_sentences, CAST(coalesce(kt.n_t, 0) AS INTEGER) AS n_terms
@@ -417,9 +423,11 @@ LEFT JOIN ksj ks ON ks.gid = g.gid LEFT JOIN ktj kt ON kt.gid = g.gid"""
 
 def oracle_sql() -> dict[str, str]:
     from .oracles_ingest import ingest_queries
+    from .oracles_store import store_queries
 
     d = {"weekly_narratives": weekly_narratives_sql()}
     d.update(_a_queries())
     d.update(_text_queries())
     d.update(ingest_queries())
+    d.update(store_queries())
     return d
