@@ -657,10 +657,156 @@ def _register_store(d):
     return d
 
 
+
+
+# ---------------------------------------------------------------------------
+# Model jobs, k-means fit, embedding backfill, streaming ingest
+# (C10, C11, H8, L1, L3, D9, V1, V5, A10, B15, S1)
+# ---------------------------------------------------------------------------
+
+from .operators import responders as _rsp  # noqa: E402
+
+
+def _cluster_hashes(spark, sf_dir):
+    from .plans import compress
+    m, texts = _cluster_medoid_texts(spark, sf_dir)
+    return compress.compress_clusters(m, texts, weekly.KEYS, ranker="tfidf")
+
+
+def _cache_fixture(hashes):
+    """Response-table fixture: newest and older entries for every second hash, some expired,
+    plus an entry of another task with the same content (must not hit)."""
+    nowc = adapters.now_col()
+    h = F.col("content_hash")
+    sel = hashes.where(F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % 2 == 0)
+    age = F.conv(F.substring(h, 3, 1), 16, 10).cast("int") % 10
+    cached = nowc - F.make_dt_interval(days=age)
+    newest = sel.select(F.lit("naming").alias("task_type"), "content_hash",
+                        F.concat(F.lit("Cached "), F.substring(h, 1, 6)).alias("response"),
+                        F.lit(0.0001).alias("cost"), cached.alias("cached_at"),
+                        (cached + F.make_dt_interval(days=F.lit(_rsp.CACHE_TTL_DAYS))).alias("expires_at"))
+    older = newest.select("task_type", "content_hash", F.concat(F.lit("Old "), F.substring(h, 1, 6)).alias("response"),
+                          "cost", (F.col("cached_at") - F.make_dt_interval(days=F.lit(1))).alias("cached_at"),
+                          (F.col("expires_at") + F.make_dt_interval(days=F.lit(30))).alias("expires_at"))
+    other = newest.withColumn("task_type", F.lit("brief"))
+    return newest.unionByName(older).unionByName(other)
+
+
+def q_llm_cache_lookup(spark, sf_dir):
+    hashes = _cluster_hashes(spark, sf_dir).select(*weekly.KEYS, "content_hash")
+    req = hashes.withColumn("task_type", F.lit("naming"))
+    r = _rsp.cache_lookup(req, _cache_fixture(hashes), adapters.now_col())
+    return r.select(*weekly.KEYS, "content_hash", "hit", "cached_response")
+
+
+def q_name_clusters(spark, sf_dir):
+    """L1: compressed content → prompt → cached-or-ask (stub responder) → clean/validate → fallback."""
+    from .plans import compress
+    c = _cluster_hashes(spark, sf_dir)
+    req = c.select(*weekly.KEYS, F.lit("naming").alias("task_type"), "content_hash",
+                   _rsp.naming_prompt(compress.prompt_content(c)).alias("prompt"))
+    cache = _cache_fixture(c.select("content_hash"))
+    answers, _ = _rsp.cached_batch(req, cache, _rsp.stub_responder, adapters.now_col(), spark)
+    fallback = F.concat(F.lit("News Cluster "), F.col("label"))
+    return answers.select(*weekly.KEYS, _sel.name_or_fallback(F.col("response"), fallback).alias("name"),
+                          "from_cache", F.length("prompt").alias("prompt_chars"))
+
+
+def _brief_input(spark, sf_dir):
+    t = _weekly_tables(spark, sf_dir)
+    acc = t["accepted"]
+    name = F.concat(F.lit("News Cluster "), F.col("label"))
+    b = acc.select("week", "label", _rsp.brief_bullet(name, F.col("n_rows"), F.col("n_sources"),
+                                                      F.col("coherence")).alias("bullet"))
+    g = b.groupBy("week").agg(F.transform(F.sort_array(F.collect_list(F.struct("label", "bullet"))),
+                                          lambda x: x["bullet"]).alias("bullets"))
+    p = _rsp.brief_prompt(F.col("bullets"), F.size("bullets"))
+    return g.select("week", F.size("bullets").alias("n_narratives"), F.length(p).alias("prompt_chars"),
+                    F.md5(p).alias("prompt_md5"))
+
+
+def q_weekly_brief_input(spark, sf_dir):
+    return _brief_input(spark, sf_dir)
+
+
+def q_run_cost(spark, sf_dir):
+    """Brief prompt characters and cost per week, with the run total (week null)."""
+    b = _brief_input(spark, sf_dir).withColumn("task_type", F.lit("brief"))
+    price = dict((t, p) for t, _, p in _rsp.PRICES)["brief"]
+    r = b.rollup("week").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_chars").alias("chars"))
+    return finish(r.withColumn("cost_usd", _rsp.call_cost(F.col("chars").cast("double"), F.lit(price))))
+
+
+def q_kmeans_fit(spark, sf_dir):
+    """V1: MLlib k-means (k = 10, best of seeds 42–51) over the stored embeddings."""
+    e = _emb(spark, sf_dir).withColumnRenamed("embedding", "vec")
+    _, assigned = _km.fit(e, 10)
+    return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _stub_embedder(texts):
+    """Deterministic stand-in model: 768 values from the text hash; every 10th answer malformed."""
+    import hashlib
+
+    import numpy as np
+
+    out = []
+    for t in texts:
+        h = hashlib.md5(t.encode("utf-8")).digest()
+        rng = np.random.default_rng(int.from_bytes(h[:8], "little"))
+        n = 767 if h[0] % 10 == 0 else 768
+        out.append(rng.standard_normal(n).astype("float32").tolist())
+    return pd_series(out)
+
+
+def pd_series(values):
+    import pandas as pd
+
+    return pd.Series(values)
+
+
+def q_embed_backfill(spark, sf_dir):
+    """V5 + A10 + B15 with a caller embedder (stub): outcome per backlog row."""
+    from .operators import embed
+    _, outcome = embed.backfill(_arts(spark, sf_dir), _stub_embedder)
+    return outcome
+
+
+def q_hash_backfill(spark, sf_dir):
+    """V5 with the native embedder: coverage after the backfill."""
+    from .operators import embed
+    updated, _ = embed.backfill(_arts(spark, sf_dir))
+    return embed.coverage(updated)
+
+
+def q_stream_ingest(spark, sf_dir):
+    """The feed landed as files, ingested by a file stream with url de-duplication."""
+    from .session import scratch_path
+    from .streaming import ingest
+    configure(spark)
+    feed_dir = scratch_path(spark, "feed-files")
+    ingest.write_feed_files(_feed.feed_from_pages(spark, sf_dir), feed_dir)
+    existing = adapters.articles(spark, sf_dir, with_embedding=False)
+    out = ingest.ingest_stream(spark, feed_dir, scratch_path(spark, "feed-sink"),
+                               scratch_path(spark, "feed-ckpt"), existing)
+    return out.select("seq", "url", "title", "source", "published_date")
+
+
+def _register_jobs(d):
+    d.update({
+        "llm_cache_lookup": q_llm_cache_lookup, "name_clusters": q_name_clusters,
+        "weekly_brief_input": q_weekly_brief_input, "run_cost": q_run_cost,
+        "kmeans_fit": q_kmeans_fit, "embed_backfill": q_embed_backfill,
+        "hash_backfill": q_hash_backfill, "stream_ingest": q_stream_ingest,
+    })
+    return d
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     d = {"weekly_narratives": q_weekly_narratives}
     _register_a(d)
     _register_text(d)
     _register_ingest(d)
     _register_store(d)
+    _register_jobs(d)
     return d

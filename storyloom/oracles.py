@@ -423,11 +423,12 @@ LEFT JOIN ksj ks ON ks.gid = g.gid LEFT JOIN ktj kt ON kt.gid = g.gid"""
 
 def oracle_sql() -> dict[str, str]:
     from .oracles_ingest import ingest_queries
-    from .oracles_store import store_queries
+    from .oracles_store import job_queries, store_queries
 
     d = {"weekly_narratives": weekly_narratives_sql()}
     d.update(_a_queries())
     d.update(_text_queries())
     d.update(ingest_queries())
     d.update(store_queries())
+    d.update(job_queries())
     return d

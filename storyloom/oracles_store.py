@@ -141,3 +141,46 @@ FROM cand
 WHERE n_articles > 5
   AND NOT EXISTS (SELECT 1 FROM clus c WHERE c.narrative_id = {_id('cand.name')} AND c.cluster_date = DATE '2024-02-05')"""
     return q
+
+
+def job_queries() -> dict[str, str]:
+    from .oracles import compress_ctes as _cc
+    from .oracles_ingest import ingest_queries
+
+    q = {}
+    hashes = with_(*WEEKLY_BASE) + _cc() + """,
+hsh AS (SELECT g.week, g.label, md5(coalesce(ks.s_cat, '') || coalesce(kt.t_cat, '')) AS content_hash
+        FROM gkey g LEFT JOIN ksj ks ON ks.gid = g.gid LEFT JOIN ktj kt ON kt.gid = g.gid),
+fx AS (SELECT content_hash, __NOW__ - to_days(CAST(CAST(('0x' || substr(content_hash, 3, 1)) AS INTEGER) % 10 AS INTEGER)) AS cached_at
+       FROM hsh WHERE CAST(('0x' || substr(content_hash, 1, 2)) AS INTEGER) % 2 = 0),
+cache AS (
+  SELECT 'naming' AS task_type, content_hash, 'Cached ' || substr(content_hash, 1, 6) AS response, cached_at,
+         cached_at + INTERVAL 7 DAY AS expires_at FROM fx
+  UNION ALL
+  SELECT 'naming', content_hash, 'Old ' || substr(content_hash, 1, 6), cached_at - INTERVAL 1 DAY,
+         cached_at + INTERVAL 37 DAY FROM fx
+  UNION ALL
+  SELECT 'brief', content_hash, 'Cached ' || substr(content_hash, 1, 6), cached_at, cached_at + INTERVAL 7 DAY FROM fx),
+latest AS (SELECT task_type, content_hash, arg_max(response, cached_at) AS response, arg_max(expires_at, cached_at) AS expires_at
+           FROM cache GROUP BY task_type, content_hash)""".replace("__NOW__", NOW)
+    q["llm_cache_lookup"] = hashes + f"""
+SELECT h.week, h.label, h.content_hash, l.response IS NOT NULL AS hit, l.response AS cached_response
+FROM hsh h LEFT JOIN (SELECT * FROM latest WHERE task_type = 'naming' AND expires_at > {NOW}) l
+  ON l.content_hash = h.content_hash"""
+    brief = _base() + """,
+bul AS (SELECT week, label, printf('• %s (%d articles, %d sources, coherence: %.2f)', name, n_rows, n_sources, coherence) AS bullet FROM acc),
+bw AS (SELECT week, count(*) AS n, string_agg(bullet, chr(10) ORDER BY label) AS bullets FROM bul GROUP BY week),
+bp AS (SELECT week, n, 'Create a concise weekly news narrative summary:' || chr(10) || chr(10) || 'Detected Narratives ('
+              || CAST(n AS VARCHAR) || '):' || chr(10) || bullets || chr(10) || chr(10)
+              || 'Write a 2-3 sentence summary highlighting:' || chr(10)
+              || '1. The main themes/topics that dominated the week' || chr(10)
+              || '2. Any notable narrative shifts or emerging stories' || chr(10)
+              || '3. Overall media focus trends' || chr(10) || chr(10) || 'Weekly Summary:' AS prompt FROM bw)"""
+    q["weekly_brief_input"] = brief + """
+SELECT week, CAST(n AS INTEGER) AS n_narratives, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5 FROM bp"""
+    q["run_cost"] = brief + """
+SELECT week, count(*) AS calls, CAST(sum(length(prompt)) AS BIGINT) AS chars,
+       round(sum(length(prompt)) / 1000.0 * 0.001, 6) AS cost_usd
+FROM bp GROUP BY ROLLUP (week)"""
+    q["stream_ingest"] = ingest_queries()["ingest_dedup"]
+    return q
