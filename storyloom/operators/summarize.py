@@ -153,7 +153,10 @@ def textrank(sents: DataFrame, keys: Sequence[str], k: int = 6, stop_words=tx.ST
             converged = False
         out = pd.DataFrame({"sent_pos": pdf["sent_pos"].astype(np.int32), "sentence": pdf["sentence"],
                             "score": scores, "converged": converged})
-        out = out.sort_values(["score", "sentence"], ascending=[False, False], kind="mergesort")
+        # (score, sentence) both descending; scores rounded to 1e-12 so exact ties
+        # (e.g. isolated sentences, all 1/n) are decided by the sentence, not float noise.
+        out["_k"] = out["score"].round(12)
+        out = out.sort_values(["_k", "sentence"], ascending=[False, False], kind="mergesort").drop(columns="_k")
         out["rank"] = np.arange(1, n + 1, dtype=np.int32)
         for kk in keys:
             out[kk] = pdf[kk].iloc[0]
