@@ -62,11 +62,15 @@ def with_article(statements: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def recent_confident(statements: DataFrame, articles: DataFrame, now, days: int,
-                     min_conf: float = MIN_CONFIDENCE) -> DataFrame:
-    """Parent article within the look-back, vector present, confidence ≥ 0.5."""
+                     min_conf: float = MIN_CONFIDENCE, vec_col: str | None = None) -> DataFrame:
+    """Parent article within the look-back, statement vector present (when the
+    statements carry one in ``vec_col``), confidence ≥ 0.5."""
     j = with_article(statements, articles)
-    return j.where((F.col("published_date") >= now - F.make_dt_interval(days=F.lit(days)))
-                   & F.col("embedding").isNotNull() & (F.col("confidence") >= min_conf))
+    cond = (F.col("published_date") >= now - F.make_dt_interval(days=F.lit(days))) \
+        & (F.col("confidence") >= min_conf)
+    if vec_col:
+        cond = cond & F.col(vec_col).isNotNull()
+    return j.where(cond)
 
 
 def unextracted(articles: DataFrame, statements: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ and word counts are grouped aggregates and windows keyed by the group, so
 groups run in parallel and no vocabulary ever reaches the driver.
 
 Only the PageRank power iteration (G6) runs in Python: one group's sentence ×
-term matrix in ``applyInPandas``.  A group is bounded by its ≤ 3 medoid texts,
+term matrix per packed row in ``mapInPandas``.  A group is bounded by its ≤ 3 medoid texts,
 and the iteration never forms the sentence × sentence graph: with W = T·Tᵀ
 (T = L2-normalised TF-IDF rows) every product is taken as T·(Tᵀ·x).
 """
@@ -45,14 +45,19 @@ def sentence_tfidf(sents: DataFrame, keys: Sequence[str], stop_words=tx.STOP_UK)
     """Smooth-idf TF-IDF, L2-normalised per sentence; corpus = the group's sentences.
 
     idf = ln((1 + n) / (1 + df)) + 1.  Output (keys…, sent_pos, term, weight).
+
+    Plan: one exchange by the group key; term counts, document frequency,
+    sentence count and the norm are aggregates/windows keyed by the group
+    first, so they all run inside that partitioning.
     """
     keys = list(keys)
-    n = sents.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    tf = (sents.select(*keys, "sent_pos", F.explode(tx.tokens(F.col("sentence"), stop_words)).alias("term"))
-          .groupBy(*keys, "sent_pos", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df = tf.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_df"))
-    w = (tf.join(df, [*keys, "term"]).join(n, keys)
-         .withColumn("_w", F.col("tf") * (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("_df"))) + 1.0)))
+    grp = sents.repartition(*keys)
+    n = F.max("_n").over(Window.partitionBy(*keys))
+    tf = (grp.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+          .select(*keys, "sent_pos", "_n", F.explode(tx.tokens(F.col("sentence"), stop_words)).alias("term"))
+          .groupBy(*keys, "sent_pos", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("_n").alias("_n")))
+    df = F.count(F.lit(1)).over(Window.partitionBy(*keys, "term"))
+    w = tf.withColumn("_w", F.col("tf") * (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + df)) + 1.0))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*keys, "sent_pos")))
     return w.select(*keys, "sent_pos", "term", (F.col("_w") / norm).alias("weight"))
 
@@ -110,59 +115,74 @@ def textrank(sents: DataFrame, keys: Sequence[str], k: int = 6, stop_words=tx.ST
     """TextRank key sentences per group; groups of ≤ k keep all in order.
 
     TF-IDF weights come from ``sentence_tfidf`` (Spark); the power iteration
-    runs per group in ``applyInPandas``.  Ranking: (score, sentence) both
+    runs per group in ``mapInPandas`` (one packed row per group).  Ranking: (score, sentence) both
     descending (E10).  A group whose iteration fails falls back to G5.
     Output (keys…, sent_pos, sentence, score, rank).
     """
+    from ..session import materialize
+
     keys = list(keys)
     g = Window.partitionBy(*keys)
-    sized = sents.withColumn("_n", F.count(F.lit(1)).over(g))
+    # Three branches read the sentence table and two read the ranking: write each once.
+    sized = materialize(sents.withColumn("_n", F.count(F.lit(1)).over(g)), "textrank-sentences")
     small = sized.where(F.col("_n") <= k).select(
         *keys, "sent_pos", "sentence", F.lit(None).cast("double").alias("score"),
         (F.col("sent_pos") + 1).cast("int").alias("rank"))
     big = sized.where(F.col("_n") > k).drop("_n")
     w = sentence_tfidf(big, keys, stop_words)
-    term_ids = w.select(*keys, "term").distinct().withColumn(
-        "_t", F.dense_rank().over(Window.partitionBy(*keys).orderBy("term")) - 1)
-    entries = (w.join(term_ids, [*keys, "term"])
-               .groupBy(*keys, "sent_pos").agg(F.collect_list(F.struct("_t", "weight")).alias("_e")))
-    rows = big.join(entries, [*keys, "sent_pos"], "left")
-    schema = T.StructType([rows.schema[c] for c in keys] + [
+    # One row per group (its sentences and its sparse TF-IDF matrix): the group is
+    # bounded by its texts, and mapInPandas then ranks many groups per batch.
+    # Both packs are keyed by the group only, so they join without a reshuffle.
+    mat = (w.withColumn("_t", F.dense_rank().over(Window.partitionBy(*keys).orderBy("term")) - 1)
+           .groupBy(*keys).agg(F.collect_list(F.struct("sent_pos", "_t", "weight")).alias("_m")))
+    txt = big.groupBy(*keys).agg(F.collect_list(F.struct("sent_pos", "sentence")).alias("_s"))
+    packed = txt.join(mat, keys, "left")
+    schema = T.StructType([big.schema[c] for c in keys] + [
         T.StructField("sent_pos", T.IntegerType()), T.StructField("sentence", T.StringType()),
         T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType()),
         T.StructField("converged", T.BooleanType())])
     out_cols = [*keys, "sent_pos", "sentence", "score", "rank", "converged"]
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sent_pos").reset_index(drop=True)
-        n = len(pdf)
-        r, c, v = [], [], []
-        for i, e in enumerate(pdf["_e"]):
-            if e is None:
-                continue
-            for item in e:
-                r.append(i)
-                c.append(int(item["_t"]))
-                v.append(float(item["weight"]))
-        try:
-            scores = _pagerank_sparse(np.asarray(r, dtype=np.int64), np.asarray(c, dtype=np.int64),
-                                      np.asarray(v, dtype=np.float64), n)
-            converged = True
-        except RuntimeError:
-            scores = np.full(n, np.nan)
-            converged = False
-        out = pd.DataFrame({"sent_pos": pdf["sent_pos"].astype(np.int32), "sentence": pdf["sentence"],
-                            "score": scores, "converged": converged})
-        # (score, sentence) both descending; scores rounded to 1e-12 so exact ties
-        # (e.g. isolated sentences, all 1/n) are decided by the sentence, not float noise.
-        out["_k"] = out["score"].round(12)
-        out = out.sort_values(["_k", "sentence"], ascending=[False, False], kind="mergesort").drop(columns="_k")
-        out["rank"] = np.arange(1, n + 1, dtype=np.int32)
-        for kk in keys:
-            out[kk] = pdf[kk].iloc[0]
-        return out.head(k)[out_cols]
-
-    ranked = rows.groupBy(*keys).applyInPandas(kernel, schema)
+    def kernel(batches):
+        for pdf in batches:
+            out = {c: [] for c in out_cols}
+            key_cols = [pdf[kk].tolist() for kk in keys]
+            mats = pdf["_m"].tolist()
+            for gi, srows in enumerate(pdf["_s"].tolist()):
+                srows = sorted(srows, key=lambda x: x["sent_pos"])
+                n = len(srows)
+                pos_index = {srow["sent_pos"]: i for i, srow in enumerate(srows)}
+                r, c, v = [], [], []
+                for item in (mats[gi] if mats[gi] is not None else ()):
+                    r.append(pos_index[item["sent_pos"]])
+                    c.append(item["_t"])
+                    v.append(item["weight"])
+                try:
+                    scores = _pagerank_sparse(np.asarray(r, dtype=np.int64), np.asarray(c, dtype=np.int64),
+                                              np.asarray(v, dtype=np.float64), n)
+                    converged = True
+                except RuntimeError:
+                    scores = np.full(n, np.nan)
+                    converged = False
+                # (score, sentence) both descending; scores rounded to 1e-12 so exact ties
+                # (e.g. isolated sentences, all 1/n) are decided by the sentence, not float noise.
+                rounded = np.round(scores, 12)
+                order = sorted(range(n), key=lambda t: (rounded[t], srows[t]["sentence"]), reverse=True)[:k]
+                for rank, t in enumerate(order, 1):
+                    for kk, col in zip(keys, key_cols):
+                        out[kk].append(col[gi])
+                    out["sent_pos"].append(srows[t]["sent_pos"])
+                    out["sentence"].append(srows[t]["sentence"])
+                    out["score"].append(float(scores[t]))
+                    out["rank"].append(rank)
+                    out["converged"].append(converged)
+            if out["rank"]:
+                frame = pd.DataFrame(out)
+                frame["sent_pos"] = frame["sent_pos"].astype(np.int32)
+                frame["rank"] = frame["rank"].astype(np.int32)
+                yield frame
+
+    ranked = materialize(packed.mapInPandas(kernel, schema), "textrank-ranked")
     ok = ranked.where(F.col("converged")).drop("converged")
     failed = ranked.where(~F.col("converged")).select(*keys).distinct()
     fallback = rank_sentences(big.join(failed, keys, "left_semi"), keys, k, stop_words)
