@@ -846,6 +846,35 @@ def _register_statements(d):
     return d
 
 
+
+
+# ---------------------------------------------------------------------------
+# k-means weekly variant (P1 with V2 labels) and the linear silhouette (D12 scale path)
+# ---------------------------------------------------------------------------
+
+def q_weekly_kmeans(spark, sf_dir):
+    scored, _ = weekly.weekly_kmeans(_arts(spark, sf_dir), k=8)
+    return finish(scored.select("week", "label", "n_rows", "n_sources", "n_days", "coherence",
+                                "diversity", "reject_reason", "accepted", "near_dup_rate", "significance"))
+
+
+def q_silhouette_sq(spark, sf_dir):
+    """D12 scale path: MLlib's squared-Euclidean silhouette (linear), labels as clusters."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+    e = _emb(spark, sf_dir)
+    data = e.select(array_to_vector(_km.as_double(F.col("embedding"))).alias("features"),
+                    F.col("label").cast("double").alias("prediction"))
+    value = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(data)
+    return finish(e.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(value).alias("silhouette"), "n_rows"))
+
+
+def _register_kmeans(d):
+    d["weekly_kmeans"] = q_weekly_kmeans
+    d["silhouette_sq"] = q_silhouette_sq
+    return d
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     d = {"weekly_narratives": q_weekly_narratives}
     _register_a(d)
@@ -854,4 +883,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _register_store(d)
     _register_jobs(d)
     _register_statements(d)
+    _register_kmeans(d)
     return d

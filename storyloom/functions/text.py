@@ -95,13 +95,25 @@ def tokens(text: Column, stop_words=STOP_UK) -> Column:
     return toks
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    The optimizer inlines a projected column into every place that uses it; a
+    lambda variable is never inlined, so costly expressions (regex tokenising)
+    run once however often the body refers to them.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams12(toks: Column) -> Column:
     """Unigrams followed by bigrams of adjacent tokens (after stop-word removal)."""
-    n = F.size(toks)
-    bigrams = F.when(n > 1, F.zip_with(F.slice(toks, 1, n - 1), F.slice(toks, 2, n - 1),
-                                       lambda a, b: F.concat(a, F.lit(" "), b))
-                     ).otherwise(F.array().cast("array<string>"))
-    return F.concat(toks, bigrams)
+    def body(t):
+        n = F.size(t)
+        bigrams = F.when(n > 1, F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1),
+                                           lambda a, b: F.concat(a, F.lit(" "), b))
+                         ).otherwise(F.array().cast("array<string>"))
+        return F.concat(t, bigrams)
+    return let(toks, body)
 
 
 def word_runs(text: Column) -> Column:

@@ -49,6 +49,19 @@ def _replicated(members: DataFrame, vectors: DataFrame, keys: Sequence[str], blo
                     F.least("_blk", "_p").alias("_lo"), F.greatest("_blk", "_p").alias("_hi")))
 
 
+def _spread(rep: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition block pairs over at least the cluster's task slots.
+
+    Block-pair groups are few and CPU-heavy (a matrix product each), while
+    their shuffle is small, so AQE would coalesce them into one task.  An
+    explicit partition count is kept by AQE, and the following groupBy on the
+    same keys needs no further exchange.
+    """
+    spark = rep.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rep.repartition(n, *keys, "_lo", "_hi")
+
+
 def _dense(pdf: pd.DataFrame) -> np.ndarray:
     n = len(pdf)
     lens = np.fromiter((0 if x is None else len(x) for x in pdf["idx"]), dtype=np.int64, count=n)
@@ -111,7 +124,7 @@ def near_dup_counts(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
             pairs = len(ma) * len(mb)
         return pd.DataFrame([{**key_vals, "n_dup": dup, "n_pairs": pairs}])
 
-    per_block = rep.groupBy(*keys, "_lo", "_hi").applyInPandas(kernel, schema)
+    per_block = _spread(rep, keys).groupBy(*keys, "_lo", "_hi").applyInPandas(kernel, schema)
     return per_block.groupBy(*keys).agg(F.sum("n_dup").alias("n_dup"), F.sum("n_pairs").alias("n_pairs"))
 
 
@@ -163,7 +176,7 @@ def similar_pairs(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
             out[k] = v
         return out[cols]
 
-    return rep.groupBy(*keys, "_lo", "_hi").applyInPandas(kernel, schema)
+    return _spread(rep, keys).groupBy(*keys, "_lo", "_hi").applyInPandas(kernel, schema)
 
 
 def distance_sums(members: DataFrame, raw_vectors: DataFrame, run_keys: Sequence[str],
@@ -217,7 +230,7 @@ def distance_sums(members: DataFrame, raw_vectors: DataFrame, run_keys: Sequence
                 ignore_index=True)
         return out[out_cols]
 
-    per_block = rep.groupBy(*keys, "_lo", "_hi").applyInPandas(kernel, schema)
+    per_block = _spread(rep, keys).groupBy(*keys, "_lo", "_hi").applyInPandas(kernel, schema)
     return per_block.groupBy(*keys, "id", "other").agg(
         F.sum("dist_sum").alias("dist_sum"), F.sum("cnt").alias("cnt"))
 

@@ -198,6 +198,9 @@ def key_terms(texts: DataFrame, keys: Sequence[str], k: int = 12, text_col: str
     Output (keys…, term, cnt, rank).
     """
     keys = list(keys)
+    # The group's texts are joined first (bounded: its medoid texts); the n-gram
+    # counts and the ranking are then keyed by the group first, so they run inside
+    # the partitioning of that one aggregation instead of shuffling every n-gram.
     joined = texts.groupBy(*keys).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order_col, text_col))),
                                  lambda s: s[text_col]), " ").alias("_joined"))

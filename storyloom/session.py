@@ -87,4 +87,5 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # The schema is known: pass it so reading back needs no footer inference.
+    return spark.read.schema(df.schema).parquet(path)

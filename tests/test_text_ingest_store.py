@@ -274,7 +274,8 @@ def test_plan_shape(spark, name):
 
 
 ORACLE_SUBSET = ["weekly_narratives", "coherence", "near_dup_pairs", "key_terms", "rank_sentences",
-                 "feed_normalise", "statements_parse", "week_stats", "kmeans_lloyd", "narrative_upsert"]
+                 "feed_normalise", "statements_parse", "week_stats", "kmeans_lloyd", "narrative_upsert",
+                 "statement_narratives", "timeline_page"]
 
 
 @pytest.mark.parametrize("name", ORACLE_SUBSET)

@@ -199,3 +199,20 @@ def test_partition_count_invariance(spark):
     b = sorted(quality.coherence(df.select("cluster", "id").repartition(8), v.repartition(8), ["cluster"]).collect())
     for x, y in zip(a, b):
         assert x.cluster == y.cluster and x.coherence == pytest.approx(y.coherence, abs=1e-12)
+
+
+def test_weekly_kmeans_covers_every_vector_once(spark):
+    from storyloom.plans import weekly
+    from storyloom.sources.adapters import articles
+    a = articles(spark, SF_SMALL)
+    scored, assigned = weekly.weekly_kmeans(a, k=4, iterations=3)
+    per_week = {r.week: r.n for r in scored.groupBy("week").agg(F.sum("n_rows").alias("n")).collect()}
+    rows = assigned.groupBy("week").count().collect()
+    assert per_week == {r.week: r["count"] for r in rows}
+    assert assigned.select("id").distinct().count() == assigned.count()
+
+
+def test_silhouette_sq_in_range(spark):
+    import __spark_entry__ as entry
+    r = entry.queries()["silhouette_sq"](spark, SF_SMALL).collect()[0]
+    assert -1.0 <= r.silhouette <= 1.0 and r.n_rows > 0
