@@ -176,9 +176,9 @@ SELECT plan_rank, week_start, week_end, with_vector, unique_sources, more_weeks
   FROM wplan) WHERE plan_rank <= 5"""
     q["cost_estimate"] = with_(ART, WEEK_STATS) + """
 SELECT count(*) AS weeks, count(*) * 6 AS estimated_clusters, count(*) * 6 AS cluster_naming_calls,
-       count(*) AS weekly_brief_calls, round(count(*) * 6 * 0.0001, 6) AS cluster_naming_cost,
-       round(count(*) * 0.001, 6) AS weekly_brief_cost,
-       round(count(*) * 6 * 0.0001 + count(*) * 0.001, 6) AS estimated_cost_usd
+       count(*) AS weekly_brief_calls, round(CAST(count(*) * 6 * 0.0001 AS DOUBLE), 6) AS cluster_naming_cost,
+       round(CAST(count(*) * 0.001 AS DOUBLE), 6) AS weekly_brief_cost,
+       round(CAST(count(*) * 6 * 0.0001 + count(*) * 0.001 AS DOUBLE), 6) AS estimated_cost_usd
 FROM wplan"""
     q["embed_coverage"] = with_(ART) + """
 SELECT count(embedding) AS with_vector, count(*) AS total,
@@ -188,7 +188,7 @@ SELECT id, published_date, title FROM art WHERE embedding IS NULL"""
     q["embed_input"] = with_(ART) + """,
 ein AS (SELECT id, title || chr(10) || chr(10) || content AS t FROM art)
 SELECT id,
-       length(CASE WHEN length(t) > 8000 THEN substring(t, 1, 7000) || '...' ELSE t END) AS n_chars,
+       CAST(length(CASE WHEN length(t) > 8000 THEN substring(t, 1, 7000) || '...' ELSE t END) AS INTEGER) AS n_chars,
        md5(CASE WHEN length(t) > 8000 THEN substring(t, 1, 7000) || '...' ELSE t END) AS input_md5,
        length(t) > 8000 AS truncated
 FROM ein"""
@@ -389,7 +389,7 @@ def _text_queries() -> dict[str, str]:
 SELECT gid AS id, sent_pos, sentence FROM sents"""
     q["tokens"] = with_(ART, DOC_TEXT) + f""",
 tk AS (SELECT gid, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: NOT list_contains({stop_uk}, t)) AS toks FROM dtx)
-SELECT gid AS id, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_distinct FROM tk"""
+SELECT gid AS id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(list_distinct(toks)) AS INTEGER) AS n_distinct FROM tk"""
     q["sentence_tfidf"] = with_(ART, DOC_TEXT, sentences_cte("dtx"), tfidf_cte()) + """
 SELECT gid AS id, sent_pos, count(*) AS n_terms, round(sum(weight), 6) AS weight_sum, round(max(weight), 6) AS weight_max
 FROM tfidf GROUP BY gid, sent_pos"""
@@ -406,8 +406,8 @@ w AS (SELECT gid, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')
 c AS (SELECT gid, word, count(*) AS cnt FROM w WHERE regexp_full_match(word, '[а-яіїєґ]{{3,}}') AND NOT list_contains({stop_uk_short}, word) GROUP BY gid, word)
 SELECT * FROM (SELECT gid AS id, word, cnt, CAST(row_number() OVER (PARTITION BY gid ORDER BY cnt DESC, word) AS INTEGER) AS rank FROM c) WHERE rank <= 10"""
     q["language_stats"] = with_(ART, DOC_TEXT) + """
-SELECT gid AS id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token_count,
-       len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10)) AS sentence_count,
+SELECT gid AS id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS INTEGER) AS token_count,
+       CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 10)) AS INTEGER) AS sentence_count,
        coalesce(regexp_matches(lower(text), '[іїєґ]'), false) AS is_ukrainian
 FROM dtx"""
     q["content_hash"] = with_(*WEEKLY_BASE) + compress_ctes() + """

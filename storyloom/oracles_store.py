@@ -118,7 +118,7 @@ pw AS (SELECT week, count(*) FILTER (WHERE reject_reason IS NULL) AS acc FROM ga
 SELECT count(*) AS weeks_processed, 5 - count(*) AS weeks_skipped,
        CAST(sum(acc) AS BIGINT) AS narratives_created, CAST(sum(acc) AS BIGINT) AS naming_calls,
        count(*) FILTER (WHERE acc > 0) AS brief_calls,
-       round(sum(acc) * 0.0001 + count(*) FILTER (WHERE acc > 0) * 0.001, 6) AS estimated_cost_usd
+       round(CAST(sum(acc) * 0.0001 + count(*) FILTER (WHERE acc > 0) * 0.001 AS DOUBLE), 6) AS estimated_cost_usd
 FROM pw"""
     q["cluster_description"] = b + """,
 smp AS (
@@ -177,7 +177,7 @@ bp AS (SELECT week, n, 'Create a concise weekly news narrative summary:' || chr(
               || '2. Any notable narrative shifts or emerging stories' || chr(10)
               || '3. Overall media focus trends' || chr(10) || chr(10) || 'Weekly Summary:' AS prompt FROM bw)"""
     q["weekly_brief_input"] = brief + """
-SELECT week, CAST(n AS INTEGER) AS n_narratives, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5 FROM bp"""
+SELECT week, CAST(n AS INTEGER) AS n_narratives, CAST(length(prompt) AS INTEGER) AS prompt_chars, md5(prompt) AS prompt_md5 FROM bp"""
     q["run_cost"] = brief + """
 SELECT week, count(*) AS calls, CAST(sum(length(prompt)) AS BIGINT) AS chars,
        round(sum(length(prompt)) / 1000.0 * 0.001, 6) AS cost_usd
