@@ -497,15 +497,19 @@ def _build_weekly_tables(spark, sf_dir):
     m = weekly.week_members(a)
     v = _member_vectors(m)
     keys = weekly.KEYS
-    scored = weekly.score_clusters(m, v, keys, threshold=GATE_THRESHOLD)
+    from .session import materialize
+    # Small intermediates are written as they are produced, so each later step
+    # plans a small query instead of one plan holding the whole job.
+    scored = materialize(weekly.score_clusters(m, v, keys, threshold=GATE_THRESHOLD), "store-scored")
     nowc = adapters.now_col()
     acc = (scored.where(F.col("accepted"))
            .withColumn("week_start", _dates.week_back_start(F.col("week"), nowc)))
     med = _q.medoids(m.join(acc.select(*keys), keys, "left_semi"), v, keys, 3)
-    texts = med.join(m, [*keys, "id"]).select(
+    texts = materialize(med.join(m, [*keys, "id"]).select(
         *keys, "id", F.col("medoid_rank").alias("doc_order"), "source", "title", "url", "published_date",
-        F.concat(F.col("title"), F.lit(". "), F.col("content")).alias("text"))
-    comp = compress.compress_clusters(m.join(acc.select(*keys), keys, "left_semi"), texts, keys, ranker="tfidf")
+        F.concat(F.col("title"), F.lit(". "), F.col("content")).alias("text")), "store-medoid-texts")
+    sizes = acc.select(*keys, "n_rows")
+    comp = compress.compress_clusters(sizes, texts, keys, ranker="tfidf")
     acc = acc.join(comp.select(*keys, "compression_ratio"), keys, "left")
     # One row per accepted cluster: write it once; every store table and listing reads it.
     from .session import materialize

@@ -3,7 +3,8 @@ entities, content hash, compression ratio, and the naming-prompt content.
 
 Input ``texts`` holds the ≤ 3 medoid rows per cluster (keys…, id, doc_order,
 source, title, url, published_date, text), so every per-cluster collect here
-is bounded by the medoid count; the cluster size comes from ``members``.
+is bounded by the medoid count; the cluster size comes from ``members`` (the
+member rows, or already-counted sizes as (keys…, n_rows)).
 """
 
 from __future__ import annotations
@@ -48,7 +49,10 @@ def compress_clusters(members: DataFrame, texts: DataFrame, keys: Sequence[str],
                                                           x["url"].alias("url"),
                                                           x["published_date"].alias("published_date")))
                      .alias("medoid_articles"))
-    n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_articles"))
+    if "n_rows" in members.columns:   # cluster sizes already known: (keys…, n_rows)
+        n = members.select(*keys, F.col("n_rows").alias("total_articles"))
+    else:
+        n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_articles"))
     empty = F.array().cast("array<string>")
     out = (med.join(ks, keys, "left").join(kt, keys, "left").join(n, keys)
            .withColumn("key_sentences", F.coalesce("key_sentences", empty))
