@@ -487,7 +487,9 @@ def _weekly_tables(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORE_SNAPSHOTS:
         built = _build_weekly_tables(spark, sf_dir)
-        _STORE_SNAPSHOTS[key] = {k: materialize(v, f"store-{k}") for k, v in built.items()}
+        written = {"scored", "accepted"}   # already written while being built
+        _STORE_SNAPSHOTS[key] = {k: v if k in written else materialize(v, f"store-{k}")
+                                 for k, v in built.items()}
     return _STORE_SNAPSHOTS[key]
 
 
