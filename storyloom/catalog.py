@@ -775,6 +775,7 @@ def _stub_embedder(texts):
     import hashlib
 
     import numpy as np
+    import pandas as pd
 
     out = []
     for t in texts:
@@ -782,13 +783,7 @@ def _stub_embedder(texts):
         rng = np.random.default_rng(int.from_bytes(h[:8], "little"))
         n = 767 if h[0] % 10 == 0 else 768
         out.append(rng.standard_normal(n).astype("float32").tolist())
-    return pd_series(out)
-
-
-def pd_series(values):
-    import pandas as pd
-
-    return pd.Series(values)
+    return pd.Series(out)
 
 
 def q_embed_backfill(spark, sf_dir):
