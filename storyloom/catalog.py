@@ -693,10 +693,20 @@ def _register_store(d):
 from .operators import responders as _rsp  # noqa: E402
 
 
+_COMPRESSED: dict = {}
+
+
 def _cluster_hashes(spark, sf_dir):
+    """Compressed content of every weekly cluster (TF-IDF ranker), written once per
+    session and input folder; the cache and naming jobs read that table."""
     from .plans import compress
-    m, texts = _cluster_medoid_texts(spark, sf_dir)
-    return compress.compress_clusters(m, texts, weekly.KEYS, ranker="tfidf")
+    from .session import materialize
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _COMPRESSED:
+        m, texts = _cluster_medoid_texts(spark, sf_dir)
+        _COMPRESSED[key] = materialize(compress.compress_clusters(m, texts, weekly.KEYS, ranker="tfidf"),
+                                       "compressed-clusters")
+    return _COMPRESSED[key]
 
 
 def _cache_fixture(hashes):
