@@ -213,9 +213,9 @@ def q_cosine_pairs(spark, sf_dir):
 
 
 def q_kmeans_assign(spark, sf_dir):
-    e = _emb(spark, sf_dir).withColumn("run", F.lit(0)).withColumnRenamed("embedding", "vec")
-    cents = _km.mean_vectors(e.select("run", F.col("label").alias("cluster"), "vec"), ["run", "cluster"])
-    a = _km.assign(e, cents, ["run"])
+    e = _emb(spark, sf_dir).withColumnRenamed("embedding", "vec")
+    cents = _km.mean_vectors(e.select(F.col("label").alias("cluster"), "vec"), ["cluster"])
+    a = _km.assign(e, cents, [])
     return finish(a.select(F.col("id").alias("vec_id"), "label", "cluster", "sqdist"))
 
 
@@ -233,10 +233,9 @@ def q_kmeans_lloyd(spark, sf_dir):
 
 
 def q_silhouette_exact(spark, sf_dir):
-    e = _emb(spark, sf_dir).withColumn("run", F.lit(0))
-    s = _pairs.silhouette(e.select("run", "id", "label"), _vec.raw_dense_to_long(e, "id", "embedding"),
-                          ["run"], "label")
-    return finish(s.drop("run"))
+    e = _emb(spark, sf_dir)
+    s = _pairs.silhouette(e.select("id", "label"), _vec.raw_dense_to_long(e, "id", "embedding"), [], "label")
+    return finish(s)
 
 
 def _register_a(d):

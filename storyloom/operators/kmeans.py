@@ -49,7 +49,10 @@ def assign(points: DataFrame, centroids: DataFrame, run_keys: Sequence[str],
     run_keys = list(run_keys)
     packed = centroids.groupBy(*run_keys).agg(
         F.collect_list(F.struct(F.col(cluster_col).alias("c"), F.col(vec_col).alias("v"))).alias("_cs"))
-    j = points.join(packed, run_keys)
+    if run_keys:
+        j = points.join(packed, run_keys)
+    else:   # one run: the k centres arrive as a scalar subquery, no join at all
+        j = points.withColumn("_cs", packed.select("_cs").scalar())
     x = as_double(F.col(vec_col))
     best = F.array_min(F.transform("_cs", lambda c: F.struct(
         _sqdist(x, c["v"]).alias("d"), c["c"].alias("c"))))

@@ -36,10 +36,14 @@ def _packed(vectors: DataFrame) -> DataFrame:
 
 def _replicated(members: DataFrame, vectors: DataFrame, keys: Sequence[str], block: int,
                 sizes: DataFrame | None = None) -> DataFrame:
-    if sizes is None:
-        sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if keys:
+        if sizes is None:
+            sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        rows = members.select(*keys, "id").join(sizes, list(keys))
+    else:   # one group: its size is a scalar subquery, no join
+        rows = members.select("id").withColumn("_n", members.select(F.count(F.lit(1))).scalar())
     nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block))).cast("int")
-    rows = (members.select(*keys, "id").join(sizes, list(keys))
+    rows = (rows
             .withColumn("_nb", nb)
             .withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")))
     rows = rows.join(_packed(vectors), "id", "left")

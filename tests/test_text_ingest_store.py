@@ -259,7 +259,8 @@ def test_stream_restart_adds_no_duplicates(spark):
 
 
 PLAN_QUERIES = ["weekly_narratives", "coherence", "key_terms", "feed_normalise", "timeline_page",
-                "articles_filter", "medoids", "statements_parse"]
+                "articles_filter", "medoids", "statements_parse", "kmeans_assign", "silhouette_exact",
+                "near_dup_rate", "kmeans_lloyd"]
 
 
 @pytest.mark.parametrize("name", PLAN_QUERIES)
@@ -268,6 +269,7 @@ def test_plan_shape(spark, name):
     df = entry.queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
     if name == "articles_filter":
         assert "EqualTo(source,src3)" in plan
