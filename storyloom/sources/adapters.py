@@ -43,7 +43,8 @@ def articles(spark: SparkSession, sf_dir: str, with_embedding: bool = True) -> D
     created = published + F.expr("INTERVAL 1 HOUR")
     return d.select(
         F.col("doc_id").alias("id"),
-        F.substring(F.split(F.col("text"), "\n").getItem(0), 1, 500).alias("title"),
+        # First line without splitting the whole text into an array of lines.
+        F.substring(F.substring_index(F.col("text"), "\n", 1), 1, 500).alias("title"),
         F.col("text").alias("content"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example/a/"),
                  F.col("doc_id").cast("string")).alias("url"),
