@@ -885,6 +885,51 @@ def _register_kmeans(d):
     return d
 
 
+
+
+# ---------------------------------------------------------------------------
+# Samples and confident statements
+# ---------------------------------------------------------------------------
+
+SAMPLE_TITLES = 5
+SAMPLE_STATEMENTS = 5
+SAMPLE_STATEMENT_CHARS = 200
+
+
+def q_recent_statements(spark, sf_dir):
+    """B3 + C1: statements of articles from the last 14 days with confidence ≥ 0.5."""
+    configure(spark)
+    s = _st.statements_table(spark, sf_dir)
+    a = adapters.articles(spark, sf_dir, with_embedding=False)
+    r = _st.recent_confident(s, a, adapters.now_col(), STATEMENT_DAYS)
+    return finish(r.select(F.col("id").alias("statement_id"), "article_id", "actor", "confidence",
+                           "published_date", "article_source"))
+
+
+def q_cluster_samples(spark, sf_dir):
+    """First five titles of every weekly cluster in the default article order (newest first)."""
+    m = _weekly_members(spark, sf_dir)
+    w = Window.partitionBy(*weekly.KEYS).orderBy(F.col("published_date").desc(), F.col("id"))
+    return (m.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= SAMPLE_TITLES)
+            .select(*weekly.KEYS, "sample_rank", "id", "title"))
+
+
+def q_statement_samples(spark, sf_dir):
+    """First five statements (200 characters) per actor, newest first."""
+    configure(spark)
+    s = _st.statements_table(spark, sf_dir)
+    w = Window.partitionBy("actor").orderBy(F.col("created_at").desc(), F.col("id"))
+    return (s.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= SAMPLE_STATEMENTS)
+            .select("actor", "sample_rank", F.col("id").alias("statement_id"),
+                    F.substring("full_statement", 1, SAMPLE_STATEMENT_CHARS).alias("excerpt")))
+
+
+def _register_samples(d):
+    d.update({"recent_statements": q_recent_statements, "cluster_samples": q_cluster_samples,
+              "statement_samples": q_statement_samples})
+    return d
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     d = {"weekly_narratives": q_weekly_narratives}
     _register_a(d)
@@ -894,4 +939,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _register_jobs(d)
     _register_statements(d)
     _register_kmeans(d)
+    _register_samples(d)
     return d

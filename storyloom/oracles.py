@@ -423,7 +423,7 @@ LEFT JOIN ksj ks ON ks.gid = g.gid LEFT JOIN ktj kt ON kt.gid = g.gid"""
 
 def oracle_sql() -> dict[str, str]:
     from .oracles_ingest import ingest_queries
-    from .oracles_store import job_queries, statement_queries, store_queries
+    from .oracles_store import job_queries, sample_queries, statement_queries, store_queries
 
     d = {"weekly_narratives": weekly_narratives_sql()}
     d.update(_a_queries())
@@ -432,4 +432,5 @@ def oracle_sql() -> dict[str, str]:
     d.update(store_queries())
     d.update(job_queries())
     d.update(statement_queries())
+    d.update(sample_queries())
     return d

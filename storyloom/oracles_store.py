@@ -240,3 +240,27 @@ SELECT g.label, g.n_rows AS n_statements, g.n_sources, g.n_days, round(g.coheren
        CASE WHEN g.reject_reason IS NULL THEN r.n_related END AS n_related
 FROM sgt g LEFT JOIN snd n ON n.label = g.label JOIN ssamp s ON s.label = g.label JOIN srel r ON r.label = g.label"""
     return q
+
+
+def sample_queries() -> dict[str, str]:
+    from .oracles import ART, ART_WEEK, MEMBERS
+    from .oracles_ingest import STMTS
+
+    q = {}
+    q["recent_statements"] = with_(ART, STMTS) + f"""
+SELECT s.id AS statement_id, s.article_id, s.actor, round(CAST(s.confidence AS DOUBLE), 6) AS confidence,
+       a.published_date, a.source AS article_source
+FROM stmts s JOIN art a ON a.id = s.article_id
+WHERE a.published_date >= {NOW} - INTERVAL 14 DAY AND s.confidence >= 0.5"""
+    q["cluster_samples"] = with_(ART, ART_WEEK, MEMBERS) + """
+SELECT week, label, sample_rank, id, title FROM (
+  SELECT week, label, id, title,
+         CAST(row_number() OVER (PARTITION BY week, label ORDER BY published_date DESC, id) AS INTEGER) AS sample_rank
+  FROM mem) WHERE sample_rank <= 5"""
+    q["statement_samples"] = with_(STMTS) + f""",
+sct AS (SELECT *, {NOW} + to_seconds(CAST(conv_id AS BIGINT)) AS created_at FROM stmts)
+SELECT actor, sample_rank, statement_id, excerpt FROM (
+  SELECT actor, id AS statement_id, substring(full_statement, 1, 200) AS excerpt,
+         CAST(row_number() OVER (PARTITION BY actor ORDER BY created_at DESC, id) AS INTEGER) AS sample_rank
+  FROM sct) WHERE sample_rank <= 5"""
+    return q
