@@ -930,6 +930,26 @@ def _register_samples(d):
     return d
 
 
+
+
+def q_stream_embed(spark, sf_dir):
+    """Articles land as files in two parts; a stream gives every row without a vector one."""
+    from .session import scratch_path
+    from .streaming import ingest
+    a = _arts(spark, sf_dir).select("id", "title", "content", "published_date", "embedding")
+    art_dir = scratch_path(spark, "article-files")
+    for part in (a.where(F.col("id") % 2 == 0), a.where(F.col("id") % 2 == 1)):
+        part.write.mode("append").parquet(art_dir)
+    out = ingest.embed_stream(spark, art_dir, a.schema, scratch_path(spark, "vector-sink"),
+                              scratch_path(spark, "vector-ckpt"))
+    return out.select("id", F.size("vector").alias("n_dims"))
+
+
+def _register_stream_embed(d):
+    d["stream_embed"] = q_stream_embed
+    return d
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     d = {"weekly_narratives": q_weekly_narratives}
     _register_a(d)
@@ -940,4 +960,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _register_statements(d)
     _register_kmeans(d)
     _register_samples(d)
+    _register_stream_embed(d)
     return d

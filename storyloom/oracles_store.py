@@ -257,6 +257,8 @@ SELECT week, label, sample_rank, id, title FROM (
   SELECT week, label, id, title,
          CAST(row_number() OVER (PARTITION BY week, label ORDER BY published_date DESC, id) AS INTEGER) AS sample_rank
   FROM mem) WHERE sample_rank <= 5"""
+    q["stream_embed"] = with_(ART) + """
+SELECT id, 768 AS n_dims FROM art WHERE embedding IS NULL"""
     q["statement_samples"] = with_(STMTS) + f""",
 sct AS (SELECT *, {NOW} + to_seconds(CAST(conv_id AS BIGINT)) AS created_at FROM stmts)
 SELECT actor, sample_rank, statement_id, excerpt FROM (

@@ -66,3 +66,40 @@ def write_feed_files(feed: DataFrame, feed_dir: str, cuts=(0, 100, 1_000_000)) -
         if hi is not None:
             part = part.where(F.col("seq") < hi)
         part.coalesce(1).write.mode("append").json(feed_dir)
+
+
+EMBED_SINK_SCHEMA = "id long, vector array<float>"
+
+
+def embed_stream(spark: SparkSession, article_dir: str, article_schema, sink: str, checkpoint: str,
+                 embedder=None, dim: int = 768, files_per_batch: int = 1) -> DataFrame:
+    """Vectors for articles as they land (the daily embedding job as a stream).
+
+    Each micro-batch runs the backfill (V5) on its rows that have no vector
+    yet and are not in the sink, and appends the valid vectors.  Replays add
+    nothing: the sink is anti-joined before every append.
+    """
+    from ..operators import embed
+
+    def _read(path: str, schema: str):
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except Exception:  # noqa: BLE001 - nothing written yet
+            return None
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        done = _read(sink, EMBED_SINK_SCHEMA)
+        todo = df.where(F.col("embedding").isNull())
+        if done is not None:
+            todo = todo.join(done.select("id"), "id", "left_anti")
+        filled, outcome = embed.backfill(todo, embedder, dim)
+        ok = outcome.where(F.col("status") == "ok").select("id")
+        filled.join(ok, "id").select("id", F.col("embedding").alias("vector")) \
+            .write.mode("append").parquet(sink)
+
+    q = (spark.readStream.schema(article_schema).option("maxFilesPerTrigger", files_per_batch)
+         .parquet(article_dir).writeStream.foreachBatch(batch)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = _read(sink, EMBED_SINK_SCHEMA)
+    return out if out is not None else spark.createDataFrame([], EMBED_SINK_SCHEMA)

@@ -302,3 +302,15 @@ def test_entry_smoke(spark):
     import __spark_entry__ as entry
     rows = entry.entry(spark).collect()
     assert len(rows) > 0
+
+
+def test_embed_stream_restart_adds_nothing(spark):
+    from storyloom.sources.adapters import articles
+    from storyloom.streaming import ingest
+    a = articles(spark, SF_MID).select("id", "title", "content", "published_date", "embedding")
+    art_dir, sink, ck = (scratch_path(spark, n) for n in ("a", "v", "k"))
+    for part in (a.where(F.col("id") % 2 == 0), a.where(F.col("id") % 2 == 1)):
+        part.write.mode("append").parquet(art_dir)
+    first = ingest.embed_stream(spark, art_dir, a.schema, sink, ck).count()
+    again = ingest.embed_stream(spark, art_dir, a.schema, sink, ck).count()
+    assert first == again == a.where(F.col("embedding").isNull()).count()
