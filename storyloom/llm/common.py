@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -13,6 +13,12 @@ from ..session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Keeps Arrow batches of whole texts small, so that workers hold a few MB at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def fresh(taken: Iterable[str], base: str) -> str:
     """``base``, with underscores added until no column in ``taken`` has that name (case-blind)."""
     names = {n.lower() for n in taken}

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import configure
 from ..sources.tables import read_table
-from . import mixing
+from . import mixing, pii, secret_scan
+from .common import bounded_batches
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +44,37 @@ FROM p
 """
 
 
+def spans_text(spans: Column, kinds: tuple[str, ...]) -> Column:
+    """``kind:start:end`` by start, then kind as listed, comma-joined."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"], x["kind"], x["end"])))
+    names = F.array(*[F.lit(k) for k in kinds])
+    return F.array_join(F.transform(ordered, lambda x: F.concat_ws(
+        ":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def span_digest(found: DataFrame, kinds: tuple[str, ...], base_kinds: int) -> DataFrame:
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kinds[k]}")
+              for k in range(base_kinds)]
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base"), kinds), 256).alias("base_sha256"),
+                        spans_text(F.concat("base", "found"), kinds).alias("spans"),
+                        F.size("found").cast("long").alias("n_found"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(configure(spark))
+    return span_digest(pii.find(read_table(spark, sf_dir, "documents")), pii.KINDS, 4)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(configure(spark))
+    return span_digest(secret_scan.find(read_table(spark, sf_dir, "documents")), secret_scan.KINDS, 3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_pii": op2_pii,
+        "op8_secret_scan": op8_secret_scan,
     }
 
 

@@ -1,0 +1,98 @@
+"""PII and secret scans against the contract's rules taken literally, and what the methods add."""
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+from storyloom.llm import pii, queries, secret_scan
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute_pii(t):
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in CARD.finditer(t):
+        d = re.sub("[ -]", "", m[0])
+        if 14 <= len(d) <= 19 and luhn(d):
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def brute_secrets(t):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16])
+
+
+def soup(rng, alphabet, n):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_base_rules_match_the_contract_on_random_text():
+    rng = random.Random(5)
+    for _ in range(4000):
+        t = soup(rng, ["a", ".", "@", "b-", "é", " ", "1", "25", "255.", "+1 ", "(", "\n", "4111 1111 1111 1111", "x@y.z", "+", "-", "0"], 25)
+        assert pii.base_spans(t) == brute_pii(t), t
+        t = soup(rng, ["token", "API_KEY", "ſecret", "Secret", "=", ":", " ", '"', "'", "abcdef0123456789", "AKIA", "Z9", "x", "0f", "\n", "K"], 22)
+        assert secret_scan.spans(t)[0] == brute_secrets(t), t
+
+
+def test_long_runs_stay_linear():
+    for t in ("9" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "@" * 100_000, "+" + "(" * 200_000, "token" + " " * 200_000,
+              "password=" * 20_000, 'a="' * 20_000, "f" * 200_000, "a=a+a\n" * 20_000):
+        pii.mentions(t, pii.base_spans(t))
+        secret_scan.spans(t)
+
+
+def sha(spans, kinds):
+    return hashlib.sha256(",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+
+
+ROWS = [(1, None), (2, ""), (3, "mail x@y.com or 10.0.0.1, é 4111 1111 1111 1111"), (3, "mail x@y.com or 10.0.0.1, é 4111 1111 1111 1111"),
+        (None, "call +1 (743) 555-3824."), (5, "w " * 60_000 + "a.b@c.de"), (6, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"')]
+
+
+def test_queries_give_every_row(spark, tmp_path):
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in ROWS], "doc_id long, text string, lang string, spans string, n_email long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for query, brute, kinds in ((queries.op2_pii, brute_pii, pii.KINDS), (queries.op8_secret_scan, brute_secrets, secret_scan.KINDS)):
+        got = sorted((r.doc_id or -1, r.base_sha256) for r in query(spark, str(tmp_path)).collect())
+        assert got == sorted((i or -1, sha(brute(t or ""), kinds)) for i, t in ROWS)
+        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
+        assert query(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_trusted_contexts_find_unseen_identifiers(spark):
+    good = ["4111111111111111", "5500005555555559", "4012888888881881", "378282246310005", "6011000990139424"]
+    rows = [(i, f"the account card-no {c} was used by the 20 of us") for i, c in enumerate(good)]
+    rows += [(10, "then card-no 4111111111111112 failed"), (11, "the 4111111111111113 of us"), (12, "the the the the of us")]
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.found] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10] == [(2, 13, 29)]
+    assert got[11] == [] and all(got[i] == [] for i in range(5))
+
+
+def test_literals_reach_sensitive_names():
+    def strings(t):
+        return [t[s:e] for s, _, e in secret_scan.spans(t)[1]]
+
+    assert strings('db_pwd := "hunter2-Zq9"\nhost = "db.example.org"') == ["hunter2-Zq9"]
+    assert strings('part = "Zx81-qPw7"\nDB_PWD = part + "Kk29xLm0"') == ["Zx81-qPw7", "Kk29xLm0"]
+    assert strings("<accessKey>aB3dE6gH9kL2</accessKey>") == ["aB3dE6gH9kL2"]
+    assert strings('private_key => \'qQ1-wW2-eE3-rR4\'') == ["qQ1-wW2-eE3-rR4"]
+    assert strings('passphrase = "changeme123"\npwd = "${PASSWORD}"\nmonkey = "aB3dE6gH9kL2"\ntitle: Chapter') == []
+
+
+def test_prose_gives_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert secret_scan.find(docs).filter(F.size("found") > 0).count() <= 2
