@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from ..sources.tables import read_table
-from . import mixing, pii, secret_scan
+from . import ann, embed_dedup, mixing, pii, secret_scan
 from .common import bounded_batches
 
 
@@ -70,13 +70,39 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(secret_scan.find(read_table(spark, sf_dir, "documents")), secret_scan.KINDS, 3)
 
 
+def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read_table(configure(spark), sf_dir, "embeddings"))
+
+
+#: The definition taken literally: all pairs, and reachability over the links.
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, m.vec_id) AS component_id,
+       coalesce(c.c, m.vec_id) = m.vec_id AS kept
+FROM embeddings m LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = m.vec_id
+LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = m.vec_id
+"""
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(configure(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_pii": op2_pii,
+        "op5_embed_dedup": op5_embed_dedup,
         "op8_secret_scan": op8_secret_scan,
+        "op10_ann": op10_ann,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op5_embed_dedup": OP5_SQL}
