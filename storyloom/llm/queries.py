@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from ..sources.tables import read_table
-from . import ann, embed_dedup, mixing, pii, secret_scan
+from . import ann, embed_dedup, line_dedup, mixing, near_dedup, pii, secret_scan
 from .common import bounded_batches
 
 
@@ -70,6 +70,44 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(secret_scan.find(read_table(spark, sf_dir, "documents")), secret_scan.KINDS, 3)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(configure(spark))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.size(F.split("text", "\n", -1))
+    kept = line_dedup.dedup_lines(docs.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long")))
+    return kept.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+                       F.coalesce(F.array_join(F.transform("dropped", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped"),
+                       F.sha2("text", 256).alias("text_sha256"))
+
+
+#: The whole deletion neighbourhood of every line, without sieves.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, text, md5(text) AS c, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, c, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d),
+p AS (SELECT DISTINCT *, dense_rank() OVER (ORDER BY doc_id NULLS LAST, c, i) AS pos FROM o
+      WHERE length(trim(l, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))) >= 4),
+f AS (SELECT l, min(pos) AS first FROM p GROUP BY l),
+v AS (SELECT l, first, k, substr(l, 1, k - 1) || substr(l, k + 1) AS v
+      FROM (SELECT l, first, unnest(range(1, length(l) + 1)) AS k FROM f WHERE length(l) >= 12)),
+near AS (
+  SELECT l FROM (SELECT l, first, min(first) OVER (PARTITION BY v, k) AS m FROM v) WHERE m < first
+  UNION SELECT v.l FROM v JOIN f ON f.l = v.v AND length(f.l) >= 12 WHERE f.first < v.first
+  UNION SELECT f.l FROM v JOIN f ON f.l = v.v AND length(f.l) >= 12 WHERE v.first < f.first),
+g AS (SELECT p.doc_id, p.c, p.i FROM p JOIN f ON p.l = f.l LEFT JOIN near n ON n.l = p.l WHERE p.pos <> f.first OR n.l IS NOT NULL),
+a AS (SELECT doc_id, c, list_sort(list(i)) AS gone FROM g GROUP BY doc_id, c)
+SELECT t.doc_id, CASE WHEN t.text IS NULL THEN 0 ELSE len(string_split(t.text, chr(10))) END::BIGINT AS n_lines,
+       coalesce(len(a.gone), 0)::BIGINT AS n_dropped, coalesce(array_to_string(a.gone, ','), '') AS dropped,
+       sha256(CASE WHEN a.gone IS NULL THEN t.text ELSE array_to_string(list_filter(string_split(t.text, chr(10)),
+              (x, k) -> NOT list_contains(a.gone, k - 1)), chr(10)) END) AS text_sha256
+FROM documents t LEFT JOIN a ON t.doc_id IS NOT DISTINCT FROM a.doc_id AND md5(t.text) = a.c
+"""
+
+
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(configure(spark))
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(read_table(configure(spark), sf_dir, "embeddings"))
 
@@ -98,6 +136,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_pii": op2_pii,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_minhash_dedup": op4_minhash_dedup,
         "op5_embed_dedup": op5_embed_dedup,
         "op8_secret_scan": op8_secret_scan,
         "op10_ann": op10_ann,
@@ -105,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op5_embed_dedup": OP5_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_embed_dedup": OP5_SQL}
