@@ -150,6 +150,7 @@ def variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i, text, hits in zip(ids, batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True):
             n = len(text)
+            length = np.array([n - 1, n], U64)
             roll = Rolling(symbols(text))
             whole = roll.raw(np.array([0]), np.array([n]))
             at = [np.arange(*(int(x) for x in cuts(np.int64(n), j, m))) for j in sorted(hits) if j < m]
@@ -157,10 +158,10 @@ def variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up = roll.sums[p]
             # What follows the deleted character moves down one place.
             less = up + (roll.sums[n] - roll.sums[p + 1]) * roll.down[1]
-            alone = mix(less + U64(n - 1) * U64(0x9FB21C651E98DF25))
+            alone = mix(less + length[:1] * U64(0x9FB21C651E98DF25))
             keys, roles = [mix(alone + p.astype(U64) + U64(1)), alone], [np.zeros(len(p), np.int8), np.ones(len(p), np.int8)]
             if any(j >= m for j in hits):
-                keys.append(mix(whole + U64(n) * U64(0x9FB21C651E98DF25)))
+                keys.append(mix(whole + length[1:] * U64(0x9FB21C651E98DF25)))
                 roles.append(np.full(1, 2, np.int8))
             k = np.concatenate(keys)
             made.append((np.full(len(k), i, np.int64), np.concatenate(roles), k.view(np.int64)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from ..sources.tables import read_table
-from . import ann, embed_dedup, line_dedup, mixing, near_dedup, pii, secret_scan
+from . import ann, embed_dedup, line_dedup, lm_score, mixing, near_dedup, packing, pii, quality, secret_scan
 from .common import bounded_batches
 
 
@@ -65,6 +65,17 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(pii.find(read_table(spark, sf_dir, "documents")), pii.KINDS, 4)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(configure(spark), sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(configure(spark))
+    docs = read_table(spark, sf_dir, "documents")
+    scored, name = quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.col(name).alias("score"), (F.col(name).isNull() | (F.col(name) >= 0.5)).alias("kept"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(configure(spark))
     return span_digest(secret_scan.find(read_table(spark, sf_dir, "documents")), secret_scan.KINDS, 3)
@@ -98,7 +109,7 @@ a AS (SELECT doc_id, c, list_sort(list(i)) AS gone FROM g GROUP BY doc_id, c)
 SELECT t.doc_id, CASE WHEN t.text IS NULL THEN 0 ELSE len(string_split(t.text, chr(10))) END::BIGINT AS n_lines,
        coalesce(len(a.gone), 0)::BIGINT AS n_dropped, coalesce(array_to_string(a.gone, ','), '') AS dropped,
        sha256(CASE WHEN a.gone IS NULL THEN t.text ELSE array_to_string(list_filter(string_split(t.text, chr(10)),
-              (x, k) -> NOT list_contains(a.gone, k - 1)), chr(10)) END) AS text_sha256
+              lambda x, k: NOT list_contains(a.gone, k - 1)), chr(10)) END) AS text_sha256
 FROM documents t LEFT JOIN a ON t.doc_id IS NOT DISTINCT FROM a.doc_id AND md5(t.text) = a.c
 """
 
@@ -116,8 +127,8 @@ def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
       AND list_cosine_similarity(a.e, b.e) >= 0.9),
 r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
@@ -128,6 +139,12 @@ LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = m.vec_id
 """
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(configure(spark))
+    good = lm_score.good_documents(read_table(spark, sf_dir, "labels"))
+    return lm_score.score(read_table(spark, sf_dir, "documents"), good)
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(configure(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -139,7 +156,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_embed_dedup": op5_embed_dedup,
+        "op6_packing": op6_packing,
+        "op7_quality": op7_quality,
         "op8_secret_scan": op8_secret_scan,
+        "op9_lm_score": op9_lm_score,
         "op10_ann": op10_ann,
     }
 
