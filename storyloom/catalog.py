@@ -520,8 +520,9 @@ def _build_weekly_tables(spark, sf_dir):
                            F.col("n_rows"), F.col("n_sources"), F.col("compression_ratio") * 100)
     narr = _store.narrative_upsert(None, _store.narrative_rows(
         acc, name, desc, F.col("week"), F.col("week_start")))
-    narr = (narr.withColumn("is_active", F.pmod(F.col("id"), F.lit(INACTIVE_MOD)) != 0)
-            .withColumn("support_count", F.when(F.pmod(F.col("id"), F.lit(NO_SUPPORT_MOD)) == 0, F.lit(0))
+    number = F.conv(F.substring("id", 1, 15), 16, 10).cast("bigint")
+    narr = (narr.withColumn("is_active", F.pmod(number, F.lit(INACTIVE_MOD)) != 0)
+            .withColumn("support_count", F.when(F.pmod(number, F.lit(NO_SUPPORT_MOD)) == 0, F.lit(0))
                         .otherwise(F.col("support_count"))))
     clusters = acc.select(
         _store.key_id(name, F.col("week")).alias("id"), _store.key_id(name).alias("narrative_id"),
@@ -535,6 +536,7 @@ def _build_weekly_tables(spark, sf_dir):
         F.format_string("Weekly narrative: %d articles, coherence %.3f", F.col("n_rows"), F.col("coherence"))
         .alias("description"),
         F.col("week_start").alias("event_date"), F.col("significance").alias("significance_score"))
+    # The weekly job links no articles to its events (the statement job does).
     event_article = events.select(F.col("id").alias("event_id"), F.lit(None).cast("bigint").alias("article_id")) \
         .where(F.lit(False))
     return {"scored": scored, "members": m.drop("content"), "accepted": acc, "narratives": narr, "clusters": clusters,
@@ -593,7 +595,7 @@ def q_weeks_unprocessed(spark, sf_dir):
 
 
 def q_weekly_report(spark, sf_dir):
-    """L4 + D11 + E5: counts of the last 7 days, latest 10 events, first 5 active narratives."""
+    """L4 + D11 + E5: counts of the last 7 days, their latest 10 events, first 5 active narratives."""
     t = _weekly_tables(spark, sf_dir)
     nowc = adapters.now_col()
     since = nowc - F.make_dt_interval(days=F.lit(REPORT_DAYS))
@@ -601,15 +603,18 @@ def q_weekly_report(spark, sf_dir):
     n_art = a.where(F.col("published_date") >= since).select(F.count(F.lit(1))).scalar()
     ev = t["events"].where(F.col("event_date") >= since)
     n_ev = ev.select(F.count(F.lit(1))).scalar()
-    top_ev = (t["events"].orderBy(F.col("event_date").desc(), F.col("id")).limit(10)
+    named = ev.join(t["narratives"].select(F.col("id").alias("narrative_id"), "name"), "narrative_id")
+    line = F.format_string("%s: %s - %s", F.col("name"), F.col("event_type"), F.col("description"))
+    top_ev = (named.orderBy(F.col("event_date").desc(), F.col("id")).limit(10)
               .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
-                  (-F.unix_micros("event_date")).alias("k"), F.col("id"), F.col("description")))),
-                  lambda x: x["description"]), " | ").alias("latest_events")))
+                  (-F.unix_micros("event_date")).alias("k"), F.col("id"), line.alias("line")))),
+                  lambda x: x["line"]), " | ").alias("latest_events")))
     top_n = (t["narratives"].where(F.col("is_active"))
              .orderBy(F.col("support_count").desc(), F.col("created_at").desc(), F.col("id")).limit(5)
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
                  (-F.col("support_count")).alias("k1"), (-F.unix_micros("created_at")).alias("k2"),
-                 F.col("id"), F.col("name")))), lambda x: x["name"]), " | ").alias("top_narratives")))
+                 F.col("id"), F.concat_ws(": ", "name", "description").alias("line")))),
+                 lambda x: x["line"]), " | ").alias("top_narratives")))
     # Single-row aggregates combined as scalar subqueries (no join).
     return top_ev.select(n_art.alias("recent_articles"), n_ev.alias("recent_events"),
                          ((n_art > 0) | (n_ev > 0)).alias("has_activity"), "latest_events",
@@ -623,7 +628,7 @@ def q_run_summary(spark, sf_dir):
     per_week = s.groupBy("week").agg(F.count_if(F.col("accepted")).alias("acc"))
     return finish(per_week.agg(
         F.count(F.lit(1)).alias("weeks_processed"),
-        (F.lit(5) - F.count(F.lit(1))).alias("weeks_skipped"),
+        (F.lit(weekly.WEEKS) - F.count(F.lit(1))).alias("weeks_skipped"),
         F.sum("acc").alias("narratives_created"),
         F.sum("acc").alias("naming_calls"),
         F.count_if(F.col("acc") > 0).alias("brief_calls")).select(

@@ -40,9 +40,11 @@ def lookback(df: DataFrame, now: Column, days: int, ts_col: str = "published_dat
 
 
 def backlog(df: DataFrame, vec_col: str = "embedding", limit: int | None = None) -> DataFrame:
-    """Rows still without a vector, newest first (id breaks ties)."""
-    out = df.where(F.col(vec_col).isNull()).orderBy(F.col("published_date").desc(), F.col("id"))
-    return out.limit(limit) if limit else out
+    """Rows still without a vector; a limit takes the newest (id breaks ties), without one nothing is sorted."""
+    out = df.where(F.col(vec_col).isNull())
+    if limit is None:
+        return out
+    return out.orderBy(F.col("published_date").desc(), F.col("id")).limit(limit)
 
 
 def embed_input(title: Column, content: Column) -> Column:
@@ -82,12 +84,12 @@ def text_search(df: DataFrame, query: str, fields: Iterable[str]) -> DataFrame:
 
 def clean_name(raw: Column) -> Column:
     """B16 first half: strip surrounding whitespace, then drop both quote kinds."""
-    return F.translate(F.regexp_replace(raw, r"^\s+|\s+$", ""), "\"'", "")
+    return F.translate(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""), "\"'", "")
 
 
 def valid_name(name: Column) -> Column:
     """B16 second half: at most 6 blank-separated words and 50 characters (empty passes)."""
-    words = F.size(F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(name, r"(?U)\s+"), lambda w: w != ""))
     return (words <= NAME_MAX_WORDS) & (F.length(name) <= NAME_MAX_CHARS)
 
 

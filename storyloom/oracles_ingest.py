@@ -6,46 +6,47 @@ from .oracles import ART, NOW, with_
 
 FEED = r"""pg AS (
   SELECT p.page_id, p.url, p.html, d.doc_id AS _doc, d.source AS _dsrc
-  FROM pages p LEFT JOIN documents d ON p.page_id % 200 = d.doc_id),
+  FROM pages p LEFT JOIN documents d ON p.page_id = d.doc_id),
 fbase AS (
-  SELECT page_id AS seq,
+  SELECT page_id, 2 * page_id AS seq,
          CASE WHEN page_id % 13 = 0 THEN NULL
-              WHEN page_id % 9 = 0 THEN 'https://' || _dsrc || '.example/a/' || CAST(_doc AS VARCHAR)
+              WHEN page_id % 9 = 0 AND _doc IS NOT NULL THEN 'https://' || _dsrc || '.example/a/' || CAST(_doc AS VARCHAR)
               ELSE url END AS link,
          CASE WHEN page_id % 11 = 0 THEN '' ELSE regexp_extract(html, '<title>(.*?)</title>', 1) END AS title,
          CASE WHEN page_id % 3 = 0 THEN NULL ELSE html END AS content,
          url AS description,
          CASE WHEN page_id % 7 = 0 THEN NULL ELSE regexp_extract(url, '://([^/]+)', 1) END AS source_id,
-         CASE page_id % 4 WHEN 0 THEN strftime(loc, '%Y-%m-%d %H:%M:%S')
-                          WHEN 1 THEN strftime(loc, '%Y-%m-%dT%H:%M:%S') || 'Z'
-                          WHEN 2 THEN strftime(loc, '%Y-%m-%dT%H:%M:%S') || '+02:00'
-                          ELSE 'not a date' END AS pubDate
+         CASE page_id % 8 WHEN 0 THEN timezone('UTC', timezone('Europe/Kyiv', loc))
+                          WHEN 1 THEN loc
+                          WHEN 2 THEN loc - INTERVAL 2 HOUR
+                          WHEN 3 THEN __NOW__
+                          WHEN 4 THEN timezone('UTC', timezone('Europe/Kyiv', date_trunc('day', loc)))
+                          WHEN 5 THEN loc - INTERVAL 2 HOUR
+                          WHEN 6 THEN loc + INTERVAL 250 MILLISECOND
+                          ELSE loc + INTERVAL 210 MINUTE END AS published_date
   FROM (SELECT *, timestamp '2024-01-01 00:00:00' + to_minutes(CAST(page_id * 37 % 50400 AS BIGINT)) AS loc FROM pg)),
 feed AS (
-  SELECT * FROM fbase
+  SELECT seq, link, title, content, description, source_id, published_date FROM fbase
   UNION ALL
-  SELECT seq + 1000000, link, '[update] ' || title, content, description, source_id, pubDate FROM fbase WHERE seq % 5 = 0),
+  SELECT seq + 1, link, '[update] ' || title, content, description, source_id, published_date FROM fbase WHERE page_id % 5 = 0),
 norm AS (
   SELECT seq, link AS url, substring(title, 1, 500) AS title,
          coalesce(CASE WHEN length(content) > 0 THEN content END, description) AS content,
          coalesce(source_id, 'unknown') AS source,
-         coalesce(CASE WHEN length(trim(pubDate)) > 0 THEN
-                    CASE WHEN regexp_matches(trim(pubDate), '(Z|[+-]\d{2}:?\d{2})$')
-                         THEN timezone('UTC', try_strptime(regexp_replace(trim(pubDate), 'Z$', '+00:00'), '%Y-%m-%dT%H:%M:%S%z'))
-                         ELSE timezone('UTC', timezone('Europe/Kyiv', try_strptime(trim(pubDate), '%Y-%m-%d %H:%M:%S'))) END
-                  END, __NOW__) AS published_date
+         published_date
   FROM feed WHERE coalesce(length(title), 0) > 0 AND coalesce(length(link), 0) > 0)""".replace("__NOW__", NOW)
 
 STMTS = r"""stm AS (
-  SELECT conv_id, conv_id AS article_id,
-         CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS item_pos,
+  SELECT conv_id, conv_id % (SELECT count(*) FROM documents) AS article_id,
+         CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1
+              + CASE WHEN conv_id % 10 = 9 THEN 1 ELSE 0 END AS INTEGER) AS item_pos,
          role AS actor, text AS action, '' AS reason, '' AS consequence, text AS full_statement,
          0.1 * (turn + 3) AS confidence, turn
   FROM conversations),
 stmts AS (
-  SELECT *, CAST(('0x' || substr(md5(CAST(conv_id AS VARCHAR) || ':' || CAST(item_pos AS VARCHAR)), 1, 15)) AS BIGINT) AS id
+  SELECT *, md5(CAST(conv_id AS VARCHAR) || ':' || CAST(item_pos AS VARCHAR)) AS id
   FROM stm
-  WHERE (conv_id % 6 IN (0, 1) OR (conv_id % 6 = 5 AND turn % 2 = 0))
+  WHERE (conv_id % 10 IN (0, 1, 9) OR (conv_id % 10 IN (5, 8) AND turn % 2 = 0))
     AND coalesce(length(actor), 0) > 0 AND coalesce(length(action), 0) > 0)"""
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from .oracles import (NEAR_DUP, NOW, PAIRS, WEEKLY_BASE, WEEK_STATS, compress_ctes, gate_cte,
                       with_)
 
-ID = "CAST(('0x' || substr(md5({x}), 1, 15)) AS BIGINT)"
+ID = "md5({x})"
+NUM = "CAST(('0x' || substr(id, 1, 15)) AS BIGINT)"
 
 
 def _id(expr: str) -> str:
@@ -41,8 +42,8 @@ narr AS (
          unique_sources_count, coherence_score, near_duplicate_rate, persistence_days
   FROM nagg),
 narr2 AS (
-  SELECT id, name, description, created_at, id % 5 <> 0 AS is_active, source_diversity_score,
-         CAST(CASE WHEN id % 7 = 0 THEN 0 ELSE support_count END AS INTEGER) AS support_count,
+  SELECT id, name, description, created_at, {NUM} % 5 <> 0 AS is_active, source_diversity_score,
+         CAST(CASE WHEN {NUM} % 7 = 0 THEN 0 ELSE support_count END AS INTEGER) AS support_count,
          unique_sources_count, coherence_score, near_duplicate_rate, persistence_days
   FROM narr),
 clus AS (
@@ -106,9 +107,10 @@ WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_date >= g.week_start AND
     q["weekly_report"] = b + f""",
 rep_a AS (SELECT count(*) AS n FROM art WHERE published_date >= {NOW} - INTERVAL 7 DAY),
 rep_e AS (SELECT count(*) AS n FROM events WHERE event_date >= {NOW} - INTERVAL 7 DAY),
-rep_l AS (SELECT string_agg(description, ' | ' ORDER BY event_date DESC, id) AS s
-          FROM (SELECT * FROM events ORDER BY event_date DESC, id LIMIT 10)),
-rep_n AS (SELECT string_agg(name, ' | ' ORDER BY support_count DESC, created_at DESC, id) AS s
+rep_l AS (SELECT coalesce(string_agg(name || ': ' || event_type || ' - ' || description, ' | ' ORDER BY event_date DESC, id), '') AS s
+          FROM (SELECT e.*, n.name FROM events e JOIN narr2 n ON n.id = e.narrative_id
+                WHERE e.event_date >= {NOW} - INTERVAL 7 DAY ORDER BY e.event_date DESC, e.id LIMIT 10)),
+rep_n AS (SELECT string_agg(name || ': ' || description, ' | ' ORDER BY support_count DESC, created_at DESC, id) AS s
           FROM (SELECT * FROM narr2 WHERE is_active ORDER BY support_count DESC, created_at DESC, id LIMIT 5))
 SELECT rep_a.n AS recent_articles, rep_e.n AS recent_events, (rep_a.n > 0 OR rep_e.n > 0) AS has_activity,
        rep_l.s AS latest_events, rep_n.s AS top_narratives

@@ -16,9 +16,8 @@ from ..session import scratch_path
 
 
 def key_id(*parts: Column) -> Column:
-    """Stable 60-bit id from a natural key (md5 hex prefix → bigint)."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15),
-                  16, 10).cast("bigint")
+    """Stable id from a natural key: its full md5, so that no two keys meet at any size."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
 METRICS = ["source_diversity_score", "support_count", "unique_sources_count", "coherence_score",

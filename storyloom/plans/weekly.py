@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.dates import week_back, week_back_start
 from ..functions.vectors import hash_embed
@@ -21,22 +22,30 @@ from ..session import materialize
 from ..sources.adapters import NOW, now_col
 
 KEYS = ["week", "label"]
+#: Weeks a run looks back, and the label of rows that have none.
+WEEKS = 5
+NO_LABEL = "unknown"
 
 
-def week_members(articles: DataFrame, now: str = NOW, weeks: int = 5, label_col: str = "lang",
+def week_members(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, label_col: str = "lang",
                  min_week_rows: int = 8) -> DataFrame:
     """B11 + B13: rows of the last ``weeks`` backward weeks with their cluster label.
 
     Weeks with fewer than ``min_week_rows`` rows are skipped, as the reference
-    skips a week with fewer vectors than clusters.
+    skips a week with fewer vectors than clusters.  The week list has at most
+    ``weeks`` rows, so it is broadcast and no text is shuffled.  Rows without a
+    label form a cluster of their own.
     """
     nowc = now_col(now)
     a = (articles.withColumn("week", week_back(F.col("published_date"), nowc))
          .where((F.col("week") >= 0) & (F.col("week") < weeks)))
-    m = a.select("week", F.col(label_col).alias("label"), "id", "source", "published_date",
+    label = F.col(label_col)
+    if isinstance(a.schema[label_col].dataType, StringType):
+        label = F.coalesce(label, F.lit(NO_LABEL))
+    m = a.select("week", label.alias("label"), "id", "source", "published_date",
                  "title", "content", "url")
     big = m.groupBy("week").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_week_rows)
-    return m.join(big.select("week"), "week", "left_semi")
+    return m.join(F.broadcast(big.select("week")), "week", "left_semi")
 
 
 def score_clusters(members: DataFrame, vectors: DataFrame, keys=KEYS, min_rows: int = 5,
@@ -60,7 +69,7 @@ def score_clusters(members: DataFrame, vectors: DataFrame, keys=KEYS, min_rows:
                         F.when(F.col("accepted"), F.col("coherence") * F.col("diversity"))))
 
 
-def weekly_narratives(articles: DataFrame, now: str = NOW, weeks: int = 5, label_col: str = "lang",
+def weekly_narratives(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, label_col: str = "lang",
                       min_rows: int = 5, min_sources: int = 3, min_days: int = 2,
                       threshold: float = 0.5, dup_threshold: float = 0.95,
                       min_week_rows: int = 8, block: int = 2000) -> DataFrame:
@@ -73,7 +82,7 @@ def weekly_narratives(articles: DataFrame, now: str = NOW, weeks: int = 5, label
     return scored.withColumn("week_start", week_back_start(F.col("week"), now_col(now)))
 
 
-def weekly_kmeans(articles: DataFrame, now: str = NOW, weeks: int = 5, k: int = 8,
+def weekly_kmeans(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, k: int = 8,
                   iterations: int = 10, min_rows: int = 5, min_sources: int = 3, min_days: int = 2,
                   threshold: float = 0.5, dup_threshold: float = 0.95, block: int = 2000):
     """P1 with k-means labels: every week clusters its stored vectors at once (V2).

@@ -4,7 +4,7 @@ Everything that matters for correctness is set here once: UTC session time
 (all day boundaries in the reference are UTC), adaptive execution with skew
 handling, Arrow for the few pandas kernels.  The checkpoint folder is read
 from the session (``spark.checkpoint.dir``); a scratch folder is only chosen
-when the cluster names none, which is the local-test case.
+in local mode, and a cluster that names none is an error.
 """
 
 from __future__ import annotations
@@ -57,11 +57,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and snapshot tables.
 
-    On a cluster this must be the shared path named by ``spark.checkpoint.dir``.
-    Only when it is unset (local tests) do we pick a scratch folder ourselves.
+    On a cluster this must be the shared path named by ``spark.checkpoint.dir``:
+    a folder of the driver's own machine would lose what executors write.  Only
+    in local mode, where driver and executor are one process, do we pick one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         path = tempfile.mkdtemp(prefix="storyloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext

@@ -19,18 +19,31 @@ from .tables import read_table
 TITLE_MAX = 500
 DEFAULT_SOURCE = "unknown"
 
-OFFSET_RE = r"(Z|[+-]\d{2}:?\d{2})$"
+ZONE_RE = r"([+-]\d{2}:\d{2})$"
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
 def parse_pub_date(s: Column, now: Column, local_tz: str = LOCAL_TZ) -> Column:
-    """Zone-aware strings keep their instant; naive ones are read in ``local_tz``;
-    missing or unparseable ones become ``now``."""
-    s = F.trim(s)
-    aware = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-                       F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ssXXX")))
-    naive = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
-                       F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss")))
-    parsed = F.when(s.rlike(OFFSET_RE), aware).otherwise(F.to_utc_timestamp(naive, local_tz))
+    """Feed dates as instants; missing or unreadable ones become ``now``.
+
+    Read are ISO dates with or without time, fraction and zone (``T`` or blank
+    between them), and mail dates (``Mon, 15 Jan 2024 10:00:00 GMT``), with zones
+    as ``Z``, ``UTC``, ``GMT``, ``+02:00``, ``+0200`` or ``+02``.  Dates without a
+    zone are in ``local_tz``.  Other free forms (``3 days ago``) are unreadable.
+    """
+    s = F.regexp_replace(F.trim(s), r"^[A-Za-z]{3,9},\s*", "")
+    mail = r"^(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\b\s*(.*)$"
+    month = F.floor((F.instr(F.lit(MONTHS), F.initcap(F.regexp_extract(s, mail, 2))) + 2) / 3)
+    as_iso = F.concat(F.regexp_extract(s, mail, 3), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"),
+                      F.lpad(F.regexp_extract(s, mail, 1), 2, "0"), F.lit(" "), F.regexp_extract(s, mail, 4))
+    iso = F.trim(F.when(s.rlike(mail), as_iso).otherwise(s))
+    # One spelling for every zone; a date's own "-15" is no zone.
+    iso = F.regexp_replace(iso, r"(?<=\d)\s*(Z|UTC|GMT)$", "+00:00")
+    iso = F.regexp_replace(iso, r"(:\d{2}(?:[.,]\d+)?)\s*([+-]\d{2}):?(\d{2})$", "$1$2:$3")
+    iso = F.regexp_replace(iso, r"(:\d{2}(?:[.,]\d+)?)\s*([+-]\d{2})$", "$1$2:00")
+    iso = F.regexp_replace(iso, r",(\d+)", ".$1")
+    read = F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]|$)"), iso.try_cast("timestamp"))
+    parsed = F.when(iso.rlike(ZONE_RE), read).otherwise(F.to_utc_timestamp(read, local_tz))
     return F.coalesce(F.when(F.length(s) > 0, parsed), now)
 
 
@@ -70,8 +83,8 @@ FEED_EPOCH = "2024-01-01 00:00:00"
 
 def feed_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    # Every 9th link points at a stored article (documents has ≥ 200 rows), so
-    # insert-if-absent meets urls that already exist.
+    # Every 9th link points at the stored article of the same number, if there is
+    # one, so insert-if-absent meets urls that already exist.
     d = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("_doc"), F.col("source").alias("_dsrc"))
     pid = F.col("page_id")
@@ -79,15 +92,19 @@ def feed_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = F.expr(f"timestamp'{FEED_EPOCH}' + make_interval(0,0,0,0,0,cast(page_id*37 % 50400 as int))")
     fmt = F.date_format(local, "yyyy-MM-dd HH:mm:ss")
     iso = F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss")
-    pub = (F.when(pid % 4 == 0, fmt)
-           .when(pid % 4 == 1, F.concat(iso, F.lit("Z")))
-           .when(pid % 4 == 2, F.concat(iso, F.lit("+02:00")))
-           .otherwise(F.lit("not a date")))
+    pub = (F.when(pid % 8 == 0, fmt)
+           .when(pid % 8 == 1, F.concat(iso, F.lit("Z")))
+           .when(pid % 8 == 2, F.concat(iso, F.lit("+02:00")))
+           .when(pid % 8 == 3, F.lit("not a date"))
+           .when(pid % 8 == 4, F.date_format(local, "yyyy-MM-dd"))
+           .when(pid % 8 == 5, F.date_format(local, "EEE, dd MMM yyyy HH:mm:ss '+0200'"))
+           .when(pid % 8 == 6, F.concat(iso, F.lit(".250000Z")))
+           .otherwise(F.concat(fmt, F.lit(" -0330"))))
     doc_url = F.concat(F.lit("https://"), F.col("_dsrc"), F.lit(".example/a/"), F.col("_doc").cast("string"))
-    base = p.join(d, (pid % 200) == F.col("_doc"), "left").select(
-        pid.alias("seq"),
+    base = p.join(d, pid == F.col("_doc"), "left").select(
+        (pid * 2).alias("seq"),
         F.when(pid % 13 == 0, F.lit(None).cast("string"))
-        .when(pid % 9 == 0, doc_url).otherwise(F.col("url")).alias("link"),
+        .when((pid % 9 == 0) & F.col("_doc").isNotNull(), doc_url).otherwise(F.col("url")).alias("link"),
         F.when(pid % 11 == 0, F.lit("")).otherwise(title).alias("title"),
         F.when(pid % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("html")).alias("content"),
         F.col("url").alias("description"),
@@ -95,7 +112,7 @@ def feed_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.regexp_extract("url", r"://([^/]+)", 1)).alias("source_id"),
         pub.alias("pubDate"), pid.alias("_pid"))
     repeats = base.where(F.col("_pid") % 5 == 0).select(
-        (F.col("seq") + F.lit(1_000_000)).alias("seq"), "link",
+        (F.col("seq") + 1).alias("seq"), "link",
         F.concat(F.lit("[update] "), F.col("title")).alias("title"),
         "content", "description", "source_id", "pubDate", "_pid")
     return base.unionByName(repeats).drop("_pid")
