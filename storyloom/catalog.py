@@ -475,6 +475,13 @@ NO_SUPPORT_MOD = 7
 _STORE_SNAPSHOTS: dict = {}
 
 
+def _input_state(spark, sf_dir):
+    """Session, folder, and the files of the article table with their times: a changed input builds anew."""
+    files = (read_table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_modification_time")
+             .distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("file_path", "file_modification_time").cast("decimal(38,0)"))).first())
+    return (spark.sparkContext.applicationId, sf_dir, *files)
+
+
 def _weekly_tables(spark, sf_dir):
     """Narrative / cluster / membership / event tables written by the label-clustered run.
 
@@ -483,7 +490,7 @@ def _weekly_tables(spark, sf_dir):
     snapshot to the shared checkpoint folder, and later calls read those.
     """
     from .session import materialize
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _input_state(spark, sf_dir)
     if key not in _STORE_SNAPSHOTS:
         built = _build_weekly_tables(spark, sf_dir)
         written = {"scored", "accepted"}   # already written while being built
@@ -590,7 +597,7 @@ def q_clusters_list(spark, sf_dir):
 def q_weeks_unprocessed(spark, sf_dir):
     t = _weekly_tables(spark, sf_dir)
     grid = _hist.week_grid(spark, months=HIST_MONTHS)
-    done = _hist.processed_weeks(grid, t["events"])
+    done = _hist.processed_weeks(grid, t["events"], months=HIST_MONTHS)
     return grid.join(done.select("week_idx"), "week_idx", "left_anti")
 
 
@@ -705,7 +712,7 @@ def _cluster_hashes(spark, sf_dir):
     session and input folder; the cache and naming jobs read that table."""
     from .plans import compress
     from .session import materialize
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _input_state(spark, sf_dir)
     if key not in _COMPRESSED:
         m, texts = _cluster_medoid_texts(spark, sf_dir)
         _COMPRESSED[key] = materialize(compress.compress_clusters(m, texts, weekly.KEYS, ranker="tfidf"),
@@ -947,11 +954,27 @@ def q_stream_embed(spark, sf_dir):
         part.write.mode("append").parquet(art_dir)
     out = ingest.embed_stream(spark, art_dir, a.schema, scratch_path(spark, "vector-sink"),
                               scratch_path(spark, "vector-ckpt"))
-    return out.select("id", F.size("vector").alias("n_dims"))
+    return finish(_vector_checks(out))
+
+
+def _vector_checks(vectors):
+    """Number of entries and two checksums of dense float vectors, summed in double precision."""
+    entries = F.transform("vector", lambda x, i: x.cast("double") * (i + 1))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return vectors.select("id", F.size("vector").alias("n_dims"),
+                          total(F.transform("vector", lambda x: x.cast("double"))).alias("total"),
+                          total(entries).alias("weighted"))
+
+
+def q_hash_embed(spark, sf_dir):
+    """V5: the native embedder's vector of every article, by checksums."""
+    from .operators import embed
+    return finish(_vector_checks(embed.embed_rows(_arts(spark, sf_dir, with_embedding=False))))
 
 
 def _register_stream_embed(d):
     d["stream_embed"] = q_stream_embed
+    d["hash_embed"] = q_hash_embed
     return d
 
 

@@ -104,17 +104,21 @@ def medoids(members: DataFrame, vectors: DataFrame, keys: Sequence[str], k: int
     """
     if input_order is None:
         input_order = (F.col("published_date").desc(), F.col("id").asc())
-    sc = medoid_scores(members, vectors, keys, sums)
-    m = members.join(sc, [*keys, "id"])
-    w_all = Window.partitionBy(*keys)
+    keys = list(keys)
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # Two plain top-k's by the cluster's size, so that each cuts its rows before they are shuffled.
+    m = members.join(sizes, keys)
+    by_input = F.row_number().over(Window.partitionBy(*keys).orderBy(*input_order))
+    small = (m.where(F.col("_n") <= k).withColumn("medoid_rank", by_input).where(F.col("medoid_rank") <= k)
+             .select(*keys, "id", "medoid_rank"))
     # Rank on the score rounded to 1e-9 so exact copies tie deterministically
     # (summation order moves the last bits) and fall back to id order.
+    scores = medoid_scores(members, vectors, keys, sums)
     by_score = F.row_number().over(
         Window.partitionBy(*keys).orderBy(F.round(F.col("score"), 9).desc(), F.col("id")))
-    by_input = F.row_number().over(Window.partitionBy(*keys).orderBy(*input_order))
-    ranked = (m.withColumn("n_in", F.count(F.lit(1)).over(w_all))
-              .withColumn("medoid_rank", F.when(F.col("n_in") <= k, by_input).otherwise(by_score)))
-    return ranked.where(F.col("medoid_rank") <= k).select(*keys, "id", "medoid_rank", "score")
+    large = (scores.join(sizes.where(F.col("_n") > k), keys).withColumn("medoid_rank", by_score)
+             .where(F.col("medoid_rank") <= k).select(*keys, "id", "medoid_rank", "score"))
+    return small.join(scores, [*keys, "id"]).select(*keys, "id", "medoid_rank", "score").unionByName(large)
 
 
 REJECT_ROWS = "too_few_rows"

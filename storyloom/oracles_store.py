@@ -245,7 +245,7 @@ FROM sgt g LEFT JOIN snd n ON n.label = g.label JOIN ssamp s ON s.label = g.labe
 
 
 def sample_queries() -> dict[str, str]:
-    from .oracles import ART, ART_WEEK, MEMBERS
+    from .oracles import ART, ART_WEEK, MEMBERS, hash_vectors
     from .oracles_ingest import STMTS
 
     q = {}
@@ -259,8 +259,14 @@ SELECT week, label, sample_rank, id, title FROM (
   SELECT week, label, id, title,
          CAST(row_number() OVER (PARTITION BY week, label ORDER BY published_date DESC, id) AS INTEGER) AS sample_rank
   FROM mem) WHERE sample_rank <= 5"""
-    q["stream_embed"] = with_(ART) + """
-SELECT id, 768 AS n_dims FROM art WHERE embedding IS NULL"""
+    checks = with_(ART, "hsrc AS (SELECT id, content AS txt FROM art)", hash_vectors("hsrc", "hv")) + """
+SELECT a.id, 768 AS n_dims,
+       round(coalesce(sum(CAST(CAST(v.value AS FLOAT) AS DOUBLE)), 0), 6) AS total,
+       round(coalesce(sum(CAST(CAST(v.value AS FLOAT) AS DOUBLE) * (v.slot + 1)), 0), 6) AS weighted
+FROM art a LEFT JOIN hv v ON v.id = a.id{where} GROUP BY a.id"""
+    q["stream_embed"] = checks.replace("{where}", " WHERE a.embedding IS NULL")
+    q["hash_embed"] = checks.replace("{where}", "")
+    q["hash_backfill"] = "SELECT count(*) AS with_vector, count(*) AS total FROM documents"
     q["statement_samples"] = with_(STMTS) + f""",
 sct AS (SELECT *, {NOW} + to_seconds(CAST(conv_id AS BIGINT)) AS created_at FROM stmts)
 SELECT actor, sample_rank, statement_id, excerpt FROM (

@@ -52,15 +52,14 @@ def week_stats(spark: SparkSession, articles: DataFrame, now: str = NOW, months:
                           .otherwise(F.lit(0.0)))
 
 
-def processed_weeks(grid: DataFrame, events: DataFrame) -> DataFrame:
-    """Grid weeks holding at least one event in [start, end) (range semi-join).
+def processed_weeks(grid: DataFrame, events: DataFrame, now: str = NOW, months: int = 2) -> DataFrame:
+    """Weeks of the forward grid holding at least one event in [start, end).
 
-    The grid is ⌈30·months/7⌉ rows, so it is broadcast against one scan of the
-    event table; the equi-key-free range condition stays a broadcast join.
+    The grid is regular, so an event's week is arithmetic on its date and the
+    interval join is a semi join on the week index.
     """
-    g = grid.select("week_idx", "week_start", "week_end")
-    cond = (F.col("event_date") >= F.col("week_start")) & (F.col("event_date") < F.col("week_end"))
-    hit = events.select("event_date").join(F.broadcast(g), cond).select("week_idx").distinct()
+    idx = week_fwd(F.col("event_date"), now_col(now), months)
+    hit = events.select(idx.alias("week_idx")).where(F.col("week_idx").isNotNull()).distinct()
     return grid.join(hit, "week_idx", "left_semi")
 
 

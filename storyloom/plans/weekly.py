@@ -83,13 +83,14 @@ def weekly_narratives(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, l
 
 
 def weekly_kmeans(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, k: int = 8,
-                  iterations: int = 10, min_rows: int = 5, min_sources: int = 3, min_days: int = 2,
+                  starts: int = 10, min_rows: int = 5, min_sources: int = 3, min_days: int = 2,
                   threshold: float = 0.5, dup_threshold: float = 0.95, block: int = 2000):
     """P1 with k-means labels: every week clusters its stored vectors at once (V2).
 
-    Initial centres: per week the k rows with the smallest ``xxhash64(id)`` — a
-    seeded random pick that needs no driver loop.  Weeks with fewer vectors than
-    k are skipped (B13).  Returns (scored clusters, assignment).
+    Initial centres: per week and start the k rows with the smallest seeded
+    ``xxhash64`` of their id; all starts run to convergence together and the one
+    of least cost stays.  Weeks with fewer vectors than k are skipped (B13).
+    Returns (scored clusters, assignment).
     """
     from pyspark.sql.window import Window
 
@@ -101,12 +102,13 @@ def weekly_kmeans(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, k: in
          .withColumn("week", week_back(F.col("published_date"), nowc))
          .where((F.col("week") >= 0) & (F.col("week") < weeks)))
     big = a.groupBy("week").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    a = a.join(big.select("week"), "week", "left_semi")
+    a = a.join(F.broadcast(big.select("week")), "week", "left_semi")
     pts = a.select("week", "id", F.col("embedding").alias("vec"))
-    pick = Window.partitionBy("week").orderBy(F.xxhash64("id"), "id")
-    init = (pts.withColumn("cluster", F.row_number().over(pick) - 1).where(F.col("cluster") < k)
-            .select("week", "cluster", "vec"))
-    assigned, _ = kmeans.lloyd(pts, init, ["week"], iterations)
+    seeded = pts.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    pick = Window.partitionBy("week", "start").orderBy(F.xxhash64("start", "id"), "id")
+    init = (seeded.withColumn("cluster", F.row_number().over(pick) - 1).where(F.col("cluster") < k)
+            .select("week", "start", "cluster", "vec"))
+    assigned, _ = kmeans.lloyd(pts, init, ["week"])
     members = assigned.select("week", F.col("cluster").alias("label"), "id").join(
         a.select("id", "source", "published_date"), "id")
     scored = score_clusters(members, dense_to_sparse(a, "id", "embedding"), KEYS, min_rows, min_sources,

@@ -25,25 +25,23 @@ FEED_SCHEMA = T.StructType([
 SINK_SCHEMA = "seq long, url string, title string, content string, source string, published_date timestamp"
 
 
-def _read_sink(spark: SparkSession, sink: str) -> DataFrame | None:
-    """The sink table if it exists yet (works for any Hadoop-compatible path)."""
-    try:
-        return spark.read.schema(SINK_SCHEMA).parquet(sink)
-    except Exception:  # noqa: BLE001 - path not created before the first append
-        return None
+def _open_sink(spark: SparkSession, sink: str, schema: str) -> None:
+    """Creates an empty table where none is, so that a failing read is always an error, never an empty sink."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(sink)
 
 
-def _sink_urls(spark: SparkSession, sink: str) -> DataFrame:
-    s = _read_sink(spark, sink)
-    return s.select("url") if s is not None else spark.createDataFrame([], "url string")
+def _read_sink(spark: SparkSession, sink: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(sink)
 
 
 def ingest_stream(spark: SparkSession, feed_dir: str, sink: str, checkpoint: str,
-                  existing: DataFrame | None = None, files_per_batch: int = 1):
+                  existing: DataFrame | None = None, files_per_batch: int = 64):
     """Run the feed stream until the files present now are consumed (availableNow)."""
+    _open_sink(spark, sink, SINK_SCHEMA)
+
     def batch(df: DataFrame, batch_id: int) -> None:
         items = fd.normalise(df)
-        known = _sink_urls(spark, sink)
+        known = _read_sink(spark, sink, SINK_SCHEMA).select("url")
         if existing is not None:
             known = known.unionByName(existing.select("url"))
         new = fd.insert_if_absent(items, known)
@@ -54,52 +52,52 @@ def ingest_stream(spark: SparkSession, feed_dir: str, sink: str, checkpoint: str
          .json(feed_dir).writeStream.foreachBatch(batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    s = _read_sink(spark, sink)
-    return s if s is not None else spark.createDataFrame([], SINK_SCHEMA)
+    return _read_sink(spark, sink, SINK_SCHEMA)
 
 
-def write_feed_files(feed: DataFrame, feed_dir: str, cuts=(0, 100, 1_000_000)) -> None:
-    """Land the feed as JSON files in seq order (one file per seq range), oldest first."""
-    bounds = list(cuts) + [None]
+def write_feed_files(feed: DataFrame, feed_dir: str, parts: int = 3) -> None:
+    """Land the feed as JSON files, ``parts`` ranges of ``seq`` of about equal size, oldest first."""
+    cuts = feed.approxQuantile("seq", [i / parts for i in range(1, parts)], 0.01)
+    bounds = [None, *sorted(set(cuts)), None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
-        part = feed.where(F.col("seq") >= lo)
+        part = feed
+        if lo is not None:
+            part = part.where(F.col("seq") >= lo)
         if hi is not None:
             part = part.where(F.col("seq") < hi)
-        part.coalesce(1).write.mode("append").json(feed_dir)
+        part.write.mode("append").json(feed_dir)
 
 
 EMBED_SINK_SCHEMA = "id long, vector array<float>"
 
 
+REJECTS_SCHEMA = "id long, n_dims int, status string"
+
+
 def embed_stream(spark: SparkSession, article_dir: str, article_schema, sink: str, checkpoint: str,
-                 embedder=None, dim: int = 768, files_per_batch: int = 1) -> DataFrame:
+                 embedder=None, dim: int = 768, files_per_batch: int = 64, rejects: str | None = None) -> DataFrame:
     """Vectors for articles as they land (the daily embedding job as a stream).
 
-    Each micro-batch runs the backfill (V5) on its rows that have no vector
-    yet and are not in the sink, and appends the valid vectors.  Replays add
-    nothing: the sink is anti-joined before every append.
+    Each micro-batch embeds its rows that have no vector yet and are not in the
+    sink, each once, appends the valid vectors, and records the others in
+    ``rejects`` (by default next to the sink).  Replays add nothing: the sink is
+    anti-joined before every append.
     """
     from ..operators import embed
 
-    def _read(path: str, schema: str):
-        try:
-            return spark.read.schema(schema).parquet(path)
-        except Exception:  # noqa: BLE001 - nothing written yet
-            return None
+    rejects = rejects or f"{sink}-rejected"
+    _open_sink(spark, sink, EMBED_SINK_SCHEMA)
+    _open_sink(spark, rejects, REJECTS_SCHEMA)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        done = _read(sink, EMBED_SINK_SCHEMA)
-        todo = df.where(F.col("embedding").isNull())
-        if done is not None:
-            todo = todo.join(done.select("id"), "id", "left_anti")
-        filled, outcome = embed.backfill(todo, embedder, dim)
-        ok = outcome.where(F.col("status") == "ok").select("id")
-        filled.join(ok, "id").select("id", F.col("embedding").alias("vector")) \
-            .write.mode("append").parquet(sink)
+        done = _read_sink(spark, sink, EMBED_SINK_SCHEMA).select("id")
+        todo = df.where(F.col("embedding").isNull()).join(done, "id", "left_anti")
+        made = embed.embed_rows(todo, embedder, dim)
+        made.where(F.col("status") != "ok").select("id", "n_dims", "status").write.mode("append").parquet(rejects)
+        made.where(F.col("status") == "ok").select("id", "vector").write.mode("append").parquet(sink)
 
     q = (spark.readStream.schema(article_schema).option("maxFilesPerTrigger", files_per_batch)
          .parquet(article_dir).writeStream.foreachBatch(batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    out = _read(sink, EMBED_SINK_SCHEMA)
-    return out if out is not None else spark.createDataFrame([], EMBED_SINK_SCHEMA)
+    return _read_sink(spark, sink, EMBED_SINK_SCHEMA)
