@@ -76,7 +76,7 @@ def _round(points: DataFrame, centres: dict) -> dict:
     def run(batches):
         held: dict = {}
         for pdf in batches:
-            for r, rows in pdf.groupby("run"):
+            for r, rows in pdf.groupby("_run"):
                 x = np.stack(rows["vec"].to_numpy()).astype(np.float64)
                 for (r2, start), c in centres.items():
                     if r2 == r:
@@ -85,18 +85,18 @@ def _round(points: DataFrame, centres: dict) -> dict:
                         np.add.at(sums, best, x)
                         old = held.get((r, start), (0, 0, 0.0))
                         held[r, start] = (old[0] + np.bincount(best, minlength=len(c)), old[1] + sums, old[2] + cost.sum())
-        yield pd.DataFrame([{"run": r, "start": s, "n": n.tolist(), "sums": v.ravel().tolist(), "cost": float(c)}
-                            for (r, s), (n, v, c) in held.items()], columns=["run", "start", "n", "sums", "cost"])
+        yield pd.DataFrame([{"_run": r, "start": s, "n": n.tolist(), "sums": v.ravel().tolist(), "cost": float(c)}
+                            for (r, s), (n, v, c) in held.items()], columns=["_run", "start", "n", "sums", "cost"])
 
     def add(pdf):
-        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "start": [pdf["start"].iloc[0]],
+        return pd.DataFrame({"_run": [pdf["_run"].iloc[0]], "start": [pdf["start"].iloc[0]],
                              "n": [np.sum(np.stack(pdf["n"].to_numpy()), axis=0)],
                              "sums": [np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)], "cost": [pdf["cost"].sum()]})
 
-    schema = "run string, start int, n array<long>, sums array<double>, cost double"
-    parts = points.select("run", "vec").mapInPandas(run, schema)
-    rows = parts.groupBy("run", "start").applyInPandas(add, schema).collect()  # runs x starts rows, as the caller set
-    return {(r["run"], r["start"]): (np.array(r["n"]), np.array(r["sums"]), r["cost"]) for r in rows}
+    schema = "_run string, start int, n array<long>, sums array<double>, cost double"
+    parts = points.select("_run", "vec").mapInPandas(run, schema)
+    rows = parts.groupBy("_run", "start").applyInPandas(add, schema).collect()  # runs x starts rows, as the caller set
+    return {(r["_run"], r["start"]): (np.array(r["n"]), np.array(r["sums"]), r["cost"]) for r in rows}
 
 
 #: Most bytes of centres (runs x starts x k x dimensions) that are sent to every task.
@@ -116,27 +116,27 @@ def lloyd(points: DataFrame, init: DataFrame, run_keys: Sequence[str], iteration
     """
     run_keys = list(run_keys)
     run = F.concat_ws("|", F.lit(""), *[F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in run_keys])
-    stored = materialize(points.where(F.col(vec_col).isNotNull()).withColumn("run", run)
+    stored = materialize(points.where(F.col(vec_col).isNotNull()).withColumn("_run", run)
                          .withColumnRenamed(vec_col, "vec"), "kmeans-points")
     if "start" not in init.columns:
         init = init.withColumn("start", F.lit(0))
-    rows = (init.select(run.alias("run"), "start", *run_keys, cluster_col, as_double(F.col(vec_col)).alias("c"))
-            .orderBy("run", "start", cluster_col).collect())  # bounded by the caller's k, starts and runs
+    rows = (init.select(run.alias("_run"), "start", *run_keys, cluster_col, as_double(F.col(vec_col)).alias("c"))
+            .orderBy("_run", "start", cluster_col).collect())  # bounded by the caller's k, starts and runs
     names, centres, of = {}, {}, {}
     for r in rows:
-        key = (r["run"], r["start"])
+        key = (r["_run"], r["start"])
         names.setdefault(key, []).append(r[cluster_col])
         centres.setdefault(key, []).append(r["c"])
-        of[r["run"]] = [r[k] for k in run_keys]
+        of[r["_run"]] = [r[k] for k in run_keys]
     centres = {k: np.array(v, np.float64) for k, v in centres.items()}
     if sum(c.nbytes for c in centres.values()) > MAX_CENTRE_BYTES:
         raise ValueError("too many centres to send to every task; run fewer weeks or starts at once")
     scale = {}
     if iterations is None:
         dim = F.posexplode("vec").alias("slot", "v")
-        var = (stored.select("run", dim).groupBy("run", "slot").agg(F.var_pop(F.col("v").cast("double")).alias("s"))
-               .groupBy("run").agg(F.avg("s").alias("s")).collect())
-        scale = {r["run"]: r["s"] * tol for r in var}
+        var = (stored.select("_run", dim).groupBy("_run", "slot").agg(F.var_pop(F.col("v").cast("double")).alias("s"))
+               .groupBy("_run").agg(F.avg("s").alias("s")).collect())
+        scale = {r["_run"]: r["s"] * tol for r in var}
     open_, cost = dict(centres), {}
     for _ in range(most if iterations is None else iterations):
         if not open_:
@@ -159,7 +159,7 @@ def lloyd(points: DataFrame, init: DataFrame, run_keys: Sequence[str], iteration
             for name, c in zip(names[key], centres[key], strict=True)]
     fields = [init.schema[k] for k in run_keys] + [init.schema[cluster_col], T.StructField(vec_col, T.ArrayType(T.DoubleType()))]
     cents = spark.createDataFrame(kept, T.StructType(fields))
-    return assign(stored.drop("run").withColumnRenamed("vec", vec_col), cents, run_keys, vec_col, cluster_col), cents
+    return assign(stored.drop("_run").withColumnRenamed("vec", vec_col), cents, run_keys, vec_col, cluster_col), cents
 
 
 def fit(points: DataFrame, k: int, seeds: Sequence[int] = tuple(range(42, 52)),

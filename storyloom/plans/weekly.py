@@ -83,13 +83,13 @@ def weekly_narratives(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, l
 
 
 def weekly_kmeans(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, k: int = 8,
-                  starts: int = 10, min_rows: int = 5, min_sources: int = 3, min_days: int = 2,
+                  iterations: int | None = None, starts: int = 10, min_rows: int = 5, min_sources: int = 3, min_days: int = 2,
                   threshold: float = 0.5, dup_threshold: float = 0.95, block: int = 2000):
     """P1 with k-means labels: every week clusters its stored vectors at once (V2).
 
     Initial centres: per week and start the k rows with the smallest seeded
     ``xxhash64`` of their id; all starts run to convergence together and the one
-    of least cost stays.  Weeks with fewer vectors than k are skipped (B13).
+    of least cost stays (``iterations`` sets a number of rounds instead).  Weeks with fewer vectors than k are skipped (B13).
     Returns (scored clusters, assignment).
     """
     from pyspark.sql.window import Window
@@ -108,7 +108,7 @@ def weekly_kmeans(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, k: in
     pick = Window.partitionBy("week", "start").orderBy(F.xxhash64("start", "id"), "id")
     init = (seeded.withColumn("cluster", F.row_number().over(pick) - 1).where(F.col("cluster") < k)
             .select("week", "start", "cluster", "vec"))
-    assigned, _ = kmeans.lloyd(pts, init, ["week"])
+    assigned, _ = kmeans.lloyd(pts, init, ["week"], iterations)
     members = assigned.select("week", F.col("cluster").alias("label"), "id").join(
         a.select("id", "source", "published_date"), "id")
     scored = score_clusters(members, dense_to_sparse(a, "id", "embedding"), KEYS, min_rows, min_sources,
