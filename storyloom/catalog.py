@@ -759,8 +759,8 @@ def q_name_clusters(spark, sf_dir):
                           "from_cache", F.length("prompt").alias("prompt_chars"))
 
 
-def _brief_input(spark, sf_dir):
-    t = _weekly_tables(spark, sf_dir)
+def _brief_requests(t):
+    """One prompt per week with narratives: week, n_narratives, prompt."""
     acc = t["accepted"]
     name = F.concat(F.lit("News Cluster "), F.col("label"))
     b = acc.select("week", "label", _rsp.brief_bullet(name, F.col("n_rows"), F.col("n_sources"),
@@ -768,8 +768,13 @@ def _brief_input(spark, sf_dir):
     g = b.groupBy("week").agg(F.transform(F.sort_array(F.collect_list(F.struct("label", "bullet"))),
                                           lambda x: x["bullet"]).alias("bullets"))
     p = _rsp.brief_prompt(F.col("bullets"), F.size("bullets"))
-    return g.select("week", F.size("bullets").alias("n_narratives"), F.length(p).alias("prompt_chars"),
-                    F.md5(p).alias("prompt_md5"))
+    return g.select("week", F.size("bullets").alias("n_narratives"), p.alias("prompt"))
+
+
+def _brief_input(spark, sf_dir):
+    p = F.col("prompt")
+    return _brief_requests(_weekly_tables(spark, sf_dir)).select(
+        "week", "n_narratives", F.length(p).alias("prompt_chars"), F.md5(p).alias("prompt_md5"))
 
 
 def q_weekly_brief_input(spark, sf_dir):
@@ -936,6 +941,90 @@ def q_statement_samples(spark, sf_dir):
                     F.substring("full_statement", 1, SAMPLE_STATEMENT_CHARS).alias("excerpt")))
 
 
+# ---------------------------------------------------------------------------
+# Model steps with exact twins: extraction (L5), naming by titles and statements (L2),
+# the brief's answer (L3), writing the response table (H8)
+# ---------------------------------------------------------------------------
+
+def _no_cache(spark):
+    return spark.createDataFrame([], _rsp.CACHE_SCHEMA)
+
+
+def q_extract_statements(spark, sf_dir):
+    """Articles without statements → prompt → cached-or-ask → strict parse."""
+    configure(spark)
+    a = adapters.articles(spark, sf_dir, with_embedding=False)
+    todo = a.join(_st.unextracted(a, _st.statements_table(spark, sf_dir)).select("id"), "id", "left_semi")
+    prompt = _rsp.extract_prompt(F.col("title"), F.col("content"), F.col("source"))
+    req = todo.select(F.col("id").alias("article_id"), F.lit("extract").alias("task_type"), prompt.alias("prompt")) \
+        .withColumn("content_hash", F.md5("prompt"))
+    answers, _ = _rsp.cached_batch(req, _no_cache(spark), _rsp.stub_statements, adapters.now_col(), spark)
+    return finish(_st.parse_statements(answers.select("article_id", "response")))
+
+
+def _title_requests(spark, sf_dir):
+    """The last week's clusters by label with the naming prompt over their newest titles."""
+    recent = _sel.lookback(_arts(spark, sf_dir), adapters.now_col(), SHIFT_DAYS, need_vector="embedding")
+    w = Window.partitionBy("label").orderBy(F.col("published_date").desc(), F.col("id"))
+    titles = (recent.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= _rsp.LISTED).groupBy("label")
+              .agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "title"))), lambda x: x["title"]).alias("titles")))
+    return titles.select("label", F.lit("naming").alias("task_type"), _rsp.titles_prompt(F.col("titles")).alias("prompt")) \
+        .withColumn("content_hash", F.md5("prompt"))
+
+
+def q_name_by_titles(spark, sf_dir):
+    """L2 (shifts): name from titles, else the dated fallback."""
+    answers, _ = _rsp.cached_batch(_title_requests(spark, sf_dir), _no_cache(spark), _rsp.stub_responder, adapters.now_col(), spark)
+    fallback = F.concat(F.lit("Narrative Cluster "), F.date_format(adapters.now_col(), "yyyyMMdd"), F.lit(" - "),
+                        F.col("label").cast("string"))
+    return answers.select("label", _sel.name_or_fallback(F.col("response"), fallback).alias("name"),
+                          F.length("prompt").alias("prompt_chars"))
+
+
+def q_name_by_statements(spark, sf_dir):
+    """L2 (statement clusters by actor): name from their newest statements, else the dated fallback."""
+    configure(spark)
+    w = Window.partitionBy("actor").orderBy(F.col("created_at").desc(), F.col("id"))
+    first = (_st.statements_table(spark, sf_dir).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= _rsp.LISTED)
+             .groupBy("actor").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "full_statement"))),
+                                               lambda x: x["full_statement"]).alias("texts")))
+    req = first.select("actor", F.lit("naming").alias("task_type"), _rsp.statements_prompt(F.col("texts")).alias("prompt")) \
+        .withColumn("content_hash", F.md5("prompt"))
+    answers, _ = _rsp.cached_batch(req, _no_cache(spark), _rsp.stub_responder, adapters.now_col(), spark)
+    fallback = F.concat(F.lit("Statement Cluster "), F.date_format(adapters.now_col(), "yyyyMMdd"), F.lit(" - "), F.col("actor"))
+    return answers.select("actor", _sel.name_or_fallback(F.col("response"), fallback).alias("name"),
+                          F.md5("prompt").alias("prompt_md5"))
+
+
+def q_llm_cache_put(spark, sf_dir):
+    """H8: the response table after a batch: new entries with cost and lifetime, an older entry of a key replaced."""
+    req = _title_requests(spark, sf_dir)
+    nowc = adapters.now_col()
+    past = nowc - F.make_dt_interval(days=F.lit(_rsp.CACHE_TTL_DAYS + 1))
+    old = req.where(F.col("label") % 2 == 0).select(
+        "task_type", "content_hash", F.lit("Old").alias("response"), F.lit(0.0001).alias("cost"), past.alias("cached_at"),
+        (past + F.make_dt_interval(days=F.lit(_rsp.CACHE_TTL_DAYS))).alias("expires_at"))
+    _, cache = _rsp.cached_batch(req, old, _rsp.stub_responder, nowc, spark)
+    return cache.select("task_type", "content_hash", "response", F.round("cost", 9).alias("cost"), "cached_at", "expires_at")
+
+
+def q_weekly_brief(spark, sf_dir):
+    """L3: the brief of every week, with the fixed texts for weeks without narratives and for failed calls."""
+    t = _weekly_tables(spark, sf_dir)
+    b = _brief_requests(t).withColumn("task_type", F.lit("brief")).withColumn("content_hash", F.md5("prompt"))
+    answers, _ = _rsp.cached_batch(b, _no_cache(spark), _rsp.stub_brief, adapters.now_col(), spark)
+    weeks = spark.range(weekly.WEEKS).select(F.col("id").cast("int").alias("week"))
+    n = F.coalesce(F.col("n_narratives"), F.lit(0))
+    return weeks.join(answers, "week", "left").select("week", n.alias("n_narratives"),
+                                                      _rsp.brief_text(n, F.col("response")).alias("brief"))
+
+
+def _register_model_steps(d):
+    d.update({"extract_statements": q_extract_statements, "name_by_titles": q_name_by_titles,
+              "name_by_statements": q_name_by_statements, "llm_cache_put": q_llm_cache_put, "weekly_brief": q_weekly_brief})
+    return d
+
+
 def _register_samples(d):
     d.update({"recent_statements": q_recent_statements, "cluster_samples": q_cluster_samples,
               "statement_samples": q_statement_samples})
@@ -989,4 +1078,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _register_kmeans(d)
     _register_samples(d)
     _register_stream_embed(d)
+    _register_model_steps(d)
     return d

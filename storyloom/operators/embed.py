@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import HASH_DIM, hash_embed, pack
+from ..functions.vectors import HASH_DIM, hash_packed
 from ..session import materialize
 from . import select as sel
 
@@ -57,8 +57,7 @@ def dense(packed: DataFrame, dim: int) -> DataFrame:
 def embed_rows(rows: DataFrame, embedder: Embedder | None = None, dim: int = HASH_DIM) -> DataFrame:
     """(id, vector, n_dims, status) of every row, written once: ``ok``, or ``bad_dim`` for a vector of another size."""
     if embedder is None:
-        packed = pack(hash_embed(rows.select("id", "content"), "id", "content", dim))
-        vectors = dense(rows.select("id").join(packed, "id", "left"), dim)
+        vectors = dense(hash_packed(rows, "id", "content", dim), dim)
     else:
         vectors = _caller_vectors(rows, embedder)
     n = F.coalesce(F.size("vector"), F.lit(-1))

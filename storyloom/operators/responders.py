@@ -107,14 +107,93 @@ def cached_batch(requests: DataFrame, cache: DataFrame, responder: Responder, no
     return answers, new_cache
 
 
+# ---------------------------------------------------------------------------
+# The reference's prompt texts (they feed the cost and the cache key)
+# and its texts for weeks without an answer.
+# ---------------------------------------------------------------------------
+
+NAMING_HEAD = "Analyze the following news content and create a concise narrative name (2-4 words):\n\n"
+NAMING_TAIL = ("\n\nGenerate a journalistic name that captures the main theme. Examples: "
+               "\"Climate Policy Debate\", \"Tech Regulation Update\", \"Economic Recovery Plans\".\n\n"
+               "Name (2-4 words only):")
+BRIEF_HEAD = "Create a concise weekly news narrative summary:\n\nDetected Narratives ("
+BRIEF_TAIL = ("\n\nWrite a 2-3 sentence summary highlighting:\n"
+              "1. The main themes/topics that dominated the week\n"
+              "2. Any notable narrative shifts or emerging stories\n"
+              "3. Overall media focus trends\n\nWeekly Summary:")
+TITLES_HEAD = ("Analyze the following news article titles and identify the main narrative theme. Generate a concise, "
+               "descriptive name (2-4 words) that captures the core story or topic:\n\nArticle titles:\n")
+STATEMENTS_HEAD = ("Analyze the following news statements and identify the main narrative theme. Generate a concise, "
+                   "descriptive name (2-4 words) that captures the core story or topic:\n\nStatements:\n")
+THEME_TAIL = ("\n\nInstructions:\n- Create a journalistic, descriptive name\n- Keep it concise (2-4 words maximum){gap}\n"
+              "- Focus on the main theme, event, or topic\n"
+              "- Use title case (e.g., \"Climate Policy Debate\", \"Tech Regulation Update\")\n"
+              "- Do not include dates or numbers\n- Respond with ONLY the narrative name, nothing else\n\nNarrative name:")
+TITLES_TAIL = THEME_TAIL.format(gap="")
+STATEMENTS_TAIL = THEME_TAIL.format(gap="  ")
+STATEMENTS_JOIN = "\\n"  # a backslash and an n, as the reference has it
+EXTRACT_HEAD = ("Analyze the following news article and extract key statements in the format: WHO → WHAT → WHY → CONSEQUENCE."
+                "\n\nArticle Title: ")
+EXTRACT_CONTENT = "\nArticle Content: "
+EXTRACT_SOURCE = "  # Limit content length\nSource: "
+EXTRACT_TAIL = """
+
+Instructions:
+1. Extract 1-3 most important statements/claims from the article
+2. For each statement, identify:
+   - WHO: The actor (person, organization, government, etc.)
+   - WHAT: What they said, did, or what happened
+   - WHY: The reasoning, cause, or motivation (if mentioned)
+   - CONSEQUENCE: Expected or stated outcome/impact (if mentioned)
+
+3. Return ONLY a JSON array with this exact structure:
+[
+  {
+    "actor": "WHO - clear identification of the actor",
+    "action": "WHAT - the main action/statement/event",
+    "reason": "WHY - reasoning or cause (empty string if not mentioned)",
+    "consequence": "CONSEQUENCE - expected outcome (empty string if not mentioned)",
+    "full_statement": "Complete extracted statement in natural language",
+    "confidence": 0.8
+  }
+]
+
+Requirements:
+- Be precise and factual
+- Include direct quotes when available
+- Confidence score from 0.0 to 1.0
+- Maximum 3 statements per article
+- Return empty array if no clear statements found
+- Ensure valid JSON format
+
+JSON Response:"""
+#: Characters of an article that the extraction prompt shows, of a statement that the naming prompt shows; how many items it lists.
+EXTRACT_CHARS, STATEMENT_CHARS, LISTED = 3000, 200, 5
+EMPTY_WEEK = "No significant narratives detected this week."
+FAILED_WEEK = ("Weekly analysis completed with ", " narratives detected.")
+
+
 def naming_prompt(content: Column) -> Column:
-    """L1 prompt around the compressed content (text of the reference's template)."""
-    return F.concat(
-        F.lit("Analyze the following news content and create a concise narrative name (2-4 words):\n\n"),
-        content,
-        F.lit("\n\nGenerate a journalistic name that captures the main theme. Examples: "
-              "\"Climate Policy Debate\", \"Tech Regulation Update\", \"Economic Recovery Plans\".\n\n"
-              "Name (2-4 words only):"))
+    """L1 prompt around the compressed content."""
+    return F.concat(F.lit(NAMING_HEAD), content, F.lit(NAMING_TAIL))
+
+
+def titles_prompt(titles: Column) -> Column:
+    """L2 prompt over the first titles of a cluster."""
+    lines = F.transform(F.slice(titles, 1, LISTED), lambda t: F.concat(F.lit("- "), t))
+    return F.concat(F.lit(TITLES_HEAD), F.array_join(lines, "\n"), F.lit(TITLES_TAIL))
+
+
+def statements_prompt(statements: Column) -> Column:
+    """L2 prompt over the first statements of a cluster."""
+    lines = F.transform(F.slice(statements, 1, LISTED), lambda t: F.concat(F.lit("- "), F.substring(t, 1, STATEMENT_CHARS), F.lit("...")))
+    return F.concat(F.lit(STATEMENTS_HEAD), F.array_join(lines, STATEMENTS_JOIN), F.lit(STATEMENTS_TAIL))
+
+
+def extract_prompt(title: Column, content: Column, source: Column) -> Column:
+    """L5 prompt for one article; the cut at 3,000 characters is the reference's."""
+    return F.concat(F.lit(EXTRACT_HEAD), title, F.lit(EXTRACT_CONTENT), F.substring(content, 1, EXTRACT_CHARS),
+                    F.lit(EXTRACT_SOURCE), source, F.lit(EXTRACT_TAIL))
 
 
 def brief_bullet(name: Column, support: Column, sources: Column, coherence: Column) -> Column:
@@ -123,13 +202,38 @@ def brief_bullet(name: Column, support: Column, sources: Column, coherence: Colu
 
 
 def brief_prompt(bullets: Column, n: Column) -> Column:
-    return F.concat(
-        F.lit("Create a concise weekly news narrative summary:\n\nDetected Narratives ("),
-        n.cast("string"), F.lit("):\n"), F.array_join(bullets, "\n"),
-        F.lit("\n\nWrite a 2-3 sentence summary highlighting:\n"
-              "1. The main themes/topics that dominated the week\n"
-              "2. Any notable narrative shifts or emerging stories\n"
-              "3. Overall media focus trends\n\nWeekly Summary:"))
+    return F.concat(F.lit(BRIEF_HEAD), n.cast("string"), F.lit("):\n"), F.array_join(bullets, "\n"), F.lit(BRIEF_TAIL))
+
+
+def brief_text(n: Column, response: Column) -> Column:
+    """L3 answer: the stripped response, or the fixed text of an empty week or a failed call."""
+    failed = F.concat(F.lit(FAILED_WEEK[0]), n.cast("string"), F.lit(FAILED_WEEK[1]))
+    return (F.when(n == 0, F.lit(EMPTY_WEEK))
+            .otherwise(F.coalesce(F.regexp_replace(response, r"(?U)^\s+|\s+$", ""), failed)))
+
+
+def stub_brief(prompts: pd.Series) -> pd.Series:
+    """Deterministic stand-in for briefs; a quarter of the calls fail (null)."""
+    import hashlib
+
+    hashes = prompts.map(lambda p: hashlib.md5(p.encode("utf-8")).hexdigest())
+    return hashes.map(lambda h: None if h[0] in "0123" else f" Brief {h[:8]}\n")
+
+
+def stub_statements(prompts: pd.Series) -> pd.Series:
+    """Deterministic stand-in for extraction: a fenced list of one statement; every eighth answer is prose."""
+    import hashlib
+    import json
+
+    def answer(p):
+        h = hashlib.md5(p.encode("utf-8")).hexdigest()
+        if h[0] in "01":
+            return "There are no clear statements."
+        item = {"actor": f"Actor {h[1:3]}", "action": f"did {h[3:9]}", "full_statement": f"Actor {h[1:3]} did {h[3:9]}",
+                "confidence": int(h[9], 16) / 16}
+        return "```json\n" + json.dumps([item]) + "\n```"
+
+    return prompts.map(answer)
 
 
 def stub_responder(prompts: pd.Series) -> pd.Series:

@@ -423,7 +423,8 @@ LEFT JOIN ksj ks ON ks.gid = g.gid LEFT JOIN ktj kt ON kt.gid = g.gid"""
 
 def oracle_sql() -> dict[str, str]:
     from .oracles_ingest import ingest_queries
-    from .oracles_store import job_queries, sample_queries, statement_queries, store_queries
+    from .oracles_store import (job_queries, model_queries, sample_queries, statement_queries,
+                                store_queries)
 
     d = {"weekly_narratives": weekly_narratives_sql()}
     d.update(_a_queries())
@@ -433,4 +434,5 @@ def oracle_sql() -> dict[str, str]:
     d.update(job_queries())
     d.update(statement_queries())
     d.update(sample_queries())
+    d.update(model_queries())
     return d

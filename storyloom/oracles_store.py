@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .operators import responders as rsp
 from .oracles import (NEAR_DUP, NOW, PAIRS, WEEKLY_BASE, WEEK_STATS, compress_ctes, gate_cte,
                       with_)
 
@@ -145,6 +146,43 @@ WHERE n_articles > 5
     return q
 
 
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def model_queries() -> dict[str, str]:
+    """Twins of the model steps; the stub's answers are md5-based, so SQL can give them."""
+    from .oracles import ART
+    from .oracles_ingest import STMTS
+
+    q = {}
+    q["extract_statements"] = with_(ART, STMTS) + f""",
+pr AS (SELECT id, md5({_lit(rsp.EXTRACT_HEAD)} || title || {_lit(rsp.EXTRACT_CONTENT)} || substring(content, 1, 3000)
+                   || {_lit(rsp.EXTRACT_SOURCE)} || source || {_lit(rsp.EXTRACT_TAIL)}) AS h
+       FROM art WHERE id NOT IN (SELECT article_id FROM stmts))
+SELECT id AS article_id, 0 AS item_pos, 'Actor ' || substr(h, 2, 2) AS actor, 'did ' || substr(h, 4, 6) AS action,
+       '' AS reason, '' AS consequence, 'Actor ' || substr(h, 2, 2) || ' did ' || substr(h, 4, 6) AS full_statement,
+       round(CAST(('0x' || substr(h, 10, 1)) AS INTEGER) / 16.0, 6)::DOUBLE AS confidence
+FROM pr WHERE substr(h, 1, 1) NOT IN ('0', '1')"""
+    titles = with_(ART) + f""",
+tr AS (SELECT label, title, row_number() OVER (PARTITION BY label ORDER BY published_date DESC, id) AS r
+       FROM art WHERE published_date >= {NOW} - INTERVAL 7 DAY AND embedding IS NOT NULL),
+tp AS (SELECT label, {_lit(rsp.TITLES_HEAD)} || string_agg('- ' || title, chr(10) ORDER BY r) || {_lit(rsp.TITLES_TAIL)} AS prompt
+       FROM tr WHERE r <= 5 GROUP BY label)"""
+    q["name_by_titles"] = titles + """
+SELECT label, 'Topic ' || substr(md5(prompt), 1, 6) AS name, CAST(length(prompt) AS INTEGER) AS prompt_chars FROM tp"""
+    q["llm_cache_put"] = titles + f"""
+SELECT 'naming' AS task_type, md5(prompt) AS content_hash, '"Topic ' || substr(md5(prompt), 1, 6) || '"' AS response,
+       round(length(prompt) / 1000.0 * 0.00015, 9)::DOUBLE AS cost, {NOW} AS cached_at, {NOW} + INTERVAL 7 DAY AS expires_at FROM tp"""
+    q["name_by_statements"] = with_(STMTS) + f""",
+sr AS (SELECT actor, full_statement,
+              row_number() OVER (PARTITION BY actor ORDER BY {NOW} + to_seconds(CAST(conv_id AS BIGINT)) DESC, id) AS r FROM stmts),
+sp AS (SELECT actor, {_lit(rsp.STATEMENTS_HEAD)} || string_agg('- ' || substring(full_statement, 1, 200) || '...', {_lit(rsp.STATEMENTS_JOIN)} ORDER BY r)
+              || {_lit(rsp.STATEMENTS_TAIL)} AS prompt FROM sr WHERE r <= 5 GROUP BY actor)
+SELECT actor, 'Topic ' || substr(md5(prompt), 1, 6) AS name, md5(prompt) AS prompt_md5 FROM sp"""
+    return q
+
+
 def job_queries() -> dict[str, str]:
     from .oracles import compress_ctes as _cc
     from .oracles_ingest import ingest_queries
@@ -180,6 +218,13 @@ bp AS (SELECT week, n, 'Create a concise weekly news narrative summary:' || chr(
               || '3. Overall media focus trends' || chr(10) || chr(10) || 'Weekly Summary:' AS prompt FROM bw)"""
     q["weekly_brief_input"] = brief + """
 SELECT week, CAST(n AS INTEGER) AS n_narratives, CAST(length(prompt) AS INTEGER) AS prompt_chars, md5(prompt) AS prompt_md5 FROM bp"""
+    failed = _lit(rsp.FAILED_WEEK[0]) + " || CAST(bp.n AS VARCHAR) || " + _lit(rsp.FAILED_WEEK[1])
+    q["weekly_brief"] = brief + f"""
+SELECT CAST(w.week AS INTEGER) AS week, CAST(coalesce(bp.n, 0) AS INTEGER) AS n_narratives,
+       CASE WHEN bp.n IS NULL THEN {_lit(rsp.EMPTY_WEEK)}
+            WHEN substr(md5(bp.prompt), 1, 1) IN ('0', '1', '2', '3') THEN {failed}
+            ELSE 'Brief ' || substr(md5(bp.prompt), 1, 8) END AS brief
+FROM range(5) w(week) LEFT JOIN bp ON bp.week = w.week"""
     q["run_cost"] = brief + """
 SELECT week, count(*) AS calls, CAST(sum(length(prompt)) AS BIGINT) AS chars,
        round(sum(length(prompt)) / 1000.0 * 0.001, 6) AS cost_usd

@@ -3,8 +3,8 @@
 There is no row-at-a-time ORM here: an upsert is ``unionByName`` + one
 ``groupBy(name)`` with ``min_by``/``max_by``; get-or-create is a ``left_anti``
 on the natural key.  Ids are hashes of natural keys (stable across reruns).
-Writers produce new snapshot DataFrames; persisting them to a new path and
-swapping is the caller's (``write_snapshot``).
+Writers produce new snapshot DataFrames; persisting them to a new path
+(``session.materialize``) and swapping is the caller's.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-
 
 def key_id(*parts: Column) -> Column:
     """Stable id from a natural key: its full md5, so that no two keys meet at any size."""
@@ -63,17 +61,6 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, keys) -> DataFrame:
     return first.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
-def write_snapshot(df: DataFrame, name: str) -> DataFrame:
-    """Persist a new table version to a fresh path in the shared folder and read it back.
-
-    Never overwrites a path that may be read: each call is a new snapshot.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 # ---------------------------------------------------------------------------
 # Listing queries
 # ---------------------------------------------------------------------------
