@@ -1019,9 +1019,46 @@ def q_weekly_brief(spark, sf_dir):
                                                       _rsp.brief_text(n, F.col("response")).alias("brief"))
 
 
+def _run_tables(run):
+    """A run's narratives with their events and briefs, one row per event."""
+    e = run["events"].select(F.col("id").alias("event_id"), "narrative_id", "event_date",
+                             F.col("description").alias("event_description"), "significance_score")
+    n = run["narratives"].select(F.col("id").alias("narrative_id"), "name", "description", "support_count")
+    size = run["cluster_article"].groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_articles"))
+    c = (run["clusters"].join(size, F.col("id") == F.col("cluster_id"))
+         .groupBy("narrative_id", F.col("cluster_date").alias("_d")).agg(F.sum("n_articles").alias("n_articles")))
+    return finish(e.join(n, "narrative_id").join(c, ["narrative_id"]).where(F.col("_d") == F.to_date("event_date")).drop("_d"))
+
+
+def q_weekly_pipeline(spark, sf_dir):
+    """P1 end to end with the stub model: TextRank compression, naming, upsert, clusters, events."""
+    from .plans import pipeline
+    run = pipeline.weekly_run(_arts(spark, sf_dir, with_embedding=False), _rsp.stub_responder, _rsp.stub_brief,
+                              _no_cache(spark), threshold=GATE_THRESHOLD)
+    return _run_tables(run)
+
+
+def q_historical(spark, sf_dir):
+    """P2 end to end: the forward grid without the weeks the weekly store already holds."""
+    from .plans import pipeline
+    done = _weekly_tables(spark, sf_dir)["events"].where(F.col("event_date") >= F.to_timestamp(F.lit(SLICE_START)))
+    run = pipeline.historical_run(_arts(spark, sf_dir, with_embedding=False), done, _rsp.stub_responder, _rsp.stub_brief,
+                                  _no_cache(spark), months=HIST_MONTHS, threshold=GATE_THRESHOLD)
+    return _run_tables(run)
+
+
+def q_pipeline_cost(spark, sf_dir):
+    """D9 + D10: calls and cost of the weekly run, with the cost per narrative."""
+    from .plans import pipeline
+    run = pipeline.weekly_run(_arts(spark, sf_dir, with_embedding=False), _rsp.stub_responder, _rsp.stub_brief,
+                              _no_cache(spark), threshold=GATE_THRESHOLD)
+    return finish(run["cost"], 9)
+
+
 def _register_model_steps(d):
     d.update({"extract_statements": q_extract_statements, "name_by_titles": q_name_by_titles,
-              "name_by_statements": q_name_by_statements, "llm_cache_put": q_llm_cache_put, "weekly_brief": q_weekly_brief})
+              "name_by_statements": q_name_by_statements, "llm_cache_put": q_llm_cache_put, "weekly_brief": q_weekly_brief,
+              "weekly_pipeline": q_weekly_pipeline, "historical": q_historical, "pipeline_cost": q_pipeline_cost})
     return d
 
 
