@@ -79,6 +79,7 @@ def count(slots: int):
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32()))]
             + [pa.array([r[3].tobytes() for r in rows], pa.binary())], names=["model", "kind", "block", "counts"])
+
     return run
 
 

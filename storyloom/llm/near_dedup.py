@@ -5,10 +5,14 @@ each of ``tables`` seeds the ``per_key`` labelled k-mers with the smallest hashe
 are taken and, kept in their order in the text, make one bucket key: texts agree
 on a key only if they share the k-mers *and* their order.
 
-Inside a bucket the member with the smallest content code leads, and each other
-member is aligned with it.  Members that a leader does not link stay in the
-bucket and get new leaders, twice as many in each round, until no bucket has two
-such members: nothing is capped, and a bucket of copies needs one alignment each.
+Inside a bucket the member that shares most buckets with others leads, as the
+original of a group of copies does, and each other member is aligned with it: a
+bucket of copies needs one alignment each.  Buckets whose members are not all in
+one component after that are settled whole: in blocks of ``BLOCK`` texts, a task
+counts the k-mers that each two share by one matrix product, aligns those that
+can reach the threshold and are not connected yet, and returns the links that
+connect something new.  The largest component of a bucket is only compared with
+the rest, never with itself.  Nothing is capped and no list of pairs is made.
 
 The alignment is the longest common subsequence of the two k-mer sequences within
 a band of diagonals, as similarity ``common / (n + n' - common)``.  Labelled
@@ -31,8 +35,9 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -41,6 +46,10 @@ from .components import components
 from .hashing import FACTORS, U64, labelled, mix, shingles, text_pieces, words
 
 
+#: Texts of a block when a bucket is settled whole.
+BLOCK = 256
+
+
 def least_in_order(kmers: np.ndarray, starts: np.ndarray, seed: int, per_key: int) -> np.ndarray:
     """One key per row: its ``per_key`` labelled k-mers of smallest seeded hash, in text order.
 
@@ -142,35 +151,95 @@ def align_pairs(pairs: DataFrame, stored: DataFrame, k: int, threshold: float, n
     return materialize(tested.union(pairs.filter(~fits).select("a", "b", F.lit(False))), f"{name}-tested")
 
 
+def overlaps(texts: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 8192) -> np.ndarray:
+    """How many values each left text shares with each right one."""
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    _, at, often = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    shared = often[at] > 1
+    _, at = np.unique(at[shared], return_inverse=True)
+    owner = owner[shared]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lead in range(0, int(at.max(initial=-1)) + 1, width):
+        here = (at >= lead) & (at < lead + width)
+        held = np.zeros((len(texts), width), np.float32)
+        held[owner[here], at[here] - lead] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def settle(threshold: float):
+    """One cell: rows ``row, comp, own, kmers``; ``own`` marks the left block, null means a block with itself."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        texts = [np.frombuffer(x, np.uint32) for x in rows["kmers"]]
+        n = np.array([len(t) for t in texts])
+        own = rows["own"]
+        alone = bool(own.isna().all())
+        left = np.arange(len(texts)) if alone else np.flatnonzero(own.to_numpy(bool))
+        right = left if alone else np.flatnonzero(~own.to_numpy(bool))
+        common = overlaps(texts, left, right)
+        alike = common / np.maximum(n[left][:, None] + n[right][None, :] - common, 1)
+        x, y = np.nonzero(alike >= threshold - 1e-6)
+        order = np.argsort(-alike[x, y], kind="stable")
+        root = {c: c for c in rows["comp"]}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        ids, comp, links = rows["row"].to_numpy(), rows["comp"].to_numpy(), []
+        for i, j in zip(left[x[order]].tolist(), right[y[order]].tolist(), strict=True):
+            p, q = top(comp[i]), top(comp[j])
+            if p != q and aligned(texts[i], texts[j], threshold) >= threshold:
+                root[p] = q
+                links.append((ids[i], ids[j]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    return run
+
+
+def rest_links(ranked: DataFrame, links: DataFrame, stored: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``a, b`` that connect what is left apart in the buckets ``ranked(key, row)``, given the links so far."""
+    comps = components(links)
+    named = materialize(ranked.select("key", "row").join(comps, ranked["row"] == comps["node"], "left")
+                        .select("key", "row", F.coalesce("component", "row").alias("comp")), "near-named")
+    # The largest component of each bucket, and how many of its texts are in it and in others.  Buckets of the
+    # same texts, of which near copies have many, are settled once.
+    code = F.xxhash64("row")
+    each = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(code).alias("x"),
+                                            F.sum(code.cast("decimal(38,0)")).alias("s"))
+    whole = each.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"),
+                                    F.bit_xor("x").alias("x"), F.sum("s").alias("s")).filter(F.col("all") > F.col("main.n"))
+    plans = (whole.groupBy("all", "x", "s").agg(F.min(F.struct("key", "main")).alias("of")).select("of.*", "all")
+             .select("key", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("others"),
+                     F.ceil(F.col("main.n") / BLOCK).alias("mains")))
+    placed = (named.join(plans, "key").withColumn("aside", F.col("comp") == F.col("main"))
+              .withColumn("part", F.pmod(F.xxhash64("row"), F.when(F.col("aside"), F.col("mains")).otherwise(F.col("others")))
+                          + F.when(F.col("aside"), F.col("others")).otherwise(0)))
+    # Cell (i, j) with i <= j: blocks of other components with each other and with the main one's, which come last.
+    upto = F.when(F.col("aside"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    cells = (placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), upto - 1)))
+             .select("key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "row", "comp",
+                     F.when(F.col("part") != F.col("with"), F.col("part") < F.col("with")).alias("own")))
+    cells = materialize(cells, "near-cells")
+    kmers = materialize(stored.join(cells.select("row").distinct(), "row", "left_semi").select("row", "text")
+                        .mapInArrow(sequence_of(k), "row long, kmers binary"), "near-rest-kmers")
+    return (cells.join(kmers, "row").groupBy("key", "i", "j").applyInPandas(settle(threshold), "a long, b long").distinct())
+
+
 def links_of(members: DataFrame, stored: DataFrame, k: int, threshold: float) -> DataFrame:
     """``a, b`` of the linked texts; ``members`` has the written columns ``key, row, code, n``."""
-    leader = F.struct("code", "row", "n")
-    leaders = (members.groupBy("key").agg(F.min(leader).alias("lead"), F.count(F.lit(1)).alias("held"))
-               .filter("held > 1").select("key", F.col("lead.row").alias("a"), F.col("lead.n").alias("na")))
-    links, done, count, turn = None, None, 1, 0
-    while True:
-        turn += 1
-        met = materialize(members.join(leaders, "key").filter("a <> row")
-                          .select("key", "a", "na", F.col("row").alias("b"), F.col("n").alias("nb"), "code"), f"near-{turn}-met")
-        pairs = met.select("a", "na", "b", "nb").distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        new = align_pairs(pairs, stored, k, threshold, f"near-{turn}")
-        done = new if done is None else materialize(done.union(new), f"near-{turn}-done")
-        links = done.filter("near").select("a", "b")
-        # What no leader of its bucket linked stays; leaders have met everyone there.
-        fates = met.join(done, ["a", "b"]).groupBy("key", F.col("b").alias("row")).agg(F.max("near").alias("near"))
-        left = (met.select("key", F.col("b").alias("row"), "code", F.col("nb").alias("n")).distinct()
-                .join(fates.filter("near"), ["key", "row"], "left_anti")
-                .join(leaders.select("key", F.col("a").alias("row")), ["key", "row"], "left_anti"))
-        crowded = materialize(left, f"near-{turn}-left")
-        held = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("key")
-        members = materialize(crowded.join(held, "key", "left_semi"), f"near-{turn}-members")
-        if members.isEmpty():
-            return links
-        count *= 2
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("code", "row"))
-        leaders = members.withColumn("rank", rank).filter(F.col("rank") <= count).select("key", F.col("row").alias("a"), F.col("n").alias("na"))
+    many = members.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    shared = materialize(members.join(many, "key"), "near-shared")
+    hubs = shared.groupBy("row").agg(F.sum(F.col("held") - 1).alias("meets"))
+    ranked = materialize(shared.join(hubs, "row").select("key", "row", "n", F.struct(-F.col("meets"), "code", "row", "n").alias("place")), "near-ranked")
+    leaders = ranked.groupBy("key").agg(F.min("place").alias("lead")).select("key", F.col("lead.row").alias("a"), F.col("lead.n").alias("na"))
+    met = materialize(ranked.join(leaders, "key").filter("a <> row").select("key", "a", "na", F.col("row").alias("b"), F.col("n").alias("nb")), "near-met")
+    first = align_pairs(met.select("a", "na", "b", "nb").distinct(), stored, k, threshold, "near-lead")
+    links = first.filter("near").select("a", "b")
+
+    second = materialize(rest_links(ranked, links, stored, k, threshold), "near-rest-links")
+    return links.union(second)
 
 
 def classes(stored: DataFrame, tables: int = 16, per_key: int = 4, k: int = 5, threshold: float = 0.8) -> DataFrame:
