@@ -45,7 +45,6 @@ from .common import with_row_id
 from .components import components
 from .hashing import FACTORS, U64, labelled, mix, shingles, text_pieces, words
 
-
 #: Texts of a block when a bucket is settled whole.
 BLOCK = 256
 
@@ -138,17 +137,21 @@ def verify(threshold: float):
     return run
 
 
-def align_pairs(pairs: DataFrame, stored: DataFrame, k: int, threshold: float, name: str) -> DataFrame:
-    """``a, b, near`` for each pair; pairs whose lengths alone exclude the threshold are settled without their texts."""
+def kmers_of(rows: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """``row, kmers`` of the named rows' texts.  Their number grows with the corpus, so they are never broadcast."""
+    wanted = rows.select("row").distinct().hint("merge")
+    return materialize(stored.select("row", "text").join(wanted, "row", "left_semi")
+                       .mapInArrow(sequence_of(k), "row long, kmers binary"), "near-kmers")
+
+
+def align_pairs(pairs: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` of the pairs that are near; pairs whose lengths alone exclude the threshold are not looked at."""
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)
-    open_pairs = materialize(pairs.filter(fits).select("a", "b"), f"{name}-open")
-    wanted = open_pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    kmers = materialize(stored.join(wanted, "row", "left_semi").select("row", "text")
-                        .mapInArrow(sequence_of(k), "row long, kmers binary"), f"{name}-kmers")
     left = kmers.select(F.col("row").alias("a"), F.col("kmers").alias("ka"))
     right = kmers.select(F.col("row").alias("b"), F.col("kmers").alias("kb"))
-    tested = open_pairs.join(right, "b").join(left, "a").select("a", "b", "ka", "kb").mapInArrow(verify(threshold), "a long, b long, near boolean")
-    return materialize(tested.union(pairs.filter(~fits).select("a", "b", F.lit(False))), f"{name}-tested")
+    tested = (pairs.filter(fits).select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ka", "kb")
+              .mapInArrow(verify(threshold), "a long, b long, near boolean"))
+    return materialize(tested.filter("near").select("a", "b"), "near-lead-links")
 
 
 def overlaps(texts: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 8192) -> np.ndarray:
@@ -198,7 +201,7 @@ def settle(threshold: float):
     return run
 
 
-def rest_links(ranked: DataFrame, links: DataFrame, stored: DataFrame, k: int, threshold: float) -> DataFrame:
+def rest_links(ranked: DataFrame, links: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
     """``a, b`` that connect what is left apart in the buckets ``ranked(key, row)``, given the links so far."""
     comps = components(links)
     named = materialize(ranked.select("key", "row").join(comps, ranked["row"] == comps["node"], "left")
@@ -222,8 +225,6 @@ def rest_links(ranked: DataFrame, links: DataFrame, stored: DataFrame, k: int, t
              .select("key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "row", "comp",
                      F.when(F.col("part") != F.col("with"), F.col("part") < F.col("with")).alias("own")))
     cells = materialize(cells, "near-cells")
-    kmers = materialize(stored.join(cells.select("row").distinct(), "row", "left_semi").select("row", "text")
-                        .mapInArrow(sequence_of(k), "row long, kmers binary"), "near-rest-kmers")
     return (cells.join(kmers, "row").groupBy("key", "i", "j").applyInPandas(settle(threshold), "a long, b long").distinct())
 
 
@@ -235,11 +236,9 @@ def links_of(members: DataFrame, stored: DataFrame, k: int, threshold: float) ->
     ranked = materialize(shared.join(hubs, "row").select("key", "row", "n", F.struct(-F.col("meets"), "code", "row", "n").alias("place")), "near-ranked")
     leaders = ranked.groupBy("key").agg(F.min("place").alias("lead")).select("key", F.col("lead.row").alias("a"), F.col("lead.n").alias("na"))
     met = materialize(ranked.join(leaders, "key").filter("a <> row").select("key", "a", "na", F.col("row").alias("b"), F.col("n").alias("nb")), "near-met")
-    first = align_pairs(met.select("a", "na", "b", "nb").distinct(), stored, k, threshold, "near-lead")
-    links = first.filter("near").select("a", "b")
-
-    second = materialize(rest_links(ranked, links, stored, k, threshold), "near-rest-links")
-    return links.union(second)
+    kmers = kmers_of(ranked, stored, k)
+    links = align_pairs(met.select("a", "na", "b", "nb").distinct(), kmers, threshold)
+    return links.union(materialize(rest_links(ranked, links, kmers, threshold), "near-rest-links"))
 
 
 def classes(stored: DataFrame, tables: int = 16, per_key: int = 4, k: int = 5, threshold: float = 0.8) -> DataFrame:
