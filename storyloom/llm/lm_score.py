@@ -115,7 +115,9 @@ def losses(counts: np.ndarray, total: int, word: np.ndarray, pair: np.ndarray, c
 
 def score(docs: DataFrame, good: DataFrame, slots: int = 1 << 19, mu: float = 20.0) -> DataFrame:
     """``doc_id, n_words, target_loss, background_loss, score`` per document; ``good(doc_id)`` names the target documents."""
-    marked = (docs.select("doc_id", "text").join(good.select("doc_id").distinct().withColumn("_good", F.lit(True)), "doc_id", "left")
+    # The list of good documents grows with the corpus: it is never broadcast.
+    named = good.select("doc_id").distinct().withColumn("_good", F.lit(True)).hint("merge")
+    marked = (docs.select("doc_id", "text").join(named, "doc_id", "left")
               .withColumn("good", F.coalesce("_good", F.lit(False))))
     counted = models(marked, slots)
     shared = docs.sparkSession.sparkContext.broadcast(counted.astype(np.float32) if counted.max(initial=0) < 1 << 24 else counted)
