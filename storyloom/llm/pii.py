@@ -168,6 +168,7 @@ def trusted_patterns(seen: DataFrame, words: DataFrame, rounds: int, min_seeds:
            .filter(F.col("before_one") >= min_cue_share * F.coalesce(F.col("total"), F.lit(0))))
     lexical = (seen.filter("seed").groupBy("pattern", "cue", "kind").agg(F.count(F.lit(1)).alias("seeds"))
                .filter(F.col("seeds") >= min_seeds).join(cue, "cue", "left_semi").select("pattern", "kind"))
+    lexical = materialize(lexical, "pii-lexical")  # two plans read it, and below it all words are counted
     # The graph of these patterns only.  A value that is a seed of another kind counts against the pattern.
     graph = materialize(seen.join(lexical.select("pattern").distinct(), "pattern", "left_semi")
                         .select("pattern", "value", F.col("kind").alias("as_kind"), "seed"), "pii-graph")
