@@ -191,7 +191,7 @@ def witnesses(lines: DataFrame, docs: DataFrame, min_near: int) -> DataFrame:
     kept = shared(spread).select("id").distinct()
     # The texts of the lines that passed, each from the document where it stands first.
     at = lines.join(kept, "id", "left_semi").select("id", "first.doc_id", "first.content", "first.line")
-    wanted = at.groupBy("doc_id", "content").agg(F.collect_list("id").alias("ids"), F.collect_list("line").alias("lines"))
+    wanted = at.groupBy("doc_id", "content").agg(F.collect_list("id").alias("ids"), F.collect_list("line").alias("lines")).hint("merge")  # grows with the corpus: never broadcast
     source = docs.select(F.col("doc_id").alias("d"), F.col("content").alias("c"), "text")
     texts = (source.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("c") == F.col("content")))
              .select("text", "ids", "lines").mapInArrow(pick_lines, "id long, text string"))
@@ -244,6 +244,6 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``dropped``, the numbers of those lines (null: none)."""
     gone = materialize(repeated_lines(docs, **options), "lines-gone").withColumnsRenamed({"doc_id": "_d", "content": "_c"})
     name = fresh(docs.columns, "dropped")
-    gone = gone.withColumnRenamed("dropped", name)
+    gone = gone.withColumnRenamed("dropped", name).hint("merge")  # grows with the corpus: never broadcast
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_d"]) & (F.md5(docs["text"]) == gone["_c"]), "left").drop("_d", "_c")
     return joined.withColumn("text", without("text", F.col(name)))

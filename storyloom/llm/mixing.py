@@ -176,6 +176,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     segments, _ = mix(sizes, **options)
     copies = fresh(docs.columns, "_copies")
     drawn = segments.filter("skip = 0").groupBy("row").agg(F.count(F.lit(1)).cast("int").alias(copies))
-    return (stored.join(drawn.withColumnRenamed("row", uid), uid)
+    return (stored.join(drawn.withColumnRenamed("row", uid).hint("merge"), uid)  # one row per document: never broadcast
             .withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies))))
             .select(*docs.columns))

@@ -276,5 +276,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     others = materialize(of, "near-of")
     stay = others.groupBy("class").agg(F.min(first).alias("first")).select(F.col("first.row").alias("row"))
-    drop = others.select("row").join(stay, "row", "left_anti").withColumnRenamed("row", uid)
+    drop = others.select("row").join(stay, "row", "left_anti").withColumnRenamed("row", uid).hint("merge")  # never broadcast
     return stored.join(drop, uid, "left_anti").select(*docs.columns)

@@ -154,7 +154,7 @@ def cuts(held: DataFrame, precision: float, least: int = 25, bins: int = 400) ->
 def train(docs: DataFrame, labels: DataFrame, rounds: int = 2, precision: float = 0.97, pseudo_weight: float = 0.25) -> Classifier | None:
     """The combined classifier, or None if the labels hold fewer than two classes."""
     marks = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
-             .agg((F.avg("quality") >= 0.5).cast("double").alias("y")))
+             .agg((F.avg("quality") >= 0.5).cast("double").alias("y")).hint("merge"))  # grows with the corpus: never broadcast
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars").mapInArrow(
         featurise, "doc_id long, text_view array<float>, meta_view array<float>")
     table = materialize(made.join(marks, "doc_id", "left").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0), "quality-features")
