@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 #: Bytes of text hashed at once; a longer text is hashed alone.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True

@@ -74,11 +74,13 @@ def count(slots: int):
                     sums[0, kind] += np.bincount(x, minlength=slots + 1)
                     if chosen.any():
                         sums[1, kind] += np.bincount(x[chosen], minlength=slots + 1)
-        rows = [(m, k, b, sums[m, k, b * BLOCK:(b + 1) * BLOCK]) for m in range(2) for k in range(3) for b in range(-(-(slots + 1) // BLOCK))]
-        rows = [r for r in rows if r[3].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32()))]
-            + [pa.array([r[3].tobytes() for r in rows], pa.binary())], names=["model", "kind", "block", "counts"])
+        blocks = range(-(-(slots + 1) // BLOCK))
+        for m, k, lead in ((m, k, lead) for m in range(2) for k in range(3) for lead in blocks[::32]):  # a MB at a time
+            rows = [(b, sums[m, k, b * BLOCK:(b + 1) * BLOCK]) for b in blocks[lead:lead + 32]]
+            rows = [r for r in rows if r[1].any()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x] * len(rows), pa.int32()) for x in (m, k)] + [pa.array([b for b, _ in rows], pa.int32())]
+                + [pa.array([c.tobytes() for _, c in rows], pa.binary())], names=["model", "kind", "block", "counts"])
 
     return run
 
