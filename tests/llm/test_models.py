@@ -82,6 +82,34 @@ def test_scores_match_plain_counting(spark):
     assert lm_score.score(df, df.limit(0), slots=100).filter("n_words > 0 AND score IS NULL").count() == 0
 
 
+def test_every_word_and_pair_is_counted_as_itself(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 3000) % 10**9)) for i in range(300)]
+    rows += [(None, "w1 w2"), (7, "w1 w1"), (7, "w1 w1"), (400, None), (401, " ")]
+    good = set(range(0, 300, 3)) | {7}
+    texts = [(i, (t or "").split()) for i, t in rows]
+    models = []
+    for some in (texts, [x for x in texts if x[0] in good]):
+        single, pair, context = Counter(), Counter(), Counter()
+        for _, ws in some:
+            single.update(ws)
+            pair.update(zip([None, *ws], ws, strict=False))
+            context.update([None, *ws][:len(ws)])
+        models.append((single, pair, context, single.total()))
+    types = len(models[0][0])
+    assert len(models[0][1]) > 1 << 17 and types > 1 << 15
+    want = []
+    for i, ws in texts:
+        loss = [sum(-math.log((p[v, w] + 20.0 * (s[w] + 1) / (n + types)) / (c[v] + 20.0)) for v, w in zip([None, *ws], ws, strict=False)) / len(ws)
+                if ws else None for s, p, c, n in models]
+        want.append((str(i), len(ws), *loss))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.score(df, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()
+    got = sorted(((str(r.doc_id), r.n_words, r.background_loss, r.target_loss) for r in got), key=str)
+    for g, w in zip(got, sorted(want, key=str), strict=True):
+        assert g[:2] == w[:2] and (g[2:] == w[2:] or np.allclose(g[2:], w[2:], atol=1e-9)), (g, w)
+
+
 def test_words_and_labels_of_hashing():
     texts = ["a  bb\ta\n", "", "é é x", " ", "bb"]
     (_, _, data, offsets), = hashing.text_pieces(pa.array([*texts, None]))
