@@ -10,14 +10,14 @@ precision on the original vectors.
 Every row is indexed in every table.  A bucket is searched in blocks of at most
 about ``block`` rows and ``block`` queries, each pair of blocks a task of its
 own, so a bucket with a third of all rows is as many tasks as it needs and no
-bucket is capped.  A task returns the ``k`` best per query.  Queries for which
+bucket is capped.  A task returns the ``k`` best ids per query.  Queries for which
 the probes met fewer than ``k`` rows, as on tiny tables, are then searched
 against all rows, in the same blocks.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components
 take no part, nor do null ids; vectors are only compared with those of the same
-length; rows with the query's id are its own; an id that several rows share is
-listed once, with its best score; ties go to the smaller id; an empty table gives
+length; rows with the query's id are its own; equal rows count once, and an id
+that several rows share takes one place, with its best score; ties go to the smaller id; an empty table gives
 no row; extra columns are not read.
 """
 
@@ -93,21 +93,25 @@ def hashed(vectors: DataFrame, tables: int, hashes: int, probes: int, seed: int)
 
 
 def best_of(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest rows of each query, by cosine, then smaller id."""
+    """The k nearest ids of each query, by the cosine of each id's best row, then smaller id."""
     out = []
     if len(rows) and len(queries):
+        rows = rows.sort_values("vec_id", kind="stable")
         ids = rows["vec_id"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         x, q = unit([np.asarray(v) for v in rows["embedding"]]), unit([np.asarray(v) for v in queries["embedding"]])
         for start in range(0, len(q), 256):
             rough = q[start:start + 256] @ x.T
             for i, near in enumerate(rough):
                 own = queries["query_id"].iloc[start + i]
                 near[ids == own] = -np.inf
-                least = np.partition(near, -k)[-k] if len(near) > k else -2.0
+                best = np.maximum.reduceat(near, first)
+                least = np.partition(best, -k)[-k] if len(best) > k else -2.0
                 at = np.nonzero(near >= max(least, -2.0) - 1e-9)[0]
                 # The products above may differ in the last bits from block to block; these do not.
                 score = np.einsum("ij,j->i", x[at], q[start + i])
-                top = np.lexsort((ids[at], -score))[:k]
+                order = np.lexsort((ids[at], -score))
+                top = order[np.sort(np.unique(ids[at][order], return_index=True)[1])[:k]]
                 out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at][top], "score": np.clip(score[top], -1.0, 1.0)}))
     found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     return found.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
@@ -144,7 +148,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 8, h
             block: int = 4096, seed: int = 11) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows found for each row where ``is_query``."""
     rows = materialize(vectors.filter(usable("embedding") & F.col("vec_id").isNotNull())
-                       .select("vec_id", "embedding", F.size("embedding").alias("d"), is_query.alias("is_query")), "ann-rows")
+                       .select("vec_id", "embedding", F.size("embedding").alias("d"), is_query.alias("is_query")).distinct(), "ann-rows")
     asked = rows.filter("is_query").select(F.col("vec_id").alias("query_id"), "embedding", "d")
     spots = F.posexplode("spots").alias("table", "near")
     index = (hashed(rows.select("vec_id", "embedding", "d"), tables, hashes, 1, seed)
@@ -155,7 +159,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 8, h
     found = materialize(top(search_buckets(index, probing, k, block), k), "ann-found")
 
     # Queries that met too few rows, though there are more of their length.
-    lengths = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    lengths = rows.groupBy("d").agg(F.countDistinct("vec_id").alias("n"))
     met = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("met"))
     short = (asked.join(lengths, "d").join(met, "query_id", "left")
              .filter(F.coalesce("met", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("query_id", "embedding", "d"))

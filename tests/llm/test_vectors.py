@@ -1,6 +1,7 @@
 """Embedding near-duplicates and nearest neighbours against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from storyloom.llm import ann, components, embed_dedup
@@ -104,6 +105,32 @@ def test_probing_everything_is_exact_and_few_are_filled_up(spark, options):
                 assert ranked[n][0] == i and abs(ranked[n][1] - s) < 1e-12
 
 
+@pytest.mark.parametrize("copies", [2, 9])
+def test_one_block_lists_the_nearest_ids(copies):
+    rng = np.random.default_rng(copies)
+    rows = [(i, [float(v) for v in rng.normal(size=4)]) for _ in range(copies) for i in range(1, 12)] + [(0, [1.0, 0.0, 0.0, 0.0])]
+    rows += rows[:20]
+    got = ann.best_of(pd.DataFrame(rows, columns=["vec_id", "embedding"]), pd.DataFrame(rows[-21:-20], columns=["query_id", "embedding"]), 5)
+    assert got["vec_id"].tolist() == [i for i, _ in brute_nearest(rows)[0]]
+
+
+@pytest.mark.parametrize("options", [{"probes": 64}, {"probes": 64, "block": 10}, {"tables": 1, "probes": 1}])
+def test_repeated_ids_take_one_place(spark, options):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(v) for v in rng.normal(size=16).astype(np.float32)]) for i in range(120)]
+    rows += [r for r in rows for _ in range(1 if r[0] % 3 else 7)]  # ids twice and eight times
+    rows += [(i, [float(np.float32(v + 0.001 * j)) for v in x]) for i, x in rows[:120] if i % 50 and i % 4 == 0 for j in range(1, 7)]
+    want = brute_nearest(rows)
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, **options).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert got.keys() == want.keys()
+    for q, ranked in got.items():
+        assert sorted(ranked) == [1, 2, 3, 4, 5] and len({i for i, _ in ranked.values()}) == 5
+        if options["probes"] > 1:
+            assert all(ranked[n][0] == i and abs(ranked[n][1] - s) < 1e-12 for n, (i, s) in enumerate(want[q], 1))
+
+
 def test_recall_on_the_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = brute_nearest([(r.vec_id, r.embedding) for r in df.collect()])
