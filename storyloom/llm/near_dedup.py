@@ -5,6 +5,13 @@ each of ``tables`` seeds the ``per_key`` labelled k-mers with the smallest hashe
 are taken and, kept in their order in the text, make one bucket key: texts agree
 on a key only if they share the k-mers *and* their order.
 
+A near pair of few k-mers could miss all tables, so a short text has sure keys
+too.  Of its ``n`` k-mers at most ``f = (1 - threshold) n`` are not in common with
+a near copy, so the ``per_key`` common ones of smallest hash are among its ``f +
+per_key`` smallest: each choice of ``per_key`` of those, in text order, is a key.
+Texts with at most ``SURE`` such choices (24 k-mers or fewer at 0.8) get them, and
+two such texts are never missed.
+
 Inside a bucket the member that shares most buckets with others leads, as the
 original of a group of copies does, and each other member is aligned with it: a
 bucket of copies needs one alignment each.  Buckets whose members are not all in
@@ -33,6 +40,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -47,6 +56,8 @@ from .hashing import FACTORS, U64, labelled, mix, shingles, text_pieces, words
 
 #: Texts of a block when a bucket is settled whole.
 BLOCK = 256
+#: Most sure keys of a text.
+SURE = 70
 
 
 def least_in_order(kmers: np.ndarray, starts: np.ndarray, seed: int, per_key: int) -> np.ndarray:
@@ -76,7 +87,24 @@ def least_in_order(kmers: np.ndarray, starts: np.ndarray, seed: int, per_key: in
     return mix(sums[first[1:]] - sums[first[:-1]] + U64(seed))
 
 
-def sketch(tables: int, per_key: int, k: int):
+def sure_keys(kmers: np.ndarray, starts: np.ndarray, per_key: int, threshold: float) -> dict[int, list[int]]:
+    """For each short row, keys of which it shares one with any other short row at ``threshold`` or above."""
+    n, out = np.diff(starts), {}
+    for size in np.unique(n[n > 0]).tolist():
+        apart = int((1.0 - threshold) * size + 1e-9)
+        if comb(apart + per_key, per_key) > SURE:
+            break
+        rows = np.flatnonzero(n == size)
+        own = kmers[starts[rows][:, None] + np.arange(size)]
+        at = np.sort(np.argsort(mix(own), axis=1)[:, :apart + per_key], axis=1)
+        own = np.take_along_axis(own, at, axis=1)
+        chosen = np.array(list(combinations(range(own.shape[1]), min(per_key, size))))
+        made = mix((own[:, chosen] * FACTORS[:chosen.shape[1]]).sum(axis=2, dtype=U64)).view(np.int64)
+        out.update(zip(rows.tolist(), made.tolist(), strict=True))
+    return out
+
+
+def sketch(tables: int, per_key: int, k: int, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys = [], []
@@ -86,7 +114,8 @@ def sketch(tables: int, per_key: int, k: int):
                 n = np.diff(starts)
                 made = np.stack([least_in_order(kmers, starts, t + 1, per_key) for t in range(tables)], axis=1).view(np.int64)
                 sizes.append(n)
-                keys += [x if m else [] for x, m in zip(made.tolist(), n.tolist(), strict=True)]
+                sure = sure_keys(kmers, starts, per_key, threshold)
+                keys += [x + sure.get(i, []) if m else [] for i, (x, m) in enumerate(zip(made.tolist(), n.tolist(), strict=True))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("content"), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()),
                                               pa.array(keys, pa.list_(pa.int64()))], names=["row", "content", "n", "keys"])
     return run
@@ -244,11 +273,11 @@ def links_of(members: DataFrame, stored: DataFrame, k: int, threshold: float) ->
 def classes(stored: DataFrame, tables: int = 16, per_key: int = 4, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """``row, class`` over a written table ``row, text, ...``: rows of one class are near copies; no row for texts without words."""
     made = (stored.select("row", "text", F.md5("text").alias("content"))
-            .mapInArrow(sketch(tables, per_key, k), "row long, content string, n long, keys array<long>"))
+            .mapInArrow(sketch(tables, per_key, k, threshold), "row long, content string, n long, keys array<long>"))
     rows = materialize(made.filter("n > 0"), "near-sketches")
     equal = materialize(rows.groupBy("content").agg(F.min(F.struct("row", "n", "keys")).alias("of")).select("content", "of.*"), "near-distinct")
     keyed = equal.select(F.col("row"), "n", F.xxhash64("content").alias("code"), F.posexplode("keys").alias("table", "h"))
-    members = materialize(keyed.select(F.xxhash64("table", "h").alias("key"), "row", "code", "n"), "near-keys")
+    members = materialize(keyed.select(F.xxhash64(F.least("table", F.lit(tables)), "h").alias("key"), "row", "code", "n"), "near-keys")  # the sure keys come last, as one table
     linked = components(links_of(members, stored, k, threshold))
     of = materialize(equal.select("content", "row").join(linked, equal["row"] == linked["node"], "left")
                      .select("content", F.coalesce("component", "row").alias("class")), "near-classes")

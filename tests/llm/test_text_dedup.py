@@ -186,3 +186,13 @@ def test_alignment_is_the_banded_common_subsequence():
 
 def test_hot_line_query(spark):
     assert queries.op3_line_dedup(spark, "/root/testdata/sf0.001").filter("n_dropped > 0").count() > 0
+
+
+def test_short_copies_are_never_missed(spark):
+    rng, rows = random.Random(12), []
+    for i in range(0, 3000, 2):
+        n, drop = rng.choice([(9, 1), (14, 2), (24, 4)])
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:-drop]))]  # 4 of 5, 8 of 10 and 16 of 20 k-mers
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.class_id) for r in got if r.class_id != r.doc_id - r.doc_id % 2] == []
