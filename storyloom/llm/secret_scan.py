@@ -3,7 +3,7 @@
 Three base rules find keyword assignments, access keys and hex runs.  Beyond
 them a small lexer reads source and configuration syntax into (name, value)
 pairs: ``name = "literal"``, ``"name": 'literal'``, ``name := literal``,
-``name => literal``, ``export NAME=literal``, ``<name>literal</name>`` and
+``name => literal``, ``name: type = literal``, ``Name: Bearer literal``, ``export NAME=literal``, ``<name>literal</name>`` and
 ``--name literal``.  Constants propagate: in ``k = "..."``, ``password = k``
 and ``password = part + "rest"`` the literals that reach a sensitive name are
 scored under it.  A literal is reported when the product of its name's weight
@@ -37,7 +37,12 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
 QUOTED = r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`[^`\n]*+`'
 ATOM = rf"(?:{QUOTED}|[A-Za-z0-9_$.+/=~!@#%^&*-]++)"
-PAIR = re.compile(rf"""(?<![A-Za-z0-9_$.-])["']?({NAME})["']?[ \t]*+(?::=|=>|==?(?!=)|:(?![:/]))[ \t]*+({ATOM}(?:[ \t]*+\+[ \t]*+{ATOM})*)""")
+#: A type before ``=``: any with a space after it, or a common one (``env: KEY=abc`` is no typed assignment).
+TYPED = r""":[ \t]*+(?:[A-Za-z_][A-Za-z0-9_.]{0,63}+(?:[\[<][A-Za-z0-9_., |\[\]<>]{0,64}+)?(?:[ \t]*+\|[ \t]*+[A-Za-z_][A-Za-z0-9_.]{0,63}+){0,4}+[ \t]*+(?<=[ \t])=|(?:str|string|String|bytes)=)(?![=>])"""
+#: The scheme before a token, and an unquoted value that is a pair of its own.
+SCHEME = r"""(?:["']?(?i:bearer|basic)[ \t]++(?=[A-Za-z0-9]))?"""
+NESTED = r"""(?![A-Za-z_][A-Za-z0-9_]*+=[A-Za-z0-9_$.+/~"'-])"""
+PAIR = re.compile(rf"""(?<![A-Za-z0-9_$.-])["']?({NAME})["']?[ \t]*+(?:{TYPED}|:=|=>|==?(?!=)|:(?![:/]))[ \t]*+{SCHEME}{NESTED}({ATOM}(?:[ \t]*+\+[ \t]*+{ATOM})*)""")
 TAG = re.compile(rf"<({NAME})>([^<>\s]++)</\1>")
 FLAG = re.compile(rf"(?<!\S)--({NAME})[ \t]++([^\s-]\S*+)")
 PART = re.compile(ATOM)

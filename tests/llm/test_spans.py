@@ -93,6 +93,19 @@ def test_literals_reach_sensitive_names():
     assert strings('passphrase = "changeme123"\npwd = "${PASSWORD}"\nmonkey = "aB3dE6gH9kL2"\ntitle: Chapter') == []
 
 
+def test_types_schemes_and_nested_pairs():
+    def strings(t):
+        return [t[s:e] for s, _, e in secret_scan.spans(t)[1]]
+
+    for t in ('private_key: str = "qQ1-wW2-eE3-rR4"', 'const pwd: string = "qQ1-wW2-eE3-rR4";', "pwd: Optional[str] = 'qQ1-wW2-eE3-rR4'",
+              "pwd: str | None = 'qQ1-wW2-eE3-rR4'", 'pwd:str="qQ1-wW2-eE3-rR4"', "Authorization: Bearer qQ1-wW2-eE3-rR4",
+              '"Authorization": "Basic qQ1-wW2-eE3-rR4"', "env: PRIVATE_KEY=qQ1-wW2-eE3-rR4", "pwd = qQ1-wW2-eE3-rR4"):
+        assert strings(t) == ["qQ1-wW2-eE3-rR4"], t
+    assert strings("private_key: qQ1wW2eE3rR4==") == ["qQ1wW2eE3rR4=="]
+    for t in ("a: " * 50_000, "a: b | " * 30_000, "a: b[" * 40_000, "env: A=" * 30_000, "a: bearer " * 20_000):
+        secret_scan.spans(t)
+
+
 def test_prose_gives_nothing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert secret_scan.find(docs).filter(F.size("found") > 0).count() <= 2
