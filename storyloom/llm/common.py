@@ -13,9 +13,10 @@ from ..session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Keeps Arrow batches of whole texts small, so that workers hold a few MB at a time."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> SparkSession:
+    """Keeps Arrow batches of whole texts small, so that workers hold a few MB (or one longer text) at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return spark
 
 

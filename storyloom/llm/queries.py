@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from ..sources.tables import read_table
-from . import ann, embed_dedup, line_dedup, lm_score, mixing, near_dedup, packing, pii, quality, secret_scan
+from . import (ann, divergence, embed_dedup, fill_middle, langid, line_dedup, lm_score, mixing, near_dedup, packing, pii, quality,
+               secret_scan)
 from .common import bounded_batches
 
 
@@ -149,6 +150,66 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(configure(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(configure(spark))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    models = langid.train(docs.filter(~langid.held_out()))
+    return langid.predict(docs, models).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(configure(spark))
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d),
+t AS (SELECT r, lang, source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM o),
+l AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+k AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN l USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS size FROM l GROUP BY lang),
+g0 AS (SELECT DISTINCT lang, source FROM d),
+g AS (SELECT g0.lang, g0.source, coalesce(s.total, 0)::HUGEINT AS total, v.size FROM g0 LEFT JOIN v USING (lang)
+      LEFT JOIN (SELECT lang, source, sum(n) AS total FROM k GROUP BY ALL) s USING (lang, source)),
+p AS (SELECT g.lang, g.source, l.term, coalesce(k.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(k.n, 0) + 1)) // (g.total + g.size) AS p,
+        1 + (1000000000::HUGEINT * (l.n + 1)) // (v.total + v.size) AS q
+      FROM g JOIN l USING (lang) JOIN v USING (lang) LEFT JOIN k USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM r QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
+"""
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(configure(spark))
+    cut = fill_middle.transform(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+                  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+d AS (SELECT doc_id, t, n, ('0x' || substr(s, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(s, 9, 8))::BIGINT % (n + 1) AS c2,
+             ('0x' || substr(s, 17, 8))::BIGINT AS h3, ('0x' || substr(s, 25, 8))::BIGINT AS h4 FROM h),
+c AS (SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+             WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -161,8 +222,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_lm_score": op9_lm_score,
         "op10_ann": op10_ann,
+        "op11_langid": op11_langid,
+        "op12_divergence": op12_divergence,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_embed_dedup": OP5_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_embed_dedup": OP5_SQL, "op12_divergence": OP12_SQL,
+            "op13_fill_middle": OP13_SQL}
