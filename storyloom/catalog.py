@@ -164,7 +164,7 @@ def q_source_diversity(spark, sf_dir):
 
 def _member_vectors(m):
     from .session import materialize
-    return materialize(_vec.hash_embed(m.select("id", "content"), "id", "content"), "vectors")
+    return materialize(_vec.hash_packed(m, "id", "content", keep=weekly.KEYS), "vectors")
 
 
 def q_near_dup_rate(spark, sf_dir):
@@ -194,7 +194,7 @@ def _emb(spark, sf_dir):
 
 def q_coherence(spark, sf_dir):
     e = _emb(spark, sf_dir)
-    v = _vec.dense_to_sparse(e, "id", "embedding")
+    v = _vec.unit_dense(e, "id", "embedding", keep=["label"])
     c = _q.coherence(e.select("label", "id"), v, ["label"])
     n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
     return finish(c.join(n, "label"))
@@ -202,13 +202,13 @@ def q_coherence(spark, sf_dir):
 
 def q_centroids(spark, sf_dir):
     e = _emb(spark, sf_dir)
-    return finish(_q.centroids(e.select("label", "id"), _vec.raw_dense_to_long(e, "id", "embedding"),
+    return finish(_q.centroids(e.select("label", "id"), e.withColumnRenamed("embedding", "vec"),
                                ["label"]))
 
 
 def q_cosine_pairs(spark, sf_dir):
     e = _emb(spark, sf_dir)
-    v = _vec.dense_to_sparse(e, "id", "embedding")
+    v = _vec.unit_dense(e, "id", "embedding", keep=["label"])
     return finish(_pairs.similar_pairs(e.select("label", "id"), v, ["label"], COSINE_PAIR_THRESHOLD))
 
 
@@ -234,7 +234,7 @@ def q_kmeans_lloyd(spark, sf_dir):
 
 def q_silhouette_exact(spark, sf_dir):
     e = _emb(spark, sf_dir)
-    s = _pairs.silhouette(e.select("id", "label"), _vec.raw_dense_to_long(e, "id", "embedding"), [], "label")
+    s = _pairs.silhouette(e.select("id", "label"), e.select("id", F.col("embedding").alias("vec")), [], "label")
     return finish(s)
 
 
@@ -512,7 +512,7 @@ def _build_weekly_tables(spark, sf_dir):
     nowc = adapters.now_col()
     acc = (scored.where(F.col("accepted"))
            .withColumn("week_start", _dates.week_back_start(F.col("week"), nowc)))
-    med = _q.medoids(m.join(acc.select(*keys), keys, "left_semi"), v, keys, 3)
+    med = _q.medoids(m.join(acc.select(*keys), keys, "left_semi"), _q.of_clusters(v, acc, keys), keys, 3)
     texts = materialize(med.join(m, [*keys, "id"]).select(
         *keys, "id", F.col("medoid_rank").alias("doc_order"), "source", "title", "url", "published_date",
         F.concat(F.col("title"), F.lit(". "), F.col("content")).alias("text")), "store-medoid-texts")

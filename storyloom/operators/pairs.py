@@ -1,186 +1,243 @@
-"""Exact blocked pair kernel (C8, D4, V4 pairs, D12).
-
-Pair counts are quadratic by definition, so the work cannot be linear — but the
-*shuffle* and the *memory per task* can be bounded:
-
-* rows of a cluster with n rows get a block ``pmod(xxhash64(id), ceil(n/B))``;
-* each row is sent once to every block pair it belongs to, keyed
-  ``(cluster…, lo, hi)`` – n·⌈n/B⌉ rows shuffled instead of n² pairs;
-* one ``applyInPandas`` call per block pair does a single matrix product over at
-  most 2B rows and returns only what is asked: a count, the pairs above the
-  threshold, or per-row distance sums.  No pair list is ever materialised.
-
-A cluster holding a third of all rows simply has more block pairs, spread by
-AQE over all executors; a cluster smaller than B is one task.
+"""Exact pairs of similar vectors inside clusters (C8, D4, V4 pairs) and exact distance sums.
+
+Similar pairs.  Whole vectors never meet in a product unless their cosine may
+reach the threshold:
+
+* Equal vectors are one *class* with a number of rows; their pairs are counted,
+  not compared.  So a group of copies of any size is one row.
+* A class is reduced to a *code*: its coordinates in an orthonormal basis of
+  ``CODE`` directions, and the length of what is left over.  For unit vectors
+  u·v ≤ Pu·Pv + ‖u − Pu‖·‖v − Pv‖, whatever the basis, so pairs whose bound stays
+  below the threshold are out without error.  The basis holds the principal
+  directions of a bounded sample of classes; the sample decides the speed only.
+* Codes (256 bytes of a vector's up to 9 KB) go to the tiles of a cluster's blocks,
+  one matrix product a tile, which hands on the *open* pairs.
+* Open pairs are joined with the vectors and checked exactly in double precision.
+
+A cluster holding a third of all rows has more tiles, spread over all
+executors.  What is quadratic is the product of codes alone.
+
+Distance sums need every pair by their definition.  Rows are sent once to each
+tile of their run; a tile returns sums per row and cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import pack
+from ..functions.vectors import as_packed, entries, is_dense
+from ..session import materialize
+from .quality import clustered
 
 DEFAULT_BLOCK = 2000
+#: Directions of a code, and classes the basis is fitted on at most.
+CODE = 64
+BASIS_SAMPLE = 2048
+#: Codes are single precision; their products of unit vectors err by far less.
+SLACK = 1e-4
 
 
-def _packed(vectors: DataFrame) -> DataFrame:
-    """Long form → one row per id with sorted index/value arrays (≤ dim entries each)."""
-    return pack(vectors).select("id", F.col("vec.slot").alias("idx"), F.col("vec.value").alias("val"))
-
-
-def _replicated(members: DataFrame, vectors: DataFrame, keys: Sequence[str], block: int,
-                sizes: DataFrame | None = None) -> DataFrame:
-    if keys:
-        if sizes is None:
-            sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        rows = members.select(*keys, "id").join(sizes, list(keys))
-    else:   # one group: its size is a scalar subquery, no join
-        rows = members.select("id").withColumn("_n", members.select(F.count(F.lit(1))).scalar())
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block))).cast("int")
-    rows = (rows
-            .withColumn("_nb", nb)
-            .withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")))
-    rows = rows.join(_packed(vectors), "id", "left")
-    partner = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_p")
-    return (rows.select(*keys, "id", "idx", "val", "_blk", partner)
-            .select(*keys, "id", "idx", "val", "_blk",
-                    F.least("_blk", "_p").alias("_lo"), F.greatest("_blk", "_p").alias("_hi")))
+def _blocks(rows: DataFrame, keys: Sequence[str], of: str, size: Column, block: int) -> DataFrame:
+    """Adds ``_blk`` and copies each row to the tiles ``(_lo, _hi)`` of its cluster."""
+    nb = F.greatest(F.lit(1), F.ceil(size / F.lit(block))).cast("int")
+    rows = rows.withColumn("_nb", nb).withColumn("_blk", F.pmod(F.xxhash64(of), F.col("_nb")).cast("int"))
+    return (rows.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+            .withColumn("_lo", F.least("_blk", "_p")).withColumn("_hi", F.greatest("_blk", "_p")).drop("_nb", "_p"))
 
 
 def _spread(rep: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hash-partition block pairs over at least the cluster's task slots.
+    """Hash-partition tiles over at least the cluster's task slots.
 
-    Block-pair groups are few and CPU-heavy (a matrix product each), while
-    their shuffle is small, so AQE would coalesce them into one task.  An
-    explicit partition count is kept by AQE, and the following groupBy on the
-    same keys needs no further exchange.
+    Tiles are few and CPU-heavy (a matrix product each), while their shuffle is
+    small, so AQE would coalesce them into one task.  An explicit partition count
+    is kept by AQE, and the following groupBy on the same keys needs no further
+    exchange.
     """
     spark = rep.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return rep.repartition(n, *keys, "_lo", "_hi")
 
 
-def _dense(pdf: pd.DataFrame) -> np.ndarray:
-    n = len(pdf)
-    lens = np.fromiter((0 if x is None else len(x) for x in pdf["idx"]), dtype=np.int64, count=n)
-    dim = 1
-    if lens.sum() > 0:
-        dim = int(max(int(np.max(x)) for x in pdf["idx"] if x is not None and len(x))) + 1
-    m = np.zeros((n, dim), dtype=np.float64)
-    if lens.sum() > 0:
-        rows = np.repeat(np.arange(n), lens)
-        cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["idx"] if x is not None and len(x)])
-        vals = np.concatenate([np.asarray(x, dtype=np.float64) for x in pdf["val"] if x is not None and len(x)])
-        m[rows, cols] = vals
-    return m
-
-
-def _split(pdf: pd.DataFrame):
-    lo = int(pdf["_lo"].iloc[0])
-    hi = int(pdf["_hi"].iloc[0])
-    if lo == hi:
-        return True, pdf, pdf
-    return False, pdf[pdf["_blk"] == lo], pdf[pdf["_blk"] == hi]
+def vector_classes(members: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Equal vectors of a cluster as one row: (keys…, cls, n, vec), and membership (keys…, id, cls); both written.
 
-
-def _pad(a: np.ndarray, b: np.ndarray):
-    d = max(a.shape[1], b.shape[1])
-    if a.shape[1] < d:
-        a = np.pad(a, ((0, 0), (0, d - a.shape[1])))
-    if b.shape[1] < d:
-        b = np.pad(b, ((0, 0), (0, d - b.shape[1])))
-    return a, b
+    Vectors are equal if two 64-bit hashes of all their entries are.  Zero
+    vectors, whose cosine with anything is 0, belong to no class.
+    """
+    keys = list(keys)
+    rows = clustered(members, vectors, keys)
+    value = (lambda e: e) if is_dense(rows) else (lambda e: e["value"])
+    rows = rows.where(F.exists("vec", lambda e: value(e) != 0)).withColumns(
+        {"_h1": F.xxhash64("vec"), "_h2": F.xxhash64(F.lit(7), "vec")})
+    same = [*keys, "_h1", "_h2"]
+    classes = rows.groupBy(*same).agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("n"),
+                                      F.min_by("vec", "id").alias("vec"))
+    classes = materialize(classes, "vector-classes")
+    many = classes.where(F.col("n") > 1).select(*same, "cls")
+    member = rows.select(*same, "id").join(many, same, "left").select(*keys, "id", F.coalesce("cls", "id").alias("cls"))
+    return classes.drop("_h1", "_h2"), member
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    row, slot, value = entries(column)
+    out = np.zeros((len(column), dim))
+    out[row, slot] = value
+    return out
+
+
+def _basis(classes: DataFrame) -> np.ndarray:
+    """Orthonormal directions (dim × up to CODE): the principal ones of a bounded sample of classes, chosen by hash."""
+    sample = classes.orderBy(F.xxhash64("cls"), "cls").select("vec").limit(BASIS_SAMPLE).toArrow()["vec"]
+    _, slot, _ = entries(sample)
+    if not len(slot):
+        return np.zeros((0, 0))
+    x = _matrix(sample, int(slot.max()) + 1)
+    return np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :CODE]
+
+
+def _coded(basis: np.ndarray, keep: Sequence[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, slot, value = entries(batch.column("vec"))
+            seen = slot < len(basis)  # a slot that the sample lacks lies outside the basis
+            x = np.zeros((batch.num_rows, len(basis)))
+            x[row[seen], slot[seen]] = value[seen]
+            code = x @ basis
+            whole = np.bincount(row, value * value, batch.num_rows)
+            rest = np.sqrt(np.maximum(whole - (code * code).sum(axis=1), 0.0))
+            flat = np.column_stack([code, rest]).astype(np.float32)
+            ends = pa.array(np.arange(batch.num_rows + 1) * flat.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(ends, pa.array(flat.ravel()))],
+                                             names=[*keep, "code"])
+    return run
+
+
+def _tile(keys: Sequence[str], threshold: float, rows: int = 1024):
+    """Pairs of classes of a tile whose bound exceeds the threshold."""
+    def run(table: pa.Table) -> pa.Table:
+        lo, hi = table["_lo"][0].as_py(), table["_hi"][0].as_py()
+        code = table["code"].combine_chunks()
+        x = code.flatten().to_numpy().reshape(len(code), -1)
+        cls, blk = table["cls"].to_numpy(), table["_blk"].to_numpy()
+        left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
+        found = []
+        for at in range(0, len(left), rows):
+            some = left[at:at + rows]
+            i, j = np.nonzero(x[some] @ x[right].T > threshold - SLACK)
+            i, j = some[i], right[j]
+            if lo == hi:
+                i, j = i[i < j], j[i < j]
+            found.append((cls[i], cls[j]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (cls[:0], cls[:0])
+        fixed = [pa.repeat(table[k][0], len(a)) for k in keys]
+        return pa.table([*fixed, *(pa.array(f(a, b), table["cls"].type) for f in (np.minimum, np.maximum))], names=[*keys, "cls_a", "cls_b"])
+    return run
+
+
+def open_pairs(classes: DataFrame, keys: Sequence[str], threshold: float, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """(keys…, cls_a < cls_b): the pairs of classes of a cluster that the bound leaves open, a superset of the similar ones."""
+    keys = list(keys)
+    kept = [*keys, "cls"]
+    basis = _basis(classes)
+    coded = classes.mapInArrow(_coded(basis, kept), T.StructType(
+        [*(classes.schema[k] for k in kept), T.StructField("code", T.ArrayType(T.FloatType()))]))
+    if keys:
+        coded = coded.join(classes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+    else:   # one group: its size is a scalar subquery, no join
+        coded = coded.withColumn("_n", classes.select(F.count(F.lit(1))).scalar())
+    tiles = _blocks(coded, keys, "cls", F.col("_n"), block).drop("_n")
+    schema = T.StructType([*(classes.schema[k] for k in keys), *(T.StructField(c, classes.schema["cls"].dataType) for c in ("cls_a", "cls_b"))])
+    return _spread(tiles, keys).groupBy(*keys, "_lo", "_hi").applyInArrow(_tile(keys, float(threshold)), schema)
+
+
+def _cosines(keep: Sequence[str]):
+    """Products of ``vec_a`` and ``vec_b`` row by row."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (row, slot, value), (row2, slot2, value2) = (entries(batch.column(c)) for c in ("vec_a", "vec_b"))
+            dim = max(int(slot.max(initial=0)), int(slot2.max(initial=0))) + 1
+            key, key2 = row * dim + slot, row2 * dim + slot2
+            at = np.minimum(np.searchsorted(key2, key), max(len(key2) - 1, 0))
+            both = key2[at] == key if len(key2) else np.zeros(len(key), bool)
+            cosine = np.bincount(row[both], value[both] * value2[at[both]], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(cosine)], names=[*keep, "cosine"])
+    return run
+
+
+def similar_classes(classes: DataFrame, keys: Sequence[str], threshold: float = 0.95, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """(keys…, cls_a, n_a, cls_b, n_b, cosine): pairs of different vectors with cosine strictly above ``threshold``."""
+    keys = list(keys)
+    side = {s: classes.select(*keys, F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}"), F.col("vec").alias(f"vec_{s}"))
+            for s in "ab"}
+    rows = open_pairs(classes, keys, threshold, block).join(side["a"], [*keys, "cls_a"]).join(side["b"], [*keys, "cls_b"])
+    keep = [*keys, "cls_a", "n_a", "cls_b", "n_b"]
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("cosine", T.DoubleType())])
+    return rows.mapInArrow(_cosines(keep), schema).where(F.col("cosine") > float(threshold))
 
 
 def near_dup_counts(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
                     threshold: float = 0.95, block: int = DEFAULT_BLOCK,
                     sizes: DataFrame | None = None) -> DataFrame:
-    """Pairs with cosine strictly above ``threshold`` per cluster: (keys…, n_dup, n_pairs).
+    """Pairs with cosine strictly above ``threshold`` ≥ 0 per cluster: (keys…, n_dup, n_pairs).
 
-    ``vectors`` must be unit-norm long form, so the dot product is the cosine.
+    ``vectors`` must be of unit norm, so the product is the cosine.
     ``sizes`` (keys…, _n) may be passed when the caller already has row counts.
     """
-    rep = _replicated(members, vectors, keys, block, sizes)
-    schema = T.StructType(
-        [rep.schema[k] for k in keys]
-        + [T.StructField("n_dup", T.LongType()), T.StructField("n_pairs", T.LongType())])
-    thr = float(threshold)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        diag, a, b = _split(pdf)
-        key_vals = {k: pdf[k].iloc[0] for k in keys}
-        if diag:
-            m = _dense(a)
-            n = len(m)
-            sims = m @ m.T
-            iu = np.triu_indices(n, 1)
-            dup = int(np.count_nonzero(sims[iu] > thr))
-            pairs = n * (n - 1) // 2
-        else:
-            ma, mb = _pad(_dense(a), _dense(b))
-            dup = int(np.count_nonzero((ma @ mb.T) > thr))
-            pairs = len(ma) * len(mb)
-        return pd.DataFrame([{**key_vals, "n_dup": dup, "n_pairs": pairs}])
-
-    per_block = _spread(rep, keys).groupBy(*keys, "_lo", "_hi").applyInPandas(kernel, schema)
-    return per_block.groupBy(*keys).agg(F.sum("n_dup").alias("n_dup"), F.sum("n_pairs").alias("n_pairs"))
+    keys = list(keys)
+    if sizes is None:
+        sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    classes, _ = vector_classes(members, vectors, keys)
+    equal = (F.col("n") * (F.col("n") - 1) / 2).cast("long") if threshold < 1 else F.lit(0).cast("long")
+    dup = (classes.select(*keys, equal.alias("d"))
+           .unionByName(similar_classes(classes, keys, threshold, block).select(*keys, (F.col("n_a") * F.col("n_b")).alias("d")))
+           .groupBy(*keys).agg(F.sum("d").alias("n_dup")))
+    return sizes.join(dup, keys, "left").select(
+        *keys, F.coalesce("n_dup", F.lit(0)).alias("n_dup"), (F.col("_n") * (F.col("_n") - 1) / 2).cast("long").alias("n_pairs"))
 
 
 def near_dup_rate(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
                   threshold: float = 0.95, block: int = DEFAULT_BLOCK,
                   sizes: DataFrame | None = None) -> DataFrame:
     """Share of unordered pairs above the threshold; 0 below two rows."""
-    n = sizes if sizes is not None else members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    c = near_dup_counts(members, vectors, keys, threshold, block, n)
-    total = (F.col("_n") * (F.col("_n") - 1) / 2)
-    rate = F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(
-        F.coalesce(F.col("n_dup"), F.lit(0)).cast("double") / total)
-    return n.join(c, list(keys), "left").select(*keys, rate.alias("near_dup_rate"))
+    counts = near_dup_counts(members, vectors, keys, threshold, block, sizes)
+    rate = F.when(F.col("n_pairs") < 1, F.lit(0.0)).otherwise(F.col("n_dup").cast("double") / F.col("n_pairs"))
+    return counts.select(*keys, rate.alias("near_dup_rate"))
 
 
 def similar_pairs(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
                   threshold: float = 0.95, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Pairs (id_a < id_b) inside a cluster with cosine strictly above ``threshold``."""
-    rep = _replicated(members, vectors, keys, block)
-    schema = T.StructType(
-        [rep.schema[k] for k in keys]
-        + [T.StructField("id_a", T.LongType()), T.StructField("id_b", T.LongType()),
-           T.StructField("cosine", T.DoubleType())])
-    thr = float(threshold)
-    cols = [*keys, "id_a", "id_b", "cosine"]
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        diag, a, b = _split(pdf)
-        key_vals = {k: pdf[k].iloc[0] for k in keys}
-        if diag:
-            m = _dense(a)
-            sims = m @ m.T
-            i, j = np.nonzero(np.triu(sims > thr, 1))
-            ida = a["id"].to_numpy()[i]
-            idb = a["id"].to_numpy()[j]
-            cs = sims[i, j]
-        else:
-            ma, mb = _pad(_dense(a), _dense(b))
-            sims = ma @ mb.T
-            i, j = np.nonzero(sims > thr)
-            ida = a["id"].to_numpy()[i]
-            idb = b["id"].to_numpy()[j]
-            cs = sims[i, j]
-        lo_id = np.minimum(ida, idb)
-        hi_id = np.maximum(ida, idb)
-        out = pd.DataFrame({"id_a": lo_id.astype(np.int64), "id_b": hi_id.astype(np.int64),
-                            "cosine": cs.astype(np.float64)})
-        for k, v in key_vals.items():
-            out[k] = v
-        return out[cols]
-
-    return _spread(rep, keys).groupBy(*keys, "_lo", "_hi").applyInPandas(kernel, schema)
+    """Pairs (id_a < id_b) inside a cluster with cosine strictly above ``threshold`` ≥ 0.
+
+    The classes' pairs spelled out; ``similar_classes`` gives the same links without that.
+    """
+    keys = list(keys)
+    classes, member = vector_classes(members, vectors, keys)
+    member = materialize(member, "class-members")
+    ids = {s: member.select(*keys, F.col("cls").alias(f"cls_{s}"), F.col("id").alias(f"_{s}")) for s in "ab"}
+    across = (similar_classes(classes, keys, threshold, block).join(ids["a"], [*keys, "cls_a"]).join(ids["b"], [*keys, "cls_b"])
+              .select(*keys, F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"), "cosine"))
+    if threshold >= 1:
+        return across
+    copies = classes.where(F.col("n") > 1).select(*keys, "cls")
+    equal = (copies.join(ids["a"].withColumnRenamed("cls_a", "cls"), [*keys, "cls"])
+             .join(ids["b"].withColumnRenamed("cls_b", "cls"), [*keys, "cls"]).where(F.col("_a") < F.col("_b"))
+             .select(*keys, F.col("_a").alias("id_a"), F.col("_b").alias("id_b"), F.lit(1.0).alias("cosine")))
+    return across.unionByName(equal)
+
+
+def _replicated(members: DataFrame, vectors: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
+    """Member rows with their vectors, copied to the tiles of their run; a row without a vector is a zero vector."""
+    if keys:
+        rows = members.join(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), list(keys))
+    else:   # one group: its size is a scalar subquery, no join
+        rows = members.withColumn("_n", members.select(F.count(F.lit(1))).scalar())
+    return _blocks(rows.join(vectors.select("id", "vec"), "id", "left"), keys, "id", F.col("_n"), block).drop("_n")
 
 
 def distance_sums(members: DataFrame, raw_vectors: DataFrame, run_keys: Sequence[str],
@@ -188,53 +245,37 @@ def distance_sums(members: DataFrame, raw_vectors: DataFrame, run_keys: Sequence
     """Per row: Σ Euclidean distance to the rows of each cluster of the same run.
 
     Output (run_keys…, id, other, dist_sum, cnt) — the input of the exact
-    silhouette (D12).  ``raw_vectors`` are un-normalised long form.
+    silhouette (D12).  ``raw_vectors`` are not normalised.
     """
     keys = list(run_keys)
     lab = members.select(*keys, "id", F.col(label_col).alias("_lab"))
-    rep = _replicated(lab, raw_vectors, keys, block).join(
-        lab.select("id", *keys, "_lab"), [*keys, "id"])
-    lab_type = rep.schema["_lab"].dataType
-    schema = T.StructType(
-        [rep.schema[k] for k in keys]
-        + [T.StructField("id", T.LongType()), T.StructField("other", lab_type),
-           T.StructField("dist_sum", T.DoubleType()), T.StructField("cnt", T.LongType())])
-    out_cols = [*keys, "id", "other", "dist_sum", "cnt"]
-
-    def sums_for(ma, mb, ids_a, labs_b, key_vals, exclude_self):
-        sq_a = (ma * ma).sum(1)[:, None]
-        sq_b = (mb * mb).sum(1)[None, :]
-        d = np.sqrt(np.maximum(sq_a + sq_b - 2.0 * (ma @ mb.T), 0.0))
-        if exclude_self:
-            np.fill_diagonal(d, 0.0)
-        frames = []
-        for lab_val in pd.unique(labs_b):
-            cols = labs_b == lab_val
-            cnt = int(cols.sum())
-            s = d[:, cols].sum(1)
-            f = pd.DataFrame({"id": ids_a.astype(np.int64), "other": lab_val,
-                              "dist_sum": s, "cnt": cnt})
-            frames.append(f)
-        out = pd.concat(frames, ignore_index=True)
-        for k, v in key_vals.items():
-            out[k] = v
-        return out
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        diag, a, b = _split(pdf)
-        key_vals = {k: pdf[k].iloc[0] for k in keys}
-        if diag:
-            m = _dense(a)
-            out = sums_for(m, m, a["id"].to_numpy(), a["_lab"].to_numpy(), key_vals, True)
-        else:
-            ma, mb = _pad(_dense(a), _dense(b))
-            out = pd.concat([
-                sums_for(ma, mb, a["id"].to_numpy(), b["_lab"].to_numpy(), key_vals, False),
-                sums_for(mb, ma, b["id"].to_numpy(), a["_lab"].to_numpy(), key_vals, False)],
-                ignore_index=True)
-        return out[out_cols]
-
-    per_block = _spread(rep, keys).groupBy(*keys, "_lo", "_hi").applyInPandas(kernel, schema)
+    rep = _replicated(lab, as_packed(raw_vectors), keys, block)
+    schema = T.StructType([*(rep.schema[k] for k in keys), rep.schema["id"], T.StructField("other", rep.schema["_lab"].dataType),
+                           T.StructField("dist_sum", T.DoubleType()), T.StructField("cnt", T.LongType())])
+
+    def kernel(table: pa.Table) -> pa.Table:
+        lo, hi = table["_lo"][0].as_py(), table["_hi"][0].as_py()
+        vec = table["vec"].combine_chunks()
+        x = _matrix(vec, int(entries(vec)[1].max(initial=0)) + 1)
+        square = (x * x).sum(axis=1)
+        labels = table["_lab"].combine_chunks().dictionary_encode()
+        member = np.eye(len(labels.dictionary))[labels.indices.to_numpy()]
+        ids, blk = table["id"].combine_chunks(), table["_blk"].to_numpy()
+        left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
+        out = []
+        for rows, others in [(left, right)] if lo == hi else [(left, right), (right, left)]:
+            d = np.sqrt(np.maximum(square[rows][:, None] + square[others] - 2.0 * (x[rows] @ x[others].T), 0.0))
+            if lo == hi:
+                np.fill_diagonal(d, 0.0)
+            count = member[others].sum(axis=0).astype(np.int64)
+            sums = d @ member[others]
+            row, label = np.nonzero(np.broadcast_to(count > 0, sums.shape))
+            out.append(pa.table([*(pa.repeat(table[k][0], len(row)) for k in keys), ids.take(pa.array(rows[row])),
+                                 labels.dictionary.take(pa.array(label)), pa.array(sums[row, label]), pa.array(count[label])],
+                                names=[*keys, "id", "other", "dist_sum", "cnt"]))
+        return pa.concat_tables(out)
+
+    per_block = _spread(rep, keys).groupBy(*keys, "_lo", "_hi").applyInArrow(kernel, schema)
     return per_block.groupBy(*keys, "id", "other").agg(
         F.sum("dist_sum").alias("dist_sum"), F.sum("cnt").alias("cnt"))
 

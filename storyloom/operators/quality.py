@@ -1,23 +1,33 @@
 """Cluster quality aggregates (D1–D5, D7, E1) and the quality gate.
 
 Inputs are a *membership* frame — one row per (cluster keys…, id) with the
-row's ``source`` and ``published_date`` — and unit-norm long-form vectors
-``(id, slot, value)``.  Every statistic is a closed form over grouped sums, so
-nothing is quadratic and nothing is collected:
+row's ``source`` and ``published_date`` — and unit-norm packed vectors
+``(id, vec)``.  If the vectors carry the cluster keys themselves, membership is
+not joined.  Every statistic is a closed form over grouped sums, so nothing is
+quadratic and nothing is collected:
 
 * coherence = (‖Σu‖² − Σ‖u‖²) / (n(n−1))     (mean cosine over unordered pairs)
 * medoid order = u·Σu descending              (least mean cosine distance)
 * diversity = (log2 n − Σ c·log2 c / n) / log2 m
+
+Vector sums are taken inside the tasks that read the vectors: a task hands on
+one row per cluster, and two rounds of merging add these up, so neither entries
+nor vectors are shuffled for a statistic, and no task reads every other's sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.vectors import as_packed, entries, is_dense
+
 
 def cluster_profile(members: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows, distinct sources, distinct UTC dates per cluster."""
@@ -39,11 +49,106 @@ def source_diversity(members: DataFrame, keys: Sequence[str], source_col: str =
     return agg.select(*keys, div.alias("diversity"))
 
 
+def clustered(members: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys…, id, vec) of the member rows that have a vector; vectors that carry the keys are those of the members."""
+    vectors = as_packed(vectors)
+    if all(k in vectors.columns for k in keys):
+        return vectors.select(*keys, "id", "vec")
+    return members.select(*keys, "id").join(vectors.select("id", "vec"), "id").select(*keys, "id", "vec")
+
+
+def of_clusters(vectors: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Vectors that carry their cluster's keys, of the chosen clusters only; other vectors as they are."""
+    keys = list(keys)
+    if not all(k in vectors.columns for k in keys):
+        return vectors
+    return vectors.join(chosen.select(*keys), keys, "left_semi")
+
+
+#: Clusters a task adds up at once, and the shares a cluster's partial sums are first merged in.
+CLUSTERS_A_TASK = 4096
+MERGE_SHARES = 32
+
+
+def _totals(held: dict, schema: pa.Schema, keys: Sequence[str]) -> pa.RecordBatch:
+    columns = [pa.array([k[i] for k in held], schema.field(name).type) for i, name in enumerate(keys)]
+    n, q, sums = zip(*held.values(), strict=True)
+    return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(q, pa.float64()),
+                                       pa.array(list(sums), pa.list_(pa.float64()))], names=[*keys, "n", "q", "sum"])
+
+
+def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b, a
+    a[:len(b)] += b
+    return a
+
+
+def _grouped(batch: pa.RecordBatch, keys: Sequence[str]) -> tuple[list[tuple], np.ndarray]:
+    """The distinct keys of a batch, and each row's place among them."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for k in keys:
+        coded = batch.column(k).dictionary_encode(null_encoding="encode")
+        code = code * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False)
+    _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    columns = [batch.column(k).take(pa.array(first)).to_pylist() for k in keys]
+    return list(zip(*columns, strict=True)) if keys else [()] * len(first), group
+
+
+def _sum_rows(keys: Sequence[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[int, float, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, group = _grouped(batch, keys)
+            row, slot, value = entries(batch.column("vec"))
+            dim = int(slot.max(initial=-1)) + 1
+            sums = np.bincount(group[row] * dim + slot, value, len(found) * dim).reshape(len(found), dim)
+            squares = np.bincount(group[row], value * value, len(found))
+            for k, n, q, total in zip(found, np.bincount(group, minlength=len(found)), squares, sums, strict=True):
+                old = held.get(k, (0, 0.0, np.zeros(0)))
+                held[k] = old[0] + int(n), old[1] + float(q), _add(old[2], total)
+            if len(held) >= CLUSTERS_A_TASK:
+                yield _totals(held, batch.schema, keys)
+                held = {}
+            schema = batch.schema
+        if held:
+            yield _totals(held, schema, keys)
+    return run
+
+
+def _merge(keys: Sequence[str]):
+    """Rows sorted by their keys, added up one key at a time."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[int, float, np.ndarray]] = {}
+        for batch in batches:
+            for *k, n, q, total in zip(*(batch.column(c).to_pylist() for c in (*keys, "n", "q")), batch.column("sum"), strict=True):
+                total = np.array(total.values.to_numpy(zero_copy_only=False))
+                k = tuple(k)
+                if k not in held and len(held) >= CLUSTERS_A_TASK:
+                    yield _totals(held, batch.schema, keys)
+                    held = {}
+                old = held.get(k, (0, 0.0, np.zeros(0)))
+                held[k] = old[0] + n, old[1] + q, _add(total, old[2])
+            schema = batch.schema
+        if held:
+            yield _totals(held, schema, keys)
+    return run
+
+
 def cluster_sums(members: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Σu per (cluster, slot) and Σu² alongside: (keys…, slot, s, q)."""
-    return (members.select(*keys, "id").join(vectors, "id")
-            .groupBy(*keys, "slot")
-            .agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")))
+    """(keys…, n, q, sum) per cluster: rows with a vector, Σ‖u‖² and Σu as an array."""
+    keys = list(keys)
+    rows = clustered(members, vectors, keys).select(*keys, "vec")
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("q", T.DoubleType()),
+                           T.StructField("sum", T.ArrayType(T.DoubleType()))])
+    share = [*keys, "_share"]
+    parts = rows.mapInArrow(_sum_rows(keys), schema).withColumn("_share", F.spark_partition_id() % MERGE_SHARES)
+    merged = (parts.repartition(*share).sortWithinPartitions(*share).drop("_share").mapInArrow(_merge(keys), schema))
+    if not keys:
+        return merged.coalesce(1).mapInArrow(_merge(keys), schema)
+    return merged.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(keys), schema)
 
 
 def coherence_expr(n, s2, q, singleton_value: float = 1.0):
@@ -56,7 +161,7 @@ def square_sums(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
                 sums: DataFrame | None = None) -> DataFrame:
     """(keys…, s2 = ‖Σu‖², q = Σ‖u‖²) per cluster."""
     sums = sums if sums is not None else cluster_sums(members, vectors, keys)
-    return sums.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.sum("q").alias("q"))
+    return sums.select(*keys, F.aggregate("sum", F.lit(0.0), lambda a, x: a + x * x).alias("s2"), "q")
 
 
 def coherence(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
@@ -71,26 +176,37 @@ def coherence(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
     return n.join(tot, list(keys), "left").select(*keys, c.alias("coherence"))
 
 
+def mean_vectors(members: DataFrame, vectors: DataFrame, keys: Sequence[str], vec_col: str = "vec") -> DataFrame:
+    """Mean vector per cluster as one array; entries that a row lacks are 0."""
+    return cluster_sums(members, vectors, keys).select(*keys, F.transform("sum", lambda x: x / F.col("n")).alias(vec_col))
+
+
 def centroids(members: DataFrame, raw_vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean vector per cluster in long form (keys…, slot, value).
+    """D5 in long form (keys…, slot, value), an entry per slot of the clusters' mean vectors.
 
-    ``raw_vectors`` are un-normalised long-form vectors; missing entries are 0,
-    so the mean divides by the cluster row count, not the entry count.
+    ``raw_vectors`` are not normalised.  Rows without a vector count as zero vectors.
     """
-    n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    s = (members.select(*keys, "id").join(raw_vectors, "id")
-         .groupBy(*keys, "slot").agg(F.sum("value").alias("s")))
-    return s.join(n, list(keys)).select(*keys, "slot", (F.col("s") / F.col("n")).alias("value"))
+    n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    mean = cluster_sums(members, raw_vectors, keys).join(n, list(keys))
+    return (mean.select(*keys, "_rows", F.posexplode("sum").alias("slot", "value"))
+            .select(*keys, "slot", (F.col("value") / F.col("_rows")).alias("value")))
+
+
+def dot(vec: Column, other: Column, dense: bool) -> Column:
+    """Product of a packed vector with an array at least as long."""
+    if dense:
+        return F.aggregate(F.zip_with(vec, other, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return F.aggregate(vec, F.lit(0.0), lambda s, e: s + e["value"] * F.get(other, e["slot"]))
 
 
 def medoid_scores(members: DataFrame, vectors: DataFrame, keys: Sequence[str],
                   sums: DataFrame | None = None) -> DataFrame:
     """u_i·Σu per row (rows with zero vector score 0): (keys…, id, score)."""
+    keys, vectors = list(keys), as_packed(vectors)
     sums = sums if sums is not None else cluster_sums(members, vectors, keys)
-    dots = (members.select(*keys, "id").join(vectors, "id")
-            .join(sums.select(*keys, "slot", "s"), [*keys, "slot"])
-            .groupBy(*keys, "id").agg(F.sum(F.col("value") * F.col("s")).alias("score")))
-    return members.select(*keys, "id").join(dots, [*keys, "id"], "left").select(
+    scored = clustered(members, vectors, keys).join(sums.select(*keys, "sum"), keys).select(
+        *keys, "id", dot(F.col("vec"), F.col("sum"), is_dense(vectors)).alias("score"))
+    return members.select(*keys, "id").join(scored, [*keys, "id"], "left").select(
         *keys, "id", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
 
 

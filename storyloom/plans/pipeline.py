@@ -50,11 +50,11 @@ def run(members: DataFrame, week_start: Column, responder: rsp.Responder, brief_
     """
     spark = members.sparkSession
     nowc = now_col(now)
-    packed = materialize(hash_packed(members.select("id", "content")), "pipeline-vectors")
-    vectors = packed.select("id", F.explode("vec").alias("e")).select("id", "e.*")
+    vectors = materialize(hash_packed(members, keep=KEYS), "pipeline-vectors")
     scored = materialize(weekly.score_clusters(members, vectors, KEYS, threshold=threshold), "pipeline-scored")
     accepted = scored.where(F.col("accepted")).withColumn("week_start", week_start)
     chosen = members.join(accepted.select(*KEYS), KEYS, "left_semi")
+    vectors = quality.of_clusters(vectors, accepted, KEYS)
     medoids = quality.medoids(chosen, vectors, KEYS, 3)
     texts = materialize(medoids.join(chosen, [*KEYS, "id"]).select(
         *KEYS, "id", F.col("medoid_rank").alias("doc_order"), "source", "title", "url", "published_date",
@@ -72,8 +72,7 @@ def run(members: DataFrame, week_start: Column, responder: rsp.Responder, brief_
                                   F.col("n_rows"), F.col("n_sources"), F.col("compression_ratio") * 100)
     narratives = store.narrative_upsert(existing, store.narrative_rows(
         named, F.col("name"), description, F.unix_micros("week_start"), F.col("week_start")))
-    centroids = (quality.centroids(chosen, vectors, KEYS).groupBy(*KEYS)
-                 .agg(F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("centroid")))
+    centroids = quality.mean_vectors(chosen, vectors, KEYS, "centroid")
     narrative_id = store.key_id(F.col("name"))
     cluster_id = store.key_id(F.col("name"), F.col("week_start"), F.col("label"))
     clusters = named.join(centroids, KEYS).select(

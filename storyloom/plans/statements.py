@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import hash_embed
+from ..functions.vectors import hash_packed
 from ..operators import statements as st
 from ..session import materialize
 from .weekly import score_clusters
@@ -30,8 +30,7 @@ def statement_narratives(statements: DataFrame, articles: DataFrame, now: Column
     rec = st.recent_confident(statements, articles, now, days)
     members = rec.select(F.col(label_col).alias("label"), "id", F.col("article_source").alias("source"),
                          "published_date", "article_id", "full_statement", "created_at")
-    vectors = materialize(hash_embed(members.select("id", "full_statement"), "id", "full_statement"),
-                          "statement-vectors")
+    vectors = materialize(hash_packed(members, "id", "full_statement", keep=["label"]), "statement-vectors")
     scored = score_clusters(members, vectors, ["label"], min_rows, min_sources, min_days, threshold,
                             dup_threshold, singleton_value=0.0)
     w = Window.partitionBy("label").orderBy(F.col("created_at").desc(), F.col("id"))

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.dates import week_back, week_back_start
-from ..functions.vectors import hash_embed
+from ..functions.vectors import hash_packed
 from ..operators.pairs import near_dup_rate
-from ..operators.quality import (cluster_profile, coherence_expr, quality_gate, source_diversity,
-                                 square_sums)
+from ..operators.quality import (cluster_profile, coherence_expr, of_clusters, quality_gate,
+                                 source_diversity, square_sums)
 from ..session import materialize
 from ..sources.adapters import NOW, now_col
 
@@ -62,8 +62,8 @@ def score_clusters(members: DataFrame, vectors: DataFrame, keys=KEYS, min_rows:
              .drop("s2", "q"))
     gated = quality_gate(stats, min_rows, min_sources, min_days, threshold)
     accepted = gated.where(F.col("accepted")).select(*keys, F.col("n_rows").alias("_n"))
-    nd = near_dup_rate(members.join(accepted.select(*keys), keys, "left_semi"), vectors, keys,
-                       dup_threshold, block, sizes=accepted)
+    nd = near_dup_rate(members.join(accepted.select(*keys), keys, "left_semi"), of_clusters(vectors, accepted, keys),
+                       keys, dup_threshold, block, sizes=accepted)
     return (gated.join(nd, keys, "left")
             .withColumn("significance",
                         F.when(F.col("accepted"), F.col("coherence") * F.col("diversity"))))
@@ -74,9 +74,8 @@ def weekly_narratives(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, l
                       threshold: float = 0.5, dup_threshold: float = 0.95,
                       min_week_rows: int = 8, block: int = 2000) -> DataFrame:
     members = week_members(articles, now, weeks, label_col, min_week_rows)
-    # Hashing is the costly step and several branches read it: write it once.
-    vectors = materialize(hash_embed(members.select("id", "content"), "id", "content"),
-                          "weekly-vectors")
+    # Hashing is the costly step and several branches read it: write it once, with the keys of the cluster.
+    vectors = materialize(hash_packed(members, "id", "content", keep=KEYS), "weekly-vectors")
     scored = score_clusters(members, vectors, KEYS, min_rows, min_sources, min_days, threshold,
                             dup_threshold, 1.0, block)
     return scored.withColumn("week_start", week_back_start(F.col("week"), now_col(now)))
@@ -94,7 +93,7 @@ def weekly_kmeans(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, k: in
     """
     from pyspark.sql.window import Window
 
-    from ..functions.vectors import dense_to_sparse
+    from ..functions.vectors import unit_dense
     from ..operators import kmeans
 
     nowc = now_col(now)
@@ -104,13 +103,14 @@ def weekly_kmeans(articles: DataFrame, now: str = NOW, weeks: int = WEEKS, k: in
     big = a.groupBy("week").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     a = a.join(F.broadcast(big.select("week")), "week", "left_semi")
     pts = a.select("week", "id", F.col("embedding").alias("vec"))
-    seeded = pts.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    # Ids alone are ranked, cut before they are shuffled; vectors join the k x starts x weeks that are left.
+    seeded = a.select("week", "id").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
     pick = Window.partitionBy("week", "start").orderBy(F.xxhash64("start", "id"), "id")
-    init = (seeded.withColumn("cluster", F.row_number().over(pick) - 1).where(F.col("cluster") < k)
-            .select("week", "start", "cluster", "vec"))
+    first = seeded.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= k)
+    init = first.join(pts, ["week", "id"]).select("week", "start", (F.col("_r") - 1).alias("cluster"), "vec")
     assigned, _ = kmeans.lloyd(pts, init, ["week"], iterations)
     members = assigned.select("week", F.col("cluster").alias("label"), "id").join(
         a.select("id", "source", "published_date"), "id")
-    scored = score_clusters(members, dense_to_sparse(a, "id", "embedding"), KEYS, min_rows, min_sources,
+    scored = score_clusters(members, unit_dense(a, "id", "embedding"), KEYS, min_rows, min_sources,
                             min_days, threshold, dup_threshold, 1.0, block)
     return scored, assigned

@@ -12,7 +12,11 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Spark's default size of a split.
+SPLIT_BYTES = 128 << 20
 
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,9 +55,25 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # Batches handed to Python are bounded in bytes too: rows may be whole texts.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` with its rows over all task slots, if its files are too few and too small to give each slot a split.
+
+    Costly per-row work would otherwise run in as many tasks as a small table has
+    files.  At most one split per slot is moved; larger inputs are left alone.
+    """
+    spark, files = df.sparkSession, df.inputFiles()
+    slots = spark.sparkContext.defaultParallelism
+    if not files or len(files) >= slots:
+        return df
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return df.repartition(slots) if size < slots * SPLIT_BYTES else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and snapshot tables.
 
