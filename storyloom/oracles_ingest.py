@@ -19,8 +19,10 @@ fbase AS (
          CASE page_id % 8 WHEN 0 THEN timezone('UTC', timezone('Europe/Kyiv', loc))
                           WHEN 1 THEN loc
                           WHEN 2 THEN loc - INTERVAL 2 HOUR
-                          WHEN 3 THEN __NOW__
-                          WHEN 4 THEN timezone('UTC', timezone('Europe/Kyiv', date_trunc('day', loc)))
+                          WHEN 3 THEN CASE page_id % 24 WHEN 3 THEN __NOW__ ELSE timezone('UTC', timezone('Europe/Kyiv', loc)) END
+                          WHEN 4 THEN CASE WHEN page_id % 24 <> 20 THEN timezone('UTC', timezone('Europe/Kyiv', date_trunc('day', loc)))
+                                           WHEN day(loc) > 12 OR day(loc) = month(loc) THEN loc
+                                           ELSE make_timestamp(year(loc), day(loc), month(loc), hour(loc), minute(loc), 0) END
                           WHEN 5 THEN loc - INTERVAL 2 HOUR
                           WHEN 6 THEN loc + INTERVAL 250 MILLISECOND
                           ELSE loc + INTERVAL 210 MINUTE END AS published_date

@@ -72,7 +72,8 @@ def run(members: DataFrame, week_start: Column, responder: rsp.Responder, brief_
                                   F.col("n_rows"), F.col("n_sources"), F.col("compression_ratio") * 100)
     narratives = store.narrative_upsert(existing, store.narrative_rows(
         named, F.col("name"), description, F.unix_micros("week_start"), F.col("week_start")))
-    centroids = quality.mean_vectors(chosen, vectors, KEYS, "centroid")
+    centroids = quality.mean_vectors(chosen, vectors, KEYS, "centroid").withColumn("centroid", F.transform(
+        "centroid", lambda x, i: F.struct(i.alias("slot"), x.alias("value"))))
     narrative_id = store.key_id(F.col("name"))
     cluster_id = store.key_id(F.col("name"), F.col("week_start"), F.col("label"))
     clusters = named.join(centroids, KEYS).select(

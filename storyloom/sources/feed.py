@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import freedates
 from .adapters import LOCAL_TZ, NOW, now_col
 from .tables import read_table
 
@@ -19,32 +20,13 @@ from .tables import read_table
 TITLE_MAX = 500
 DEFAULT_SOURCE = "unknown"
 
-ZONE_RE = r"([+-]\d{2}:\d{2})$"
-MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
-
 
 def parse_pub_date(s: Column, now: Column, local_tz: str = LOCAL_TZ) -> Column:
     """Feed dates as instants; missing or unreadable ones become ``now``.
 
-    Read are ISO dates with or without time, fraction and zone (``T`` or blank
-    between them), and mail dates (``Mon, 15 Jan 2024 10:00:00 GMT``), with zones
-    as ``Z``, ``UTC``, ``GMT``, ``+02:00``, ``+0200`` or ``+02``.  Dates without a
-    zone are in ``local_tz``.  Other free forms (``3 days ago``) are unreadable.
+    Dates without a zone, and those with a zone name that is not UTC, are in ``local_tz``.
     """
-    s = F.regexp_replace(F.trim(s), r"^[A-Za-z]{3,9},\s*", "")
-    mail = r"^(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\b\s*(.*)$"
-    month = F.floor((F.instr(F.lit(MONTHS), F.initcap(F.regexp_extract(s, mail, 2))) + 2) / 3)
-    as_iso = F.concat(F.regexp_extract(s, mail, 3), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"),
-                      F.lpad(F.regexp_extract(s, mail, 1), 2, "0"), F.lit(" "), F.regexp_extract(s, mail, 4))
-    iso = F.trim(F.when(s.rlike(mail), as_iso).otherwise(s))
-    # One spelling for every zone; a date's own "-15" is no zone.
-    iso = F.regexp_replace(iso, r"(?<=\d)\s*(Z|UTC|GMT)$", "+00:00")
-    iso = F.regexp_replace(iso, r"(:\d{2}(?:[.,]\d+)?)\s*([+-]\d{2}):?(\d{2})$", "$1$2:$3")
-    iso = F.regexp_replace(iso, r"(:\d{2}(?:[.,]\d+)?)\s*([+-]\d{2})$", "$1$2:00")
-    iso = F.regexp_replace(iso, r",(\d+)", ".$1")
-    read = F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]|$)"), iso.try_cast("timestamp"))
-    parsed = F.when(iso.rlike(ZONE_RE), read).otherwise(F.to_utc_timestamp(read, local_tz))
-    return F.coalesce(F.when(F.length(s) > 0, parsed), now)
+    return F.coalesce(freedates.parse(s, now, local_tz), now)
 
 
 def normalise(feed: DataFrame, now: str = NOW) -> DataFrame:
@@ -95,8 +77,12 @@ def feed_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pub = (F.when(pid % 8 == 0, fmt)
            .when(pid % 8 == 1, F.concat(iso, F.lit("Z")))
            .when(pid % 8 == 2, F.concat(iso, F.lit("+02:00")))
-           .when(pid % 8 == 3, F.lit("not a date"))
-           .when(pid % 8 == 4, F.date_format(local, "yyyy-MM-dd"))
+           .when(pid % 24 == 3, F.lit("not a date"))
+           .when(pid % 24 == 11, F.date_format(local, "MMMM d, yyyy h:mm a"))
+           .when(pid % 24 == 19, F.date_format(local, "EEE MMM dd HH:mm:ss yyyy"))
+           .when(pid % 24 == 4, F.date_format(local, "yyyy-MM-dd"))
+           .when(pid % 24 == 12, F.date_format(local, "MM/dd/yyyy"))
+           .when(pid % 24 == 20, F.date_format(local, "dd.MM.yyyy HH:mm 'GMT'"))
            .when(pid % 8 == 5, F.date_format(local, "EEE, dd MMM yyyy HH:mm:ss '+0200'"))
            .when(pid % 8 == 6, F.concat(iso, F.lit(".250000Z")))
            .otherwise(F.concat(fmt, F.lit(" -0330"))))

@@ -34,6 +34,19 @@ DATES = {
     "Mon, 15 Jan 2024 10:00:00 +0200": dt.datetime(2024, 1, 15, 8),
     "5 February 2024 10:00:00 UTC": dt.datetime(2024, 2, 5, 10),
     "  2024-01-15T10:00:00Z ": dt.datetime(2024, 1, 15, 10),
+    # Free forms; a zone name other than UTC's says nothing, so these are Kyiv's.
+    "2024-01-15 10:00:00 PST": dt.datetime(2024, 1, 15, 8),
+    "January 15, 2024 10:00": dt.datetime(2024, 1, 15, 8), "Jan 15 2024 10:00 EST": dt.datetime(2024, 1, 15, 8),
+    "01/15/2024": dt.datetime(2024, 1, 14, 22), "15/01/2024": dt.datetime(2024, 1, 14, 22), "15.01.2024": dt.datetime(2024, 1, 14, 22),
+    "01/02/2024": dt.datetime(2024, 1, 1, 22), "1/15/24 5:06 pm": dt.datetime(2024, 1, 15, 15, 6),
+    "20240115T100000Z": dt.datetime(2024, 1, 15, 10), "20240115": dt.datetime(2024, 1, 14, 22), "20240115100000": dt.datetime(2024, 1, 15, 8),
+    "2024-01-15 10:00 PM": dt.datetime(2024, 1, 15, 20), "2024-01-15 12:30 am": dt.datetime(2024, 1, 14, 22, 30),
+    "2024-01-15 13:00 PM": NOW, "2024/01/15 10:00": dt.datetime(2024, 1, 15, 8), "2024.01.15": dt.datetime(2024, 1, 14, 22),
+    "Mon Jan 15 10:00:00 2024": dt.datetime(2024, 1, 15, 8), "15-Jan-2024": dt.datetime(2024, 1, 14, 22),
+    "15th of January 2024 at 3pm": dt.datetime(2024, 1, 15, 13), "Sat, 3 Feb 2024 1:02:03 -0800": dt.datetime(2024, 2, 3, 9, 2, 3),
+    "2024-01-15T10:00+0530": dt.datetime(2024, 1, 15, 4, 30), "2024-01-15 10:00:00 GMT+3": dt.datetime(2024, 1, 15, 13),
+    "10:30": dt.datetime(2024, 2, 5, 8, 30), "Jan 2024": dt.datetime(2024, 1, 4, 22), "Wednesday": dt.datetime(2024, 2, 6, 22),
+    "2024-02-30": NOW, "25:00 2024-01-01": NOW, "3 days ago": NOW, "hello 2024-01-15": NOW, "1 2 3 4": NOW,
     "not a date": NOW, "2024-13-45": NOW, "": NOW, "31 Foo 2024": NOW,
 }
 
