@@ -4,8 +4,8 @@ Each language has probabilities of the pieces of one fixed public vocabulary.
 The probability of a word is the sum over all its segmentations into pieces, by
 a forward algorithm over its bytes; a text's is the product over its words.
 Training is expectation maximisation over all training texts: forward and
-backward sums give the expected use of each piece, starting from equal
-probabilities.  The language with the greatest posterior is predicted.
+backward sums give the expected use of each piece, starting from probabilities
+that fall with a piece's rank in the vocabulary.  The language with the greatest posterior is predicted.
 
 A word is a run of letters in lower case with a blank before it; pieces never
 cross words, so the product is the sum over the segmentations of the whole text.
@@ -27,8 +27,9 @@ not read.
 from __future__ import annotations
 
 import base64
+import functools
+import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -44,23 +45,31 @@ UNKNOWN = "und"
 #: Letters of a word scored as one unit.
 UNIT = 32
 #: Bytes of words scored at once.
-PIECE = 1 << 17
+PIECE = 1 << 15
+#: Characters of texts read at once.
+SLICE = 1 << 17
 #: Words a task remembers, or gathers before it counts.
-WORDS = 200_000
+WORDS = 400_000
 #: Added to the expected use of every piece.
 SMOOTH = 0.1
+#: Bits of a place in the table of pieces.
+TABLE = 20
+#: Added to the logarithm of a probability for each byte, and the least sum that is taken as exact.
+SCALE = 4 * math.log(2)
+LEAST = 1e-250
 #: Expected counts travel as integers of this many parts.
 PARTS = 1 << 16
 
-RUN = re.compile(r"[^\W\d_]+")
+NO_LETTER = re.compile(r"[\W\d_]")
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
-    """The pieces that lower-case words can hold, and every single byte, in order."""
+    """The pieces that lower-case words can hold, by rank, and every single byte that is missing."""
     with open(path, "rb") as lines:
-        found = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
     body = re.compile(rb" ?[a-z\x80-\xff]*")
-    return sorted({p for p in found if body.fullmatch(p)} | {bytes([b]) for b in range(256)})
+    found = [p for p in sorted(ranks, key=ranks.get) if body.fullmatch(p)]
+    return found + [bytes([b]) for b in range(256) if bytes([b]) not in ranks or not body.fullmatch(bytes([b]))]
 
 
 def units(word: str) -> list[bytes]:
@@ -69,97 +78,228 @@ def units(word: str) -> list[bytes]:
     return [(b"" if at else b" ") + run[at:at + UNIT].encode() for run in runs for at in range(0, len(run), UNIT)]
 
 
-class Lattice:
-    """All occurrences of pieces in a list of units, as edges between positions."""
-
-    def __init__(self, words: Sequence[bytes], vocabulary: Vocabulary) -> None:
-        data = np.frombuffer(b"".join(words), np.uint8)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        word = np.repeat(np.arange(len(words)), sizes)
-        rolling = Rolling(_symbols[data])
-        found = []
-        at = np.arange(len(data))
-        for length, (hashes, numbers) in vocabulary.by_length.items():
-            at = at[at + length <= ends[word[at]]]
-            if not len(at):
-                break
-            h = mix(rolling.raw(at, at + length) + U64(length))
-            slot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[slot] == h
-            found.append((at[hit], np.full(int(hit.sum()), length), numbers[slot[hit]]))
-        begin, length, self.piece = (np.concatenate(c) for c in zip(*found, strict=True))
-        self.word = word[begin]
-        self.begin = begin + self.word          # each unit has one position more than bytes
-        self.end = self.begin + length
-        self.first = starts + np.arange(len(words))
-        self.last = ends + np.arange(len(words))
-        self.size = len(data) + len(words)
-
-    def sums(self, edge: np.ndarray, backward: bool = False) -> np.ndarray:
-        """Logarithms of the sums over all ways to each position from its unit's start (or to its end).
-
-        ``edge`` holds the log-probability of each occurrence in one or more columns.
-        """
-        source, target = (self.end, self.begin) if backward else (self.begin, self.end)
-        step = self.last[self.word] - target if backward else target - self.first[self.word]
-        order = np.lexsort((target, step))
-        source, target, step = source[order], target[order], step[order]
-        new = np.ones(len(order), bool)
-        new[1:] = target[1:] != target[:-1]
-        firsts = np.flatnonzero(new)
-        bounds = np.searchsorted(step[firsts], np.arange(1, int(step.max(initial=0)) + 2))
-        out = np.zeros((self.size, edge.shape[1]))
-        stops = np.append(firsts, len(order))
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            if lo == hi:
+def all_units(words: Iterable[str]) -> tuple[list[bytes], np.ndarray]:
+    """Units of many words, and how many each word has."""
+    out, sizes = [], []
+    for word in words:
+        if len(word) <= UNIT and word.isalpha():
+            out.append(b" " + word.encode())
+            sizes.append(1)
+        else:
+            several = units(word)
+            out += several
+            sizes.append(len(several))
+    return out, np.array(sizes, np.int64)
+
+
+@functools.cache
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def slices(texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbers of texts and the texts, or parts of them cut outside words, some ``SLICE`` characters at a time."""
+    rows, parts, size = [], [], 0
+    for row, text in enumerate(texts):
+        text, at = (text or "").lower(), 0
+        while at < len(text):
+            end = at + SLICE
+            if end < len(text):
+                gap = NO_LETTER.search(text, end)
+                end = gap.start() if gap else len(text)
+            rows.append(row)
+            parts.append(text[at:end])
+            size, at = size + len(parts[-1]), end
+            if size >= SLICE:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if rows:
+        yield rows, parts
+
+
+class Numbers(dict):
+    """Numbers keys in the order they are met."""
+
+    def __missing__(self, key: int) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class Words:
+    """The words of texts, told apart by 64-bit hashes of their letters and numbered as they are met."""
+
+    def __init__(self) -> None:
+        self.number, self.words = Numbers(), []
+
+    def read(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The text each word stands in, in order, and the words' numbers."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for rows, parts in slices(texts):
+            joined = "\n".join(parts)
+            code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            edge = np.flatnonzero(np.diff(letters()[code], prepend=False, append=False))
+            begin, end = edge[::2], edge[1::2]
+            if not len(begin):
                 continue
-            a, b = stops[lo], stops[hi]
-            ways = out[source[a:b]] + edge[order[a:b]]
-            at = firsts[lo:hi] - a
-            most = np.maximum.reduceat(ways, at, axis=0)
-            total = np.add.reduceat(np.exp(ways - np.repeat(most, np.diff(np.append(at, b - a)), axis=0)), at, axis=0)
-            out[target[firsts[lo:hi]]] = most + np.log(total)
-        return out
+            hashes = Rolling(mix(code.astype(U64) + U64(1))).raw(begin, end) + (end - begin).astype(U64)
+            found, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+            numbers = np.array(list(map(self.number.__getitem__, found.tolist())))
+            new = first[numbers >= len(self.words)]
+            self.words += [joined[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]
+            starts = np.cumsum([0] + [len(p) + 1 for p in parts])
+            out.append((np.array(rows)[np.searchsorted(starts, begin, "right") - 1], numbers[at]))
+        rows, numbers = zip(*out, strict=True)
+        return np.concatenate(rows), np.concatenate(numbers)
+
+    def clear(self) -> None:
+        self.number.clear()
+        self.words.clear()
 
 
 class Vocabulary:
+    """Pieces by number, found by the hash of their bytes."""
+
     def __init__(self, pieces: Sequence[bytes]) -> None:
         data = np.frombuffer(b"".join(pieces), np.uint8)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(sizes)
         hashes = mix(Rolling(_symbols[data]).raw(ends - sizes, ends) + sizes.astype(U64))
-        self.by_length = {}
-        for length in sorted(set(sizes.tolist())):
-            numbers = np.flatnonzero(sizes == length)
-            numbers = numbers[np.argsort(hashes[numbers])]
-            self.by_length[length] = hashes[numbers], numbers
-        self.size = len(pieces)
+        self.sizes, self.lengths = sizes, sorted(set(sizes.tolist()))
+        self.hashes = hashes
+        self.table = np.full(1 << TABLE, len(pieces), np.int32)
+        self.table[hashes >> U64(64 - TABLE)] = np.arange(len(pieces))
+        # Pieces whose place in the table another one took.
+        lost = np.flatnonzero(self.table[hashes >> U64(64 - TABLE)] != np.arange(len(pieces)))
+        self.lost = lost[np.argsort(hashes[lost])]
+        self.crowded = np.zeros(1 << TABLE, bool)
+        self.crowded[hashes[lost] >> U64(64 - TABLE)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are pieces, and the numbers of those."""
+        place = h >> U64(64 - TABLE)
+        number = self.table[place]
+        at = np.flatnonzero(number < len(self.sizes))
+        right = self.hashes[number[at]] == h[at]
+        hit = np.zeros(len(h), bool)
+        hit[at[right]] = True
+        rest = at[~right]
+        rest = rest[self.crowded[place[rest]]]
+        if len(rest):
+            known = self.hashes[self.lost]
+            at = np.minimum(np.searchsorted(known, h[rest]), len(known) - 1)
+            right = known[at] == h[rest]
+            hit[rest[right]], number[rest[right]] = True, self.lost[at[right]]
+        return hit, number[hit]
+
+    def scaled(self, model: np.ndarray) -> np.ndarray:
+        """Probabilities from logarithms, raised by ``SCALE`` a byte so that those of whole units stay in range."""
+        return np.exp(model + SCALE * self.sizes[:, None])
 
     def log_probability(self, words: Sequence[bytes], model: np.ndarray) -> np.ndarray:
         """Of each unit under each column of ``model``: log-probabilities of pieces by language."""
-        out = []
+        out = np.zeros((len(words), model.shape[1]))
+        done, p = 0, self.scaled(model)
         for some in runs(words):
             lattice = Lattice(some, self)
-            out.append(lattice.sums(model[lattice.piece])[lattice.last])
-        return np.concatenate(out) if out else np.zeros((0, model.shape[1]))
+            ways = lattice.sums(p[lattice.piece])[lattice.last]
+            with np.errstate(divide="ignore"):
+                found = np.log(ways) - SCALE * lattice.sizes[:, None]
+            low = np.flatnonzero((ways < LEAST).any(axis=1))
+            if len(low):  # too small for a double: in logarithms
+                few = Lattice([some[k] for k in low], self)
+                found[low] = few.sums(model[few.piece], logs=True)[few.last]
+            out[done:done + len(some)] = found
+            done += len(some)
+        return out
 
     def expected(self, words: Sequence[bytes], lang: np.ndarray, weight: np.ndarray, model: np.ndarray) -> np.ndarray:
         """Expected use of each piece by each language, for units of known language and number."""
-        out = np.zeros(model.size)
+        out, p = np.zeros(model.size), self.scaled(model)
+
+        def add(some: Sequence[bytes], of: np.ndarray, times: np.ndarray, logs: bool) -> None:
+            nonlocal out
+            lattice = Lattice(some, self)
+            of_edge = of[lattice.word]
+            edge = (model if logs else p)[lattice.piece, of_edge][:, None]
+            before, after = lattice.sums(edge, logs=logs)[:, 0], lattice.sums(edge, backward=True, logs=logs)[:, 0]
+            whole = before[lattice.last]
+            if logs:
+                use = np.exp(before[lattice.begin] + edge[:, 0] + after[lattice.end] - whole[lattice.word])
+            else:
+                low = np.flatnonzero(whole < LEAST)
+                if len(low):
+                    add([some[k] for k in low], of[low], times[low], True)
+                    times, whole = times.copy(), whole.copy()
+                    times[low], whole[low] = 0, 1
+                use = before[lattice.begin] * edge[:, 0] * after[lattice.end] / whole[lattice.word]
+            out += np.bincount(lattice.piece * model.shape[1] + of_edge, use * times[lattice.word], model.size)
+
         done = 0
         for some in runs(words):
-            lattice = Lattice(some, self)
-            of, times = lang[done:done + len(some)], weight[done:done + len(some)]
+            add(some, lang[done:done + len(some)], weight[done:done + len(some)], False)
             done += len(some)
-            edge = model[lattice.piece, of[lattice.word]][:, None]
-            before, after = lattice.sums(edge)[:, 0], lattice.sums(edge, backward=True)[:, 0]
-            use = np.exp(before[lattice.begin] + edge[:, 0] + after[lattice.end] - before[lattice.last][lattice.word])
-            out += np.bincount(lattice.piece * model.shape[1] + of[lattice.word], use * times[lattice.word], model.size)
         return out.reshape(model.shape)
 
 
+class Lattice:
+    """All occurrences of pieces in a list of units, as edges between positions."""
+
+    def __init__(self, words: Sequence[bytes], vocabulary: Vocabulary) -> None:
+        data = np.frombuffer(b"".join(words), np.uint8)
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(self.sizes)
+        word = np.repeat(np.arange(len(words)), self.sizes)
+        left = ends[word] - np.arange(len(data))
+        rolling = Rolling(_symbols[data])
+        found = []
+        at = np.arange(len(data))
+        for length in vocabulary.lengths:
+            at = at[left[at] >= length]
+            if not len(at):
+                break
+            hit, number = vocabulary.find(mix(rolling.raw(at, at + length) + U64(length)))
+            found.append((at[hit], number, np.full(len(number), length)))
+        begin, piece, length = (np.concatenate(c) for c in zip(*found, strict=True))
+        self.last = ends + np.arange(len(words))
+        self.first = self.last - self.sizes
+        self.widest = int(length.max())
+        # In the order of the forward sums.
+        order = self._order(begin + length - (ends - self.sizes)[word[begin]], length)
+        begin, self.piece, self.length = begin[order], piece[order], length[order]
+        self.word = word[begin]
+        self.begin = begin + self.word          # each unit has one position more than bytes
+        self.end = self.begin + self.length
+
+    def _order(self, distance: np.ndarray, length: np.ndarray) -> np.ndarray:
+        kind = distance * (self.widest + 1) + length
+        return np.argsort(kind.astype(np.uint16) if int(kind.max()) < 1 << 16 else kind, kind="stable")  # by radix, if it can
+
+    def sums(self, edge: np.ndarray, backward: bool = False, logs: bool = False) -> np.ndarray:
+        """Sums over all ways to each position from its unit's start (or to its end), of products of ``edge``.
+
+        ``edge`` holds the probability of each occurrence, or its logarithm, in one or more
+        columns.  Occurrences of one length at one distance from their unit's start are of
+        different units, so each such run is added at once, nearest first.
+        """
+        source, target, length, distance = self.begin, self.end, self.length, self.end - self.first[self.word]
+        if backward:
+            distance = self.last[self.word] - self.begin
+            order = self._order(distance, length)
+            source, target, edge, length, distance = self.end[order], self.begin[order], edge[order], length[order], distance[order]
+        out = np.full((int(self.last[-1]) + 1, edge.shape[1]), -np.inf if logs else 0.0)
+        out[self.last if backward else self.first] = 0.0 if logs else 1.0
+        stops = np.flatnonzero((length[1:] != length[:-1]) | (distance[1:] != distance[:-1])) + 1
+        for lo, hi in zip([0, *stops], [*stops, len(length)], strict=True):
+            ways = out[source[lo:hi]]
+            if logs:
+                out[target[lo:hi]] = np.logaddexp(out[target[lo:hi]], ways + edge[lo:hi])
+            else:
+                ways *= edge[lo:hi]
+                out[target[lo:hi]] += ways
+        return out
+
+
 def runs(words: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
     """Consecutive units of ``PIECE`` bytes in all."""
     first = size = 0
@@ -189,25 +329,32 @@ def counter(pieces: list[bytes], langs: list[str], log_p: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(pieces)
         total = np.zeros(log_p.shape)
-        met: dict[int, Counter[str]] = {}
+        words, met = Words(), []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in met]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n for _, n in met]))
 
         def count() -> np.ndarray:
-            found: Counter[tuple[bytes, int]] = Counter()
-            for lang, words in met.items():
-                for word, n in words.items():
-                    for unit in units(word):
-                        found[unit, lang] += n
+            keys, times = merged()
+            word, lang = np.divmod(keys, len(langs))
+            found, sizes = all_units(words.words)
+            at = np.repeat(np.arange(len(word)), sizes[word])
+            first = (np.cumsum(sizes) - sizes)[word]
+            unit = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(sizes[word]) - sizes[word], sizes[word])
+            words.clear()
             met.clear()
-            pairs = list(found)
-            return vocabulary.expected([u for u, _ in pairs], np.array([k for _, k in pairs], np.int64),
-                                       np.fromiter(found.values(), np.float64, len(pairs)), log_p)
+            return vocabulary.expected([found[u] for u in unit.tolist()], lang[at], times[at], log_p)
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                met.setdefault(number[lang], Counter()).update(RUN.findall(text.lower()))
-                if sum(map(len, met.values())) >= WORDS:
-                    total += count()
-        if met:
+            of = np.array([number[k] for k in batch.column("lang").to_pylist()], np.int64)
+            row, word = words.read(batch.column("text").to_pylist())
+            met.append(np.unique(word * len(langs) + of[row], return_counts=True))
+            if len(words.words) >= WORDS:
+                total += count()
+            elif sum(len(k) for k, _ in met) > 4 * WORDS:
+                met[:] = [merged()]
+        if words.words:
             total += count()
         use = np.rint(total * PARTS).astype(np.int64)
         piece, lang = np.nonzero(use)
@@ -217,7 +364,10 @@ def counter(pieces: list[bytes], langs: list[str], log_p: np.ndarray):
 
 
 def train(docs: DataFrame, path: str = VOCABULARY, rounds: int = 2, block: int = 64) -> list[Model]:
-    """Models of the languages of ``docs`` (text, lang), ``block`` languages each; no model without training texts."""
+    """Models of the languages of ``docs`` (text, lang), ``block`` languages each; no model without training texts.
+
+    All languages start from the same probabilities, in proportion to 1 / rank in the vocabulary.
+    """
     pieces = read_vocabulary(path)
     known = (docs.select(F.col("lang").cast("string").alias("lang"), "text")
              .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")))
@@ -227,7 +377,8 @@ def train(docs: DataFrame, path: str = VOCABULARY, rounds: int = 2, block: int =
     for first in range(0, len(langs), block):
         some = langs[first:first + block]
         texts = known if len(langs) <= block else known.filter(F.col("lang").isin(some))
-        log_p = np.full((len(pieces), len(some)), -np.log(len(pieces)))
+        start = -np.log(np.arange(1, len(pieces) + 1))
+        log_p = np.repeat((start - np.log(np.exp(start).sum()))[:, None], len(some), axis=1)
         for _ in range(rounds):
             rows = (texts.mapInArrow(counter(pieces, some, log_p), "piece int, lang int, use long")
                     .groupBy("piece", "lang").agg(F.sum("use").alias("use")).toArrow())
@@ -243,28 +394,22 @@ def scorer(model: Model, last: bool) -> Callable[[Iterable[pa.RecordBatch]], Ite
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(model.pieces)
-        known: dict[str, int] = {}
+        words = Words()
         scores = np.zeros((0, len(model.langs)))
-        letters = np.zeros(0, bool)
         for batch in batches:
-            if len(known) >= WORDS:
-                known.clear()
-                scores, letters = scores[:0], letters[:0]
-            before = len(known)
-            texts = [[known.setdefault(w, len(known)) for w in RUN.findall((t or "").lower())]
-                     for t in batch.column("text").to_pylist()]
-            if len(known) > before:
-                parts = [units(w) for w in list(known)[before:]]
-                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                each = vocabulary.log_probability([u for p in parts for u in p], model.log_p)
-                fresh = np.zeros((len(parts), len(model.langs)))
-                np.add.at(fresh, np.repeat(np.arange(len(parts)), sizes), each)
-                scores, letters = np.concatenate([scores, fresh]), np.concatenate([letters, sizes > 0])
+            if len(words.words) >= WORDS:
+                words.clear()
+                scores = scores[:0]
+            row, word = words.read(batch.column("text").to_pylist())
+            if len(words.words) > len(scores):
+                found, sizes = all_units(words.words[len(scores):])
+                fresh = np.zeros((len(sizes), len(model.langs)))
+                np.add.at(fresh, np.repeat(np.arange(len(sizes)), sizes), vocabulary.log_probability(found, model.log_p))
+                scores = np.concatenate([scores, fresh])
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            each = np.add.reduceat(scores[word], first, axis=0) + model.prior if len(first) else []
             best, top, total = (batch.column(k).to_pylist() for k in ("best", "top", "total"))
-            for i, words in enumerate(texts):
-                if not words or not letters[words].any():
-                    continue
-                score = scores[words].sum(axis=0) + model.prior
+            for i, score in zip(row[first].tolist(), each, strict=True):
                 k = int(score.argmax())
                 if top[i] is None or score[k] > top[i]:
                     best[i], top[i] = model.langs[k], float(score[k])
@@ -286,7 +431,7 @@ def predict(docs: DataFrame, models: Sequence[Model]) -> DataFrame:
         last = k == len(models) - 1
         rows = rows.mapInArrow(scorer(model, last), f"doc_id {kind}, " + ("" if last else "text string, ") + rest)
     return rows.select("doc_id", F.coalesce("best", F.lit(UNKNOWN)).alias("lang_pred"),
-                       F.coalesce(F.least(F.exp(F.col("top") - F.col("total")), F.lit(1.0)), F.lit(0.0)).alias("score"))
+                       F.when(F.col("top").isNull(), 0.0).otherwise(F.least(F.exp(F.col("top") - F.col("total")), F.lit(1.0))).alias("score"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
