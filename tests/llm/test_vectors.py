@@ -139,3 +139,40 @@ def test_recall_on_the_whole_table(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = sum(len(got[q] & {i for i, _ in near}) for q, near in want.items())
     assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_less_of_a_larger_table_is_compared(spark):
+    """Vectors without structure: recall stays, the share of rows that a query is compared with falls."""
+    rng, shares = np.random.default_rng(8), []
+    for n in (2000, 16000):
+        x = rng.normal(size=(n, 64)).astype(np.float32)
+        df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), SCHEMA)
+        got = ann.nearest(df, F.col("vec_id") % (n // 40) == 0).toPandas()
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        hits = 0
+        for q, rows in got.groupby("query_id"):
+            score = u @ u[q]
+            score[q] = -2
+            hits += len(set(np.argsort(-score)[:5]) & set(rows["vec_id"]))
+            assert sorted(rows["rank"]) == [1, 2, 3, 4, 5] and rows["compared"].nunique() == 1
+        assert hits >= 0.9 * 5 * got["query_id"].nunique()
+        shares.append(got["compared"].mean() / n)
+    assert shares[0] < 0.35 and shares[1] < 0.2 and shares[1] < 0.7 * shares[0]
+
+
+@pytest.mark.parametrize("n,d", [(10, 3), (50_000, 64), (500_000, 64), (10**9, 64), (10**7, 768)])
+def test_buckets_and_probes_follow_from_the_rows(n, d):
+    hashes, probes = ann.shape(n, d)
+    buckets = (2 << max(0, (d - 1).bit_length())) ** hashes
+    assert buckets * ann.BUCKET >= n and 1 <= probes <= buckets
+    more = ann.shape(8 * n, d)
+    assert more[1] / (2 << max(0, (d - 1).bit_length())) ** more[0] <= probes / buckets
+
+
+def test_candidates_are_the_rows_of_the_probed_buckets():
+    rng = np.random.default_rng(2)
+    buckets = rng.integers(0, 20, (300, 4))
+    probes = [np.stack([rng.permutation(20)[:3] for _ in range(9)]) for _ in range(4)]
+    who, row = ann.candidates(buckets, probes)
+    want = {(i, r) for i in range(9) for r in range(300) if any(buckets[r, t] in probes[t][i] for t in range(4))}
+    assert set(zip(who.tolist(), row.tolist(), strict=True)) == want and len(who) == len(want)
