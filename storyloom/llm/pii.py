@@ -48,10 +48,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Mentions that a trusted pattern may extract, by kind.
 OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,64}){0,8}")
-IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39}(?![0-9A-Za-z:])")
 DIGITS = re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])")
-#: Characters left of a mention in which its one or two context words are sought.
-CONTEXT = 80
+#: The one or two words left of a mention are its context; a longer word is none.
+CUE = 64
 
 SPAN = "struct<kind:int,start:int,end:int>"
 SCAN = f"doc_id long, spans array<{SPAN}>, mentions array<struct<kind:int,start:int,end:int,seed:boolean,value:string,cue:string,before:string>>"
@@ -70,6 +70,29 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def is_ipv6(text: str) -> bool:
+    """Eight groups of up to four digits, or fewer with one ``::`` in place of the others."""
+    left, gap, right = text.partition("::")
+    groups = [g for half in (left, right) if half for g in half.split(":")]
+    return all(1 <= len(g) <= 4 for g in groups) and (1 <= len(groups) <= 7 if gap else len(groups) == 8)
+
+
+def cues(text: str, at: int) -> list[str]:
+    """The last two whole words before ``at``, nearest first; a word of more than ``CUE`` characters ends the search."""
+    out = []
+    while len(out) < 2:
+        while at and text[at - 1].isspace():
+            at -= 1
+        start = at
+        while start and at - start <= CUE and not text[start - 1].isspace():
+            start -= 1
+        if start == at or at - start > CUE:
+            break
+        out.append(text[start:at].lower())
+        at = start
+    return out
+
+
 def luhn(digits: str) -> bool:
     doubled = (sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
     return (sum(map(int, digits[-1::-2])) + sum(doubled)) % 10 == 0
@@ -101,7 +124,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     if "@" in text or "(at)" in text or "[at]" in text:
         free += [(m.start(), 0, m.end()) for m in OBFUSCATED.finditer(text)]
     if text.count(":") > 2:
-        free += [(m.start(), 1, m.end()) for m in IPV6.finditer(text)]
+        free += [(m.start(), 1, m.end()) for m in IPV6.finditer(text) if is_ipv6(m[0])]
     for m in DIGITS.finditer(text):
         n = sum(c.isdigit() for c in m[0])
         free += [(m.start(), 2, m.end())] * (13 <= n) + [(m.start(), 3, m.end())] * (n <= 15)
@@ -118,9 +141,9 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             held.append((s, k, e, False))
     out = []
     for s, k, e, seed in held:
-        words = text[max(0, s - CONTEXT):s].lower().split()
+        words = cues(text, s)
         out.append({"kind": k, "start": s, "end": e, "seed": seed, "value": text[s:e].lower(),
-                    "cue": words[-1] if words else "", "before": words[-2] if len(words) > 1 else ""})
+                    "cue": words[0] if words else "", "before": words[1] if len(words) > 1 else ""})
     return out
 
 

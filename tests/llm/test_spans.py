@@ -109,3 +109,19 @@ def test_types_schemes_and_nested_pairs():
 def test_prose_gives_nothing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert secret_scan.find(docs).filter(F.size("found") > 0).count() <= 2
+
+
+def test_context_is_whole_words():
+    text = "contact     number" + " " * 200 + "12345678901234 then " + "x" * 70 + " 555 123 4567 a  b 555-123-4568"
+    assert pii.cues(text, text.index("1234567890")) == ["number", "contact"]
+    assert pii.cues(text, text.index("555 123")) == []
+    assert pii.cues(text, text.index("555-123")) == ["b", "a"]
+    assert pii.cues("", 0) == [] and pii.cues("one", 3) == ["one"]
+
+
+def test_ipv6_forms():
+    good = ["fe80::1", "2001:db8::5", "::1", "2001:0db8:0000:0000:0000:ff00:0042:8329", "1::", "a:b:c:d:e:f:1::"]
+    bad = ["12:30:45", "aa:bb:cc:dd:ee:ff", "1::2::3", "12345::1", "1:2:3:4:5:6:7:8:9", ":::", "::", "a:b"]
+    for x in good + bad:
+        found = [m[0] for m in pii.IPV6.finditer(f"address {x} here") if pii.is_ipv6(m[0])]
+        assert found == ([x] if x in good else []), x
