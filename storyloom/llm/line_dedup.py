@@ -242,8 +242,9 @@ def without(text: pd.Series, dropped: pd.Series) -> pd.Series:
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``dropped``, the numbers of those lines (null: none)."""
-    gone = materialize(repeated_lines(docs, **options), "lines-gone").withColumnsRenamed({"doc_id": "_d", "content": "_c"})
+    ident, content = fresh(docs.columns, "_d"), fresh(docs.columns, "_c")
+    gone = materialize(repeated_lines(docs, **options), "lines-gone").withColumnsRenamed({"doc_id": ident, "content": content})
     name = fresh(docs.columns, "dropped")
     gone = gone.withColumnRenamed("dropped", name).hint("merge")  # grows with the corpus: never broadcast
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_d"]) & (F.md5(docs["text"]) == gone["_c"]), "left").drop("_d", "_c")
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[ident]) & (F.md5(docs["text"]) == gone[content]), "left").drop(ident, content)
     return joined.withColumn("text", without("text", F.col(name)))

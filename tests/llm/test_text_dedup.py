@@ -196,3 +196,12 @@ def test_short_copies_are_never_missed(spark):
         rows += [(i, " ".join(words)), (i + 1, " ".join(words[:-drop]))]  # 4 of 5, 8 of 10 and 16 of 20 k-mers
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r.doc_id, r.class_id) for r in got if r.class_id != r.doc_id - r.doc_id % 2] == []
+
+
+def test_lines_of_documents_with_clashing_columns(spark):
+    import corpus_pipeline
+    rows = [(1, "a line that repeats here\nown line of one", "en", "s", 40, 1, "x", 5), (2, "a line that repeats here\nanother own line", "en", "s", 40, 2, "y", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _c int, _d string, dropped int")
+    got = {r.doc_id: r for r in corpus_pipeline.lines_stage(spark, docs, None).collect()}
+    assert got[2].text == "another own line" and got[2].n_chars == 16 and (got[2]._c, got[2]._d, got[2].dropped) == (2, "y", 6)
+    assert got[1].text == rows[0][1] and list(got[1].asDict()) == docs.columns
