@@ -23,6 +23,7 @@ read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import running_total, word_count
 
-GOLDEN = 0.6180339887498949
+#: The golden ratio's inverse in units of 2^-64: point n is the fraction of n times it, exact at any n.
+UNITS = Decimal(2 ** 64)
+GOLDEN = Decimal(11400714819323198485)
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents of a source that one task orders; slots of the schedule that one task ranks.
 CHUNK_DOCS, CHUNK_SLOTS = 512, 2048
@@ -95,8 +98,7 @@ def schedule(sources: DataFrame, block_tokens: int) -> DataFrame:
                                                       F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
              .select("cell", "lo", "hi", "src", "source_size", "want", "need"))
     points = (spark.range(3 * total).withColumnRenamed("id", "slot")
-              .withColumn("_x", F.col("slot") * F.lit(GOLDEN))
-              .withColumn("u", F.col("_x") - F.floor(F.col("_x")))
+              .withColumn("u", F.pmod(F.col("slot").cast("decimal(18,0)") * F.lit(GOLDEN), F.lit(UNITS)).cast("double") / F.lit(float(UNITS)))
               .withColumn("cell", F.least(F.floor(F.col("u") * CELLS), F.lit(CELLS - 1))))
     slots = materialize(points.join(lines, "cell").filter("u >= lo AND u < hi")
                         .select("slot", "src", "source_size", "want", "need", F.lit(1).alias("one"),
@@ -113,7 +115,9 @@ def schedule(sources: DataFrame, block_tokens: int) -> DataFrame:
 
 def streams(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """The documents with their place ``begin`` in the shuffled word stream of their source."""
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # Rows without an id are told apart by their number, so that they spread over all chunks like others.
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), ident))
     key = F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")
     placed = (sizes.join(sources.select(F.col("source").alias("_s"), "src", "n_rows", "source_size", "target"),
                          sizes["source"].eqNullSafe(F.col("_s"))).drop("_s")

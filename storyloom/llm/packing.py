@@ -60,12 +60,12 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list
 
 
 def pieces(docs: DataFrame, max_tokens: int) -> DataFrame:
-    """``doc_id, piece, start, length``: documents cut into runs of at most ``max_tokens`` words."""
-    sized = docs.select("doc_id", "text").withColumn("words", word_count())
+    """``row, doc_id, piece, start, length``: documents cut into runs of at most ``max_tokens`` words."""
+    sized = docs.select("doc_id", "text").withColumn("words", word_count()).withColumn("row", F.monotonically_increasing_id())
     last = F.floor((F.col("words") - 1) / max_tokens)
     return (sized.filter("words > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
             .withColumn("start", F.col("piece") * max_tokens)
-            .select("doc_id", "piece", "start", F.least(F.lit(max_tokens), F.col("words") - F.col("start")).cast("long").alias("length")))
+            .select("row", "doc_id", "piece", "start", F.least(F.lit(max_tokens), F.col("words") - F.col("start")).cast("long").alias("length")))
 
 
 def pack(docs: DataFrame, buckets: int = 8, max_tokens: int = 2048, batch_tokens: int = 16384, seed: int = 3) -> DataFrame:
@@ -88,7 +88,9 @@ def pack(docs: DataFrame, buckets: int = 8, max_tokens: int = 2048, batch_tokens
     chunks = F.array(*[F.lit(max(1, -(-held[b] // CHUNK))).cast("long") for b in bounds])
     placed = (cut.withColumn("bucket", F.size(F.filter(limits, lambda b: b < F.col("length"))))
               .withColumn("padded", F.element_at(limits, F.col("bucket") + 1))
-              .withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id", "piece"))
+              # Rows without an id are told apart by their number, so that they spread over all chunks like others.
+              .withColumn("shuffle", F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.lit("row"), "row", "piece"))
+                          .otherwise(F.xxhash64(F.lit(seed), "doc_id", "piece")))
               .withColumn("chunk", F.floor(F.shiftrightunsigned("shuffle", 33) / F.lit(float(1 << 31)) * F.element_at(chunks, F.col("bucket") + 1)))
               .withColumn("one", F.lit(1)))
     order = [F.col("shuffle"), F.col("doc_id").asc_nulls_first(), F.col("piece")]

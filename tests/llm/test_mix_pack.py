@@ -145,3 +145,22 @@ def test_pieces_fill_batches(spark):
     assert {r.padded for r in got} == set(packing.best_boundaries(lengths, [histogram[x] for x in lengths], 4))
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
     assert packing.pack(df.filter(F.col("doc_id") == 401)).count() == 0
+
+
+def test_rows_without_an_id_spread_over_chunks(spark):
+    docs = spark.createDataFrame([(None, "s", f"w{i} x") for i in range(3000)], "doc_id long, source string, text string")
+    sizes = mixing.sized(docs)
+    placed = mixing.streams(sizes, mixing.plan_sources(sizes, mixing.WEIGHTS, 1.5, 2.0), 7)
+    assert placed.select("chunk").distinct().count() >= 4
+    assert sorted(r.begin for r in placed.collect()) == list(range(0, 6000, 2))
+    packed = packing.pack(docs)
+    assert packed.count() == 3000 and packed.select("bucket", "batch", "slot").distinct().count() == 3000
+
+
+def test_points_are_even_far_out(spark):
+    """Neighbouring points of the golden ratio far beyond what doubles resolve."""
+    far = spark.range(4 * 10**12, 4 * 10**12 + 1000).select((F.pmod(
+        F.col("id").cast("decimal(18,0)") * F.lit(mixing.GOLDEN), F.lit(mixing.UNITS)).cast("double") / F.lit(float(mixing.UNITS))).alias("u"))
+    u = sorted(r.u for r in far.collect())
+    gaps = [b - a for a, b in zip(u, u[1:], strict=False)] + [u[0] + 1 - u[-1]]
+    assert max(gaps) < 2 / 1000 and min(gaps) > 0.3 / 1000
