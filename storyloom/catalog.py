@@ -1104,6 +1104,166 @@ def _register_stream_embed(d):
     return d
 
 
+# ---------------------------------------------------------------------------
+# The jobs' writes and the nested lists over them
+# ---------------------------------------------------------------------------
+
+from .plans import pages as _pages  # noqa: E402
+from .plans import shifts as _shifts  # noqa: E402
+from .plans import statements as _stp  # noqa: E402
+
+ARTICLES_PAGE, LIST_PAGE_SIZE = 7, 20
+OLD_DAYS = 30
+
+
+def _old_narratives(names):
+    """Fixture: names that an earlier run has stored, every second one by its hash, with other text and metrics."""
+    old = adapters.now_col() - F.make_dt_interval(days=F.lit(OLD_DAYS))
+    known = names.select("name").distinct().where(F.conv(F.substring(F.md5("name"), 1, 1), 16, 10).cast("int") % 2 == 0)
+    return known.select(_store.key_id(F.col("name")).alias("id"), "name", F.concat(F.lit("Stored "), F.col("name")).alias("description"),
+                        old.alias("created_at"), F.lit(0.0).alias("source_diversity_score"), F.lit(1).alias("support_count"),
+                        F.lit(1).alias("unique_sources_count"), F.lit(0.0).alias("coherence_score"),
+                        F.lit(0.0).alias("near_duplicate_rate"), F.lit(1).alias("persistence_days"))
+
+
+_STATEMENT_RUNS: dict = {}
+
+
+def _statement_tables(spark, sf_dir):
+    """What the statement job writes, run once per session and input, over a store that knows some of the names."""
+    from .session import materialize
+    key = _input_state(spark, sf_dir)
+    if key not in _STATEMENT_RUNS:
+        s = materialize(_st.statements_table(spark, sf_dir), "statements")
+        a = _arts(spark, sf_dir, with_embedding=False)
+
+        def run(existing):
+            return _stp.statement_run(s, a, adapters.now_col(), _rsp.stub_responder, _no_cache(spark), existing,
+                                      STATEMENT_DAYS, threshold=STATEMENT_THRESHOLD)
+
+        first = run(None)["narratives"]
+        _STATEMENT_RUNS[key] = {k: materialize(v, f"statement-{k}") for k, v in run(_old_narratives(first)).items() if k != "cache"}
+    return _STATEMENT_RUNS[key]
+
+
+def q_statement_store(spark, sf_dir):
+    """A5 + P4: the statement job's narratives; those stored before keep their text and take the new metrics."""
+    return finish(_statement_tables(spark, sf_dir)["narratives"])
+
+
+def q_statement_membership(spark, sf_dir):
+    """A7 + D14 + E3: every distinct article of a statement cluster, and whether its event names it."""
+    t = _statement_tables(spark, sf_dir)
+    named = t["event_article"].join(t["events"].select(F.col("id").alias("event_id"), "narrative_id"), "event_id").join(
+        t["clusters"].select(F.col("id").alias("cluster_id"), "narrative_id"), "narrative_id").select("cluster_id", "article_id")
+    return (t["cluster_article"].join(named.withColumn("_n", F.lit(True)), ["cluster_id", "article_id"], "left")
+            .select("cluster_id", "label", "article_id", F.coalesce("_n", F.lit(False)).alias("in_event")))
+
+
+def _all_tables(spark, sf_dir):
+    """The store after the weekly and the statement job."""
+    w, s = _weekly_tables(spark, sf_dir), _statement_tables(spark, sf_dir)
+    narr = w["narratives"].unionByName(s["narratives"])
+    columns = ["id", "narrative_id", "cluster_date", "created_at"]
+    return {"narratives": narr, "clusters": w["clusters"].select(*columns).unionByName(s["clusters"].select(*columns)),
+            "cluster_article": w["cluster_article"].unionByName(s["cluster_article"].select("cluster_id", "article_id")),
+            "events": w["events"].unionByName(s["events"]), "event_article": s["event_article"]}
+
+
+def _article_lists(nested):
+    """Ids of a page's articles in order, and a checksum of all their fields."""
+    fields = F.transform("articles", lambda a: F.concat_ws("|", *[
+        F.date_format(a[f], "yyyy-MM-dd HH:mm:ss") if f in ("published_date", "created_at")
+        else F.md5(a[f]) if f == "content" else a[f].cast("string") for f in _pages.ARTICLE]))
+    return (F.array_join(F.transform("articles", lambda a: a["id"].cast("string")), ",").alias("article_ids"),
+            F.md5(F.array_join(fields, "~")).alias("articles_md5"))
+
+
+def q_clusters_nested(spark, sf_dir):
+    """Clusters of all jobs with their narrative and their articles, newest first, in pages of 20."""
+    t = _all_tables(spark, sf_dir)
+    a = _arts(spark, sf_dir, with_embedding=False)
+    lists = _pages.nested_articles(t["cluster_article"], a, "cluster_id", LIST_PAGE_SIZE)
+    n = t["narratives"].select(F.col("id").alias("narrative_id"), F.col("name").alias("narrative_name"), "support_count")
+    c = t["clusters"].withColumnRenamed("id", "cluster_id").join(n, "narrative_id").join(lists, "cluster_id")
+    return c.select("cluster_id", "narrative_id", "narrative_name", "support_count", "cluster_date", "page", "n_total", *_article_lists(c))
+
+
+def q_timeline_nested(spark, sf_dir):
+    """Events of supported narratives of all jobs with the articles they name."""
+    t = _all_tables(spark, sf_dir)
+    a = _arts(spark, sf_dir, with_embedding=False)
+    lists = _pages.nested_articles(t["event_article"], a, "event_id", LIST_PAGE_SIZE)
+    e = _store.timeline(t["events"], t["narratives"], t["event_article"]).join(lists.where(F.col("page") == 1), "event_id", "left")
+    ids, checksum = _article_lists(e)
+    return finish(e.select("event_id", "narrative_id", "narrative_name", "event_type", "description", "event_date",
+                           "significance_score", "n_related", F.coalesce(ids, F.lit("")).alias("article_ids"), checksum))
+
+
+def q_articles_page(spark, sf_dir):
+    """E7 + P6: a deep page of the article list, newest first."""
+    a = _arts(spark, sf_dir, with_embedding=False).select(*_pages.ARTICLE)
+    written = _pages.write_pages(a, [F.col("published_date").desc(), F.col("id").asc()], "article-list")
+    return written.page(ARTICLES_PAGE, LIST_PAGE_SIZE).withColumn("content", F.md5("content")).withColumnRenamed("content", "content_md5")
+
+
+def q_shift_store(spark, sf_dir):
+    """P3 + A6: what the shift job creates for each recent cluster, over a store that holds some names and some clusters."""
+    a = _arts(spark, sf_dir)
+
+    def run(narratives=None, clusters=None):
+        return _shifts.shift_run(a, adapters.now_col(), _rsp.stub_responder, _no_cache(spark), narratives, clusters, SHIFT_DAYS)
+
+    names = run()["found"]
+    old = _old_narratives(names)
+    digit = F.conv(F.substring(F.md5("name"), 1, 1), 16, 10).cast("int")
+    held = old.where(digit % 4 == 0).select(F.col("id").alias("narrative_id"), F.to_date(adapters.now_col()).alias("cluster_date"))
+    t = run(old, held)
+    links = t["cluster_article"].groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_links"), F.sum("article_id").alias("link_sum"))
+    c = t["clusters"].select("label", F.col("id").alias("cluster_id"), F.size("centroid").alias("n_dims")).join(links, "cluster_id")
+    e = t["events"].select("narrative_id", "significance_score")
+    return finish(t["found"].join(c, "label", "left").join(e, "narrative_id", "left").select(
+        "label", "name", "narrative_id", "description", "narrative_created", "cluster_created", "cluster_id", "n_dims",
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("link_sum", F.lit(0)).alias("link_sum"), "significance_score"))
+
+
+def q_narrative_versions(spark, sf_dir):
+    """A5: the weekly job in two runs, the last two weeks and then the earlier ones, each changing the stored table."""
+    from .plans.versions import VersionedTable
+    from .session import scratch_path
+    acc = _weekly_tables(spark, sf_dir)["accepted"]
+    name = F.concat(F.lit("News Cluster "), F.col("label"))
+    desc = F.format_string("Weekly narrative with %d articles from %d sources. Compression: %.1f%%",
+                           F.col("n_rows"), F.col("n_sources"), F.col("compression_ratio") * 100)
+    rows = _store.narrative_rows(acc, name, desc, F.col("week"), F.col("week_start"))
+    shape = _store.narrative_upsert(None, rows).schema
+    table = VersionedTable(spark, scratch_path(spark, "narratives"), shape, ["name"])
+    for part in (F.col("seq") < 2, F.col("seq") >= 2):
+        table.change(rows.where(part), _store.narrative_upsert)
+    return finish(table.read().drop("is_active"))
+
+
+WINDOW_STRIDE, WINDOW_MINUTES = 104729, 90
+
+
+def q_windows_covered(spark, sf_dir):
+    """C7 over irregular windows, one for each article: which of them hold a published article."""
+    a = _arts(spark, sf_dir, with_embedding=False)
+    minute = F.expr(f"cast(id * {WINDOW_STRIDE} % {adapters.MINUTES_SPAN} as int)")
+    start = F.expr(f"timestamp'{adapters.EPOCH}'") + F.make_dt_interval(mins=minute)
+    w = a.select("id", start.alias("start")).withColumn(
+        "end", F.col("start") + F.make_dt_interval(mins=(1 + F.col("id") * 31 % WINDOW_MINUTES).cast("int")))
+    return _hist.covered(w, a.select(F.col("published_date").alias("ts")))
+
+
+def _register_jobs_written(d):
+    d.update({"narrative_versions": q_narrative_versions, "windows_covered": q_windows_covered,
+              "statement_store": q_statement_store, "statement_membership": q_statement_membership,
+              "clusters_nested": q_clusters_nested, "timeline_nested": q_timeline_nested, "articles_page": q_articles_page,
+              "shift_store": q_shift_store})
+    return d
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     d = {"weekly_narratives": q_weekly_narratives}
     _register_a(d)
@@ -1116,4 +1276,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _register_samples(d)
     _register_stream_embed(d)
     _register_model_steps(d)
+    _register_jobs_written(d)
     return d

@@ -423,6 +423,7 @@ LEFT JOIN ksj ks ON ks.gid = g.gid LEFT JOIN ktj kt ON kt.gid = g.gid"""
 
 def oracle_sql() -> dict[str, str]:
     from .oracles_ingest import ingest_queries
+    from .oracles_jobs import job_write_queries
     from .oracles_store import (job_queries, model_queries, sample_queries, statement_queries,
                                 store_queries)
 
@@ -435,4 +436,5 @@ def oracle_sql() -> dict[str, str]:
     d.update(statement_queries())
     d.update(sample_queries())
     d.update(model_queries())
+    d.update(job_write_queries())
     return d

@@ -233,36 +233,34 @@ FROM bp GROUP BY ROLLUP (week)"""
     return q
 
 
-def statement_queries() -> dict[str, str]:
-    from .oracles import ART, hash_vectors
-    from .oracles_ingest import STMTS
+def statement_ctes() -> str:
+    """Clusters of recent confident statements with their scores (after the article and the statement tables)."""
+    from .oracles import hash_vectors
 
-    q = {}
-    q["statement_narratives"] = with_(ART, STMTS) + f""",
-sm AS (
+    return f"""sm AS (
   SELECT s.actor AS label, s.id, a.source, a.published_date, s.article_id, s.full_statement,
          {NOW} + to_seconds(CAST(s.conv_id AS BIGINT)) AS created_at
   FROM stmts s JOIN art a ON a.id = s.article_id
   WHERE a.published_date >= {NOW} - INTERVAL 14 DAY AND s.confidence >= 0.5),
 ssrc AS (SELECT id, full_statement AS txt FROM sm),
 """ + hash_vectors("ssrc", "svec") + """,
-sp AS (SELECT label, count(*) AS n_rows, count(DISTINCT source) AS n_sources,
+stm_sp AS (SELECT label, count(*) AS n_rows, count(DISTINCT source) AS n_sources,
               count(DISTINCT CAST(published_date AS DATE)) AS n_days FROM sm GROUP BY label),
-sc AS (SELECT label, source, count(*) AS c FROM sm GROUP BY label, source),
-sd AS (SELECT label, CASE WHEN count(*) <= 1 THEN CAST(0 AS DOUBLE)
+stm_sc AS (SELECT label, source, count(*) AS c FROM sm GROUP BY label, source),
+stm_sd AS (SELECT label, CASE WHEN count(*) <= 1 THEN CAST(0 AS DOUBLE)
                           ELSE (log2(CAST(sum(c) AS DOUBLE)) - sum(c * log2(CAST(c AS DOUBLE))) / sum(c)) / log2(CAST(count(*) AS DOUBLE)) END AS diversity
-       FROM sc GROUP BY label),
-ss AS (SELECT m.label, v.slot, sum(v.value) AS s, sum(v.value * v.value) AS q FROM sm m JOIN svec v ON v.id = m.id GROUP BY m.label, v.slot),
-st AS (SELECT label, sum(s * s) AS s2, sum(q) AS q FROM ss GROUP BY label),
-sg AS (
+       FROM stm_sc GROUP BY label),
+stm_ss AS (SELECT m.label, v.slot, sum(v.value) AS s, sum(v.value * v.value) AS q FROM sm m JOIN svec v ON v.id = m.id GROUP BY m.label, v.slot),
+stm_st AS (SELECT label, sum(s * s) AS s2, sum(q) AS q FROM stm_ss GROUP BY label),
+stm_sg AS (
   SELECT p.label, p.n_rows, p.n_sources, p.n_days, d.diversity,
          CASE WHEN p.n_rows < 2 THEN CAST(0 AS DOUBLE)
               ELSE (coalesce(t.s2, 0) - coalesce(t.q, 0)) / CAST(p.n_rows * (p.n_rows - 1) AS DOUBLE) END AS coherence
-  FROM sp p JOIN sd d ON d.label = p.label LEFT JOIN st t ON t.label = p.label),
+  FROM stm_sp p JOIN stm_sd d ON d.label = p.label LEFT JOIN stm_st t ON t.label = p.label),
 sgt AS (
   SELECT *, CASE WHEN n_rows < 5 THEN 'too_few_rows' WHEN n_sources < 3 THEN 'too_few_sources'
                  WHEN n_days < 2 THEN 'too_few_days' WHEN coherence < 0.1 THEN 'low_coherence' END AS reject_reason
-  FROM sg),
+  FROM stm_sg),
 svm AS (SELECT m.label, m.id, v.slot, v.value FROM sm m JOIN svec v ON v.id = m.id),
 spairs AS (
   SELECT a.label, a.id AS id_a, b.id AS id_b, sum(a.value * b.value) AS cosine
@@ -275,7 +273,15 @@ ssamp AS (
   SELECT label, string_agg(substring(full_statement, 1, 100), ' | ' ORDER BY r) AS samples FROM (
     SELECT label, full_statement, row_number() OVER (PARTITION BY label ORDER BY created_at DESC, id) AS r FROM sm)
   WHERE r <= 3 GROUP BY label),
-srel AS (SELECT label, least(count(DISTINCT article_id), 5) AS n_related FROM sm GROUP BY label)
+srel AS (SELECT label, least(count(DISTINCT article_id), 5) AS n_related FROM sm GROUP BY label)"""
+
+
+def statement_queries() -> dict[str, str]:
+    from .oracles import ART
+    from .oracles_ingest import STMTS
+
+    q = {}
+    q["statement_narratives"] = with_(ART, STMTS) + ",\n" + statement_ctes() + """
 SELECT g.label, g.n_rows AS n_statements, g.n_sources, g.n_days, round(g.coherence, 6) AS coherence,
        round(g.diversity, 6) AS diversity,
        CASE WHEN g.reject_reason IS NULL THEN round(n.near_dup_rate, 6) END AS near_dup_rate,

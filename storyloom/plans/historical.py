@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,6 +63,32 @@ def processed_weeks(grid: DataFrame, events: DataFrame, now: str = NOW, months:
     return grid.join(hit, "week_idx", "left_semi")
 
 
+def covered(intervals: DataFrame, events: DataFrame, id_col: str = "id", start: str = "start", end: str = "end",
+            ts: str = "ts") -> DataFrame:
+    """C7 for any windows: the rows of ``intervals`` that hold at least one event in [start, end).
+
+    An interval of length n lies in at most three bins of width 2^k ≤ n < 2^(k+1)
+    microseconds, and cuts each of them on one side at most.  So per width in use
+    (63 at most) and bin the least and the greatest event time decide: events meet
+    intervals as one row per bin, by equality of (width, bin), however the windows
+    overlap and however many events fall into one.
+    """
+    at = intervals.select(F.col(id_col).alias("_id"), F.unix_micros(start).alias("_s"), F.unix_micros(end).alias("_e"))
+    at = at.where(F.col("_e") > F.col("_s")).withColumn("_k", F.length(F.bin(F.col("_e") - F.col("_s"))) - 1)
+    widths = sorted(r["_k"] for r in at.select("_k").distinct().collect())
+
+    def bin_of(micros: str) -> Column:
+        return F.call_function("shiftright", F.expr(micros), F.col("_k"))
+
+    pieces = at.withColumn("_bin", F.explode(F.sequence(bin_of("_s"), bin_of("_e - 1"))))
+    met = (events.select(F.unix_micros(ts).alias("_t")).where(F.col("_t").isNotNull())
+           .withColumn("_k", F.explode(F.array(*[F.lit(k) for k in widths]).cast("array<int>")))
+           .groupBy("_k", bin_of("_t").alias("_bin")).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last")))
+    hit = (pieces.join(met, ["_k", "_bin"]).where((F.col("_last") >= F.col("_s")) & (F.col("_first") < F.col("_e")))
+           .select(F.col("_id").alias(id_col)).distinct())
+    return intervals.join(hit, id_col, "left_semi")
+
+
 def week_plan(stats: DataFrame, k: int = 6, done: DataFrame | None = None) -> DataFrame:
     """B13 + skip-existing: weeks with ≥ k vectors and (optionally) no event yet."""
     plan = stats.where(F.col("with_vector") >= k)

@@ -9,7 +9,7 @@ Writers produce new snapshot DataFrames; persisting them to a new path
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,23 +41,27 @@ def narrative_upsert(existing: DataFrame | None, new: DataFrame) -> DataFrame:
 
     ``seq`` orders writes: existing rows count as earliest.  One shuffle by name.
     """
-    cols = ["name", "description", "seq", "created_at", *METRICS]
-    rows = new.select(*cols)
+    cols = ["name", "description", "created_at", *METRICS]
+    rows = new.select(*cols, F.struct(F.lit(1).alias("new"), F.col("seq")).alias("_at"))
     if existing is not None:
-        rows = existing.select("name", "description", F.lit(-1).alias("seq"), "created_at", *METRICS) \
-            .unionByName(rows)
+        no_seq = F.lit(None).cast(new.schema["seq"].dataType)
+        rows = existing.select(*cols, F.struct(F.lit(0).alias("new"), no_seq.alias("seq")).alias("_at")).unionByName(rows)
     agg = rows.groupBy("name").agg(
-        F.min_by("description", "seq").alias("description"),
-        F.min_by("created_at", "seq").alias("created_at"),
-        F.max_by(F.struct(*METRICS), "seq").alias("_m"))
+        F.min_by("description", "_at").alias("description"),
+        F.min_by("created_at", "_at").alias("created_at"),
+        F.max_by(F.struct(*METRICS), "_at").alias("_m"))
     return agg.select(key_id(F.col("name")).alias("id"), "name", "description", "created_at",
                       F.lit(True).alias("is_active"), *[F.col(f"_m.{m}").alias(m) for m in METRICS])
 
 
-def insert_if_absent(existing: DataFrame, new: DataFrame, keys) -> DataFrame:
-    """Rows of ``new`` whose natural key is not yet in ``existing`` (first per key)."""
+def insert_if_absent(existing: DataFrame, new: DataFrame, keys, order=None) -> DataFrame:
+    """Rows of ``new`` whose natural key is not yet in ``existing``; of several with one key the first by ``order``."""
     keys = list(keys)
-    first = new.dropDuplicates(keys)
+    if order is None:
+        first = new.dropDuplicates(keys)
+    else:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        first = new.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
     return first.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
