@@ -70,15 +70,19 @@ def rotations(x: np.ndarray, tables: int, hashes: int, seed: int) -> Iterator[li
 
 
 def probed(axes: list[np.ndarray], probes: int) -> np.ndarray:
-    """The best ``probes`` buckets of each row, by the sum of its products with the buckets' axes."""
+    """The best ``probes`` buckets of each row, best first, by the sum of its products with the buckets' axes.
+
+    A pair of the i-th best of one list and the j-th of another has i x j pairs
+    at least as good, itself among them, so only pairs with i x j <= probes are added up.
+    """
     score, bucket = np.zeros((len(axes[0]), 1)), np.zeros((len(axes[0]), 1), np.int64)
     for products in axes:
         best = np.argsort(-products, axis=1, kind="stable")[:, :probes]
-        score = (score[:, :, None] + np.take_along_axis(products, best, axis=1)[:, None, :]).reshape(len(score), -1)
-        bucket = (bucket[:, :, None] * products.shape[1] + best[:, None, :]).reshape(len(score), -1)
-        if score.shape[1] > probes:
-            order = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
-            score, bucket = np.take_along_axis(score, order, axis=1), np.take_along_axis(bucket, order, axis=1)
+        values = np.take_along_axis(products, best, axis=1)
+        i, j = np.nonzero(np.outer(np.arange(1, score.shape[1] + 1), np.arange(1, best.shape[1] + 1)) <= probes)
+        score, bucket = score[:, i] + values[:, j], bucket[:, i] * products.shape[1] + best[:, j]
+        order = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+        score, bucket = np.take_along_axis(score, order, axis=1), np.take_along_axis(bucket, order, axis=1)
     return bucket
 
 

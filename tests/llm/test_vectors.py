@@ -176,3 +176,13 @@ def test_candidates_are_the_rows_of_the_probed_buckets():
     who, row = ann.candidates(buckets, probes)
     want = {(i, r) for i in range(9) for r in range(300) if any(buckets[r, t] in probes[t][i] for t in range(4))}
     assert set(zip(who.tolist(), row.tolist(), strict=True)) == want and len(who) == len(want)
+
+
+@pytest.mark.parametrize("probes", [1, 5, 30, 64])
+def test_probes_are_the_best_buckets(probes):
+    rng = np.random.default_rng(9)
+    axes = [rng.normal(size=(20, 8)) for _ in range(2)]
+    got = ann.probed(axes, probes)
+    whole = (axes[0][:, :, None] + axes[1][:, None, :]).reshape(20, -1)
+    want = np.argsort(-whole, axis=1)[:, :probes]
+    assert (got == want).all()
