@@ -1256,8 +1256,64 @@ def q_windows_covered(spark, sf_dir):
     return _hist.covered(w, a.select(F.col("published_date").alias("ts")))
 
 
+def _tfidf_run(spark, sf_dir):
+    from .plans import pipeline
+    return pipeline.weekly_run(_arts(spark, sf_dir, with_embedding=False), _rsp.stub_responder, _rsp.stub_brief,
+                               _no_cache(spark), threshold=GATE_THRESHOLD, ranker="tfidf")
+
+
+def q_weekly_run(spark, sf_dir):
+    """P1 end to end with the TF-IDF ranker (the reference's path without its graph library)."""
+    return _run_tables(_tfidf_run(spark, sf_dir))
+
+
+def q_weekly_run_cost(spark, sf_dir):
+    """D9 + D10 from the run's own calls."""
+    return finish(_tfidf_run(spark, sf_dir)["cost"], 9)
+
+
+def _ukrainian_texts(spark, sf_dir):
+    """Fixture: the documents' texts in Cyrillic letters, each Latin letter replaced by one of the Ukrainian alphabet."""
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абцдефгхіжклмнопярстувшиїз"
+    return _doc_texts(spark, sf_dir).withColumn("text", F.translate("text", latin, cyrillic))
+
+
+def q_keywords_uk_texts(spark, sf_dir):
+    """G12 on texts in Cyrillic letters."""
+    t = _ukrainian_texts(spark, sf_dir)
+    return _sum.word_freq(t, ["gid"], _tx.cyrillic_words(F.col("text")), TOP_WORDS).withColumnRenamed("gid", "id")
+
+
+def q_entities_by_language(spark, sf_dir):
+    """G9 + G10 + G11: entities of Cyrillic texts by the Ukrainian patterns, of the others by the English ones."""
+    upper = F.transform(F.split("text", " "), lambda w: F.initcap(w))
+    uk = _ukrainian_texts(spark, sf_dir).select("gid", F.array_join(upper, " ").alias("text"), F.lit("uk").alias("lang"))
+    t = _doc_texts(spark, sf_dir).select("gid", "text", "lang").where(F.col("gid") % 2 == 0).unionByName(uk.where(F.col("gid") % 2 == 1))
+    m = t.select(F.col("gid").alias("id"), "lang", _tx.entities_by_lang(F.col("text"), F.col("lang")).alias("ents"))
+    return m.select("id", "lang", F.explode("ents").alias("entity_type", "values")).select(
+        "id", "lang", "entity_type", F.size("values").alias("n_values"), F.md5(F.array_join("values", "|")).alias("values_md5"))
+
+
+FEED_LIMIT = 50
+
+
+def q_feed_limited(spark, sf_dir):
+    """A3: the first 50 items of the feed, normalised."""
+    configure(spark)
+    n = _feed.normalise(_feed.read_limit(_feed.feed_from_pages(spark, sf_dir), FEED_LIMIT))
+    return n.select("seq", "url", "title", "source", "published_date")
+
+
+def q_narratives_public(spark, sf_dir):
+    """Active narratives with every public field."""
+    n = _store.narratives_active(_weekly_tables(spark, sf_dir)["narratives"])
+    return finish(n.select("id", "name", "description", "created_at", "is_active", *_store.METRICS))
+
+
 def _register_jobs_written(d):
-    d.update({"narrative_versions": q_narrative_versions, "windows_covered": q_windows_covered,
+    d.update({"weekly_run": q_weekly_run, "weekly_run_cost": q_weekly_run_cost, "keywords_uk_texts": q_keywords_uk_texts,
+              "entities_by_language": q_entities_by_language, "feed_limited": q_feed_limited, "narratives_public": q_narratives_public,
+              "narrative_versions": q_narrative_versions, "windows_covered": q_windows_covered,
               "statement_store": q_statement_store, "statement_membership": q_statement_membership,
               "clusters_nested": q_clusters_nested, "timeline_nested": q_timeline_nested, "articles_page": q_articles_page,
               "shift_store": q_shift_store})

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from .quality import MERGE_SHARES
 
 
 def _sqdist(x: Column, c: Column) -> Column:
@@ -94,8 +95,10 @@ def _round(points: DataFrame, centres: dict) -> dict:
                              "sums": [np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)], "cost": [pdf["cost"].sum()]})
 
     schema = "_run string, start int, n array<long>, sums array<double>, cost double"
-    parts = points.select("_run", "vec").mapInPandas(run, schema)
-    rows = parts.groupBy("_run", "start").applyInPandas(add, schema).collect()  # runs x starts rows, as the caller set
+    # Added up in two rounds, so that no task gets the sums of every other.
+    parts = points.select("_run", "vec").mapInPandas(run, schema).withColumn("_share", F.spark_partition_id() % MERGE_SHARES)
+    shares = parts.groupBy("_run", "start", "_share").applyInPandas(add, schema)
+    rows = shares.groupBy("_run", "start").applyInPandas(add, schema).collect()  # runs x starts rows, as the caller set
     return {(r["_run"], r["start"]): (np.array(r["n"]), np.array(r["sums"]), r["cost"]) for r in rows}
 
 

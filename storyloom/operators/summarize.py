@@ -6,8 +6,8 @@ and word counts are grouped aggregates and windows keyed by the group, so
 groups run in parallel and no vocabulary ever reaches the driver.
 
 Only the PageRank power iteration (G6) runs in Python: one group's sentence ×
-term matrix per packed row in ``mapInPandas``.  A group is bounded by its ≤ 3 medoid texts,
-and the iteration never forms the sentence × sentence graph: with W = T·Tᵀ
+term matrix per packed row in ``mapInPandas``.  Groups too large for a task are
+iterated by joins instead.  The iteration never forms the sentence × sentence graph: with W = T·Tᵀ
 (T = L2-normalised TF-IDF rows) every product is taken as T·(Tᵀ·x).
 """
 
@@ -111,12 +111,54 @@ def _pagerank_sparse(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: in
     raise RuntimeError("pagerank did not converge")
 
 
-def textrank(sents: DataFrame, keys: Sequence[str], k: int = 6, stop_words=tx.STOP_UK) -> DataFrame:
+def large_pagerank(matrix: DataFrame, sents: DataFrame, keys: Sequence[str], rounds: int = PAGERANK_MAX_ITER) -> DataFrame:
+    """PageRank of W = T·Tᵀ for groups of any size: (keys…, sent_pos, score), without the groups that do not converge.
+
+    ``matrix`` holds T's entries (keys…, sent_pos, term, weight), ``sents`` every
+    sentence (keys…, sent_pos, _n = sentences of the group).  A round takes z = Tᵀ·y and T·z as
+    two joins with sums over the entries, so no task holds a group, and writes the
+    new scores to the shared folder.  Groups stop one by one; rounds go on over
+    those still open.
+    """
+    from ..session import materialize
+
+    keys = list(keys)
+    place, word = [*keys, "sent_pos"], [*keys, "term"]
+    matrix = materialize(matrix.select(*place, "term", "weight"), "pagerank-matrix")
+    sums = matrix.groupBy(*word).agg(F.sum("weight").alias("_c"))
+    out = matrix.join(sums, word).groupBy(*place).agg(F.sum(F.col("weight") * F.col("_c")).alias("out"))
+    state = materialize(sents.select(*place, "_n").join(out, place, "left").select(
+        *place, "_n", F.coalesce("out", F.lit(0.0)).alias("out"), (F.lit(1.0) / F.col("_n")).alias("x")), "pagerank-state")
+    done = None
+    for _ in range(rounds):
+        y = state.where(F.col("out") > 0).select(*place, (F.col("x") / F.col("out")).alias("y"))
+        z = matrix.join(y, place).groupBy(*word).agg(F.sum(F.col("weight") * F.col("y")).alias("z"))
+        flow = matrix.join(z, word).groupBy(*place).agg(F.sum(F.col("weight") * F.col("z")).alias("flow"))
+        lost = state.groupBy(*keys).agg(F.sum(F.when(F.col("out") <= 0, F.col("x")).otherwise(0.0)).alias("lost"))
+        new = (F.lit(PAGERANK_ALPHA) * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / F.col("_n")) + (1 - PAGERANK_ALPHA) / F.col("_n"))
+        stepped = materialize(state.join(flow, place, "left").join(lost, keys)
+                              .select(*place, "_n", "out", new.alias("x"), F.abs(new - F.col("x")).alias("moved")), "pagerank-round")
+        still = materialize(stepped.groupBy(*keys).agg(F.sum("moved").alias("moved"), F.first("_n").alias("_n"))
+                            .select(*keys, (F.col("moved") >= F.col("_n") * PAGERANK_TOL).alias("open")), "pagerank-groups")
+        over = stepped.join(still.where(~F.col("open")), keys, "left_semi").select(*place, F.col("x").alias("score"))
+        done = over if done is None else done.unionByName(over)
+        state = stepped.drop("moved").join(still.where("open"), keys, "left_semi")
+        if still.where("open").isEmpty():
+            break
+    return done
+
+
+#: Sentences of a group up to which one task ranks it.
+LARGE_GROUP = 50_000
+
+
+def textrank(sents: DataFrame, keys: Sequence[str], k: int = 6, stop_words=tx.STOP_UK, large: int = LARGE_GROUP) -> DataFrame:
     """TextRank key sentences per group; groups of ≤ k keep all in order.
 
     TF-IDF weights come from ``sentence_tfidf`` (Spark); the power iteration
-    runs per group in ``mapInPandas`` (one packed row per group).  Ranking: (score, sentence) both
-    descending (E10).  A group whose iteration fails falls back to G5.
+    runs per group in ``mapInPandas`` (one packed row per group), and by joins over
+    all executors for groups of more than ``large`` sentences (``large_pagerank``).
+    Ranking: (score, sentence) both descending (E10).  A group whose iteration fails falls back to G5.
     Output (keys…, sent_pos, sentence, score, rank).
     """
     from ..session import materialize
@@ -128,7 +170,7 @@ def textrank(sents: DataFrame, keys: Sequence[str], k: int = 6, stop_words=tx.ST
     small = sized.where(F.col("_n") <= k).select(
         *keys, "sent_pos", "sentence", F.lit(None).cast("double").alias("score"),
         (F.col("sent_pos") + 1).cast("int").alias("rank"))
-    big = sized.where(F.col("_n") > k).drop("_n")
+    big = sized.where((F.col("_n") > k) & (F.col("_n") <= large)).drop("_n")
     w = sentence_tfidf(big, keys, stop_words)
     # One row per group (its sentences and its sparse TF-IDF matrix): the group is
     # bounded by its texts, and mapInPandas then ranks many groups per batch.
@@ -186,7 +228,16 @@ def textrank(sents: DataFrame, keys: Sequence[str], k: int = 6, stop_words=tx.ST
     ok = ranked.where(F.col("converged")).drop("converged")
     failed = ranked.where(~F.col("converged")).select(*keys).distinct()
     fallback = rank_sentences(big.join(failed, keys, "left_semi"), keys, k, stop_words)
-    return small.unionByName(ok).unionByName(fallback)
+    out = small.unionByName(ok).unionByName(fallback)
+    huge = sized.where((F.col("_n") > k) & (F.col("_n") > large))
+    if huge.isEmpty():
+        return out
+    scores = materialize(large_pagerank(sentence_tfidf(huge.drop("_n"), keys, stop_words), huge, keys), "textrank-large")
+    best = Window.partitionBy(*keys).orderBy(F.round("score", 12).desc(), F.col("sentence").desc())
+    top = (huge.drop("_n").join(scores, [*keys, "sent_pos"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+           .select(*keys, "sent_pos", "sentence", "score", "rank"))
+    failed = huge.drop("_n").join(scores.select(*keys).distinct(), keys, "left_anti")
+    return out.unionByName(top).unionByName(rank_sentences(failed, keys, k, stop_words))
 
 
 def key_terms(texts: DataFrame, keys: Sequence[str], k: int = 12, text_col: str = "text",

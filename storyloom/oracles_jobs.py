@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators import responders as rsp
-from .oracles import ART, NOW, with_
+from .oracles import ART, DOC_TEXT, NOW, WEEKLY_BASE, compress_ctes, with_
 from .oracles_ingest import STMTS
 from .oracles_store import _base, _id, _lit, statement_ctes
 
@@ -55,8 +55,99 @@ all_clus AS (SELECT id, narrative_id, cluster_date FROM clus UNION ALL SELECT id
 all_clart AS (SELECT cluster_id, article_id FROM clart UNION ALL SELECT cluster_id, article_id FROM sclart)"""
 
 
-def job_write_queries() -> dict[str, str]:
+#: The texts hold no Cyrillic letters, so of the Ukrainian patterns only amounts of money can match.
+MONEY = r"(?i)(?:₴|грн\.?|\$|€)\s?[\d\s,]+(?:\.\d{2})?(?:\s*(?:мільйон|мільярд|трильйон|тисяч|млн|млрд))?"
+SEP = "'\\n'"
+
+
+def prompt_ctes() -> str:
+    """``prm(week, label, prompt)``: the naming prompt's content of each cluster (after the compression's tables)."""
+    return f"""pk AS (SELECT gid, 'Key points:' || {SEP} || string_agg(CAST(rank AS VARCHAR) || '. ' || sentence, {SEP} ORDER BY rank) AS x FROM ranked WHERE rank <= 6 GROUP BY gid),
+pt AS (SELECT gid, {SEP} || 'Important terms: ' || string_agg(term, ', ' ORDER BY rank) FILTER (WHERE rank <= 10) AS x FROM kterms GROUP BY gid),
+pm AS (SELECT gid, list_sort(list_distinct(regexp_extract_all(combined, '{MONEY}'))) AS m FROM comb),
+psrc AS (SELECT g.gid, {SEP} || 'Sources (' || CAST(count(DISTINCT m.source) AS VARCHAR) || '): ' || string_agg(DISTINCT m.source, ', ' ORDER BY m.source) AS x
+         FROM rk r JOIN mem m ON r.week = m.week AND r.label = m.label AND r.id = m.id JOIN gkey g ON g.week = r.week AND g.label = r.label
+         WHERE r.medoid_rank <= 3 GROUP BY g.gid),
+prm AS (SELECT g.week, g.label, array_to_string(list_filter([pk.x, pt.x,
+          CASE WHEN len(pm.m) > 0 THEN {SEP} || 'Key entities: MONEY: ' || array_to_string(pm.m[1:3], ', ') END, psrc.x], lambda v: v IS NOT NULL), {SEP}) AS prompt
+        FROM gkey g LEFT JOIN pk ON pk.gid = g.gid LEFT JOIN pt ON pt.gid = g.gid LEFT JOIN pm ON pm.gid = g.gid LEFT JOIN psrc ON psrc.gid = g.gid)"""
+
+
+def run_ctes() -> str:
+    """The weekly job with the stub model's names."""
+    return _base() + ",\n" + prompt_ctes() + f""",
+rq AS (SELECT a.*, {_lit(rsp.NAMING_HEAD)} || p.prompt || {_lit(rsp.NAMING_TAIL)} AS prompt FROM acc a JOIN prm p ON p.week = a.week AND p.label = a.label),
+rn AS (SELECT *, 'Topic ' || substr(md5(prompt), 1, 6) AS tname FROM rq)"""
+
+
+def prompt_queries() -> dict[str, str]:
+    q = {}
+    clusters = with_(*WEEKLY_BASE) + compress_ctes() + ",\n" + prompt_ctes()
+    q["prompt_content"] = clusters + """
+SELECT week, label, prompt, CAST(length(prompt) AS INTEGER) AS prompt_chars FROM prm"""
+    q["name_clusters"] = clusters + f""",
+hsh AS (SELECT g.week, g.label, md5(coalesce(ks.s_cat, '') || coalesce(kt.t_cat, '')) AS h
+        FROM gkey g LEFT JOIN ksj ks ON ks.gid = g.gid LEFT JOIN ktj kt ON kt.gid = g.gid),
+full_prompt AS (SELECT p.week, p.label, h.h, {_lit(rsp.NAMING_HEAD)} || p.prompt || {_lit(rsp.NAMING_TAIL)} AS prompt
+                FROM prm p JOIN hsh h ON h.week = p.week AND h.label = p.label),
+hit AS (SELECT *, CAST(('0x' || substr(h, 1, 2)) AS INTEGER) % 2 = 0 AND CAST(('0x' || substr(h, 3, 1)) AS INTEGER) % 10 < 7 AS cached FROM full_prompt)
+SELECT week, label, CASE WHEN cached THEN 'Cached ' || substr(h, 1, 6) ELSE 'Topic ' || substr(md5(prompt), 1, 6) END AS name,
+       cached AS from_cache, CAST(length(prompt) AS INTEGER) AS prompt_chars FROM hit"""
+    q["weekly_run"] = run_ctes() + f"""
+SELECT {_id("'emergence|' || tname || '|' || strftime(week_start, '%Y-%m-%d %H:%M:%S') || '|' || label")} AS event_id, {_id('tname')} AS narrative_id,
+       week_start AS event_date, printf('Weekly narrative: %d articles, coherence %.3f', n_rows, coherence) AS event_description,
+       round(significance, 6) AS significance_score, tname AS name,
+       printf('Weekly narrative with %d articles from %d sources. Compression: %.1f%%', n_rows, n_sources, compression_ratio * 100) AS description,
+       CAST(n_rows AS INTEGER) AS support_count, n_rows AS n_articles FROM rn"""
+    head, tail = (_lit(x) for x in (rsp.BRIEF_HEAD, rsp.BRIEF_TAIL))
+    q["weekly_run_cost"] = run_ctes() + f""",
+bl AS (SELECT week, count(*) AS n, string_agg(printf('• %s (%d articles, %d sources, coherence: %.2f)', tname, n_rows, n_sources, coherence),
+              chr(10) ORDER BY label) AS bullets FROM rn GROUP BY week),
+bq AS (SELECT {head} || CAST(n AS VARCHAR) || '):' || chr(10) || bullets || {tail} AS prompt FROM bl),
+bc AS (SELECT count(*) AS brief_calls, CAST(coalesce(sum(length(prompt) + length(' Brief ') + 8 + 1), 0) AS BIGINT) AS brief_chars
+       FROM bq WHERE substr(md5(prompt), 1, 1) NOT IN ('0', '1', '2', '3')),
+nc AS (SELECT count(*) AS n, CAST(sum(length(prompt)) AS BIGINT) AS chars FROM rn),
+t AS (SELECT nc.n AS narratives_created, nc.n AS naming_calls, nc.chars AS naming_chars, brief_calls, brief_chars,
+             chars / 1000.0 * 0.00015 + brief_chars / 1000.0 * 0.001 AS total FROM nc, bc)
+SELECT narratives_created, naming_calls, naming_chars, brief_calls, brief_chars, round(CAST(total AS DOUBLE), 9) AS total_cost_usd,
+       round(CAST(total / narratives_created AS DOUBLE), 9) AS cost_per_narrative_usd FROM t"""
+    return q
+
+
+def more_queries() -> dict[str, str]:
+    from .oracles import _stops
+    from .oracles_ingest import FEED
+
     q = {}
+    letters = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'абцдефгхіжклмнопярстувшиїз')"
+    q["keywords_uk_texts"] = with_(ART, DOC_TEXT) + f""",
+w AS (SELECT gid, unnest(regexp_extract_all(lower({letters}), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM dtx),
+c AS (SELECT gid, word, count(*) AS cnt FROM w WHERE regexp_full_match(word, '[а-яіїєґ]{{3,}}') AND NOT list_contains({_stops()[2]}, word) GROUP BY gid, word)
+SELECT * FROM (SELECT gid AS id, word, cnt, CAST(row_number() OVER (PARTITION BY gid ORDER BY cnt DESC, word) AS INTEGER) AS rank FROM c) WHERE rank <= 10"""
+    q["feed_limited"] = with_(FEED) + """,
+lim AS (SELECT seq FROM feed ORDER BY seq LIMIT 50)
+SELECT seq, url, title, source, published_date FROM norm WHERE seq IN (SELECT seq FROM lim)"""
+    q["narratives_public"] = _base() + """
+SELECT id, name, description, created_at, is_active, round(source_diversity_score, 6) AS source_diversity_score, support_count,
+       unique_sources_count, round(coherence_score, 6) AS coherence_score, round(near_duplicate_rate, 6) AS near_duplicate_rate, persistence_days
+FROM narr2 WHERE is_active AND support_count > 0"""
+    q["silhouette_sq"] = """WITH v AS (
+  SELECT vec_id AS id, label, generate_subscripts(embedding, 1) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+y AS (SELECT label, k, sum(x) AS y, sum(x * x) AS s FROM v GROUP BY label, k),
+psi AS (SELECT label, sum(s) AS psi FROM y GROUP BY label),
+sq AS (SELECT id, any_value(label) AS label, sum(x * x) AS q FROM v GROUP BY id),
+dt AS (SELECT v.id, y.label AS other, sum(v.x * y.y) AS d FROM v JOIN y ON y.k = v.k GROUP BY v.id, y.label),
+m AS (SELECT sq.id, sq.label, dt.other, n.n, sq.q + psi.psi / n.n - 2 * dt.d / n.n AS far
+      FROM sq JOIN dt ON dt.id = sq.id JOIN n ON n.label = dt.other JOIN psi ON psi.label = dt.other),
+ab AS (SELECT id, max(CASE WHEN other = label THEN n END) AS own, max(CASE WHEN other = label AND n > 1 THEN far * n / (n - 1) END) AS a,
+              min(CASE WHEN other <> label THEN far END) AS b FROM m GROUP BY id)
+SELECT round(avg(CASE WHEN own = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS silhouette, count(*) AS n_rows FROM ab"""
+    return q
+
+
+def job_write_queries() -> dict[str, str]:
+    q = prompt_queries() | more_queries()
     own = with_(ART, STMTS) + ",\n" + statement_store()
     q["statement_store"] = own + """
 SELECT id, name, description, created_at, is_active, round(source_diversity_score, 6) AS source_diversity_score, support_count,
