@@ -219,7 +219,7 @@ def q_kmeans_assign(spark, sf_dir):
     return finish(a.select(F.col("id").alias("vec_id"), "label", "cluster", "sqdist"))
 
 
-def q_kmeans_lloyd(spark, sf_dir):
+def _label_lloyd(spark, sf_dir, **options):
     a = _arts(spark, sf_dir)
     nowc = adapters.now_col()
     pts = (a.where(F.col("embedding").isNotNull())
@@ -228,10 +228,20 @@ def q_kmeans_lloyd(spark, sf_dir):
            .select("week", "id", "label", F.col("embedding").alias("vec")))
     init = _km.mean_vectors(pts.select("week", F.col("label").alias("cluster"), "vec"),
                             ["week", "cluster"])
-    assigned, _ = _km.lloyd(pts.select("week", "id", "vec"), init, ["week"], LLOYD_ITERATIONS)
+    assigned, _ = _km.lloyd(pts.select("week", "id", "vec"), init, ["week"], **options)
     return assigned.select("week", "id", "cluster")
 
 
+def q_kmeans_lloyd(spark, sf_dir):
+    """V2: two rounds from the labels' means."""
+    return _label_lloyd(spark, sf_dir, iterations=LLOYD_ITERATIONS)
+
+
+def q_kmeans_converged(spark, sf_dir):
+    """V2 until no centre moves."""
+    return _label_lloyd(spark, sf_dir, tol=1e-9)
+
+
 def q_silhouette_exact(spark, sf_dir):
     e = _emb(spark, sf_dir)
     s = _pairs.silhouette(e.select("id", "label"), e.select("id", F.col("embedding").alias("vec")), [], "label")
@@ -250,7 +260,7 @@ def _register_a(d):
         "near_dup_rate": q_near_dup_rate, "near_dup_pairs": q_near_dup_pairs,
         "medoids": q_medoids, "coherence": q_coherence, "centroids": q_centroids,
         "cosine_pairs": q_cosine_pairs, "kmeans_assign": q_kmeans_assign,
-        "kmeans_lloyd": q_kmeans_lloyd, "silhouette_exact": q_silhouette_exact,
+        "kmeans_lloyd": q_kmeans_lloyd, "kmeans_converged": q_kmeans_converged, "silhouette_exact": q_silhouette_exact,
     })
     return d
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators import responders as rsp
-from .oracles import ART, DOC_TEXT, NOW, WEEKLY_BASE, compress_ctes, with_
+from .oracles import ART, ART_WEEK, DOC_TEXT, NOW, WEEKLY_BASE, compress_ctes, with_
 from .oracles_ingest import STMTS
 from .oracles_store import _base, _id, _lit, statement_ctes
 
@@ -131,6 +131,24 @@ SELECT seq, url, title, source, published_date FROM norm WHERE seq IN (SELECT se
 SELECT id, name, description, created_at, is_active, round(source_diversity_score, 6) AS source_diversity_score, support_count,
        unique_sources_count, round(coherence_score, 6) AS coherence_score, round(near_duplicate_rate, 6) AS near_duplicate_rate, persistence_days
 FROM narr2 WHERE is_active AND support_count > 0"""
+    far = "list_sum(list_transform(list_zip({a}, {b}), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    near = "arg_min({c}.cluster, (" + far.format(a="p.vec", b="{c}.cv") + ", {c}.cluster))"
+    q["kmeans_converged"] = "WITH RECURSIVE " + with_(ART, ART_WEEK)[5:] + f""",
+pts AS (SELECT week, id, label, CAST(embedding AS DOUBLE[]) AS vec FROM artw WHERE embedding IS NOT NULL AND week >= 0 AND week < 5),
+px AS (SELECT week, id, label, generate_subscripts(vec, 1) AS i, unnest(vec) AS v FROM pts),
+c0 AS (SELECT week, label AS cluster, list(v ORDER BY i) AS cv FROM (SELECT week, label, i, avg(v) AS v FROM px GROUP BY week, label, i) GROUP BY week, label),
+st(round, week, cluster, cv, moved) AS (
+  SELECT 0, week, cluster, cv, CAST(1 AS DOUBLE) FROM c0
+  UNION ALL
+  SELECT round + 1, week, cluster, nv, sum({far.format(a='nv', b='cv')}) OVER (PARTITION BY week) FROM (
+    SELECT s.round, s.week, s.cluster, s.cv, coalesce(m.cv, s.cv) AS nv FROM st s LEFT JOIN (
+      SELECT a.week, a.cluster, list(v ORDER BY i) AS cv FROM (
+        SELECT a.week, a.cluster, x.i, avg(x.v) AS v FROM (
+          SELECT p.week, p.id, {near.format(c='c')} AS cluster FROM pts p JOIN st c ON p.week = c.week GROUP BY p.week, p.id) a
+        JOIN px x ON a.week = x.week AND a.id = x.id GROUP BY a.week, a.cluster, x.i) a GROUP BY a.week, a.cluster) m
+    ON m.week = s.week AND m.cluster = s.cluster WHERE s.moved > 1e-9)),
+fin AS (SELECT * FROM st QUALIFY round = max(round) OVER (PARTITION BY week))
+SELECT p.week, p.id, {near.format(c='c')} AS cluster FROM pts p JOIN fin c ON p.week = c.week GROUP BY p.week, p.id"""
     q["silhouette_sq"] = """WITH v AS (
   SELECT vec_id AS id, label, generate_subscripts(embedding, 1) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
