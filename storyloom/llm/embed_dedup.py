@@ -3,9 +3,10 @@
 A unit vector ``x`` is stored as int8 codes ``q`` and a scale ``s``; ``e`` bounds
 the length of ``x - s q``.  For two vectors the exact cosine then differs from
 ``s s' (q . q')`` by at most ``e |s' q'| + e' |s q| + e e'``.  Tiles of codes are
-multiplied with integers held in float32 (exact below 2^24); pairs whose bound
-excludes the threshold are settled there, and only the rest is recomputed from
-the original vectors in double precision.
+multiplied with integers held in float32 (exact below 2^24); only codes go to
+the tiles.  Pairs whose bound decides about the threshold are settled there, and
+only the open ones are joined with the original vectors and recomputed in double
+precision.
 
 Whole work, no quadratic output: equal vectors collapse to one before any
 product.  Distinct vectors fall into the cell of their nearest pivot (a bounded
@@ -52,43 +53,59 @@ def unit(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (as float32 integers), scales, lengths of the decoded vectors, and error lengths, the last two rounded up."""
+    """Int8 codes, scales, lengths of the decoded vectors, and error lengths, the last two rounded up."""
     s = np.abs(x).max(axis=1) / 127.0
     q = np.rint(x / s[:, None])
     decoded = q * s[:, None]
     lengths = np.sqrt(np.einsum("ij,ij->i", decoded, decoded)) + EPS
     errors = np.sqrt(np.einsum("ij,ij->i", x - decoded, x - decoded)) + EPS
-    return q.astype(np.float32), s, lengths, errors
+    return q.astype(np.int8), s, lengths, errors
 
 
-def links_between(x: np.ndarray, y: np.ndarray, threshold: float, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) with cosine >= threshold, tile by tile."""
-    qx, sx, lx, ex = quantise(x)
-    qy, sy, ly, ey = quantise(y)
-    wide = x.shape[1] * 127 * 127 >= 1 << 24
-    if wide:  # sums of code products no longer fit float32 exactly
-        qx, qy = qx.astype(np.float64), qy.astype(np.float64)
-    for a in range(0, len(x), tile):
+class Codes:
+    """Quantised unit vectors: int8 codes, and per vector scale, decoded length and error."""
+
+    def __init__(self, codes: np.ndarray, scale: np.ndarray, length: np.ndarray, error: np.ndarray) -> None:
+        # Integers held in floats: sums of code products must stay exact.
+        self.q = codes.astype(np.float64 if codes.shape[1] * 127 * 127 >= 1 << 24 else np.float32)
+        self.s, self.l, self.e = scale, length, error
+
+    def __getitem__(self, rows: slice | np.ndarray) -> Codes:
+        return Codes(self.q[rows], self.s[rows], self.l[rows], self.e[rows])
+
+
+def bounded_pairs(x: Codes, y: Codes, threshold: float, tile: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Index pairs by tile, ``(i, j, i2, j2)``: those whose bound proves cosine >= threshold, and those it leaves open."""
+    for a in range(0, len(x.q), tile):
         i = slice(a, a + tile)
-        for b in range(0, len(y), tile):
+        for b in range(0, len(y.q), tile):
             j = slice(b, b + tile)
-            dots = qx[i] @ qy[j].T
+            dots = x.q[i] @ y.q[j].T
             # One cut for the tile, by its largest bounds, then the pair's own bound on what is left.
-            bound = ex[i].max() * ly[j].max() + ey[j].max() * lx[i].max() + ex[i].max() * ey[j].max() + EPS
-            r, c = np.nonzero(dots >= np.float32((threshold - bound) / (sx[i].max() * sy[j].max()) * (1 - 1e-6)) if threshold > bound
+            bound = x.e[i].max() * y.l[j].max() + y.e[j].max() * x.l[i].max() + x.e[i].max() * y.e[j].max() + EPS
+            r, c = np.nonzero(dots >= np.float32((threshold - bound) / (x.s[i].max() * y.s[j].max()) * (1 - 1e-6)) if threshold > bound
                               else np.ones_like(dots, bool))
             if not len(r):
                 continue
             r, c = r + a, c + b
-            near = sx[r] * sy[c] * dots[r - a, c - b].astype(np.float64)
-            slack = ex[r] * ly[c] + ey[c] * lx[r] + ex[r] * ey[c] + EPS
+            near = x.s[r] * y.s[c] * dots[r - a, c - b].astype(np.float64)
+            slack = x.e[r] * y.l[c] + y.e[c] * x.l[r] + x.e[r] * y.e[c] + EPS
             sure, maybe = near - slack >= threshold, np.abs(near - threshold) <= slack
-            open_r, open_c = r[maybe & ~sure], c[maybe & ~sure]
-            keep = np.zeros(len(open_r), bool)
-            for k in range(0, len(open_r), 65536):
-                part = slice(k, k + 65536)
-                keep[part] = np.einsum("ij,ij->i", x[open_r[part]], y[open_c[part]]) >= threshold
-            yield np.concatenate([r[sure], open_r[keep]]), np.concatenate([c[sure], open_c[keep]])
+            yield r[sure], c[sure], r[maybe & ~sure], c[maybe & ~sure]
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, y)
+
+
+def links_between(x: np.ndarray, y: np.ndarray, threshold: float, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) with cosine >= threshold, tile by tile, of vectors at hand."""
+    for r, c, open_r, open_c in bounded_pairs(Codes(*quantise(x)), Codes(*quantise(y)), threshold, tile):
+        keep = np.zeros(len(open_r), bool)
+        for k in range(0, len(open_r), 65536):
+            part = slice(k, k + 65536)
+            keep[part] = cosines(x[open_r[part]], y[open_c[part]]) >= threshold
+        yield np.concatenate([r, open_r[keep]]), np.concatenate([c, open_c[keep]])
 
 
 def forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +150,11 @@ def pivots(nodes: DataFrame, block: int, most: int) -> np.ndarray:
     return unit([np.array(r[0]) for r in rows])
 
 
+CODED = ("codes", "scale", "length", "error")
+
+
 def celled(nodes: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot as ``cell`` and the angle to it; vectors of another length d get cell -d."""
+    """``node, copies``, the nearest pivot as ``cell``, the angle to it, and the vector's codes; vectors of another length d get cell -d."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,10 +165,18 @@ def celled(nodes: DataFrame, centres: np.ndarray) -> DataFrame:
                 dots = unit([vectors[i] for i in fits]) @ centres.T
                 cell[fits] = dots.argmax(axis=1)
                 angle[fits] = np.arccos(np.clip(dots.max(axis=1), -1, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], names=[*batch.schema.names, "cell", "angle"])
+            codes, numbers = [b""] * len(vectors), np.zeros((3, len(vectors)))
+            for d in {len(v) for v in vectors}:
+                at = [i for i, v in enumerate(vectors) if len(v) == d]
+                q, *rest = quantise(unit([vectors[i] for i in at]))
+                numbers[:, at] = rest
+                for i, row in zip(at, q, strict=True):
+                    codes[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), pa.array(cell), pa.array(angle), pa.array(codes, pa.binary()),
+                                              *map(pa.array, numbers)], names=["node", "copies", "cell", "angle", *CODED])
 
-    kind = nodes.schema["embedding"].dataType.simpleString()
-    return nodes.mapInArrow(nearest, f"node string, vec_id long, copies long, embedding {kind}, cell long, angle double")
+    return nodes.select("node", "copies", "embedding").mapInArrow(
+        nearest, "node string, copies long, cell long, angle double, codes binary, scale double, length double, error double")
 
 
 def near_cells(cells: list, centres: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -165,6 +193,27 @@ def near_cells(cells: list, centres: np.ndarray, threshold: float) -> list[tuple
     return out
 
 
+def checked(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``node, root, links`` of the open pairs (node, root) that reach the threshold in double precision, from both ends."""
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.asarray(v, np.float64) for v in batch.column(c).to_pylist()] for c in ("x", "y"))
+            keep = np.zeros(len(x), bool)
+            for d in {len(v) for v in x}:
+                at = [i for i, v in enumerate(x) if len(v) == d]
+                keep[at] = cosines(unit([x[i] for i in at]), unit([y[i] for i in at])) >= threshold
+            yield batch.select(["node", "root", "node_copies", "root_copies"]).filter(pa.array(keep))
+
+    sides = [nodes.select(F.col("node").alias(end), F.col("copies").alias(f"{end}_copies"), F.col("embedding").alias(v))
+             for end, v in (("node", "x"), ("root", "y"))]
+    kept = pairs.select("node", "root").join(sides[0], "node").join(sides[1], "root").mapInArrow(
+        exact, "node string, root string, node_copies long, root_copies long")
+    ends = F.explode(F.array(F.struct("node", "root", F.col("root_copies").alias("links")),
+                             F.struct(F.col("root").alias("node"), F.col("node").alias("root"), F.col("node_copies").alias("links"))))
+    return kept.select(ends.alias("end")).select("end.*")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 2048, tile: int = 1024,
                     n_pivots: int = 1024) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
@@ -192,26 +241,38 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 204
         F.struct(F.col("right.cb").alias("cell"), F.col("right.ib").alias("part"))))).alias("side")).select("left", "right", "side.*")
     sizes = spark.createDataFrame([(int(c), int(n)) for c, n in parts.items()], "cell long, parts long")
     blocks = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    # Each vector goes to the tasks of its block's pairs.
+    # The codes of each vector, a quarter of it, go to the tasks of its block's pairs; the vector itself stays.
     tasks = (blocks.join(sides, ["cell", "part"])
              .select("left", "right", ((F.col("cell") == F.col("left.ca")) & (F.col("part") == F.col("left.ia"))).alias("first"),
-                     "node", "copies", "embedding"))
+                     F.unhex("node").alias("node"), "copies", *CODED))
 
     def multiply(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows["first"].to_numpy()
         rows = pd.concat([rows[own], rows[~own]], ignore_index=True)
         n, split = len(rows), int(own.sum())
-        x = unit([np.asarray(v) for v in rows["embedding"]])
-        if split == n:
-            pairs = ((r[r < c], c[r < c]) for r, c in links_between(x, x, threshold, tile))
-        else:
-            pairs = ((r, c + split) for r, c in links_between(x[:split], x[split:], threshold, tile))
-        root, degree = forest(n, pairs, rows["copies"].to_numpy())
+        x = Codes(np.stack([np.frombuffer(c, np.int8) for c in rows["codes"]]), *(rows[c].to_numpy() for c in CODED[1:]))
+        open_pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sure() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for r, c, open_r, open_c in bounded_pairs(x[:split], x if split == n else x[split:], threshold, tile):
+                if split == n:
+                    up, open_up = r < c, open_r < open_c
+                    r, c, open_r, open_c = r[up], c[up], open_r[open_up], open_c[open_up]
+                else:
+                    c, open_c = c + split, open_c + split
+                open_pairs.append((open_r, open_c))
+                yield r, c
+
+        root, degree = forest(n, sure(), rows["copies"].to_numpy())
         touched = degree > 0
         node = rows["node"].to_numpy()
-        return pd.DataFrame({"node": node[touched], "root": node[root[touched]], "links": degree[touched]})
+        linked = pd.DataFrame({"node": node[touched], "other": node[root[touched]], "links": degree[touched], "open": False})
+        r, c = (np.concatenate(p) for p in zip(*open_pairs, strict=True)) if open_pairs else (np.zeros(0, int), np.zeros(0, int))
+        return pd.concat([linked, pd.DataFrame({"node": node[r], "other": node[c], "links": 0, "open": True})], ignore_index=True)
 
-    found = materialize(tasks.groupBy("left", "right").applyInPandas(multiply, "node string, root string, links long"), "embed-links")
+    tiles = materialize(tasks.groupBy("left", "right").applyInPandas(multiply, "node binary, other binary, links long, open boolean")
+                        .select(F.lower(F.hex("node")).alias("node"), F.lower(F.hex("other")).alias("root"), "links", "open"), "embed-tiles")
+    found = materialize(tiles.filter("NOT open").drop("open").unionByName(checked(tiles.filter("open"), nodes, threshold)), "embed-links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = (nodes.select("node", "vec_id", "copies").join(linked, "node", "left")
