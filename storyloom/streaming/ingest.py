@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,17 @@ STATE = {
 
 
 def _open_sink(spark: SparkSession, sink: str, schema: str) -> None:
-    """Creates an empty table where none is, so that a failing read is always an error, never an empty sink."""
+    """Creates an empty table where none is, so that a failing read is always an error, never an empty sink.
+
+    Rows lie in the folders of their batches only; files beside them are not this table's.
+    """
+    try:
+        spark.read.format("binaryFile").load(f"{sink}/*.parquet")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        raise ValueError(f"{sink} holds files that no stream has written")
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{sink}/batch=-1")
 
 
