@@ -61,17 +61,17 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` with its rows over all task slots, if its files are too few and too small to give each slot a split.
+    """``df`` with its rows over all task slots, if its files give splits for less than half of them.
 
     Costly per-row work would otherwise run in as many tasks as a small table has
-    files.  At most one split per slot is moved; larger inputs are left alone.
+    files.  Less than half a split per slot is moved; larger inputs are left alone.
     """
     spark, files = df.sparkSession, df.inputFiles()
     slots = spark.sparkContext.defaultParallelism
-    if not files or len(files) >= slots:
+    if not files or 2 * len(files) >= slots:
         return df
-    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
-    return df.repartition(slots) if size < slots * SPLIT_BYTES else df
+    splits = spark.read.format("binaryFile").load(files).agg(F.sum(F.ceil(F.col("length") / SPLIT_BYTES))).first()[0]
+    return df.repartition(slots) if 2 * splits < slots else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
