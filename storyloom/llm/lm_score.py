@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .hashing import FACTORS, U64, mix, text_pieces, words
 
 #: Bytes of text of a chunk, about, and the least number of chunks and parts.
-CHUNK, LEAST = 12 << 20, 64
+CHUNK, LEAST = 8 << 20, 64
 #: The rows of one doc_id are dealt to so many chunks, by their text.
 SPREAD = 8
 #: Stands before the first word of a text.
