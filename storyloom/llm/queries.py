@@ -54,8 +54,10 @@ def spans_text(spans: Column, kinds: tuple[str, ...]) -> Column:
 
 
 def span_digest(found: DataFrame, kinds: tuple[str, ...], base_kinds: int) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kinds[k]}")
-              for k in range(base_kinds)]
+    def count(kind: int) -> Column:  # a second argument of the lambda would be the place in the array
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kinds[kind]}")
+
+    counts = [count(k) for k in range(base_kinds)]
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base"), kinds), 256).alias("base_sha256"),
                         spans_text(F.concat("base", "found"), kinds).alias("spans"),
                         F.size("found").cast("long").alias("n_found"))
