@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from storyloom import catalog
 from storyloom.functions import text as tx
+from storyloom.operators import pairs
 from storyloom.operators import summarize as sm
 from tests.conftest import SF_MID, SF_SMALL
 
@@ -67,3 +68,27 @@ def test_ukrainian_rows_have_keywords_and_entities(spark):
     want = sorted(set(re.findall(tx.UK_PATTERNS["PERSON"].replace("(?U)", ""), text)))
     got = rows.where("id = 1 AND entity_type = 'PERSON'").first()
     assert got.n_values == len(want)
+
+
+def test_tiles_receive_a_fixed_number_of_copies(spark, monkeypatch):
+    """Copies of a cluster's vectors, and pairs with their rows, whatever the number of blocks; no vector travels with a pair."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 12))[rng.integers(0, 30, 240)] + rng.normal(size=(240, 12)) * 0.15
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[200:] = x[:40]  # classes of two rows
+    df = spark.createDataFrame([("g", i, [(j, float(v)) for j, v in enumerate(r)]) for i, r in enumerate(x)],
+                               "c string, id long, vec array<struct<slot:int,value:double>>")
+    sent = []
+    spread = pairs._spread
+    monkeypatch.setattr(pairs, "_spread", lambda rep, keys: sent.append(rep) or spread(rep, keys))
+    cosine = x @ x.T
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(cosine > 0.9, 1)), strict=True)}
+    for largest in (32_768, 25):
+        monkeypatch.setattr(pairs, "LARGEST_BLOCK", largest)
+        got = pairs.similar_pairs(df.select("c", "id"), df, ["c"], 0.9, 4).collect()
+        assert {(r.id_a, r.id_b) for r in got} == want and len(got) == len(want) > 100
+        assert all(abs(r.cosine - cosine[r.id_a, r.id_b]) < 1e-12 for r in got)
+        assert pairs.near_dup_counts(df.select("c", "id"), df, ["c"], 0.9, 4).first().n_dup == len(want)
+        blocks = pairs.BLOCKS if largest > 240 else 8
+        assert [r.count() for r in sent] == [200 * blocks] * 2
+        sent.clear()
