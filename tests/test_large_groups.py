@@ -92,3 +92,11 @@ def test_tiles_receive_a_fixed_number_of_copies(spark, monkeypatch):
         blocks = pairs.BLOCKS if largest > 240 else 8
         assert [r.count() for r in sent] == [200 * blocks] * 2
         sent.clear()
+
+
+def test_key_terms_are_counted_inside_their_group(spark):
+    rows = [(1, 0, "beta alpha beta. Alpha beta gamma"), (1, 1, "gamma beta"), (2, 0, None), (3, 0, ""), (None, 0, "omega")]
+    got = sm.key_terms(spark.createDataFrame(rows, "gid int, doc_order int, text string"), ["gid"], 4)
+    assert sorted((r.gid or 0, r["rank"], r.term, r.cnt) for r in got.collect()) == [
+        (0, 1, "omega", 1), (1, 1, "beta", 4), (1, 2, "alpha", 2), (1, 3, "alpha beta", 2), (1, 4, "beta alpha", 2)]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # n-grams are no rows to be ranked
