@@ -100,3 +100,14 @@ def test_key_terms_are_counted_inside_their_group(spark):
     assert sorted((r.gid or 0, r["rank"], r.term, r.cnt) for r in got.collect()) == [
         (0, 1, "omega", 1), (1, 1, "beta", 4), (1, 2, "alpha", 2), (1, 3, "alpha beta", 2), (1, 4, "beta alpha", 2)]
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # n-grams are no rows to be ranked
+
+
+def test_tfidf_of_packed_groups_equals_the_plan_over_rows(spark, sentences):
+    odd = spark.createDataFrame([(90, 0, "\u0431\u0435\u0437 one one two"), (90, 1, "... !"), (90, 2, "two three"), (91, 0, "??"), (None, 0, "null key")], "gid long, sent_pos int, sentence string")
+    rows = sentences.unionByName(odd)
+    packed, by_rows = sm.sentence_tfidf(rows, ["gid"]), sm.sentence_tfidf(rows.where("gid IS NOT NULL"), ["gid"], large=0)
+    assert packed.columns == by_rows.columns and "Window" not in packed.where("gid >= 90")._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    got, want = ({(r.gid, r.sent_pos, r.term): r.weight for r in x.collect()} for x in (packed, by_rows))
+    assert {k[2] for k in got if k[0] is None} == {"null", "key"}
+    got = {k: v for k, v in got.items() if k[0] is not None}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
