@@ -111,3 +111,12 @@ def test_tfidf_of_packed_groups_equals_the_plan_over_rows(spark, sentences):
     assert {k[2] for k in got if k[0] is None} == {"null", "key"}
     got = {k: v for k, v in got.items() if k[0] is not None}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_an_id_with_two_vectors_stands_for_both(spark):
+    rows = [(1, [(0, 1.0)]), (1, [(0, 0.99), (1, 0.1410673598)]), (2, [(0, 1.0), (1, 1e-9)]), (3, [(2, 1.0)])]
+    df = spark.createDataFrame([("g", *r) for r in rows], "c string, id long, vec array<struct<slot:int,value:double>>")
+    classes, _ = pairs.vector_classes(df.select("c", "id"), df, ["c"])
+    got = sorted((r.cls_a, r.cls_b, round(r.cosine, 4)) for r in pairs.similar_classes(classes, ["c"]).collect())
+    # (1, 1) is open once and stands for 2 x 2 rows, (1, 2) twice for 2 x 1.
+    assert got == sorted([(1, 1, 1.0)] * 2 + [(1, 1, 0.99)] * 2 + [(1, 2, 1.0)] * 2 + [(1, 2, 0.99)] * 2)
