@@ -120,3 +120,28 @@ def test_an_id_with_two_vectors_stands_for_both(spark):
     got = sorted((r.cls_a, r.cls_b, round(r.cosine, 4)) for r in pairs.similar_classes(classes, ["c"]).collect())
     # (1, 1) is open once and stands for 2 x 2 rows, (1, 2) twice for 2 x 1.
     assert got == sorted([(1, 1, 1.0)] * 2 + [(1, 1, 0.99)] * 2 + [(1, 2, 1.0)] * 2 + [(1, 2, 0.99)] * 2)
+
+
+def test_only_vectors_with_an_open_pair_go_to_tiles(spark, monkeypatch):
+    """Codes find the classes with an open pair; the other vectors stay, and blocks of vectors are bounded by themselves."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(160, 200))
+    x[150:] = x[:10] + rng.normal(size=(10, 200)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(w, i, [(j, float(v)) for j, v in enumerate(r)]) for w in ("g", "h") for i, r in enumerate(x)],
+                               "c string, id long, vec array<struct<slot:int,value:double>>")
+    written = {}
+    write = pairs.materialize
+    monkeypatch.setattr(pairs, "materialize", lambda rows, name: written.setdefault(name, write(rows, name)))
+    monkeypatch.setattr(pairs, "CELLS", 300)
+    for largest, vectors in [(131_072, 32_768), (60, 10)]:
+        monkeypatch.setattr(pairs, "LARGEST_BLOCK", largest)
+        monkeypatch.setattr(pairs, "LARGEST_VECTORS", vectors)
+        written.clear()
+        got = pairs.similar_pairs(df.select("c", "id"), df, ["c"], 0.95, 40).collect()
+        assert sorted((r.c, r.id_a, r.id_b) for r in got) == [(w, i, i + 150) for w in ("g", "h") for i in range(10)]
+        sent = written["open-classes"].collect()
+        assert {(r.c, r.cls) for r in sent} == {(w, i) for w in ("g", "h") for i in [*range(10), *range(150, 160)]}
+        assert len(sent) == 40 and all(r._blk in (r._lo, r._hi) for r in sent)
+        written.clear()
+        assert [r.n_dup for r in pairs.near_dup_counts(df.select("c", "id"), df, ["c"], 0.95, 40).collect()] == [10, 10]
