@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from storyloom import catalog
 from storyloom.functions import text as tx
-from storyloom.operators import pairs
+from storyloom.operators import pairs, quality
 from storyloom.operators import summarize as sm
+from storyloom.plans import weekly
 from tests.conftest import SF_MID, SF_SMALL
 
 
@@ -145,3 +146,21 @@ def test_only_vectors_with_an_open_pair_go_to_tiles(spark, monkeypatch):
         assert len(sent) == 40 and all(r._blk in (r._lo, r._hi) for r in sent)
         written.clear()
         assert [r.n_dup for r in pairs.near_dup_counts(df.select("c", "id"), df, ["c"], 0.95, 40).collect()] == [10, 10]
+
+
+def test_no_vector_is_shuffled_by_its_cluster(spark, monkeypatch):
+    """A shuffle by cluster puts all vectors of a large one in one task, which sorts and spills them."""
+    days = [f"2024-01-0{d}" for d in (1, 2, 3)]
+    rows = [(w, "en", i, f"s{i % 4}", days[i % 3], [(0, 0.8), (1 + i, 0.6)]) for w in (0, 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "week int, label string, id long, source string, day string, vec array<struct<slot:int,value:double>>")
+    m = df.select("week", "label", "id", "source", F.to_timestamp("day").alias("published_date"))
+    plan = lambda d: d._jdf.queryExecution().sparkPlan().toString()
+    scores = quality.medoid_scores(m, df.select("week", "label", "id", "vec"), weekly.KEYS)
+    assert "BroadcastHashJoin [week" in plan(scores) and all(abs(r.score - (0.64 * 12 + 0.36)) < 1e-9 for r in scores.collect())
+    assert {(r.week, r.id) for r in quality.medoids(m, df.select("week", "label", "id", "vec"), weekly.KEYS).collect()} == {
+        (w, i) for w in (0, 1) for i in range(3)}
+    given = []
+    monkeypatch.setattr(weekly, "near_dup_rate", lambda members, vectors, *a, **k: given.append(vectors) or pairs.near_dup_rate(members, vectors, *a, **k))
+    scored = weekly.score_clusters(m, df.select("week", "label", "id", "vec"), threshold=0.5).collect()
+    assert [(r.accepted, r.near_dup_rate) for r in scored] == [(True, 0.0)] * 2
+    assert "BroadcastHashJoin" in plan(given[0]) and "SortMergeJoin" not in plan(given[0])
