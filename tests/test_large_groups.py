@@ -123,6 +123,14 @@ def test_an_id_with_two_vectors_stands_for_both(spark):
     assert got == sorted([(1, 1, 1.0)] * 2 + [(1, 1, 0.99)] * 2 + [(1, 2, 1.0)] * 2 + [(1, 2, 0.99)] * 2)
 
 
+def test_an_id_with_two_vectors_and_no_other_similar_one(spark):
+    rows = [(1, [(0, 1.0)]), (1, [(0, 0.99), (1, 0.1410673598)]), (2, [(3, 1.0)]), (3, [(2, 1.0)])]
+    df = spark.createDataFrame([("g", *r) for r in rows], "c string, id long, vec array<struct<slot:int,value:double>>")
+    classes, _ = pairs.vector_classes(df.select("c", "id"), df, ["c"])
+    got = sorted((r.cls_a, r.cls_b, round(r.cosine, 4)) for r in pairs.similar_classes(classes, ["c"]).collect())
+    assert got == sorted([(1, 1, 1.0)] * 2 + [(1, 1, 0.99)] * 2)
+
+
 def test_only_vectors_with_an_open_pair_go_to_tiles(spark, monkeypatch):
     """Codes find the classes with an open pair; the other vectors stay, and blocks of vectors are bounded by themselves."""
     rng = np.random.default_rng(11)
