@@ -172,3 +172,15 @@ def test_no_vector_is_shuffled_by_its_cluster(spark, monkeypatch):
     scored = weekly.score_clusters(m, df.select("week", "label", "id", "vec"), threshold=0.5).collect()
     assert [(r.accepted, r.near_dup_rate) for r in scored] == [(True, 0.0)] * 2
     assert "BroadcastHashJoin" in plan(given[0]) and "SortMergeJoin" not in plan(given[0])
+
+
+def test_vectors_are_grouped_flat(spark, monkeypatch):
+    """Sorting entry structs of a whole split by class would spill; slots and values take a third of that."""
+    df = spark.createDataFrame([("g", i, [(0, 1.0 + i // 2), (3, 2.0)]) for i in range(4)], "c string, id long, vec array<struct<slot:int,value:double>>")
+    grouped = []
+    write = pairs.materialize
+    monkeypatch.setattr(pairs, "materialize", lambda df, name: grouped.append(df) or write(df, name))
+    classes, _ = pairs.vector_classes(df.select("c", "id"), df, ["c"])
+    rows = grouped[0]._jdf.queryExecution().optimizedPlan().children().head().schema()
+    assert "array<struct" not in rows.simpleString() and "slot:array<int>" in rows.simpleString()
+    assert sorted((r.cls, r.n, r.vec.slot, r.vec.value) for r in classes.collect()) == [(0, 2, [0, 3], [1.0, 2.0]), (2, 2, [0, 3], [2.0, 2.0])]
