@@ -51,12 +51,14 @@ def run(members: DataFrame, week_start: Column, responder: rsp.Responder, brief_
     spark = members.sparkSession
     nowc = now_col(now)
     vectors = materialize(hash_packed(members, keep=KEYS), "pipeline-vectors")
-    scored = materialize(weekly.score_clusters(members, vectors, KEYS, threshold=threshold), "pipeline-scored")
+    # Without texts, which only hashing and the medoids read: those would be the most of all that a run writes.
+    rows = materialize(members.select(*KEYS, "id", "source", "published_date"), "pipeline-members")
+    scored = materialize(weekly.score_clusters(rows, vectors, KEYS, threshold=threshold), "pipeline-scored")
     accepted = scored.where(F.col("accepted")).withColumn("week_start", week_start)
-    chosen = members.join(accepted.select(*KEYS), KEYS, "left_semi")
+    chosen = rows.join(accepted.select(*KEYS), KEYS, "left_semi")
     vectors = quality.of_clusters(vectors, accepted, KEYS)
     medoids = quality.medoids(chosen, vectors, KEYS, 3)
-    texts = materialize(medoids.join(chosen, [*KEYS, "id"]).select(
+    texts = materialize(medoids.join(members, [*KEYS, "id"]).select(
         *KEYS, "id", F.col("medoid_rank").alias("doc_order"), "source", "title", "url", "published_date",
         F.concat(F.col("title"), F.lit(". "), F.col("content")).alias("text")), "pipeline-medoids")
     comp = materialize(compress.compress_clusters(accepted.select(*KEYS, "n_rows"), texts, KEYS, ranker=ranker), "pipeline-compressed")
@@ -115,14 +117,14 @@ def run_cost(named: DataFrame, briefs: DataFrame) -> DataFrame:
 def weekly_run(articles: DataFrame, responder: rsp.Responder, brief_responder: rsp.Responder, cache: DataFrame,
                now: str = NOW, weeks: int = weekly.WEEKS, label_col: str = "lang", **options) -> dict[str, DataFrame]:
     """P1 over the last ``weeks`` weeks."""
-    members = materialize(weekly.week_members(articles, now, weeks, label_col), "pipeline-members")
+    members = weekly.week_members(articles, now, weeks, label_col)
     return run(members, week_back_start(F.col("week"), now_col(now)), responder, brief_responder, cache, now, **options)
 
 
 def historical_run(articles: DataFrame, events: DataFrame | None, responder: rsp.Responder, brief_responder: rsp.Responder,
                    cache: DataFrame, now: str = NOW, months: int = 2, label_col: str = "lang", **options) -> dict[str, DataFrame]:
     """The forward grid of the last ``months``, without weeks that already hold an event."""
-    members = materialize(historical_members(articles, events, now, months, label_col), "pipeline-members")
+    members = historical_members(articles, events, now, months, label_col)
     first = forward_start(now_col(now), months)
     start = first + F.make_dt_interval(days=F.col("week") * 7)
     return run(members, start, responder, brief_responder, cache, now, **options)

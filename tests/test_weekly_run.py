@@ -60,3 +60,20 @@ def test_historical_leaves_done_weeks_out(spark, run):
 def test_registered_runs(spark):
     rows = catalog.q_weekly_pipeline(spark, SF_SMALL).collect()
     assert rows and all(r.n_articles >= 5 for r in rows)
+
+
+def test_run_writes_no_text_but_the_medoids(spark, monkeypatch):
+    """Members are written without their texts, and medoids still get theirs, also where an id comes twice."""
+    rows = [(i % 20, f"s{i % 4}", f"2024-02-0{1 + i % 3} 10:00:00", f"Title {i % 20}", f"Common words of all texts and number{i % 20} alone.", f"u{i}", "en")
+            for i in range(21)]
+    articles = spark.createDataFrame(rows, "id long, source string, day string, title string, content string, url string, lang string") \
+        .withColumn("published_date", F.to_timestamp("day")).drop("day")
+    written = {}
+    write = pipeline.materialize
+    monkeypatch.setattr(pipeline, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    t = pipeline.weekly_run(articles, rsp.stub_responder, rsp.stub_brief, spark.createDataFrame([], rsp.CACHE_SCHEMA), threshold=0.2)
+    assert written["pipeline-members"].columns == ["week", "label", "id", "source", "published_date"]
+    assert {n for n, df in written.items() if {"content", "text"} & set(df.columns)} == {"pipeline-medoids"}
+    assert all(r.text == f"Title {r.id}. Common words of all texts and number{r.id} alone." for r in written["pipeline-medoids"].collect())
+    held = sorted(r.article_id for r in t["cluster_article"].collect())
+    assert held == sorted([*range(20), 0]) and t["cost"].first().narratives_created == 1
